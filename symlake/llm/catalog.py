@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symlake.llm import patricia, sharding, urlfilter, warc
+from symlake.llm import bpe, media, packing, patricia, sharding, suffix, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [sharding.op3_rendezvous_sharding, patricia.op7_exact_dedup, warc.op8_warc_transactions, urlfilter.op10_temporal_url_filter]
+    found = [media.op2_signature_sniffing, sharding.op3_rendezvous_sharding, bpe.op4_bpe_round_trip, suffix.op5_suffix_array_dedup, patricia.op7_exact_dedup, warc.op8_warc_transactions, packing.op9_best_two_fit_packing, urlfilter.op10_temporal_url_filter]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rendezvous_sharding": sharding.SQL, "op7_exact_dedup": patricia.SQL, "op8_warc_transactions": warc.SQL, "op10_temporal_url_filter": urlfilter.SQL}
+    return {"op2_signature_sniffing": media.sql(), "op3_rendezvous_sharding": sharding.SQL, "op5_suffix_array_dedup": suffix.SQL, "op7_exact_dedup": patricia.SQL, "op8_warc_transactions": warc.SQL, "op10_temporal_url_filter": urlfilter.SQL}

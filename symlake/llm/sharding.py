@@ -75,7 +75,7 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
 
 
-def _crc_sql(of: str) -> str:
+def crc_sql(of: str) -> str:
     """DuckDB SQL for the CRC-32 of a BLOB expression, through a table of 256 values that SQL computes."""
     return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length({of})), lambda i: ('0x' || substr(hex({of}), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, crc_t[(xor(a, b) & 255) + 1])), 4294967295)"
 
@@ -94,7 +94,7 @@ races AS (
 won AS (
   SELECT doc_id, arg_min(shard, (t, shard)) FILTER (shard < {SHARDS}) AS shard, arg_min(shard, (t, shard)) AS grown_shard FROM races GROUP BY doc_id),
 docs AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents)
-SELECT doc_id, octet_length(body)::BIGINT + {ROW_OVERHEAD} AS size, {_crc_sql('body')} AS text_crc32, 'key' AS law, shard,
+SELECT doc_id, octet_length(body)::BIGINT + {ROW_OVERHEAD} AS size, {crc_sql('body')} AS text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT % {BUCKETS}, doc_id) - 1 AS slot, grown_shard
 FROM docs JOIN won USING (doc_id), crc_table
 """
