@@ -63,7 +63,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", on_round: C
 
     Alternating large-star and small-star steps: each step only re-hangs edges on smaller neighbours,
     so a component of n nodes converges in O(log n) rounds and no task ever holds one. Every round is a
-    grouped minimum (combined before the shuffle) and a join; the table is cut by ``materialize``.
+    grouped minimum (combined before the shuffle) and a join of tables, which Spark splits at hot nodes.
     Self loops are ignored; an empty edge list gives no rows.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
@@ -73,10 +73,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", on_round: C
         # Large star: hang every larger neighbour of u on the smallest of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(low, "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # Small star: hang u and its smaller neighbours on the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u <> v").distinct(), "stars")
