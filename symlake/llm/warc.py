@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import new_path, project, table
+from symlake.llm.common import materialize, new_path, project, table
 
 LEAST = 100
 #: Records in one archive file: bounds what a reading task holds.
@@ -54,7 +54,7 @@ def records(pages: DataFrame, key: str, url: str, html: str, least: int = LEAST,
     rows = rows.withColumn("rid", _uuid(name))
     # The first of equal payloads, found without their bytes; only groups of two or more are joined.
     firsts = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("key").isNull().alias("nul"), "key", "rid")).alias("first"), F.count("*").alias("size")).where("size > 1").select("digest", F.col("first.rid").alias("first_rid"))
-    rows = rows.join(firsts, "digest", "left")
+    rows = rows.join(materialize(firsts, "firsts"), "digest", "left")
     again = F.col("first_rid").isNotNull() & (F.col("first_rid") != F.col("rid"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     when = F.lit(date)
@@ -147,6 +147,7 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(records(table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
     captures = assemble(read(spark, path, keep_payload=False)).where("response IS NOT NULL")
+    captures = materialize(captures, "captures")
     flat = captures.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha256").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers").alias("refers"))
     visits = flat.where("record_type = 'revisit'")
     firsts = captures.where("response.type = 'response'").select(F.col("capture_id").alias("refers"), F.col("metadata.page_id").alias("refers_to"))
