@@ -23,6 +23,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,19 @@ LIMIT = 2048
 #: Pieces that one task packs together.
 GROUP = 16384
 #: Distinct strings whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 800_000
+#: Bytes that end words and are never part of one with the letters before them (fixed values).
+PUNCTUATION = b".,;:!?*$%&#@-_()[]{}+=/|~"
 END = b"\0\0\0\0"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit words."""
+    """Ids of whole texts as little-endian 32-bit words.
+
+    The tokenizer lower-cases, so ASCII letters are lowered first and share entries; a word with punctuation behind it
+    is looked up as two. New words of letters alone are encoded many at a time and parted at the tokens that
+    end a word. Texts that may hold special tokens are encoded by the library directly.
+    """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -48,18 +56,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache, self.known = cache, {"": b""}
+        self.marks = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cache, self.known = cache, {b"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > self.cache:
-            self.known = {"": b""}
-            new = list(set().union(*cut) - self.known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+        out: list[bytes | None] = []
+        cut = []
+        for text in texts:
+            body = text.encode()
+            if any(m in body for m in self.marks):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(None)
+                cut.append(body.lower().replace(b"\n", b" ").split(b" "))
+        self._learn(set().union(*cut))
         look_up = self.known.__getitem__
-        return [b"".join(map(look_up, words)) for words in cut]
+        rest = (b"".join(map(look_up, words)) for words in cut)
+        return [next(rest) if ids is None else ids for ids in out]
+
+    def _learn(self, words: set[bytes]) -> None:
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.cache:
+            self.known = {b"": b""}
+            new = words - self.known.keys()
+        letters, others, parts = set(), set(), []
+        for word in new:
+            stem = word.rstrip(PUNCTUATION)
+            if stem != word:
+                tail = word[len(stem) :]
+                parts.append((word, stem, tail))
+                if tail not in self.known:
+                    others.add(tail)
+                if stem in self.known:
+                    continue
+            if stem.isalpha() or stem.decode().lower().isalpha():
+                letters.add(stem)
+            elif stem:
+                if stem != word:
+                    parts.pop()
+                others.add(word)
+        self._letters(list(letters))
+        self._each(list(others))
+        for word, stem, tail in parts:
+            self.known[word] = self.known[stem] + self.known[tail]
+
+    def _each(self, words: list[bytes]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[word] = array("I", e.ids).tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 2000):
+            own = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(own):  # letters that the tokenizer's normal form takes apart
+                self._each(own)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(own, (4 * stops).tolist(), strict=True):
+                self.known[word] = data[start:stop]
+                start = stop
 
 
 PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
