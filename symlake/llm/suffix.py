@@ -140,7 +140,8 @@ def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int) ->
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
     """The rows whose (root, core) occurs more than once."""
     pair = ["root", "core"] if name != "round1" else ["core"]
-    often = rows.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # A table of its own: Spark can split a hot name's rows over tasks only where both sides of a join come from shuffles.
+    often = materialize(rows.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
     return materialize(rows.join(often, pair).select(*ROWS.names), name)
 
 
@@ -158,6 +159,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         kinds = materialize(rows.groupBy("root", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "p", "a", "b")).alias("one")), "kinds")
         found.append(span(rows.join(kinds.where("n > 1").select("root", "core", "whole"), ["root", "core", "whole"])))
         open_ = kinds.groupBy("root", "core").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("kinds > 1 AND single > 0")
+        open_ = materialize(open_.select("root", "core"), "open_names")
         asked = kinds.join(open_, ["root", "core"]).groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("one.p", "one.a", "one.b")).alias("asked"))
         if slim is None:  # the texts that go on, once each
             texts = slim = materialize(docs.select("key", "body").join(asked, "key").dropDuplicates(["key"]), "open")
