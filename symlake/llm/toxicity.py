@@ -5,9 +5,9 @@ classifier is trained in numpy on the risk  prior * R+(pos) + max(0, R-(unl) - p
 estimates the risk on negatives; where it goes below zero (overfitting) the step climbs back instead. The class
 prior is the share of toxic rows among the labelled training rows.
 
-Features are the presence of hashed words and of their prefixes of 4, 5 and 6 characters' bytes, so that inflected
-words count; up to 1,024 that positives have far oftener than unlabelled text take part. Presence, not frequency,
-makes scores of long and short texts comparable.
+Features are hashed words and their prefixes of 4 to 8 bytes (so that inflected words count), each at three levels:
+present, at least twice, at least four times. Up to 1,024 that positives have far oftener than unlabelled text take
+part. Levels instead of frequencies make scores of long and short texts comparable.
 
 Fitting uses bounded samples (``POSITIVES``, ``UNLABELLED``: the rows with the least hashes of their ids) of
 rows that are not held out, collected as feature numbers. Scoring reads whole texts, in chunks of bytes.
@@ -32,11 +32,14 @@ from symlake.llm.common import project, table
 from symlake.llm.rolling import U64, Prints, mix
 
 #: Documents that the classifier is fitted on, at most.
-POSITIVES, UNLABELLED = 2500, 5000
-SPACE, CHOSEN = 1 << 20, 1024
-#: What a feature needs to be chosen: a share of positives among the texts that have it, and a gain in log likelihood.
-PURITY, LEAST_GAIN = 0.5, 16.0
-PREFIXES = (4, 5, 6)
+POSITIVES, UNLABELLED = 3000, 5000
+CHOSEN = 1024
+#: What a feature needs to be chosen: a share of positives among the texts that have it, and a gain in log likelihood
+#: beyond the one that chance gives the best of all candidates.
+PURITY, SPARE_GAIN = 0.5, 8.0
+PREFIXES = (4, 5, 6, 7, 8)
+#: Counts from which a feature is on, by level; the level is kept in a feature's two lowest bits.
+LEVELS = (1, 2, 4)
 CHUNK = (1 << 20) - 8
 FOLDS = 5
 _LETTER = np.zeros(256, bool)
@@ -78,7 +81,19 @@ def features(segments: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]
         long = stop - start > n
         names.append(prints.of(start[long], start[long] + n) + U64(n))
         owners.append(owner[long])
-    return np.concatenate(owners), (mix(np.concatenate(names)) >> U64(64 - 20)).astype(np.int32)
+    return np.concatenate(owners), (mix(np.concatenate(names)) >> U64(34)).astype(np.int64) << 2
+
+
+def levels(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature with level), once for each level that a feature reaches in a text."""
+    order = np.lexsort((feature, owner))
+    owner, feature = owner[order], feature[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1])
+    at = np.flatnonzero(first)
+    count = np.diff(np.append(at, len(owner)))
+    reached = [at[count >= n] for n in LEVELS]
+    return np.concatenate([owner[r] for r in reached]), np.concatenate([feature[r] + k for k, r in enumerate(reached)])
 
 
 @dataclass(frozen=True)
@@ -89,16 +104,23 @@ class Model:
     prior: float
 
     def scores(self, texts: Iterable[str | None], count: int) -> np.ndarray:
-        dense = np.zeros(SPACE, np.float32)
-        dense[self.chosen] = self.weights
+        bases = np.unique(self.chosen & ~3)
+        likely = np.zeros(1 << 16, bool)  # a first sieve on some bits
+        likely[(bases >> 2) & 0xFFFF] = True
         owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for segment in _segments(texts):
             owner, feature = features(segment)
-            hit = dense[feature] != 0
+            hit = likely[(feature >> 2) & 0xFFFF]
+            owner, feature = owner[hit], feature[hit]
+            hit = np.isin(feature, bases)
             owners.append(owner[hit])
             found.append(feature[hit])
-        pairs = np.unique(np.concatenate(owners) * SPACE + np.concatenate(found))
-        total = np.full(count, self.bias) + np.bincount(pairs // SPACE, dense[pairs % SPACE], count)
+        owner, feature = levels(np.concatenate(owners), np.concatenate(found))
+        total = np.full(count, self.bias)
+        if len(self.chosen):
+            place = np.minimum(np.searchsorted(self.chosen, feature), len(self.chosen) - 1)
+            known = self.chosen[place] == feature
+            total += np.bincount(owner[known], self.weights[place[known]], count)
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
@@ -110,9 +132,18 @@ def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np
     """
     share_p, share_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
     gain = 2 * (p * np.log(share_p / share_u) - n_p * (share_p - share_u))
+    chance = 2 * np.log(max(1, np.count_nonzero(p >= 3)))
     gain[(prior * share_p < PURITY * share_u) | (p < 3)] = 0
     best = np.argsort(-gain, kind="stable")[:CHOSEN]
-    return np.sort(best[gain[best] > LEAST_GAIN])
+    return np.sort(best[gain[best] > chance + SPARE_GAIN])  # places in p and u
+
+
+def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where values are in a sorted array; its length for those that aren't."""
+    if not len(sorted_):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, len(sorted_))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
@@ -120,16 +151,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0, prior)
     if not positive or not unlabelled or not 0 < prior < 1:
         return nothing
-    p, u = (np.bincount(np.concatenate(x), minlength=SPACE) for x in (positive, unlabelled))
-    chosen = choose(p, u, len(positive), len(unlabelled), prior)
-    column = np.full(SPACE, -1)
-    column[chosen] = np.arange(len(chosen))
+    known = np.unique(np.concatenate(positive))  # what no positive has can't speak for one
+    p, u = (np.bincount(_places(known, np.concatenate(x)), minlength=len(known) + 1)[:-1] for x in (positive, unlabelled))
+    chosen = known[choose(p, u, len(positive), len(unlabelled), prior)]
 
     def dense(rows: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen)), np.float32)
         for i, r in enumerate(rows):
-            own = column[r]
-            x[i, own[own >= 0]] = 1
+            own = _places(chosen, r)
+            x[i, own[own < len(chosen)]] = 1
         return x
 
     xp, xu = dense(positive), dense(unlabelled)
@@ -161,7 +191,8 @@ def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         lists = []
         for text in batch.column(1).to_pylist():
             own = [features(s)[1] for s in _segments([text])]
-            lists.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int32))
+            found = np.concatenate(own) if own else np.zeros(0, np.int64)
+            lists.append(levels(np.zeros(len(found), np.int64), found)[1].astype(np.uint32).view(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["part", "features"])
 
 
@@ -176,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # At most positives + unlabelled ids: small enough to broadcast whatever the input.
     sample = texts.join(F.broadcast(some), "id").select("part", "text").mapInArrow(_distinct_features, "part int, features array<int>").toArrow()
     part = sample.column("part").to_numpy()
-    lists = [np.asarray(x.values) for x in sample.column("features")]
+    lists = [np.asarray(x.values).view(np.uint32).astype(np.int64) for x in sample.column("features")]
     pick = lambda k: [f for f, p in zip(lists, part, strict=True) if p == k]
     return fit(pick(1), pick(0), seen["k"] / seen["n"] if seen["n"] else 0.0)
 
