@@ -18,21 +18,30 @@ from symlake.sources import archives, builds, scan
 
 
 class Workspace:
-    """One project. Relations are lazy; the symbol table is written once, partitioned by location, and read from then on."""
+    """One project. Relations are lazy; the symbol table is written once, partitioned by location, and read from then on.
 
-    def __init__(self, spark: SparkSession, config: Config, edges: DataFrame | None = None, work_dir: str | None = None) -> None:
+    With cache (and a work_dir that stays) a table is kept for each state of the sources and found again.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config, edges: DataFrame | None = None, work_dir: str | None = None, cache: bool = False) -> None:
         self.spark, self.config = spark, config
         self._own_dir = work_dir is None
         self.work_dir = work_dir or tempfile.mkdtemp(prefix="workspace-")
         self.is_archive = config.location.lower().endswith((".jar", ".war", ".ear"))
         self.edges = edges
         self.files, rows = self._read()
-        self.symbol_path = f"{self.work_dir}/symbols"
-        scan.write_symbols(rows, self.symbol_path)
+        self.symbol_path = f"{self.work_dir}/symbols-{self._content_hash()}" if cache else f"{self.work_dir}/symbols"
+        if not (cache and Path(self.symbol_path, "_SUCCESS").exists()):
+            scan.write_symbols(rows, self.symbol_path)
         self.symbols = spark.read.parquet(self.symbol_path)
         self.resolved = D.resolved(edges) if edges is not None else None
         self.closed = False
 
+    def _content_hash(self) -> str:
+        """A fingerprint of all sources: a table cached in work_dir is used again as long as none changes."""
+        mixed = self.files.select(F.xxhash64("file_uri", "text").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+        return f"{mixed['n']}-{int(mixed['s'] or 0) % (1 << 64):016x}"
+
     def _read(self) -> tuple[DataFrame, DataFrame]:
         spark, config = self.spark, self.config
         if self.is_archive:

@@ -168,6 +168,20 @@ def direct_dependencies(pom: Pom, parent: Pom | None = None, boms: Mapping[tuple
     return out
 
 
+def project_dependencies(poms: Mapping[str, str], root: str = "", boms: Mapping[tuple[str, str, str], Pom] | None = None) -> list[Coordinates]:
+    """Direct dependencies of a project and its modules, one level deep; modules without a pom are passed over.
+
+    poms maps directories ('' is the root's) to texts. Modules inherit the root's properties and managed versions.
+    """
+    top = parse_pom(poms[root])
+    out = direct_dependencies(top, boms=boms)
+    for module in top.modules:
+        text = poms.get(f"{root}/{module}".strip("/"))
+        if text is not None:
+            out += direct_dependencies(parse_pom(text), top, boms)
+    return out
+
+
 def read_pom(text: str) -> list[tuple]:
     """Rows of ``model.DECLARED`` without file and ordinal: /project/dependencies, interpolated."""
     pom = parse_pom(text)

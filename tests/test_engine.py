@@ -122,6 +122,25 @@ def test_poms():
     assert builds.interpolate_first("${a}-${b}-${a}", {"a": "1"}) == "1-${b}-${a}" and builds.interpolate_all("${a}-${b}-${a}", {"a": "1"}) == "1-${b}-1"
 
 
+def test_modules():
+    root = "<project><groupId>g</groupId><version>7</version><modules><module>a</module><module>gone</module></modules><properties><v>2</v></properties><dependencies><dependency><groupId>x</groupId><artifactId>top</artifactId><version>1</version></dependency></dependencies></project>"
+    child = "<project><parent><groupId>g</groupId><artifactId>p</artifactId><version>7</version></parent><dependencies><dependency><groupId>g</groupId><artifactId>own</artifactId><version>${project.version}</version></dependency><dependency><groupId>y</groupId><artifactId>z</artifactId><version>${v}</version></dependency></dependencies></project>"
+    assert [(d.artifact_id, d.version) for d in builds.project_dependencies({"": root, "a": child})] == [("top", "1"), ("own", "7"), ("z", "2")]
+    assert "<artifactId>a&amp;b</artifactId>" in builds.synthetic_pom([("g", "a&b", "1")])
+
+
+def test_cached_symbols(spark, tmp_path):
+    from symlake.plans.workspace import Workspace
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/Bean.java").write_text(BEAN)
+    open_ = lambda: Workspace(spark, Config(str(tmp_path / "src")), work_dir=str(tmp_path / "work"), cache=True)
+    first, again = open_(), open_()
+    assert first.symbol_path == again.symbol_path and again.size() == 17
+    (tmp_path / "src/Bean.java").write_text(SERVICE)
+    assert open_().symbol_path != first.symbol_path
+
+
 def test_gradle():
     text = "plugins { }\ndependencies {\n  implementation 'a:b:1'\n  testImplementation \"c:d:2\"\n  if (x) { api 'e:f:3' }\n}\nimplementation 'no:no:0'\n"
     assert [(r[0], r[1], r[2], r[5]) for r in builds.read_gradle(text)] == [("a", "b", "1", 2), ("c", "d", "2", 3), ("e", "f", "3", 4)]
