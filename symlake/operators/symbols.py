@@ -20,7 +20,7 @@ def _at(location: Location) -> Column:
     return F.col("location") == location.value
 
 
-def _matches(pattern: str, location: Location) -> Column:
+def bucket_predicate(pattern: str, location: Location) -> Column:
     """The predicate of one location bucket; pattern is already erased where that applies."""
     if location in (Location.FIELD, Location.METHOD) and " " in pattern:
         name, _, kind = pattern.partition(" ")
@@ -35,11 +35,11 @@ def predicate(pattern: str, location: Location) -> Column:
     """One filter for all locations but PACKAGE: the bucket's own rule, and matching imports for types."""
     if location == Location.DEFAULT:
         bare = erase(pattern)
-        return _any(_at(x) & _matches(bare, x) for x in DEFAULT_LOCATIONS)
+        return _any(_at(x) & bucket_predicate(bare, x) for x in DEFAULT_LOCATIONS)
     bucket = Location.TYPE if location == Location.TYPE_KEYWORD else location
     own = erase(pattern) if bucket in ERASED else pattern
-    found = _at(bucket) & _matches(own, bucket)
-    return found | (_at(Location.IMPORT) & _matches(own, Location.IMPORT)) if bucket == Location.TYPE else found
+    found = _at(bucket) & bucket_predicate(own, bucket)
+    return found | (_at(Location.IMPORT) & bucket_predicate(own, Location.IMPORT)) if bucket == Location.TYPE else found
 
 
 def packages(symbols: DataFrame, pattern: str) -> DataFrame:

@@ -152,21 +152,42 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
 RULES = [rules.Rule(f"r{i}", p, loc) for i, (p, loc) in enumerate([*[(f"com.brand{a}{b}.*", L.IMPORT) for a in range(1, 6) for b in range(1, 6)], *[(f"com.*.{t}.{w}*", L.CLASS) for t in ("economy", "promo", "standard", "small", "large", "medium") for w in "abcdefghij"], *[(f"com.brand{a}1.economy.red_widget", L.INHERITANCE) for a in range(1, 6)], *[(f"*{c}*", L.METHOD) for c in "aeiou"], ("com.brand1?.*", L.DEFAULT)])]
 
 
-def _rule_sql() -> str:
-    values = ", ".join(f"('{r.rule_id}', '{'^' + r.pattern.replace('.', '[.]').replace('*', '.*').replace('?', '.') + '$'}', '{r.location.value}')" for r in RULES)
+def _many_rules(n: int) -> list[rules.Rule]:
+    """As many rules as a usual rule set has: mostly prefixes, some names in full, some with stars inside."""
+    kinds = ["economy", "promo", "standard", "small", "large", "medium"]
+    places = [L.IMPORT, L.TYPE, L.DEFAULT, L.METHOD_CALL, L.ANNOTATION, L.INHERITANCE, L.CONSTRUCTOR_CALL, L.METHOD, L.FIELD]
+    shapes = ["com.brand{a}{b}.{t}.*", "com.brand{a}{b}.{t}.{c}*", "com.brand{a}{b}.{t}.red_widget", "*.{t}.{c}*{a}", "com.brand{a}?.{t}*{c}*"]
+    out = []
+    for i in range(n):
+        pattern = shapes[i % 5].format(a=i % 5 + 1, b=i // 5 % 5 + 1, t=kinds[i // 7 % 6], c="abcdefghijklmnop"[i // 3 % 16])
+        out.append(rules.Rule(f"m{i}", pattern, places[i // 2 % 9]))
+    return out
+
+
+#: The size of the published rule set.
+MANY = _many_rules(1075)
+
+
+def _rule_sql(some: list[rules.Rule]) -> str:
+    values = ", ".join(f"('{r.rule_id}', '{'^' + r.pattern.replace('.', '[.]').replace('*', '.*').replace('?', '.') + '$'}', '{r.location.value}')" for r in some)
     return (
         f"WITH {A.SYM_PARTS}, r(rule_id, re, loc) AS (VALUES {values}) SELECT rule_id, count(*) AS n FROM sym_parts s JOIN r ON NOT s.is_dependency AND"
-        " CASE WHEN s.location <> loc AND NOT (loc = 'DEFAULT' AND s.location IN ('TYPE', 'METHOD_CALL', 'CONSTRUCTOR_CALL', 'ANNOTATION', 'IMPORT')) THEN false"
+        " CASE WHEN s.location <> loc AND NOT (loc = 'TYPE' AND s.location = 'IMPORT') AND NOT (loc = 'DEFAULT' AND s.location IN ('TYPE', 'METHOD_CALL', 'CONSTRUCTOR_CALL', 'ANNOTATION', 'IMPORT')) THEN false"
         " WHEN s.location IN ('METHOD', 'METHOD_CALL') THEN regexp_matches(qualified_name, re) OR regexp_matches(name, re) OR len(list_filter(range(2, 9), lambda i: regexp_matches(coalesce(nullif(array_to_string(list_slice(string_split(qualified_name, '.'), i, -1), '.'), ''), chr(10)), re))) > 0"
         " ELSE regexp_matches(split_part(qualified_name, '<', 1), re) END GROUP BY rule_id"
     )
 
 
-@query(_rule_sql())
+@query(_rule_sql(RULES))
 def rule_batch_counts(spark: SparkSession, d: str) -> DataFrame:
     return rules.match_rules(A.sym_parts(spark, d), RULES).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query(_rule_sql(MANY))
+def rule_batch_full(spark: SparkSession, d: str) -> DataFrame:
+    return rules.match_rules(A.sym_parts(spark, d), MANY).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {A.DEP_VERSIONS} SELECT dep_id, version FROM dep_versions WHERE regexp_full_match(group_id || '.' || artifact_id, 'org[.]brand[12].*[.].*-(widget|gear)') ")
 def dep_name_regex(spark: SparkSession, d: str) -> DataFrame:
     return deps.select(A.dep_versions(spark, d), name_regex="org[.]brand[12].*[.].*-(widget|gear)").select("dep_id", "version")

@@ -87,7 +87,7 @@ def test_version_order(spark):
 
 
 def test_rules_in_one_pass_are_like_single_queries(beans):
-    some = [rules.Rule("a", "javax.ejb.*", L.IMPORT), rules.Rule("b", "com.example.apps.Bean", L.CLASS), rules.Rule("c", "do*", L.METHOD), rules.Rule("d", "com.example.apps.Bean"), rules.Rule("e", "nothing", L.FIELD)]
+    some = [rules.Rule("f", "com.example.*"), rules.Rule("g", "*", L.METHOD_CALL), rules.Rule("h", "Bean.*", L.METHOD), rules.Rule("i", "getName", L.METHOD_CALL), rules.Rule("j", "com.example.apps.Bean<T>", L.parse("type")), rules.Rule("k", "com.example.apps.Bean.setName(String)", L.METHOD), rules.Rule("l", "* *String", L.FIELD), rules.Rule("n", "javax.?jb.Sing*"), rules.Rule("a", "javax.ejb.*", L.IMPORT), rules.Rule("b", "com.example.apps.Bean", L.CLASS), rules.Rule("c", "do*", L.METHOD), rules.Rule("d", "com.example.apps.Bean"), rules.Rule("e", "nothing", L.FIELD)]
     got = dict(rules.match_rules(beans, some, chunk=2).groupBy("rule_id").count().collect())
     want = {r.rule_id: symbols.query(beans, r.pattern, r.location).count() for r in some}
     assert got == {k: v for k, v in want.items() if v}
