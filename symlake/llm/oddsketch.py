@@ -1,17 +1,22 @@
 """Near-duplicates by MinHash bands, odd sketches and full comparison.
 
 1. One pass over the texts gives each document the hashes of its five-word shingles, a fingerprint and size of
-   that set, 160 MinHash samples in 40 bands of four, and an odd sketch: a 512-bit map in which each sample flips a
-   bit. Documents with equal sets are one node from here on, whatever their number.
+   that set, 160 MinHash samples in 40 bands of four, and an odd sketch: a 1,024-bit map in which each of up to 2,048
+   further samples (the least hash of each of 2,048 ranges) flips a bit. Documents with equal sets are one node from
+   here on, whatever their number.
 2. In each band bucket every node is paired with one hub (the member with the least hash for that band), so a
    bucket of any size gives one pair a member; the 40 bands give 40 different hubs.
-3. The population count of the XOR of two odd sketches estimates how far two sample sets differ; pairs that are
-   clearly too far apart (six standard deviations) are left out, the others ranked by it.
-4. Each node's best pair is compared on the full shingle sets; links make components. Then the remaining hub pairs
-   between different components are compared, and last all pairs of nodes that share a bucket but no
-   component (those outside the bucket's main component against all others), so that no hub's choice decides.
-
-Two documents of similarity 0.75 share no band with probability 3e-7 (less if more similar): the one approximation.
+3. The population count of the XOR of two odd sketches estimates how far two sample sets differ. Pairs that differ by four
+   standard deviations more than sets of similarity 0.75 and these sizes would are left out, the others ranked.
+4. Each node's best pair is compared on the full shingle sets; links make components. Twice more each node's best
+   untested pair into another component is compared, then all such pairs that are left; last, all pairs of nodes
+   that share a bucket but no component (those outside the bucket's main component against all others), so
+   that no hub's choice decides.
+
+Two documents of similarity 0.75 share no band with probability 3e-7, and are left out by their sketches with
+probability 3e-5; more similar ones with far less. These are the only approximations. The last step compares the sketches of
+a family's unlinked members with all its members inside a join; a pair near the threshold becomes one row, in the first band that
+it shares.
 
 Words are runs of bytes other than 20 and 09-0D after lower-casing A-Z. A document with fewer words than five
 has one shingle, the whole sequence. Edge cases: null or empty texts and texts without words are linked with nothing; rows that
@@ -33,9 +38,11 @@ from symlake.llm.rolling import U64, Prints, mix
 
 WORDS, SIMILARITY = 5, 75
 BANDS, ROWS = 40, 4
-SAMPLES, BITS = BANDS * ROWS, 512
-#: Flipped bits that two sketches may differ by: the mean at similarity 0.75 is 69, the deviation 9.
-MAX_FLIPPED = 124
+SAMPLES = BANDS * ROWS
+#: Hash ranges that give a sample each, bits of a sketch, and the standard deviations that pairs may be off.
+RANGES, BITS, DEVIATIONS = 2048, 1024, 4.0
+#: Rounds in which each node tests its best pair.
+ROUNDS = 3
 CHUNK = (1 << 20) - 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -43,7 +50,6 @@ _RANDOM = np.random.default_rng(20240601)
 _A = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
 _B = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _POW = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
-_SAMPLE_SALT = np.arange(1, SAMPLES + 1, dtype=np.uint64) * U64(0xD6E8FEB86659FD93)
 _BAND_SALT = np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0xA0761D6478BD642F)
 
 
@@ -100,12 +106,33 @@ def samples(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """The parity bitmap as eight 64-bit words."""
-    bits = (mix(low + _SAMPLE_SALT) & U64(BITS - 1)).astype(np.int64)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a sorted set's samples, as 64-bit words: the first hash in each range flips a bit."""
+    ranges = hashes >> U64(64 - RANGES.bit_length() + 1)
+    first = np.ones(len(hashes), bool)
+    first[1:] = ranges[1:] != ranges[:-1]
+    bits = (mix(hashes[first]) & U64(BITS - 1)).astype(np.int64)
     return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def max_flipped(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Bits that the sketches of two sets of these sizes and at least this similarity may differ by.
+
+    With u elements in both, 1 - exp(-u / ranges) of the ranges give a sample of the union, which is common with the
+    probability of the similarity; what differs flips bits, some of them back.
+    """
+    j = percent / 100
+    share = lambda n: RANGES * (1 - F.exp(-n / F.lit(float(RANGES))))
+    union = (n_a + n_b) / (1 + j)
+    drawn = share(union)
+    apart = share(n_a) + share(n_b) - 2 * j * drawn
+    variance = 4 * j * (1 - j) * drawn * (1.02 - drawn / union)
+    # Of the bits that so many flips leave on: mean and variance, and how an error in the flips carries over.
+    kept = F.exp(-2 * apart / BITS)
+    mean, spread = BITS / 2 * (1 - kept), BITS / 4 * (1 - kept * kept) - apart * kept * kept
+    return mean + DEVIATIONS * F.sqrt(spread + kept * kept * variance) + 1
+
+
 def bands(low: np.ndarray) -> np.ndarray:
     return mix((low.reshape(BANDS, ROWS) * _POW[None, :ROWS]).sum(axis=1) + _BAND_SALT).view(np.int64)
 
@@ -123,7 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = shingles(body.as_buffer().to_pybytes())
                 if len(own):
                     low = samples(own)
-                    rows.append((key, ident, len(own), int(own.sum().view(np.int64)), int(mix(own * U64(3)).sum().view(np.int64)), bands(low), odd_sketch(low)))
+                    rows.append((key, ident, len(own), int(own.sum().view(np.int64)), int(mix(own * U64(3)).sum().view(np.int64)), bands(low), odd_sketch(own)))
                 else:
                     rows.append((key, ident, 0, 0, 0, [], []))
             if rows:
@@ -148,8 +175,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["x", "y"])
 
 
-def _flipped(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
+def _distance(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """Flipped bits as a share of the allowed ones: above 1 for pairs that are too far apart, also by their sizes."""
+    flipped = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return F.when(sizes, flipped / max_flipped(F.col(n_a), F.col(n_b), percent)).otherwise(F.lit(2.0))
 
 
 def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY) -> DataFrame:
@@ -163,18 +193,19 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
     nodes = signed.where("n > 0").groupBy(*whole).agg(F.min("key").alias("node"), F.min("id").alias("low_id"), F.min_by(F.struct("bands", "sketch"), "key").alias("sig"))
     nodes = materialize(nodes.select("node", "low_id", *whole, "sig.bands", "sig.sketch"), "nodes")
 
-    in_band = nodes.select("node", F.explode("bands").alias("h"))
+    in_band = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     hubs = in_band.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("h", "hub")
     hubs = materialize(hubs, "hubs")  # joins of tables, not of aggregates, can be split at hot keys
     shared = materialize(in_band.join(hubs, "h"), "buckets")  # members of the buckets that hold several nodes
     pairs = shared.where("node <> hub").select(F.greatest("node", "hub").alias("x"), F.least("node", "hub").alias("y")).distinct()
-    sketch = nodes.select("node", "sketch")
-    seen = pairs.join(sketch.select(F.col("node").alias("x"), F.col("sketch").alias("sx")), "x").join(sketch.select(F.col("node").alias("y"), F.col("sketch").alias("sy")), "y")
-    near = materialize(seen.select("x", "y", _flipped(F.col("sx"), F.col("sy")).alias("flipped")).where(F.col("flipped") <= MAX_FLIPPED), "near")
+    sketch = nodes.select("node", "sketch", "n")
+    seen = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
+    near = materialize(seen.select("x", "y", _distance("sx", "sy", "nx", "ny", percent).alias("distance")).where("distance <= 1"), "near")
 
     def texts_of(p: DataFrame) -> DataFrame:
         wanted = p.select(F.col("x").alias("key")).unionByName(p.select(F.col("y").alias("key"))).distinct()
-        return docs.select("key", "body").join(wanted, "key").dropDuplicates(["key"])
+        # Always a merge join: its plan, and so what it needs, doesn't turn over with the number of pairs.
+        return docs.select("key", "body").join(wanted.hint("merge"), "key").dropDuplicates(["key"])
 
     def confirmed(p: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         with_y = p.select("x", "y").join(texts.select(F.col("key").alias("y"), F.col("body").alias("by")), "y")
@@ -187,22 +218,28 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
     def apart(p: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs in different components."""
         a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
-        return p.join(a, "x", "left").join(b, "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
-
-    texts = materialize(texts_of(near), "texts")
-    each = near.select(F.col("x").alias("node"), F.struct("flipped", "x", "y").alias("p")).unionByName(near.select(F.col("y").alias("node"), F.struct("flipped", "x", "y").alias("p")))
-    best = materialize(each.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y").distinct(), "best")
-    links = confirmed(best, texts, "links1")
-    label = labelled(links)
-    release(spark)
-    tested = best
-    rest = materialize(apart(near, label).join(best, ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links, tested = links.unionByName(confirmed(rest, texts, "links2")), tested.unionByName(rest)
-        label = labelled(links)
-    last = materialize(_crossing(shared, label, sketch).join(tested, ["x", "y"], "left_anti"), "crossing")
+        return p.join(a, "x", "left").join(b, "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select(*p.columns)
+
+    def best_of(p: DataFrame) -> DataFrame:
+        """Each node's nearest pair."""
+        one = F.struct("distance", "x", "y").alias("p")
+        each = p.select(F.col("x").alias("node"), one).unionByName(p.select(F.col("y").alias("node"), one))
+        return materialize(each.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y").distinct(), "best")
+
+    texts, left = materialize(texts_of(near), "texts"), near
+    links, tested, label = near.select("x", "y").limit(0), near.select("x", "y").limit(0), nodes.select("node", F.col("node").alias("component")).limit(0)
+    for round_ in range(ROUNDS + 1):
+        part = best_of(left) if round_ < ROUNDS else left.select("x", "y")
+        if part.isEmpty():
+            break
+        links = links.unionByName(confirmed(part, texts, f"links{round_}"))
+        tested, label = tested.unionByName(part), labelled(links)
+        left = materialize(apart(left, label).join(part, ["x", "y"], "left_anti"), "left")
+        release(spark)
+    marks = nodes.select("node", "sketch", "n", F.transform("bands", lambda h: F.shiftright(h, 32).cast("int")).alias("marks"))
+    last = materialize(_crossing(shared, label, marks, percent).join(tested, ["x", "y"], "left_anti"), "crossing")
     if not last.isEmpty():
-        links = links.unionByName(confirmed(last, materialize(texts_of(last), "texts"), "links3"))
+        links = links.unionByName(confirmed(last, materialize(texts_of(last), "texts"), "links_last"))
         label = labelled(links)
     release(spark)
 
@@ -216,20 +253,23 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _crossing(shared: DataFrame, label: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket but no component, and whose sketches are near.
+def _crossing(shared: DataFrame, label: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of nodes that share a bucket but no component, and whose sketches are near; each once.
 
-    In each bucket only the nodes outside its largest component are compared with all others.
+    In each bucket only the nodes outside its largest component are compared with all others. marks (node, sketch, n,
+    marks) has 32 bits of each band's hash, which tell the first band that two nodes share.
     """
-    member = shared.select("h", "node").join(label, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
+    member = shared.select("h", "band", "node").join(label, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("c"))
     sizes = member.groupBy("h", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("m")).where("parts > 1").select("h", F.col("m.c").alias("main"))
     main = materialize(main, "main")
-    mixed = materialize(member.join(main, "h").join(sketch, "node"), "mixed")
-    few = mixed.where("c <> main").select("h", F.col("node").alias("u"), F.col("c").alias("cu"), F.col("sketch").alias("su"))
-    all_ = mixed.select("h", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("sketch").alias("sv"), "main")
-    met = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))) & (_flipped(F.col("su"), F.col("sv")) <= MAX_FLIPPED)
-    return few.join(all_, "h").where(met).select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct()
+    mixed = materialize(member.join(main, "h").join(marks, "node"), "mixed")
+    few = mixed.where("c <> main").select("h", "band", *[F.col(c).alias(f"u_{c}") for c in ("node", "c", "sketch", "n", "marks")])
+    all_ = mixed.select("h", "main", *[F.col(c).alias(f"v_{c}") for c in ("node", "c", "sketch", "n", "marks")])
+    met = (F.col("u_c") != F.col("v_c")) & ((F.col("v_c") == F.col("main")) | (F.col("u_node") > F.col("v_node")))
+    met &= _distance("u_sketch", "v_sketch", "u_n", "v_n", percent) <= 1
+    met &= F.array_position(F.zip_with("u_marks", "v_marks", lambda p, q: p == q), True) == F.col("band") + 1
+    return few.join(all_, "h").where(met).select(F.greatest("u_node", "v_node").alias("x"), F.least("u_node", "v_node").alias("y"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

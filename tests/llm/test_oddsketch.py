@@ -81,12 +81,17 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     assert np.array_equal(whole, oddsketch.shingles(text))
 
 
-def test_sketches_tell_far_from_near():
+def test_sketches_tell_far_from_near(spark):
     rnd = np.random.default_rng(1)
-    flipped = lambda a, b: sum(int(x).bit_count() for x in (oddsketch.odd_sketch(oddsketch.samples(a)) ^ oddsketch.odd_sketch(oddsketch.samples(b))).view(np.uint64))
-    for n, limit in ((0.75, oddsketch.MAX_FLIPPED), (0.95, 40)):
-        for _ in range(30):
-            pool = rnd.integers(0, 1 << 63, 1400, dtype=np.uint64)
-            a, b = pool[:1000], np.concatenate([pool[: int(2000 * n / (1 + n))], pool[1000 : 1000 + 1000 - int(2000 * n / (1 + n))]])
-            assert flipped(a, b) <= limit
-    assert flipped(rnd.integers(0, 1 << 63, 500, dtype=np.uint64), rnd.integers(0, 1 << 63, 500, dtype=np.uint64)) > 150
+    rows = []
+    for n in (20, 150, 600, 5000, 40_000):
+        for similarity in (0.4, 0.75, 0.95):
+            for _ in range(12):
+                pool = rnd.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+                both = round(2 * n * similarity / (1 + similarity))
+                a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
+                rows.append((similarity, n, len(a), len(b), *(oddsketch.odd_sketch(x).tolist() for x in (a, b))))
+    df = spark.createDataFrame(rows, "similarity double, n long, na long, nb long, a array<long>, b array<long>")
+    out = df.select("similarity", "n", oddsketch._distance("a", "b", "na", "nb", 75).alias("d")).collect()
+    assert all(r["d"] <= 1 for r in out if r["similarity"] >= 0.75)
+    assert all(r["d"] > 1 for r in out if r["similarity"] == 0.4 and 150 <= r["n"] <= 600)
