@@ -51,9 +51,9 @@ def glob_prefix(spark: SparkSession, d: str) -> DataFrame:
     return symbols.query(A.sym_parts(spark, d), "com.brand1*", L.IMPORT).select(*SHOWN)
 
 
-@query(_parts("location = 'CLASS' AND regexp_full_match(split_part(qualified_name, '<', 1), 'com[.]brand.3[.].*e.*')"))
+@query(_parts("location = 'CLASS' AND regexp_full_match(split_part(qualified_name, '<', 1), 'com[.]brand..[.].*e.*')"))
 def glob_infix(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.query(A.sym_parts(spark, d), "com.brand?3.*e*", L.CLASS).select(*SHOWN)
+    return symbols.query(A.sym_parts(spark, d), "com.brand??.*e*", L.CLASS).select(*SHOWN)
 
 
 @query(_parts("location = 'ANNOTATION' AND (qualified_name LIKE '%.economy.%' OR qualified_name LIKE '%.promo.%')"))
