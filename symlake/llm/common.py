@@ -38,7 +38,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again; other DataFrames are passed over."""
+    for t in tables:
+        path = getattr(t, "_table_path", None)
+        if path:
+            spark = t.sparkSession
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -72,16 +84,16 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", on_round: C
     while True:
         # Large star: hang every larger neighbour of u on the smallest of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        low = materialize(low, "low")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = materialize(large.where("u <> v").distinct(), "large")
         # Small star: hang u and its smaller neighbours on the smallest of them.
-        large = materialize(large, "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), "stars")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        stars = materialize(small.where("u <> v").distinct(), "stars")
+        discard(e, low, large, least)
+        e = stars
         stats = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         round_ += 1
         if on_round:
@@ -89,5 +101,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", on_round: C
         if stats == seen:
             break
         seen = stats
+    release(edges.sparkSession)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(e)
+    return out

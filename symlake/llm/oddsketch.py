@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import components, materialize, project, release, table
+from symlake.llm.common import components, discard, materialize, project, release, table
 from symlake.llm.rolling import U64, Prints, mix
 
 WORDS, SIMILARITY = 5, 75
@@ -197,6 +197,7 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
     hubs = in_band.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("h", "hub")
     hubs = materialize(hubs, "hubs")  # joins of tables, not of aggregates, can be split at hot keys
     shared = materialize(in_band.join(hubs, "h"), "buckets")  # members of the buckets that hold several nodes
+    discard(hubs)
     pairs = shared.where("node <> hub").select(F.greatest("node", "hub").alias("x"), F.least("node", "hub").alias("y")).distinct()
     sketch = nodes.select("node", "sketch", "n")
     seen = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
@@ -213,7 +214,7 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
         return materialize(both.mapInArrow(lambda b: _confirm(b, percent), "x long, y long"), name)
 
     def labelled(links: DataFrame) -> DataFrame:
-        return materialize(components(links, "x", "y"), "labels")
+        return components(links, "x", "y")
 
     def apart(p: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs in different components."""
@@ -228,42 +229,62 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
 
     texts, left = materialize(texts_of(near), "texts"), near
     links, tested, label = near.select("x", "y").limit(0), near.select("x", "y").limit(0), nodes.select("node", F.col("node").alias("component")).limit(0)
+    spent = [near, texts]
     for round_ in range(ROUNDS + 1):
         part = best_of(left) if round_ < ROUNDS else left.select("x", "y")
         if part.isEmpty():
             break
-        links = links.unionByName(confirmed(part, texts, f"links{round_}"))
-        tested, label = tested.unionByName(part), labelled(links)
+        found = confirmed(part, texts, f"links{round_}")
+        links, tested, old = links.unionByName(found), tested.unionByName(part), label
+        label = labelled(links)
+        discard(old)
         left = materialize(apart(left, label).join(part, ["x", "y"], "left_anti"), "left")
+        spent += [part, found, left]
         release(spark)
     marks = nodes.select("node", "sketch", "n", F.transform("bands", lambda h: F.shiftright(h, 32).cast("int")).alias("marks"))
-    last = materialize(_crossing(shared, label, marks, percent).join(tested, ["x", "y"], "left_anti"), "crossing")
+    mixed = _mixed(shared, label, marks)
+    last = materialize(_crossing(mixed, percent).join(tested, ["x", "y"], "left_anti"), "crossing")
+    discard(mixed, shared)
     if not last.isEmpty():
-        links = links.unionByName(confirmed(last, materialize(texts_of(last), "texts"), "links_last"))
-        label = labelled(links)
+        more = materialize(texts_of(last), "texts")
+        found = confirmed(last, more, "links_last")
+        old, label = label, labelled(links.unionByName(found))
+        discard(more, found, old)
+    discard(last, *spent)
     release(spark)
 
     named = nodes.join(label, "node", "left").select(*whole, F.coalesce("component", "node").alias("component"), "low_id")
     named = materialize(named, "named")
     lows = materialize(named.groupBy("component").agg(F.min("low_id").alias("component_id")), "lows")
     by_set = materialize(named.join(lows, "component").select(*whole, "component_id"), "sets")
+    discard(nodes, label, named, lows)
+    release(spark)
     linked = signed.where("n > 0").select("id", *whole).join(by_set, whole).select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _crossing(shared: DataFrame, label: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of nodes that share a bucket but no component, and whose sketches are near; each once.
+def _mixed(shared: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
+    """Members of buckets with several components, and their bucket's largest component as main.
 
-    In each bucket only the nodes outside its largest component are compared with all others. marks (node, sketch, n,
-    marks) has 32 bits of each band's hash, which tell the first band that two nodes share.
+    marks (node, sketch, n, marks) has 32 bits of each band's hash.
     """
     member = shared.select("h", "band", "node").join(label, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("c"))
     sizes = member.groupBy("h", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("m")).where("parts > 1").select("h", F.col("m.c").alias("main"))
     main = materialize(main, "main")
     mixed = materialize(member.join(main, "h").join(marks, "node"), "mixed")
+    discard(main)
+    return mixed
+
+
+def _crossing(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of nodes that share a bucket but no component, and whose sketches are near; each once.
+
+    In each bucket only the nodes outside its largest component are compared with all others. The marks tell the first
+    band that two nodes share, which alone gives the pair.
+    """
     few = mixed.where("c <> main").select("h", "band", *[F.col(c).alias(f"u_{c}") for c in ("node", "c", "sketch", "n", "marks")])
     all_ = mixed.select("h", "main", *[F.col(c).alias(f"v_{c}") for c in ("node", "c", "sketch", "n", "marks")])
     met = (F.col("u_c") != F.col("v_c")) & ((F.col("v_c") == F.col("main")) | (F.col("u_node") > F.col("v_node")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import materialize, project, release, table
+from symlake.llm.common import discard, materialize, project, release, table
 from symlake.llm.rolling import U64, Prints, mix
 
 THRESHOLD = 400
@@ -142,7 +142,9 @@ def _repeated(rows: DataFrame, name: str) -> DataFrame:
     pair = ["root", "core"] if name != "round1" else ["core"]
     # A table of its own: Spark can split a hot name's rows over tasks only where both sides of a join come from shuffles.
     often = materialize(rows.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
-    return materialize(rows.join(often, pair).select(*ROWS.names), name)
+    out = materialize(rows.join(often, pair).select(*ROWS.names), name)
+    discard(often)
+    return out
 
 
 def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -151,8 +153,11 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     span = lambda df: df.select("key", "a", (F.col("b") + threshold).alias("e"))
     rows = docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold), ROWS_DDL)
     found, slim = [], None
+    spent: list[DataFrame] = []
     for k, step in enumerate(STEPS, 1):
-        rows = _repeated(rows, f"round{k}")
+        asked_rows, rows = rows, _repeated(rows, f"round{k}")
+        discard(asked_rows)
+        spent.append(rows)
         if step == 1:
             found.append(span(rows))
             break
@@ -165,12 +170,14 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             texts = slim = materialize(docs.select("key", "body").join(asked, "key").dropDuplicates(["key"]), "open")
         else:
             texts = slim.drop("asked").join(asked, "key")
+        spent += [kinds, open_, slim]
         release(spark)
         rows = materialize(texts.select("key", "body", "asked").mapInArrow(lambda b, s=STEPS[k]: _next_round(b, s, threshold), ROWS_DDL), f"blocks{k + 1}")
     all_ = found[0]
     for more in found[1:]:
         all_ = all_.unionByName(more)
     out = materialize(all_.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
+    discard(*spent)
     release(spark)
     return out
 
