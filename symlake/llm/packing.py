@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 
 from symlake.llm.common import materialize, project, table
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 LIMIT = 2048
 #: Pieces that one task packs together.
 GROUP = 16384
@@ -50,13 +54,16 @@ class Encoder:
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         assert sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.marks = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        # The same model without normal forms, which lower-case ASCII letters don't need.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -82,8 +89,9 @@ class Encoder:
         if len(self.known) + len(new) > self.cache:
             self.known = {b"": b""}
             new = words - self.known.keys()
-        letters, others, parts = set(), set(), []
-        for word in new:
+        letters = set(filter(bytes.isalpha, new))
+        others, parts = set(), []
+        for word in new - letters:
             stem = word.rstrip(PUNCTUATION)
             if stem != word:
                 tail = word[len(stem) :]
@@ -92,13 +100,15 @@ class Encoder:
                     others.add(tail)
                 if stem in self.known:
                     continue
-            if stem.isalpha() or stem.decode().lower().isalpha():
+            if stem in letters or stem.isalpha() or stem.decode().lower().isalpha():
                 letters.add(stem)
             elif stem:
                 if stem != word:
                     parts.pop()
                 others.add(word)
-        self._letters(list(letters))
+        plain = set(filter(bytes.isascii, letters))
+        self._letters(list(plain), self.plain)
+        self._letters(list(letters - plain), self.tokenizer)
         self._each(list(others))
         for word, stem, tail in parts:
             self.known[word] = self.known[stem] + self.known[tail]
@@ -107,10 +117,10 @@ class Encoder:
         for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.known[word] = array("I", e.ids).tobytes()
 
-    def _letters(self, words: list[bytes]) -> None:
+    def _letters(self, words: list[bytes], tokenizer: Tokenizer) -> None:
         for at in range(0, len(words), 2000):
             own = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(own):  # letters that the tokenizer's normal form takes apart
                 self._each(own)
