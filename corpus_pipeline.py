@@ -15,6 +15,10 @@ from symlake.llm import oddsketch, packing, patricia, suffix, toxicity
 from symlake.llm.common import materialize, table
 
 
+#: Words whose ids a worker of the packing stage remembers; it lives on beside the other stages.
+WORDS = 300_000
+
+
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in wanted (ident), null matching null."""
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["ident"]), "left_semi")
@@ -50,7 +54,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document, with its place in a sequence of at most 2,048 tokens."""
-    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), cache=WORDS).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("toxicity", toxicity_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", best_fit_packing)]

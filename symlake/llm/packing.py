@@ -132,17 +132,17 @@ class Encoder:
 
 
 PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, cache: int) -> Encoder:
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(path)
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, cache: int) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path, cache)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -226,10 +226,10 @@ def _pack(key: tuple, data: pa.Table, limit: int) -> pa.Table:
     return data.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
+def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, limit: int = LIMIT, group: int = GROUP, cache: int = CACHE) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = project(df, id=df[id_col].cast("long"), text=text_col)
-    pieces = materialize(rows.mapInArrow(lambda b: _pieces(b, tokenizer, limit), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = materialize(rows.mapInArrow(lambda b: _pieces(b, tokenizer, limit, cache), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     groups = max(1, round(pieces.count() / group))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
     return dealt.groupBy("grp").applyInArrow(lambda key, data: _pack(key, data, limit), PLACED)
