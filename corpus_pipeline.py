@@ -17,6 +17,8 @@ from symlake.llm.common import materialize, table
 
 #: Words whose ids a worker of the packing stage remembers; it lives on beside the other stages.
 WORDS = 300_000
+#: Words from which a passage that repeats is cut, however short they are.
+PASSAGE = 51
 
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -47,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the passages of 400 bytes or more that occur more than once; n_chars follows the text."""
-    out = suffix.remove(docs, "doc_id", "text")
+    """All rows, without the passages of over 50 words, or of 400 bytes or more, that occur more than once; n_chars follows the text."""
+    out = suffix.remove(docs, "doc_id", "text", n_words=PASSAGE)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in out.columns else out
 
 

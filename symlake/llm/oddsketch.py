@@ -61,8 +61,8 @@ def _combine(words: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def _word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of a text's words, a chunk at a time; a word longer than a chunk is hashed by its own."""
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash) of a text's words, a chunk at a time; a word longer than a chunk is hashed by its own."""
     out, at, n = [], 0, len(text)
     while at < n:
         end = min(n, at + CHUNK)
@@ -76,9 +76,16 @@ def _word_hashes(text: bytes) -> np.ndarray:
         edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(start):
-            out.append(mix(Prints(data).of(start, stop) + (stop - start).astype(U64) * U64(0x9FB21C651E98DF25)))
+            out.append((start + at, stop + at, mix(Prints(data).of(start, stop) + (stop - start).astype(U64) * U64(0x9FB21C651E98DF25))))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts, stops, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+    return starts, stops, hashes
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    return words(text)[2]
 
 
 def _next_space(text: bytes, at: int) -> int:

@@ -14,6 +14,9 @@ one text in a task:
   start to its last window's end, occur more than once is settled: all its starts repeat. Only the others (mostly
   edges of edits) go on to the next, longer round, one of each kind of equal surroundings.
 
+The same is done on words instead of bytes (``WORDS``) where a passage is long by its number of words: positions
+are then those of words, and a word counts by its hash.
+
 Groups of any size are grouped and joined by hash with partial aggregation; no pairs are made. Work in
 Python is done on chunks of ``CHUNK`` bytes whatever the length of a text.
 
@@ -25,7 +28,8 @@ apart by a 64-bit hash of id and text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.llm.common import discard, materialize, project, release, table
+from symlake.llm.oddsketch import words
 from symlake.llm.rolling import U64, Prints, mix
 
 THRESHOLD = 400
@@ -42,6 +47,19 @@ WINDOW, GRAM = 128, 16
 STEPS = (WINDOW, 8, 1)
 CHUNK = (1 << 20) - 8
 
+
+class Unit(NamedTuple):
+    """What a text is a sequence of, and how its windows are thinned out and cut into blocks."""
+
+    symbols: Callable[[pa.Buffer], np.ndarray]
+    window: int
+    gram: int
+    steps: tuple[int, ...]
+
+
+BYTES = Unit(lambda buf: np.frombuffer(buf, np.uint8), WINDOW, GRAM, STEPS)
+WORDS = Unit(lambda buf: words(buf.to_pybytes())[2], 16, 2, (16, 4, 1))
+
 ROWS = pa.schema([("key", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("root", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
 ROWS_DDL = "key long, p int, a int, b int, root long, core long, whole long"
 
@@ -83,18 +101,19 @@ def _batch(key: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, *name
     return pa.RecordBatch.from_arrays(cols, schema=ROWS)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(key, offset, bytes) in lists of at most CHUNK bytes; tiles of a text overlap so that each start is in one."""
-    held: list[tuple[int, int, bytes]] = []
+def _tiles(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """(key, offset, symbols) in lists of at most CHUNK symbols; tiles of a text overlap so that each start is in one."""
+    held: list[tuple[int, int, np.ndarray]] = []
     size = 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             buf = text.as_buffer() if text.is_valid else None
             if buf is None or buf.size < threshold:
                 continue
+            own = unit.symbols(buf)
             room = CHUNK - threshold + 1
-            for at in range(0, buf.size - threshold + 1, room):
-                part = buf.slice(at, min(CHUNK, buf.size - at)).to_pybytes()
+            for at in range(0, len(own) - threshold + 1, room):
+                part = own[at : at + CHUNK].copy()
                 if held and size + len(part) > CHUNK:
                     yield held
                     held, size = [], 0
@@ -104,35 +123,35 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[list[t
         yield held
 
 
-def _round_one(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    for tiles in _tiles(batches, threshold):
-        data = np.frombuffer(b"".join(t[2] for t in tiles), np.uint8)
+def _round_one(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
+    for tiles in _tiles(batches, threshold, unit):
+        data = np.concatenate([t[2] for t in tiles])
         sizes = np.array([len(t[2]) for t in tiles])
         ends = np.cumsum(sizes)
         prints, valid = Prints(data), np.ones(len(data), bool)
         for e in ends:
             valid[e - threshold + 1 : e] = False
-        p, a, b = anchors(prints, valid)
-        item, lo, hi, root, core, whole = blocks(prints, p, a, b, STEPS[0], threshold)
+        p, a, b = anchors(prints, valid, unit.window, unit.gram)
+        item, lo, hi, root, core, whole = blocks(prints, p, a, b, unit.steps[0], threshold, unit.window)
         tile = np.searchsorted(ends, lo, side="right")
         shift = np.array([t[1] for t in tiles])[tile] - (ends - sizes)[tile]
         yield _batch(np.array([t[0] for t in tiles], np.int64)[tile], p[item] + shift, lo + shift, hi + shift, root, core, whole)
 
 
-def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int) -> Iterator[pa.RecordBatch]:
+def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int, unit: Unit) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            buf = text.as_buffer()
+            own = unit.symbols(text.as_buffer())
             asked.sort(key=lambda r: r["a"])
             at = 0
             while at < len(asked):
                 start = asked[at]["a"]
                 end = at
-                while end < len(asked) and asked[end]["a"] + threshold + 2 * WINDOW - start <= CHUNK:
+                while end < len(asked) and asked[end]["a"] + threshold + 2 * unit.window - start <= CHUNK:
                     end += 1
                 p, a, b = (np.array([r[k] for r in asked[at:end]], np.int64) - start for k in "pab")
-                part = buf.slice(start, min(buf.size - start, int(b.max()) + threshold + WINDOW))
-                item, lo, hi, *names = blocks(Prints(np.frombuffer(part, np.uint8)), p, a, b, step, threshold)
+                part = own[start : start + int(b.max()) + threshold + unit.window]
+                item, lo, hi, *names = blocks(Prints(part), p, a, b, step, threshold, unit.window)
                 yield _batch(np.full(len(lo), key, np.int64), p[item] + start, lo + start, hi + start, *names)
                 at = end
 
@@ -147,14 +166,17 @@ def _repeated(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, spans): the spans [a, e) of repeated strings of each document (key, body) that has any; unordered, may overlap."""
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: Unit = BYTES) -> DataFrame:
+    """(key, spans): the spans [a, e) of repeated strings of each document (key, body) that has any; unordered, may overlap.
+
+    Threshold and spans count the unit's symbols.
+    """
     spark = docs.sparkSession
     span = lambda df: df.select("key", "a", (F.col("b") + threshold).alias("e"))
-    rows = docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold), ROWS_DDL)
+    rows = docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold, unit), ROWS_DDL)
     found, slim = [], None
     spent: list[DataFrame] = []
-    for k, step in enumerate(STEPS, 1):
+    for k, step in enumerate(unit.steps, 1):
         asked_rows, rows = rows, _repeated(rows, f"round{k}")
         discard(asked_rows)
         spent.append(rows)
@@ -172,7 +194,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             texts = slim.drop("asked").join(asked, "key")
         spent += [kinds, open_, slim]
         release(spark)
-        rows = materialize(texts.select("key", "body", "asked").mapInArrow(lambda b, s=STEPS[k]: _next_round(b, s, threshold), ROWS_DDL), f"blocks{k + 1}")
+        rows = materialize(texts.select("key", "body", "asked").mapInArrow(lambda b, s=unit.steps[k]: _next_round(b, s, threshold, unit), ROWS_DDL), f"blocks{k + 1}")
     all_ = found[0]
     for more in found[1:]:
         all_ = all_.unionByName(more)
@@ -239,29 +261,42 @@ def report(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD
     return joined.mapInArrow(_report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
+def in_bytes(body: bytes, spans: list[dict[str, int]] | None) -> list[dict[str, int]]:
+    """Spans of words as spans of bytes, from the first word's start to the last word's end."""
+    if not spans:
+        return []
+    start, stop, _ = words(body)
+    return [{"a": int(start[s["a"]]), "e": int(stop[s["e"] - 1])} for s in spans]
+
+
+def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, n_words: int | None = None) -> DataFrame:
     """The rows of df, all columns, with repeated strings cut out of the text (whole characters only).
 
-    Null texts stay null.
+    With n_words, repeated passages of so many words go too, however few bytes they have. Null texts stay null.
     """
     docs = keyed(df, id_col, text_col)
     names = df.columns
     at = names.index(text_col)
     packed = df.select(F.xxhash64(df[id_col], F.coalesce(df[text_col], F.lit("")).cast("binary")).alias("key"), F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
-    joined = packed.join(repeats(docs, threshold), "key", "left")
+    found = repeats(docs, threshold)
+    if n_words:
+        found = found.join(repeats(docs, n_words, WORDS).withColumnRenamed("spans", "passages"), "key", "full")
+    else:
+        found = found.withColumn("passages", F.lit(None).cast(found.schema["spans"].dataType))
+    joined = packed.join(found, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if spans:
+            for text, spans, passages in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if spans or passages:
                     body = text.encode()
-                    text = cut(body, whole_characters(body, runs(spans))).decode()
+                    text = cut(body, whole_characters(body, runs([*(spans or []), *in_bytes(body, passages)]))).decode()
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
     ddl = f"row {joined.schema['row'].dataType.simpleString()}, text string"
-    done = joined.select("row", F.col(f"row.c{at}").alias("text"), "spans").mapInArrow(run, ddl)
+    done = joined.select("row", F.col(f"row.c{at}").alias("text"), "spans", "passages").mapInArrow(run, ddl)
     return done.select(*[(F.col("text") if i == at else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
 
 

@@ -97,3 +97,18 @@ def test_catalog_has_all_eleven():
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert catalog.oracle_sql().keys() < names.keys()
     assert suffix.STEPS[0] == suffix.WINDOW
+
+
+@pytest.mark.parametrize("letters", [1, 4])
+def test_passages_of_over_50_words_are_cut_however_short(spark, corpus, letters):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters))
+    own = lambda n: " ".join(f"u{rnd.randrange(10**9)}" for _ in range(n))
+    passages = {n: " ".join(word() for _ in range(n)) for n in (40, 50, 51, 52, 58, 65)}
+    rows = [(10 * n + k, f"{own(rnd.randrange(60))} top{n}{k} {p} end{n}{k} {own(rnd.randrange(60))}") for n, p in passages.items() for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    after = dict(as_rows(corpus_pipeline.suffix_dedup(spark, docs, corpus)))
+    for ident, text in rows:
+        p = passages[ident // 10]
+        assert len(p) < 390  # no bytes of 400 can repeat
+        assert after[ident].split() == (text.replace(p, "") if ident // 10 > 50 else text).split()

@@ -91,3 +91,28 @@ def test_remove_keeps_columns_and_characters(spark):
 @pytest.mark.parametrize("a,e,want", [(0, 3, [(0, 2)]), (1, 4, [(2, 4)]), (1, 2, [])])
 def test_whole_characters(a, e, want):
     assert suffix.whole_characters("éé".encode(), [(a, e)]) == want
+
+
+def test_words_against_brute_force(spark):
+    rnd, n = random.Random(10), suffix.WORDS.window + suffix.WORDS.gram + 6
+    base = [rnd.choice("abcdefgh") for _ in range(400)]
+    rows = [(0, " ".join(base)), (1, "  " + "\n".join(base)), (2, "x " * 90), (3, None), (4, "")]
+    for i in range(5, 60):
+        t = list(base)
+        for _ in range(rnd.randint(1, 20)):
+            t[rnd.randrange(len(t))] = rnd.choice("xyz")
+        at = rnd.randrange(len(t))
+        rows.append((i, " ".join(t[at : at + rnd.randint(0, 120)])))
+    seen = {}
+    for _, t in rows:
+        w = (t or "").split()
+        for s in range(len(w) - n + 1):
+            seen[tuple(w[s : s + n])] = seen.get(tuple(w[s : s + n]), 0) + 1
+    want = {}
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {s + k for s in range(len(w) - n + 1) if seen[tuple(w[s : s + n])] > 1 for k in range(n)}
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"] or "").split() for r in suffix.remove(df, "doc_id", "text", 10**6, n).collect()}
+    assert got == want and any(0 < len(got[i]) < len((t or "").split()) for i, t in rows)
