@@ -6,8 +6,8 @@ a segment ("a.example.org/en"). An action holds until the pattern's next one, so
 intervals [valid_from, valid_to); a capture is judged by the entries whose interval holds its fetch time.
 The most specific pattern wins: more host labels, then a longer path.
 
-Plan: captures are exploded into their own patterns (a bounded number: host suffixes times path prefixes
-of the depth that lists use) and joined by hash with one row for each pattern, which holds that pattern's
+Plan: captures are exploded into their own patterns (host suffixes times path prefixes, as deep as the deepest
+that the list has, so that every entry can match) and joined by hash with one row for each pattern, which holds that pattern's
 intervals in an array; the interval that holds the fetch time is picked from the array. The join so makes
 one row at most for each capture and pattern, also for a hot host, whose captures Spark can split over
 tasks. No cross join, no Python.
@@ -25,8 +25,6 @@ from pyspark.sql.window import Window
 
 from symlake.llm.common import materialize, project, table
 
-#: Host labels (from the right) and path segments that a pattern may have.
-MAX_LABELS, MAX_SEGMENTS = 6, 2
 FAR_FUTURE = "2100-01-01 00:00:00"
 
 
@@ -49,13 +47,20 @@ def intervals(entries: DataFrame, horizon: str = FAR_FUTURE) -> DataFrame:
     return spans.where("NOT coalesce(removed, false) AND effective < valid_to").select("pattern", "category", F.col("effective").alias("valid_from"), "valid_to")
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that can match a url, as (pattern, specificity)."""
+def depths(listed: DataFrame) -> tuple[int, int]:
+    """The most host labels and the most path segments of a pattern."""
+    parts = F.split("pattern", "/")
+    most = listed.agg(F.max(F.size(F.split(parts[0], r"\."))), F.max(F.size(parts) - 1)).first()
+    return most[0] or 1, most[1] or 0
+
+
+def patterns_of(url: Column, n_labels: int, n_segments: int) -> Column:
+    """All patterns of at most so many host labels and path segments that can match a url, as (pattern, specificity)."""
     labels = F.split(host_of(url), r"\.")
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda n: F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("h"), n.alias("n")))
-    ways = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(MAX_SEGMENTS))), lambda k: F.struct(F.array_join(F.slice(segments, F.lit(1), k), "/").alias("p"), k.alias("k")))
-    both = F.flatten(F.transform(hosts, lambda h: F.transform(ways, lambda w: F.struct(F.when(w["k"] == 0, h["h"]).otherwise(F.concat(h["h"], F.lit("/"), F.lower(w["p"]))).alias("pattern"), (h["n"] * 100 + w["k"]).alias("rank")))))
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(n_labels))), lambda n: F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("h"), n.alias("n")))
+    ways = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(n_segments))), lambda k: F.struct(F.array_join(F.slice(segments, F.lit(1), k), "/").alias("p"), k.alias("k")))
+    both = F.flatten(F.transform(hosts, lambda h: F.transform(ways, lambda w: F.struct(F.when(w["k"] == 0, h["h"]).otherwise(F.concat(h["h"], F.lit("/"), F.lower(w["p"]))).alias("pattern"), (h["n"] * F.lit(n_segments + 1) + w["k"]).alias("rank")))))
     return F.when(host_of(url) == "", F.array().cast("array<struct<pattern:string,rank:int>>")).otherwise(both)
 
 
@@ -68,9 +73,10 @@ def histories(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, key: str, url: str, fetched: str) -> DataFrame:
     """(key, url, fetched, host, n_active, pattern, category, blocked) for every capture."""
     rows = project(captures, key=key, url=url, fetched=fetched)
-    asked = rows.select("key", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("m")).select("key", "url", "fetched", "m.pattern", "m.rank")
+    listed = histories(entries)
+    asked = rows.select("key", "url", "fetched", F.explode(patterns_of(F.col("url"), *depths(listed))).alias("m")).select("key", "url", "fetched", "m.pattern", "m.rank")
     holds = lambda s: (F.col("fetched") >= s["valid_from"]) & (F.col("fetched") < s["valid_to"])
-    active = asked.distinct().join(histories(entries), "pattern").withColumn("now", F.filter("spans", holds)).where("size(now) > 0")
+    active = asked.distinct().join(listed, "pattern").withColumn("now", F.filter("spans", holds)).where("size(now) > 0")
     active = active.select("key", "url", "fetched", "rank", "pattern", F.array_min(F.transform("now", lambda s: s["category"])).alias("category"))
     best = active.groupBy(F.col("key").alias("k"), F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.count("*").alias("n_active"), F.max_by(F.struct("pattern", "category"), "rank").alias("best"))
     out = rows.join(best, F.col("key").eqNullSafe(F.col("k")) & F.col("url").eqNullSafe(F.col("u")) & F.col("fetched").eqNullSafe(F.col("f")), "left")

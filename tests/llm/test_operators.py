@@ -338,6 +338,16 @@ def test_url_decisions(spark):
     assert not any(r["blocked"] for r in urlfilter.judge(captures, entries.limit(0), "k", "u", "fetched_at").collect())
 
 
+def test_url_decisions_at_any_depth(spark):
+    host, path = "a.b.c.d.e.f.g.h.org", "/".join(f"p{i}" for i in range(120))
+    log = [("a.org/x/y/z", "deep"), ("a.org/x/y", "two"), (host, "host"), (f"c.org/{path}", "longest"), ("x.c.org", "label"), ("org/q", "top")]
+    entries = spark.createDataFrame(log, "pattern string, category string").select("pattern", F.to_timestamp(F.lit("2024-01-01")).alias("effective"), F.lit("add").alias("action"), "category")
+    asked = [(1, "http://a.org/x/y/z/w", "deep"), (2, "http://a.org/x/y/zz", "two"), (3, f"http://{host}/", "host"), (4, f"http://www.{host}/r", "host"), (5, f"http://c.org/{path}/end", "longest"), (6, f"http://x.c.org/{path}", "label"), (7, f"http://{host[2:]}/", None), (8, "http://a.org/q", "top")]
+    captures = spark.createDataFrame(asked, "k long, u string, want string").withColumn("at", F.to_timestamp(F.lit("2024-05-01")))
+    out = urlfilter.judge(captures, entries, "k", "u", "at").collect()
+    assert sorted((r["key"], r["category"]) for r in out) == [(k, w) for k, _, w in asked]
+
+
 # Components -------------------------------------------------------------------------------------------------
 
 
