@@ -21,11 +21,6 @@ WORDS = 300_000
 PASSAGE = 51
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in wanted (ident), null matching null."""
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["ident"]), "left_semi")
-
-
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, trained on these documents and their labels, doesn't predict to be toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
@@ -43,9 +38,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    kept = oddsketch.groups(docs, "doc_id", "text").where("kept").select(F.col("id").alias("ident")).distinct()
-    return _only(docs, kept)
+    """One document of each group of near-duplicates: the one with the smallest doc_id, and one only if that is null or repeats."""
+    kept = oddsketch.kept_rows(docs, "doc_id", "text")
+    return docs.join(kept, oddsketch.row_key(docs["doc_id"], docs["text"]) == kept["kept_key"], "left_semi")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,8 +189,25 @@ def _distance(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
     return F.when(sizes, flipped / max_flipped(F.col(n_a), F.col(n_b), percent)).otherwise(F.lit(2.0))
 
 
+def row_key(ident: Column, text: Column) -> Column:
+    """The 64-bit hash by which rows are told apart."""
+    return F.xxhash64(ident.cast("long"), F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
+    return _grouped(df, id_col, text_col, percent).select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def kept_rows(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY) -> DataFrame:
+    """(kept_key), the row_key of one row of each component: of those with the smallest id, also if ids repeat or are null."""
+    low = _grouped(df, id_col, text_col, percent).where(F.col("id").eqNullSafe(F.col("component_id"))).select("component", "key")
+    one = low.where("component IS NOT NULL").groupBy("component").agg(F.min("key").alias("kept_key")).select("kept_key")
+    return one.unionByName(low.where("component IS NULL").select(F.col("key").alias("kept_key")))
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(key, id, n_shingles, component, component_id) for every row; component is null where there are no words."""
     spark = df.sparkSession
     rows = project(df, id=df[id_col].cast("long"), text=text_col)
     body = F.coalesce("text", F.lit("")).cast("binary")
@@ -263,13 +280,12 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int = SIMILARITY)
     named = nodes.join(label, "node", "left").select(*whole, F.coalesce("component", "node").alias("component"), "low_id")
     named = materialize(named, "named")
     lows = materialize(named.groupBy("component").agg(F.min("low_id").alias("component_id")), "lows")
-    by_set = materialize(named.join(lows, "component").select(*whole, "component_id"), "sets")
+    by_set = materialize(named.join(lows, "component").select(*whole, "component", "component_id"), "sets")
     discard(nodes, label, named, lows)
     release(spark)
-    linked = signed.where("n > 0").select("id", *whole).join(by_set, whole).select("id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    out = linked.unionByName(alone)
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = signed.where("n > 0").select("key", "id", *whole).join(by_set, whole).select("key", "id", F.col("n").alias("n_shingles"), "component", "component_id")
+    alone = signed.where("n = 0").select("key", "id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def _mixed(shared: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:

@@ -112,3 +112,15 @@ def test_passages_of_over_50_words_are_cut_however_short(spark, corpus, letters)
         p = passages[ident // 10]
         assert len(p) < 390  # no bytes of 400 can repeat
         assert after[ident].split() == (text.replace(p, "") if ident // 10 > 50 else text).split()
+
+
+def test_near_duplicates_go_also_where_ids_are_null_or_repeat(spark, corpus):
+    rnd = random.Random(13)
+    text = lambda: " ".join(rnd.choices([f"w{i}" for i in range(2000)], k=150))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, a), (5, a + " end"), (None, b), (7, c), (8, d), (7, d + " end"), (8, text()), (None, c + " x"), (None, None), (None, ""), (9, b + " y")]
+    e = text()
+    three = [(None, f"{e} {k}") for k in "klm"]
+    out = as_rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame([*rows, *three], "doc_id long, text string").repartition(3), corpus))
+    assert sum(r in three for r in out) == 1
+    assert sorted((r for r in out if r not in three), key=str) == sorted([rows[i] for i in (1, 3, 5, 6, 8, 9, 10)], key=str)
