@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Narrow rows that one task writes where a bound on their number is known.
+ROWS_PER_FILE = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,15 +31,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage in a place that outlives any executor, so a lost executor repeats single
-    tasks and never the whole history.
+    tasks and never the whole history. With a bound on its rows, small tables go to few files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -75,34 +77,36 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", on_round: C
 
     Alternating large-star and small-star steps: each step only re-hangs edges on smaller neighbours,
     so a component of n nodes converges in O(log n) rounds and no task ever holds one. Every round is a
-    grouped minimum (combined before the shuffle) and a join of tables, which Spark splits at hot nodes.
-    Self loops are ignored; an empty edge list gives no rows.
+    grouped minimum (combined before the shuffle) and a join of tables, which Spark splits at hot nodes. No step
+    adds edges, so their first number sizes all tables. Self loops are ignored; an empty edge list gives no rows.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen, round_ = None, 0
-    while True:
+    size, round_ = e.count(), 0
+    while size and not _are_stars(e):
         # Large star: hang every larger neighbour of u on the smallest of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", 2 * size)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "large")
+        large = materialize(large.where("u <> v").distinct(), "large", size)
         # Small star: hang u and its smaller neighbours on the smallest of them.
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low", size)
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        stars = materialize(small.where("u <> v").distinct(), "stars")
+        stars = materialize(small.where("u <> v").distinct(), "stars", 2 * size)
         discard(e, low, large, least)
         e = stars
-        stats = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         round_ += 1
         if on_round:
             on_round(round_)
-        if stats == seen:
-            break
-        seen = stats
     release(edges.sparkSession)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = materialize(nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    out = materialize(nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", 2 * size)
     discard(e)
     return out
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: each edge then leads to its component's smallest node."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()

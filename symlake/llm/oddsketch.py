@@ -1,22 +1,23 @@
 """Near-duplicates by MinHash bands, odd sketches and full comparison.
 
 1. One pass over the texts gives each document the hashes of its five-word shingles, a fingerprint and size of
-   that set, 160 MinHash samples in 40 bands of four, and an odd sketch: a 1,024-bit map in which each of up to 2,048
-   further samples (the least hash of each of 2,048 ranges) flips a bit. Documents with equal sets are one node from
+   that set, 160 MinHash samples in 40 bands of four, and an odd sketch: a 4,096-bit map in which each of up to 8,192
+   further samples (the least hash of each of 8,192 ranges) flips a bit. Documents with equal sets are one node from
    here on, whatever their number.
 2. In each band bucket every node is paired with one hub (the member with the least hash for that band), so a
    bucket of any size gives one pair a member; the 40 bands give 40 different hubs.
-3. The population count of the XOR of two odd sketches estimates how far two sample sets differ. Pairs that differ by four
+3. The population count of the XOR of two odd sketches estimates how far two sample sets differ. Pairs that differ by five
    standard deviations more than sets of similarity 0.75 and these sizes would are left out, the others ranked.
-4. Each node's best pair is compared on the full shingle sets; links make components. Twice more each node's best
-   untested pair into another component is compared, then all such pairs that are left; last, all pairs of nodes
-   that share a bucket but no component (those outside the bucket's main component against all others), so
-   that no hub's choice decides.
+4. Each node's best pair is compared on the full shingle sets; links make components. All other near pairs between
+   components are compared next.
+5. So that no hub's choice decides, all pairs of nodes that share a bucket but no component are tested then: in
+   each bucket the nodes outside its largest component meet all others by blocks of up to 256 sketches, block
+   against block in numpy; pairs that are near are compared in full.
 
 Two documents of similarity 0.75 share no band with probability 3e-7, and are left out by their sketches with
-probability 3e-5; more similar ones with far less. These are the only approximations. The last step compares the sketches of
-a family's unlinked members with all its members inside a join; a pair near the threshold becomes one row, in the first band that
-it shares.
+probability 6e-7 (five standard deviations); more similar ones with far less. These are the only approximations. The work of
+step 5 grows with the product of a bucket's unlinked nodes and its nodes, a few nanoseconds a product; its rows are blocks and
+the near pairs found, each in the first band that its nodes share.
 
 Words are runs of bytes other than 20 and 09-0D after lower-casing A-Z. A document with fewer words than five
 has one shingle, the whole sequence. Edge cases: null or empty texts and texts without words are linked with nothing; rows that
@@ -27,6 +28,8 @@ Nodes are told apart by 64-bit hashes of id and text, shingles by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import ModuleType
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,11 @@ WORDS, SIMILARITY = 5, 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 #: Hash ranges that give a sample each, bits of a sketch, and the standard deviations that pairs may be off.
-RANGES, BITS, DEVIATIONS = 2048, 1024, 4.0
-#: Rounds in which each node tests its best pair.
-ROUNDS = 3
+RANGES, BITS, DEVIATIONS = 8192, 4096, 5.0
+#: Nodes in a block of sketches, and shingles that a comparing task remembers.
+BLOCK, REMEMBERED = 256, 4 << 20
 CHUNK = (1 << 20) - 8
+Sizes = TypeVar("Sizes", Column, np.ndarray)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _RANDOM = np.random.default_rng(20240601)
@@ -122,22 +126,22 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def max_flipped(n_a: Column, n_b: Column, percent: int) -> Column:
-    """Bits that the sketches of two sets of these sizes and at least this similarity may differ by.
+def max_flipped(n_a: Sizes, n_b: Sizes, percent: int, lib: ModuleType = F) -> Sizes:
+    """Bits that the sketches of two sets of these sizes and at least this similarity may differ by; lib is F or numpy.
 
     With u elements in both, 1 - exp(-u / ranges) of the ranges give a sample of the union, which is common with the
     probability of the similarity; what differs flips bits, some of them back.
     """
     j = percent / 100
-    share = lambda n: RANGES * (1 - F.exp(-n / F.lit(float(RANGES))))
+    share = lambda n: RANGES * (1 - lib.exp(-n / float(RANGES)))
     union = (n_a + n_b) / (1 + j)
     drawn = share(union)
     apart = share(n_a) + share(n_b) - 2 * j * drawn
-    variance = 4 * j * (1 - j) * drawn * (1.02 - drawn / union)
+    variance = 4 * j * (1 - j) * drawn * (1.01 - drawn / union)
     # Of the bits that so many flips leave on: mean and variance, and how an error in the flips carries over.
-    kept = F.exp(-2 * apart / BITS)
+    kept = lib.exp(-2 * apart / BITS)
     mean, spread = BITS / 2 * (1 - kept), BITS / 4 * (1 - kept * kept) - apart * kept * kept
-    return mean + DEVIATIONS * F.sqrt(spread + kept * kept * variance) + 1
+    return mean + DEVIATIONS * lib.sqrt(spread + kept * kept * variance) + 1
 
 
 def bands(low: np.ndarray) -> np.ndarray:
@@ -170,13 +174,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    last: tuple[int | None, np.ndarray | None] = (None, None)
+    known: dict[int, np.ndarray] = {}
+    held = 0
     for batch in batches:
         links = []
         for x, y, bx, by in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if last[0] != y:
-                last = (y, shingles(by.as_buffer().to_pybytes()))
-            if similar(shingles(bx.as_buffer().to_pybytes()), last[1], percent):
+            sets = []
+            for key, body in ((x, bx), (y, by)):
+                own = known.get(key)
+                if own is None:
+                    own = shingles(body.as_buffer().to_pybytes())
+                    if held + len(own) > REMEMBERED:
+                        known, held = {}, 0
+                    known[key] = own
+                    held += len(own)
+                sets.append(own)
+            if similar(*sets, percent):
                 links.append((x, y))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["x", "y"])
@@ -218,7 +231,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     nodes = materialize(nodes.select("node", "low_id", *whole, "sig.bands", "sig.sketch"), "nodes")
 
     in_band = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    hubs = in_band.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("h", "hub")
+    hubs = in_band.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     hubs = materialize(hubs, "hubs")  # joins of tables, not of aggregates, can be split at hot keys
     shared = materialize(in_band.join(hubs, "h"), "buckets")  # members of the buckets that hold several nodes
     discard(hubs)
@@ -237,8 +250,17 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
         both = with_y.join(texts.select(F.col("key").alias("x"), F.col("body").alias("bx")), "x").select("x", "y", "bx", "by")
         return materialize(both.mapInArrow(lambda b: _confirm(b, percent), "x long, y long"), name)
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return components(links, "x", "y")
+    def relabelled(label: DataFrame, more: DataFrame) -> DataFrame:
+        """Components with more links: label's own are single nodes here."""
+        a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
+        between = more.join(a, "x", "left").join(b, "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+        merged = components(between, "x", "y")
+        moved = label.join(merged.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        # A node of its own that was linked now is not in label yet; one that stands for a component is.
+        fresh = merged.join(label.select("node"), "node", "left_anti")
+        out = materialize(moved.unionByName(fresh), "label")
+        discard(merged)
+        return out
 
     def apart(p: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs in different components."""
@@ -251,30 +273,26 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
         each = p.select(F.col("x").alias("node"), one).unionByName(p.select(F.col("y").alias("node"), one))
         return materialize(each.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y").distinct(), "best")
 
-    texts, left = materialize(texts_of(near), "texts"), near
-    links, tested, label = near.select("x", "y").limit(0), near.select("x", "y").limit(0), nodes.select("node", F.col("node").alias("component")).limit(0)
-    spent = [near, texts]
-    for round_ in range(ROUNDS + 1):
-        part = best_of(left) if round_ < ROUNDS else left.select("x", "y")
-        if part.isEmpty():
-            break
-        found = confirmed(part, texts, f"links{round_}")
-        links, tested, old = links.unionByName(found), tested.unionByName(part), label
-        label = labelled(links)
-        discard(old)
-        left = materialize(apart(left, label).join(part, ["x", "y"], "left_anti"), "left")
-        spent += [part, found, left]
-        release(spark)
-    marks = nodes.select("node", "sketch", "n", F.transform("bands", lambda h: F.shiftright(h, 32).cast("int")).alias("marks"))
-    mixed = _mixed(shared, label, marks)
-    last = materialize(_crossing(mixed, percent).join(tested, ["x", "y"], "left_anti"), "crossing")
-    discard(mixed, shared)
+    texts, best = materialize(texts_of(near), "texts"), best_of(near)
+    links = confirmed(best, texts, "links")
+    label = components(links, "x", "y")
+    left = materialize(apart(near.select("x", "y"), label).join(best, ["x", "y"], "left_anti"), "left")
+    if not left.isEmpty():
+        found, old = confirmed(left, texts, "links"), label
+        label = relabelled(old, found)
+        discard(old, found)
+    discard(texts, links)
+    release(spark)
+    mixed = _mixed(shared, label, nodes.select("node", "sketch", "n", "bands"))
+    last = _crossing(mixed, percent).join(best.unionByName(left), ["x", "y"], "left_anti")
+    last = materialize(last, "crossing")
+    discard(mixed, shared, near, best, left)
     if not last.isEmpty():
         more = materialize(texts_of(last), "texts")
-        found = confirmed(last, more, "links_last")
-        old, label = label, labelled(links.unionByName(found))
+        found, old = confirmed(last, more, "links"), label
+        label = relabelled(old, found)
         discard(more, found, old)
-    discard(last, *spent)
+    discard(last)
     release(spark)
 
     named = nodes.join(label, "node", "left").select(*whole, F.coalesce("component", "node").alias("component"), "low_id")
@@ -288,16 +306,13 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     return linked.unionByName(alone)
 
 
-def _mixed(shared: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
-    """Members of buckets with several components, and their bucket's largest component as main.
-
-    marks (node, sketch, n, marks) has 32 bits of each band's hash.
-    """
-    member = shared.select("h", "band", "node").join(label, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("c"))
+def _mixed(shared: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their bucket's largest component as main and its blocks' number."""
+    member = shared.where("size > 2").select("h", "band", "node").join(label, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("c"))
     sizes = member.groupBy("h", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("m")).where("parts > 1").select("h", F.col("m.c").alias("main"))
-    main = materialize(main, "main")
-    mixed = materialize(member.join(main, "h").join(marks, "node"), "mixed")
+    main = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all")).where("parts > 1")
+    main = materialize(main.select("h", F.col("m.c").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks")), "main")
+    mixed = materialize(member.join(main, "h").join(sketches, "node"), "mixed")
     discard(main)
     return mixed
 
@@ -305,15 +320,46 @@ def _mixed(shared: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
 def _crossing(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of nodes that share a bucket but no component, and whose sketches are near; each once.
 
-    In each bucket only the nodes outside its largest component are compared with all others. The marks tell the first
-    band that two nodes share, which alone gives the pair.
+    In each bucket only the nodes outside its largest component meet all others, a block of them against a block.
+    Two nodes are paired in the first band that they share.
     """
-    few = mixed.where("c <> main").select("h", "band", *[F.col(c).alias(f"u_{c}") for c in ("node", "c", "sketch", "n", "marks")])
-    all_ = mixed.select("h", "main", *[F.col(c).alias(f"v_{c}") for c in ("node", "c", "sketch", "n", "marks")])
-    met = (F.col("u_c") != F.col("v_c")) & ((F.col("v_c") == F.col("main")) | (F.col("u_node") > F.col("v_node")))
-    met &= _distance("u_sketch", "v_sketch", "u_n", "v_n", percent) <= 1
-    met &= F.array_position(F.zip_with("u_marks", "v_marks", lambda p, q: p == q), True) == F.col("band") + 1
-    return few.join(all_, "h").where(met).select(F.greatest("u_node", "v_node").alias("x"), F.least("u_node", "v_node").alias("y"))
+    one = F.struct("node", "c", "n", "sketch", "bands")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    whole = mixed.groupBy("h", block).agg(F.first("band").alias("band"), F.first("main").alias("main"), F.collect_list(one).alias("v"))
+    few = mixed.where("c <> main").groupBy("h", block, "blocks").agg(F.collect_list(one).alias("u"))
+    few = few.select("h", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    met = few.join(whole, ["h", "block"]).select("band", "main", "u", "v")
+    return met.mapInArrow(lambda b: _meet(b, percent), "x long, y long")
+
+
+def _members(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+    """(node, component, size, sketch, bands) of a block."""
+    flat = rows.values
+    node, c, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    sketch, band = (flat.field(k).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) for k in (3, 4))
+    return node, c, n, sketch.view(np.uint64), band
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: list[np.ndarray] = []
+        for band, main, few, whole in zip(*(batch.column(k) for k in range(4)), strict=True):
+            u, uc, un, us, ub = _members(few)
+            v, vc, vn, vs, vb = _members(whole)
+            flipped = np.zeros((len(u), len(v)), np.int32)
+            for k in range(us.shape[1]):
+                flipped += np.bitwise_count(us[:, k, None] ^ vs[None, :, k])
+            na, nb = un[:, None].astype(float), vn[None, :].astype(float)
+            ok = (flipped <= max_flipped(na, nb, percent, np)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            ok &= (uc[:, None] != vc[None, :]) & ((vc[None, :] == main.as_py()) | (u[:, None] > v[None, :]))
+            i, j = np.nonzero(ok)
+            if len(i):
+                first = (ub[i] == vb[j]).argmax(axis=1) == band.as_py()
+                i, j = i[first], j[first]
+                found.append(np.stack([np.maximum(u[i], v[j]), np.minimum(u[i], v[j])]))
+        if found:
+            both = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["x", "y"])
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
