@@ -8,7 +8,8 @@ carved out, the outermost first.
 
 Edge cases: null or empty blobs have no type; an object that its blob cuts short is invalid; a null
 declared type counts as wrong when a type is found; rows are independent of each other, so repeated rows give
-equal results; an empty table gives no rows.
+equal results; an empty table gives no rows. A very long text is one blob of its length, and the bytes of a batch of blobs are
+bounded. End markers are found in the same pass as magics, so that many magics without an end cost no rescans.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import project, table
+from symlake.llm.common import materialize, project, table
 
 BLOCK = 64
 RATE = 8000
@@ -114,14 +116,21 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if ok else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\5\6", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
-        if at + offset + size == end and data[at + offset : at + offset + 4] in (b"PK\1\2", b"PK\5\6") and end + 22 + comment <= len(data):
-            return end + 22 + comment - at
-        end = data.find(b"PK\5\6", end + 1)
-    return None
+def _zip(data: bytes, at: int, ends: dict[int, int]) -> int | None:
+    end = ends.get(at)
+    return end - at if end is not None else None
+
+
+def _zip_ends(data: bytes, marks: list[int]) -> dict[int, int]:
+    """Where the archives of a blob end, by start: each end record tells its own archive's start."""
+    out: dict[int, int] = {}
+    for end in marks:
+        if end + 22 <= len(data):
+            size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
+            start = end - size - offset
+            if start >= 0 and data[end - size : end - size + 4] in (b"PK\1\2", b"PK\5\6") and end + 22 + comment <= len(data):
+                out.setdefault(start, end + 22 + comment)
+    return out
 
 
 def _gzip(data: bytes, at: int) -> int | None:
@@ -170,16 +179,22 @@ def _au(data: bytes, at: int) -> int | None:
     return offset + size if ok and at + offset + size <= len(data) else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    ok = end >= 0 and b"startxref" in data[max(at, end - 64) : end] and data[at + 5 : at + 6].isdigit()
-    return end + 5 - at if ok else None
+def _pdf(data: bytes, at: int, ends: list[int]) -> int | None:
+    k = bisect_left(ends, at)
+    if k == len(ends):
+        return None
+    end = ends[k]
+    return end + 5 - at if b"startxref" in data[max(at, end - 64) : end] and data[at + 5 : at + 6].isdigit() else None
 
 
 class Format(NamedTuple):
+    """A validator may ask for the places of an end marker, made ready once for each blob."""
+
     kind: str
     magic: bytes
-    check: Callable[[bytes, int], int | None]
+    check: Callable[..., int | None]
+    marker: bytes | None = None
+    ready: Callable[[bytes, list[int]], object] = lambda _, marks: marks
 
 
 #: Magic bytes (fixed values) and validators.
@@ -192,34 +207,45 @@ FORMATS = [
     Format("image/gif", b"GIF89a", _gif),
     Format("image/jpeg", b"\xff\xd8\xff", _jpeg),
     Format("image/bmp", b"BM", _bmp),
-    Format("application/zip", b"PK\3\4", _zip),
+    Format("application/zip", b"PK\3\4", _zip, b"PK\5\6", _zip_ends),
     Format("application/gzip", b"\x1f\x8b\x08", _gzip),
     Format("audio/ogg", b"OggS", _ogg),
     Format("audio/midi", b"MThd", _midi),
     Format("audio/basic", b".snd", _au),
-    Format("application/pdf", b"%PDF-", _pdf),
+    Format("application/pdf", b"%PDF-", _pdf, b"%%EOF"),
 ]
 
 
 class Sniffer:
-    """The automaton over all magics."""
+    """The automaton over all magics and end markers."""
 
     def __init__(self, formats: list[Format] = FORMATS) -> None:
-        by_magic: dict[bytes, list[Format]] = {}
+        words: dict[bytes, list[Format]] = {}
         for f in formats:
-            by_magic.setdefault(f.magic, []).append(f)
+            words.setdefault(f.magic, []).append(f)
+            if f.marker:
+                words.setdefault(f.marker, [])
         self.automaton = ahocorasick.Automaton()
-        for magic, own in by_magic.items():
-            self.automaton.add_word(magic.decode("latin-1"), (len(magic), own))
+        for word, own in words.items():
+            self.automaton.add_word(word.decode("latin-1"), (word, own))
         self.automaton.make_automaton()
 
     def objects(self, data: bytes) -> list[tuple[str, int, int]]:
         """(type, offset, length) of all valid objects, nested ones too, by offset."""
-        found = []
-        for end, (size, formats) in self.automaton.iter(data.decode("latin-1")):
-            at = end + 1 - size
+        places: dict[bytes, list[int]] = {}
+        starts = []
+        for end, (word, formats) in self.automaton.iter(data.decode("latin-1")):
+            at = end + 1 - len(word)
+            if formats:
+                starts.append((at, formats))
+            else:
+                places.setdefault(word, []).append(at)
+        found, ready = [], {}
+        for at, formats in starts:
             for f in formats:
-                if (length := f.check(data, at)) is not None:
+                if f.marker and f.kind not in ready:
+                    ready[f.kind] = f.ready(data, places.get(f.marker, []))
+                if (length := f.check(data, at, *([ready[f.kind]] if f.marker else []))) is not None:
                     found.append((f.kind, at, length))
                     break
         return found
@@ -287,41 +313,56 @@ def wav_samples(data: bytes) -> tuple[int, int, bytes]:
     raise ValueError("a WAV file without data")
 
 
-STORED = "id long, media binary"
-READ = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: What the column of media is declared to hold; sniffing corrects it.
+DECLARED = "application/octet-stream"
+STORED = "id long, n_bytes long, declared string, media binary"
+READ = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, media_type string, n_carved long"
+#: Bytes of media in one Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in STORED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    for batch in batches:
+        rows, held = [], 0
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            body = (text.as_py() or "").encode()
+            rows.append((ident, len(body), DECLARED, wav(body + bytes(-len(body) % BLOCK if body else BLOCK))))
+            held += len(body)
+            if held > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in READ.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            media, sizes = [], []
-            for text in part.column(1).to_pylist():
-                body = (text or "").encode()
-                sizes.append(len(body))
-                media.append(wav(body + bytes(-len(body) % BLOCK if body else BLOCK)))
-            yield from _read(part.column(0), sizes, media)
-
-
-def _read(ids: pa.Array, sizes: list[int], media: list[bytes]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for ident, n, stored in zip(ids.to_pylist(), sizes, media, strict=True):
-        kind, inner = sniffer().sniff(stored)
-        if kind != "audio/wav":
-            raise ValueError(f"stored media of {ident} are {kind}")
-        rate, channels, payload = wav_samples(stored)
-        samples = np.frombuffer(payload, np.uint8)
-        feature = f"{kind};rate={rate};channels={channels};frames={len(samples) // channels};sum={int(samples.sum())};peak={int(samples.max())};embedded={len(outermost(inner))}"
-        rows.append((ident, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-    if rows:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [x.split()[0] for x in READ.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        rows = []
+        for ident, n, declared, media in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            stored = media.as_buffer().to_pybytes()
+            kind, inner = sniffer().sniff(stored)
+            if kind != "audio/wav":
+                raise ValueError(f"stored media of {ident} are {kind}")
+            rate, channels, payload = wav_samples(stored)
+            samples, carved = np.frombuffer(payload, np.uint8), outermost(inner)
+            feature = f"{kind};rate={rate};channels={channels};frames={len(samples) // channels};sum={int(samples.sum())};peak={int(samples.max())};embedded={len(carved)}"
+            rows.append((ident, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, declared, kind, len(carved)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def stored(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A written table (``STORED``) with each text as a media blob; null texts are empty."""
+    return materialize(project(df, id=df[id_col].cast("long"), text=text_col).mapInArrow(_store, STORED), "media")
 
 
 def store_and_read(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Store each text as a media blob, sniff and read the blob back, and describe it (``READ``)."""
-    return project(df, id=df[id_col].cast("long"), text=text_col).mapInArrow(_store, READ)
+    """Store each text in a column of media, read that column back, sniff, correct its types, carve, and describe (``READ``)."""
+    return stored(df, id_col, text_col).mapInArrow(_read, READ)
 
 
 def op2_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +387,7 @@ b AS (SELECT *, list_transform(range(0, octet_length(payload)), lambda i: ('0x'
 t AS (SELECT *, unhex(substr(hex(payload), 2 * octet_length(payload) - {2 * BLOCK - 1})) AS tail FROM b)
 SELECT doc_id, n_bytes::BIGINT AS n_bytes, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, {crc_sql('tail')} AS tail_crc32,
   octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
-  'audio/wav;rate={RATE};channels=1;frames=' || octet_length(payload) || ';sum=' || list_sum(bytes)::BIGINT || ';peak=' || list_max(bytes) || ';embedded=0' AS feature
+  'audio/wav;rate={RATE};channels=1;frames=' || octet_length(payload) || ';sum=' || list_sum(bytes)::BIGINT || ';peak=' || list_max(bytes) || ';embedded=0' AS feature,
+  '{DECLARED}' AS declared, 'audio/wav' AS media_type, 0::BIGINT AS n_carved
 FROM t, crc_table
 """
