@@ -14,7 +14,9 @@ tasks. No cross join, no Python.
 
 Edge cases: a null or host-less url matches nothing and is allowed; a null fetch time matches nothing;
 entries with a null pattern or date are ignored; of several actions of one pattern at one instant, 'remove'
-is applied last; repeated entries don't change a result; repeated captures are judged one by one.
+is applied last; repeated entries don't change a result; repeated captures are judged one by one. An action
+without a next one holds for ever (valid_to is null). Hosts and paths may be as deep and urls as long as they like. An
+empty list allows all; an empty table of captures gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,6 @@ from pyspark.sql.window import Window
 
 from symlake.llm.common import materialize, project, table
 
-FAR_FUTURE = "2100-01-01 00:00:00"
-
-
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or trailing dot; the empty string if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1)), F.lit(""))
@@ -37,14 +36,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
-def intervals(entries: DataFrame, horizon: str = FAR_FUTURE) -> DataFrame:
-    """(pattern, category, valid_from, valid_to) of a log (pattern, effective, action, category)."""
+def intervals(entries: DataFrame) -> DataFrame:
+    """(pattern, category, valid_from, valid_to) of a log (pattern, effective, action, category); a null valid_to is open."""
     log = project(entries, pattern=F.lower(entries["pattern"]), effective="effective", action="action", category="category").where("pattern IS NOT NULL AND effective IS NOT NULL")
     # One state for each pattern and instant: a removal wins, else the smallest category.
     log = log.groupBy("pattern", "effective").agg(F.max(F.col("action") == "remove").alias("removed"), F.min("category").alias("category"))
     order = Window.partitionBy("pattern").orderBy("effective")
-    spans = log.withColumn("valid_to", F.coalesce(F.lead("effective").over(order), F.lit(horizon).cast("timestamp")))
-    return spans.where("NOT coalesce(removed, false) AND effective < valid_to").select("pattern", "category", F.col("effective").alias("valid_from"), "valid_to")
+    spans = log.withColumn("valid_to", F.lead("effective").over(order))
+    return spans.where("NOT coalesce(removed, false)").select("pattern", "category", F.col("effective").alias("valid_from"), "valid_to")
 
 
 def depths(listed: DataFrame) -> tuple[int, int]:
@@ -74,9 +73,10 @@ def judge(captures: DataFrame, entries: DataFrame, key: str, url: str, fetched:
     """(key, url, fetched, host, n_active, pattern, category, blocked) for every capture."""
     rows = project(captures, key=key, url=url, fetched=fetched)
     listed = histories(entries)
-    asked = rows.select("key", "url", "fetched", F.explode(patterns_of(F.col("url"), *depths(listed))).alias("m")).select("key", "url", "fetched", "m.pattern", "m.rank")
-    holds = lambda s: (F.col("fetched") >= s["valid_from"]) & (F.col("fetched") < s["valid_to"])
-    active = asked.distinct().join(listed, "pattern").withColumn("now", F.filter("spans", holds)).where("size(now) > 0")
+    # Repeated captures ask once. The captures are few columns wide here, their patterns many rows.
+    asked = rows.distinct().select("key", "url", "fetched", F.explode(patterns_of(F.col("url"), *depths(listed))).alias("m")).select("key", "url", "fetched", "m.pattern", "m.rank")
+    holds = lambda s: (F.col("fetched") >= s["valid_from"]) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"]))
+    active = asked.join(listed, "pattern").withColumn("now", F.filter("spans", holds)).where("size(now) > 0")
     active = active.select("key", "url", "fetched", "rank", "pattern", F.array_min(F.transform("now", lambda s: s["category"])).alias("category"))
     best = active.groupBy(F.col("key").alias("k"), F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.count("*").alias("n_active"), F.max_by(F.struct("pattern", "category"), "rank").alias("best"))
     out = rows.join(best, F.col("key").eqNullSafe(F.col("k")) & F.col("url").eqNullSafe(F.col("u")) & F.col("fetched").eqNullSafe(F.col("f")), "left")
@@ -134,8 +134,8 @@ hosts AS (SELECT DISTINCT host, {_draw_sql('host', 1, 500)} AS f, {_draw_sql('ho
     CASE {_draw_sql('host', 19, 3)} WHEN 0 THEN 'spam' WHEN 1 THEN 'malware' ELSE 'adult' END AS kind FROM caps WHERE host <> ''),
 spans AS (
   SELECT host AS pattern, kind AS category, 0 AS deep, TIMESTAMP '{EPOCH}' + to_days(f::INTEGER) AS a, TIMESTAMP '{EPOCH}' + to_days((f + s)::INTEGER) AS b FROM hosts WHERE {_draw_sql('host', 25, 4)} > 0
-  UNION ALL SELECT host, 'again', 0, TIMESTAMP '{EPOCH}' + to_days((f + s + g)::INTEGER), TIMESTAMP '{FAR_FUTURE}' FROM hosts WHERE {_draw_sql('host', 25, 4)} > 0
-  UNION ALL SELECT host || '/en', 'section', 1, TIMESTAMP '{EPOCH}' + to_days(g::INTEGER), TIMESTAMP '{FAR_FUTURE}' FROM hosts WHERE {_draw_sql('host', 22, 2)} = 0),
+  UNION ALL SELECT host, 'again', 0, TIMESTAMP '{EPOCH}' + to_days((f + s + g)::INTEGER), 'infinity'::TIMESTAMP FROM hosts WHERE {_draw_sql('host', 25, 4)} > 0
+  UNION ALL SELECT host || '/en', 'section', 1, TIMESTAMP '{EPOCH}' + to_days(g::INTEGER), 'infinity'::TIMESTAMP FROM hosts WHERE {_draw_sql('host', 22, 2)} = 0),
 hits AS (
   SELECT c.page_id, s.pattern, s.category, s.deep
   FROM caps c JOIN spans s ON c.fetched >= s.a AND c.fetched < s.b
