@@ -1,18 +1,19 @@
 """Exact dedup with Patricia tries as owners of distinct byte strings.
 
-1. Each map task inserts the normalised texts of its own partition into tries, one for each (length,
-   content hash), and emits one row for each distinct text: its bytes, the smallest id, a count. A hot
-   text so leaves each task once, however often it occurs.
-2. Those rows are dealt by (length, content hash); a task inserts the full byte strings again, terminal
-   nodes keep the smallest id and the sum of counts.
+1. Each map task inserts the normalised texts of its own partition into one compressed radix trie and emits one row for
+   each distinct text: its bytes, the smallest id, a count. A hot text so leaves each task once, however often it occurs.
+2. Those rows are dealt by (length, content hash); a task inserts the full byte strings of its part into a trie
+   again, whose terminal nodes keep the smallest id and the sum of counts.
 3. The owners' (digest, keep_id, group_size) are joined to the documents by digest.
 
-A task's tries have a memory bound: beyond it the largest subtree is written to a file of that task alone
-and handled after the input ends, when the others are gone.
+A trie has a memory bound. Beyond it whole subtrees, the largest first, are written to files of that task alone until
+half of the memory is free. After the input's end the files are read one by one, each into a trie with the same bound,
+which may spill again.
 
 Normalisation: each run of the bytes 20 and 09-0D becomes one space. A null text is an empty one; empty
 texts are equal to each other. Of equal texts the smallest id stays, null ids come last. Rows that repeat an
-id count as rows of the group. An empty table gives no rows; other columns are ignored.
+id count as rows of the group. An empty table gives no rows; other columns are ignored. A very long text is one label of
+its trie, or a file's record where it alone is beyond the bound.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import pickle
 import tempfile
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,21 +28,40 @@ from pyspark.sql import functions as F
 
 from symlake.llm.common import materialize, project, table
 
-#: Bytes of labels that the tries of a task may hold before a subtree is spilled.
-MEMORY = 64 << 20
+#: Bytes that the trie of a task may hold, and what a node counts for besides its label.
+MEMORY, NODE = 96 << 20, 300
+#: Files over which a trie spills.
+FILES = 32
 #: Rows in an Arrow batch that leaves a task.
 BATCH = 512
 
+Item = tuple[bytes, "int | None", int]
+
+
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, by halving: bytes are compared in blocks."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
 
 class Patricia:
-    """A compressed radix trie from byte strings to (smallest id, count)."""
+    """A compressed radix trie from byte strings to (smallest id, count), under a memory bound.
 
-    __slots__ = ("root", "held")
+    A node is [label, children by first byte or None, owner or None].
+    """
 
-    def __init__(self) -> None:
-        #: A node is [label, children by first byte or None, owner or None].
+    def __init__(self, memory: int = MEMORY, level: int = 0) -> None:
         self.root: list = [b"", {}, None]
-        self.held = 0
+        self.memory, self.level, self.held = memory, level, 0
+        self.files: dict[int, object] = {}
 
     @staticmethod
     def _merge(node: list, ident: int | None, count: int) -> None:
@@ -62,21 +81,26 @@ class Patricia:
                 if children is None:
                     children = node[1] = {}
                 children[key[at]] = [key[at:], None, (ident, count)]
-                self.held += len(key) - at
+                self.held += len(key) - at + NODE
+                if self.held > self.memory:
+                    self._spill()
                 return
             label = child[0]
             if key.startswith(label, at):
                 node, at = child, at + len(label)
                 continue
-            same = len(commonprefix([label, key[at : at + len(label)]]))
+            same = shared(label, key[at : at + len(label)])
             fork = [label[:same], {label[same]: child}, None]
             child[0] = label[same:]
             children[key[at]] = fork
+            self.held += NODE
             node, at = fork, at + same
         self._merge(node, ident, count)
 
-    def items(self, start: list | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(start or self.root, prefix)]
+    @staticmethod
+    def walk(start: list, prefix: bytes = b"") -> Iterator[Item]:
+        """The items of a subtree whose label follows a prefix."""
+        stack = [(start, prefix)]
         while stack:
             node, head = stack.pop()
             head += node[0]
@@ -85,99 +109,80 @@ class Patricia:
             if node[1]:
                 stack += [(child, head) for child in node[1].values()]
 
-    def cut_largest(self) -> tuple[int, list[tuple[bytes, int | None, int]]]:
-        """Remove the root's largest subtree; its first byte and its items."""
-        sizes = {b: self._bytes(child) for b, child in self.root[1].items()}
-        first = max(sizes, key=sizes.get)
-        items = list(self.items(self.root[1].pop(first)))
-        self.held -= sizes[first]
-        return first, items
-
-    @staticmethod
-    def _bytes(node: list) -> int:
-        total, stack = 0, [node]
+    def _subtrees(self) -> list[tuple[int, bytes, list, int]]:
+        """(size, prefix, parent, first byte) of subtrees below a quarter of the memory (or leaves), largest first."""
+        order, stack = [], [self.root]
         while stack:
-            x = stack.pop()
-            total += len(x[0])
-            if x[1]:
-                stack += x[1].values()
-        return total
-
-
-class Owners:
-    """Tries by (length, content hash) under one memory bound, with spilled subtrees.
-
-    All keys of a trie have one length and hash and share its root, so what is spilled is a trie or, if the
-    hash is the same for many texts, a subtree of it.
-    """
-
-    def __init__(self, memory: int = MEMORY) -> None:
-        self.memory, self.tries, self.held, self.files = memory, {}, 0, {}
-
-    def add(self, group: tuple[int, int], key: bytes, ident: int | None, count: int) -> None:
-        trie = self.tries.get(group)
-        if trie is None:
-            trie = self.tries[group] = Patricia()
-        before = trie.held
-        trie.insert(key, ident, count)
-        self.held += trie.held - before
-        while self.held > self.memory:
-            self._spill()
+            node = stack.pop()
+            order.append(node)
+            if node[1]:
+                stack += node[1].values()
+        sizes: dict[int, int] = {}
+        for node in reversed(order):
+            sizes[id(node)] = len(node[0]) + NODE + sum(sizes[id(child)] for child in (node[1] or {}).values())
+        out, wide = [], [(b"", self.root)]
+        while wide:
+            prefix, node = wide.pop()
+            for first, child in (node[1] or {}).items():
+                if 4 * sizes[id(child)] > self.memory and child[1]:
+                    wide.append((prefix + child[0], child))
+                else:
+                    out.append((sizes[id(child)], prefix, node, first))
+        return sorted(out, key=lambda x: -x[0])
 
     def _spill(self) -> None:
-        group = max(self.tries, key=lambda g: self.tries[g].held)
-        trie = self.tries[group]
-        before = trie.held
-        first, items = trie.cut_largest()
-        self.held -= before - trie.held
-        bucket = (group[1] ^ first) & 63
+        subtrees = self._subtrees()
+        if len(subtrees) == 1 and not self.root[2] and subtrees[0][2] is self.root and not self.root[1][subtrees[0][3]][1]:
+            return  # a single text, which has to be held
+        for size, prefix, parent, first in subtrees:
+            if 2 * self.held <= self.memory:
+                return
+            for item in self.walk(parent[1].pop(first), prefix):
+                self._write(item)
+            self.held -= size
+        for item in self.walk(self.root):  # those that all subtrees began with
+            self._write(item)
+        self.root, self.held = [b"", {}, None], 0
+
+    def _write(self, item: Item) -> None:
+        # Another level deals its keys differently, so that a file's keys part again.
+        bucket = hash((self.level, item[0])) % FILES
         if bucket not in self.files:
             self.files[bucket] = tempfile.TemporaryFile()
-        for item in items:
-            pickle.dump((group, *item), self.files[bucket])
-        if not trie.root[1] and trie.root[2] is None:
-            del self.tries[group]
-
-    def items(self) -> Iterator[tuple[tuple[int, int], bytes, int | None, int]]:
-        """Every distinct key once. What is still in memory is written out too if a file may hold its like."""
-        if self.files:
-            for group, trie in self.tries.items():
-                for key, ident, count in trie.items():
-                    first = key[0] if key else 0
-                    bucket = (group[1] ^ first) & 63
-                    if bucket in self.files:
-                        pickle.dump((group, key, ident, count), self.files[bucket])
-                    else:
-                        yield group, key, ident, count
-            self.tries = {}
-            for file in self.files.values():
-                end, part = file.tell(), {}
-                file.seek(0)
-                while file.tell() < end:
-                    group, key, ident, count = pickle.load(file)
-                    part.setdefault(group, Patricia()).insert(key, ident, count)
-                file.close()
-                for group, trie in part.items():
-                    yield from ((group, *item) for item in trie.items())
-        else:
-            for group, trie in self.tries.items():
-                yield from ((group, *item) for item in trie.items())
-
-
-OWNER_SCHEMA = pa.schema([("length", pa.int64()), ("hash", pa.int64()), ("body", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
+        pickle.dump(item, self.files[bucket])
+
+    def items(self) -> Iterator[Item]:
+        """Every distinct key once; the trie is empty then."""
+        if not self.files:
+            yield from self.walk(self.root)
+            return
+        for item in self.walk(self.root):
+            self._write(item)
+        self.root = [b"", {}, None]
+        while self.files:
+            file = self.files.popitem()[1]
+            end = file.tell()
+            file.seek(0)
+            part = Patricia(self.memory, self.level + 1)
+            while file.tell() < end:
+                part.insert(*pickle.load(file))
+            file.close()
+            yield from part.items()
+
+
+OWNER_SCHEMA = pa.schema([("body", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
 
 
 def _own(batches: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.RecordBatch]:
-    owners = Owners(memory)
+    trie = Patricia(memory)
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(5)]
-        for length, hash_, body, ident, n in zip(*cols, strict=True):
-            owners.add((length, hash_), body, ident, n)
-    out: list[tuple] = []
+        for body, ident, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            trie.insert(body, ident, n)
+    out: list[Item] = []
     held = 0
-    for (length, hash_), body, ident, n in owners.items():
-        out.append((length, hash_, body, ident, n))
-        held += len(body)
+    for item in trie.items():
+        out.append(item)
+        held += len(item[0])
         if len(out) >= BATCH or held > 4 << 20:
             yield _batch(out)
             out, held = [], 0
@@ -194,12 +199,12 @@ def normalised(text: Column) -> Column:
 
 
 def owners(rows: DataFrame, memory: int = MEMORY) -> DataFrame:
-    """(length, hash, body, keep_id, n) for each distinct body of (body binary, id, n)."""
-    schema = "length long, hash long, body binary, keep_id long, n long"
-    keyed = rows.select(F.octet_length("body").cast("long").alias("length"), F.xxhash64("body").alias("hash"), "body", F.col("id").cast("long").alias("keep_id"), F.col("n").cast("long").alias("n"))
+    """(body, keep_id, n) for each distinct body of (body binary, id, n)."""
+    schema = "body binary, keep_id long, n long"
+    keyed = rows.select("body", F.col("id").cast("long").alias("keep_id"), F.col("n").cast("long").alias("n"))
     own = lambda batches: _own(batches, memory)
-    local = keyed.mapInArrow(own, schema)
-    return local.repartition("length", "hash").mapInArrow(own, schema)
+    local = keyed.mapInArrow(own, schema).withColumns({"length": F.octet_length("body"), "hash": F.xxhash64("body")})
+    return local.repartition("length", "hash").drop("length", "hash").mapInArrow(own, schema)
 
 
 def dedup(df: DataFrame, id_col: str, text_col: str, memory: int = MEMORY) -> DataFrame:
