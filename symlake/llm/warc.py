@@ -10,8 +10,9 @@ Payload equality is that of SHA-256. Of equal payloads of at least ``least`` byt
 response, the others revisit it.
 
 Edge cases: null html is an empty payload, a null url an empty target; rows that repeat id, url and html are
-one capture and come back once; line breaks in urls are percent-encoded; a null id comes last among equals;
-an empty table gives no rows; a truncated or malformed archive raises an error and is never skipped.
+captures of their own, told apart by an ordinal in the record id; rows that share the first visit's id are responses
+like it; line breaks in urls are percent-encoded; a null id comes last among equals; an empty table gives no rows; very long payloads get archives
+of few records; a truncated or malformed archive raises an error and is never skipped.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from symlake.llm.common import materialize, new_path, project, table
 
 LEAST = 100
-#: Records in one archive file: bounds what a reading task holds.
-RECORDS_PER_FILE = 6000
+#: Longest payload and records in one archive file: bounds what a reading task holds.
+SIZES = [(1 << 16, 6000), (1 << 20, 375), (1 << 62, 3)]
+#: Copies of a repeated row that one task writes.
+COPIES = 1000
 CRLF = "\r\n"
 
 
@@ -51,11 +54,17 @@ def records(pages: DataFrame, key: str, url: str, html: str, least: int = LEAST,
     rows = project(pages, key=key, url=url, html=html).select("key", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html"))
     name = F.concat_ws("|", F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("digest"), F.md5(F.col("url").cast("binary")))
-    rows = rows.withColumn("rid", _uuid(name))
+    rows = rows.withColumn("name", name)
+    heads = materialize(rows.select("key", "digest", "n", "name"), "heads")
     # The first of equal payloads, found without their bytes; only groups of two or more are joined.
-    firsts = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("key").isNull().alias("nul"), "key", "rid")).alias("first"), F.count("*").alias("size")).where("size > 1").select("digest", F.col("first.rid").alias("first_rid"))
-    rows = rows.join(materialize(firsts, "firsts"), "digest", "left")
-    again = F.col("first_rid").isNotNull() & (F.col("first_rid") != F.col("rid"))
+    least_of = F.min(F.when(F.col("n") >= least, F.struct(F.col("key").isNull().alias("nul"), "key", "name")))
+    firsts = heads.groupBy("digest").agg(least_of.alias("first"), F.count("*").alias("size")).where("size > 1")
+    firsts = materialize(firsts.select("digest", F.col("first.key").alias("first_key"), F.col("first.name").alias("first_name")), "firsts")
+    rows = _numbered(rows, heads, firsts).join(firsts, "digest", "left").withColumn("rid", _uuid(F.col("name")))
+    first_rid = F.when(F.col("first_name").isNotNull(), _uuid(F.col("first_name")))
+    rows = rows.withColumn("first_rid", first_rid)
+    name = F.col("name")
+    again = F.col("first_rid").isNotNull() & ~F.col("first_key").eqNullSafe(F.col("key"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     when = F.lit(date)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
@@ -64,12 +73,37 @@ def records(pages: DataFrame, key: str, url: str, html: str, least: int = LEAST,
     response = _record([("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", F.col("rid")), ("WARC-Target-URI", uri), ("WARC-Date", when), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("WARC-Refers-To", F.when(again, F.col("first_rid"))), ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html"))))
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", own("|metadata")), ("WARC-Target-URI", uri), ("WARC-Date", when), ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/warc-fields"))], fields)
-    return rows.select(F.array(request, response, metadata).alias("records"))
+    out = rows.select("n", F.array(request, response, metadata).alias("records"))
+    out._longest = heads.agg(F.max("n")).first()[0] or 0
+    return out
 
 
-def write(recs: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    flat = recs.select(F.explode("records").alias("value"))
-    flat.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def _numbered(rows: DataFrame, heads: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows; of those that repeat each other, the second and later ones have an ordinal in their name.
+
+    Copies are counted and made anew, so that no task meets all copies of a row.
+    """
+    copies = heads.join(firsts.select("digest"), "digest", "left_semi").groupBy("name").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = materialize(copies, "copies")
+    if copies.isEmpty():
+        return rows
+    columns = ["key", "url", "html", "digest", "n", "name"]
+    single = rows.join(copies, "name", "left_anti").select(*columns)
+    one = rows.join(copies, "name").groupBy("name", "copies").agg(F.first(F.struct(*columns[:5])).alias("row"))
+    many = one.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("start")).repartition("name", "start")
+    many = many.select("name", "row", F.explode(F.sequence("start", F.least(F.col("start") + COPIES, F.col("copies")) - 1)).alias("k"))
+    numbered = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("|"), F.col("k").cast("string")))
+    return single.unionByName(many.select("row.*", numbered.alias("name")))
+
+
+def write(recs: DataFrame, path: str, sizes: list[tuple[int, int]] = SIZES) -> None:
+    """Gzipped archives below a path, those of long payloads with few records each."""
+    low = -1
+    for high, per_file in sizes:
+        if low < recs._longest or low < 0:
+            flat = recs.where((F.col("n") > low) & (F.col("n") <= high)).select(F.explode("records").alias("value"))
+            flat.write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        low = high
 
 
 RECORD_SCHEMA = "type string, rid string, concurrent string, uri string, date string, refers string, digest string, page_id long, payload_bytes long, payload_sha256 string, payload binary"

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import zipfile
 import zlib
 
@@ -217,19 +218,47 @@ def test_suffix_automaton_lists_all_matches():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.binary(max_size=6), st.none() | st.integers(0, 9), st.integers(1, 3)), max_size=30), st.integers(4, 60))
+@given(st.lists(st.tuples(st.binary(max_size=6) | st.binary(max_size=2).map(lambda b: b * 9), st.none() | st.integers(0, 9), st.integers(1, 3)), max_size=40), st.integers(4, 6000))
 def test_tries_with_little_memory(rows, memory):
     want: dict = {}
-    owners = patricia.Owners(memory)
+    trie = patricia.Patricia(memory)
     for key, ident, n in rows:
-        owners.add((len(key), 0), key, ident, n)
+        trie.insert(key, ident, n)
         old = want.get(key)
         known = [x for x in (ident, old[0] if old else None) if x is not None]
         want[key] = (min(known) if known else None, n + (old[1] if old else 0))
-    got = [(k, (i, n)) for _, k, i, n in owners.items()]
+    got = [(k, (i, n)) for k, i, n in trie.items()]
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_a_trie_far_beyond_its_bound():
+    rnd = random.Random(6)
+    bodies = [b"shared head " * (i % 3) + rnd.randbytes(200) + b"%d" % i for i in range(50_000)]
+    trie = patricia.Patricia(2 << 20)
+    began = time.perf_counter()
+    for i, body in enumerate([*bodies, *bodies]):
+        trie.insert(body, i, 1)
+        assert trie.held <= 2 << 20
+    got = sorted(trie.items())
+    assert got == sorted((b, i, 2) for i, b in enumerate(bodies))
+    assert time.perf_counter() - began < 60
+
+
+def test_nested_prefixes_beyond_the_bound():
+    bodies = [b"a" * n for n in range(1, 2000)]
+    trie = patricia.Patricia(50_000)
+    for i, body in enumerate(bodies):
+        trie.insert(body, i, 1)
+    assert sorted(trie.items()) == [(b, i, 1) for i, b in enumerate(bodies)]
+
+
+@given(st.binary(max_size=40), st.binary(max_size=40), st.binary(max_size=40))
+def test_shared_prefix(a, b, c):
+    from os.path import commonprefix
+
+    assert patricia.shared(a + b, a + c) == len(commonprefix([a + b, a + c]))
+
+
 def test_exact_dedup(spark):
     out = sorted((str(r["id"]), r["keep_id"], r["group_size"], r["kept"]) for r in patricia.dedup(docs(spark).repartition(3), "doc_id", "text").collect())
     assert out == sorted([("1", 1, 2, True), ("2", 1, 2, False), ("3", 3, 3, True), ("3", 3, 3, True), ("None", 3, 3, False), ("4", 4, 1, True), ("5", 5, 1, True), ("6", 6, 1, True)])
@@ -245,9 +274,10 @@ def test_warc_round_trip(spark, tmp_path):
     page = "<p>" + "é" * 60
     rows = [(5, "http://a/\r\nX: y", page), (2, "http://b", page), (9, "http://b", page), (9, "http://b", page), (3, None, None), (4, "u", "short"), (1, "u", "short"), (None, "n", page), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rid", F.lit(1)).withColumn("digest", F.lit(1))
-    warc.write(warc.records(df, "page_id", "url", "html"), str(tmp_path / "w"), per_file=4)
+    warc.write(warc.records(df, "page_id", "url", "html"), str(tmp_path / "w"), sizes=[(120, 4), (1 << 62, 2)])
     captures = warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect()
-    assert len(captures) == 8 and all(c["request"] and c["metadata"] for c in captures)
+    assert len(captures) == 9 and len({c["capture_id"] for c in captures}) == 9 and all(c["request"] and c["metadata"] for c in captures)
+    assert sum(c["metadata"]["page_id"] == 9 for c in captures) == 2
     got = {c["metadata"]["page_id"]: c for c in captures}
     assert got[2]["response"]["type"] == "response" and bytes(got[2]["response"]["payload"]).decode() == page
     assert {k for k, c in got.items() if c["response"]["type"] == "revisit"} == {5, 9, None}
@@ -263,6 +293,16 @@ def test_warc_round_trip(spark, tmp_path):
         list(warc.parse(b"junk" + first))
 
 
+def test_warc_repeated_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 2)
+    page, big = "<p>" + "x" * 200, "y" * 2_000_000
+    rows = [*[(1, "u", page)] * 5, (1, "v", page), (2, "u", page), *[(3, "u", "short")] * 3, (4, "u", big), (5, "u", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    out = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.op8_warc_transactions(spark, str(tmp_path)).collect())
+    assert out == [*[(1, 203, "response", None)] * 6, (2, 203, "revisit", 1), *[(3, 5, "response", None)] * 3, (4, 2_000_000, "response", None), (5, 2_000_000, "revisit", 4)]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write(warc.records(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "url", "html"), str(tmp_path / "w"))
     assert warc.assemble(warc.read(spark, str(tmp_path / "w"))).count() == 0
