@@ -6,42 +6,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ESCAPED = set(".()|[]{}\\^$+")
+WILD = {"*": ".*", "?": "."}
 
+#: A glob's characters and its closed groups, which are lists of the same.
+Items = list["str | Items"]
 
-def _alternation(glob: str) -> set[int]:
-    """Positions that are regex syntax: the outermost parentheses around a pipe at any depth, and those pipes."""
-    syntax: set[int] = set()
-    depth, opened, pipes = 0, None, []
-    piped = False
-    for i, c in enumerate(glob):
+
+def _parse(glob: str) -> Items:
+    """The glob as a tree of its groups; a parenthesis without its partner is a character."""
+    open_: list[Items] = [[]]
+    for c in glob:
         if c == "(":
-            if depth == 0:
-                opened, pipes, piped = i, [], False
-            depth += 1
-        elif c == "|":
-            pipes.append(i)
-            piped = piped or depth > 0
-        elif c == ")":
-            depth -= 1
-            if depth == 0 and piped and opened is not None:
-                syntax |= {opened, i, *(p for p in pipes if p > opened)}
-    return syntax
+            open_.append([])
+        elif c == ")" and len(open_) > 1:
+            group = open_.pop()
+            open_[-1].append(group)
+        else:
+            open_[-1].append(c)
+    while len(open_) > 1:
+        rest = open_.pop()
+        open_[-1] += ["(", *rest]
+    return open_[0]
 
 
-def glob_to_regex(glob: str) -> str:
-    """An unanchored regex for a glob: * is any text, ? any character, (a|b) one of two, all else itself."""
-    syntax = _alternation(glob)
+def _has_choice(group: Items) -> bool:
+    return any(x == "|" if isinstance(x, str) else _has_choice(x) for x in group)
+
+
+def _regex(items: Items, choice: bool) -> str:
+    """Items as a regex in which inner groups are text, and pipes too unless they part a choice."""
     out = []
-    for i, c in enumerate(glob):
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
+    for x in items:
+        if not isinstance(x, str):
+            out.append(f"\\({_regex(x, choice)}\\)")
+        elif x == "|" and choice:
+            out.append(x)
         else:
-            out.append("\\" + c if c in ESCAPED and i not in syntax else c)
+            out.append(WILD.get(x) or ("\\" + x if x in ESCAPED else x))
     return "".join(out)
 
 
+def glob_to_regex(glob: str) -> str:
+    """An unanchored regex for a glob: * is any text, ? any character, (a|b) one of two, all else itself.
+
+    Only an outermost group is a choice, if there is a pipe in it at any depth.
+    """
+    return "".join(f"({_regex(x, True)})" if not isinstance(x, str) and _has_choice(x) else _regex([x], False) for x in _parse(glob))
+
+
 def anchored(regex: str) -> str:
     """A regex that rlike, which searches, applies to the whole value. \\z, as $ would allow a line end after it."""
     return f"^(?:{regex})\\z"
