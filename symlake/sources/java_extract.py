@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
 TOKEN = re.compile(
@@ -888,20 +888,142 @@ class Scope(NamedTuple):
     outer: str = ""
 
 
+class Fact(NamedTuple):
+    """What a rule finds at a node: a full name or, of rules on types, a type as written; the symbol's own name; its place."""
+
+    subject: str
+    name: str
+    place: Node | Token
+
+
+class Rule(NamedTuple):
+    """The symbol rows of one location that a kind of node gives."""
+
+    node: str
+    location: str
+    kind: str
+    facts: Callable[[Walk, Node, Scope], Iterable[Fact]]
+    #: Whether subjects are types, which stand for all names that the imports allow.
+    types: bool = False
+    #: Where the row's annotations are, if it has any.
+    marks: Callable[[Node, Node | None], list[Node]] | None = None
+
+
+def _of_types(*places: str, name: Callable[[Node, Node, Scope], str], only: Callable[[Node, Scope], bool] = lambda n, s: True) -> Callable[[Walk, Node, Scope], Iterable[Fact]]:
+    """Facts of the types that stand in some of a node's places, one or a list in each."""
+
+    def facts(walk: Walk, node: Node, scope: Scope) -> Iterator[Fact]:
+        for place in places if only(node, scope) else ():
+            found = node.extra[place]
+            for kind in found if isinstance(found, list) else [found] if found else []:
+                kind = kind.extra["type"] if kind.kind == "parameter" else kind
+                yield Fact(kind.text, name(node, kind, scope), kind)
+
+    return facts
+
+
+def _of_fragments(at_type: bool) -> Callable[[Walk, Node, Scope], Iterable[Fact]]:
+    """A fact for each variable of a declaration, at the variable or at the type."""
+    return lambda walk, node, scope: [Fact(node.extra["type"].text, f.text, node.extra["type"] if at_type else f) for f in node.extra["fragments"]]
+
+
+def _itself(walk: Walk, node: Node, scope: Scope) -> list[Fact]:
+    return [Fact(walk.full_name(node, scope), node.text, node)]
+
+
+def _imported(walk: Walk, node: Node, scope: Scope) -> list[Fact]:
+    name = node.text + ".*" * node.extra["star"]
+    return [Fact(name, name, node)]
+
+
+def _methods(walk: Walk, node: Node, scope: Scope) -> list[Fact]:
+    """The method by its name and, where that says more, with its type parameters and parameters."""
+    x, prefix = node.extra, scope.owner + "." * bool(scope.owner)
+    out = [Fact(prefix + node.text, node.text, node)]
+    if x["parameters"] or x["type_parameters"]:
+        generics = f"<{','.join(x['type_parameters'])}>" if x["type_parameters"] else ""
+        listed = ",".join(p.extra["type"].text for p in x["parameters"])
+        out.append(Fact(f"{prefix}{generics}{node.text}({listed})", node.text, node))
+    return out
+
+
+def _locals_in_method(walk: Walk, node: Node, scope: Scope) -> list[Fact]:
+    kind = node.extra["type"]
+    return [Fact(kind.text, scope.method, kind) for _ in node.extra["fragments"]] if scope.method else []
+
+
+def _calls(walk: Walk, node: Node, scope: Scope) -> list[Fact]:
+    """The called method under each name that its receiver's type may have. A call on super is another kind of node."""
+    called, receiver = node.extra["name"], node.extra["receiver"]
+    if receiver is None:
+        owners = [scope.enclosing]
+    elif receiver.kind == "super":
+        owners = []
+    else:
+        known = receiver.kind == "name" and (walk.locals.get(receiver.text) or walk.fields.get(receiver.text))
+        owners = known or walk.resolve(receiver.text)
+    return [Fact(f"{owner}.{called.text}" if owner else called.text, scope.method, called) for owner in owners]
+
+
+def _used(walk: Walk, node: Node, scope: Scope) -> list[Fact]:
+    return [Fact(node.extra["name"], node.extra["name"], node)]
+
+
+def _own_marks(node: Node, parent: Node | None) -> list[Node]:
+    return node.extra["annotations"]
+
+
+def _sibling_marks(node: Node, parent: Node | None) -> list[Node]:
+    """The annotations that stand beside one, itself included."""
+    beside = parent.extra.get("annotations") if parent else None
+    return beside if beside and node in beside else [node]
+
+
+def _is(what: str, value: bool) -> Callable[[Node, Scope], bool]:
+    return lambda node, scope: bool(node.extra[what]) is value
+
+
+_decl, _type, _method = (lambda n, k, s: n.text), (lambda n, k, s: k.text), (lambda n, k, s: s.method)
+_in_method, _outside = (lambda n, s: bool(s.method)), (lambda n, s: not s.method)
+RULES = [
+    Rule("package", "PACKAGE", "Module", lambda walk, node, scope: [Fact(node.text, node.text, node)]),
+    Rule("import", "IMPORT", "Module", _imported),
+    Rule("class", "CLASS", "Class", _itself, marks=_own_marks),
+    Rule("class", "TYPE", "Class", _itself, marks=_own_marks),
+    Rule("class", "INHERITANCE", "Class", _of_types("superclass", name=_decl), types=True),
+    Rule("class", "INHERITANCE", "Class", _of_types("interfaces", name=_decl, only=_is("interface", True)), types=True),
+    Rule("class", "IMPLEMENTS_TYPE", "Class", _of_types("interfaces", name=_decl, only=_is("interface", False)), types=True),
+    Rule("enum", "CLASS", "Enum", _itself, marks=_own_marks),
+    Rule("enum", "IMPLEMENTS_TYPE", "Class", _of_types("interfaces", name=_type), types=True),
+    Rule("method", "METHOD", "Method", _methods, marks=_own_marks),
+    Rule("method", "RETURN_TYPE", "Method", _of_types("returns", name=_decl), types=True),
+    Rule("method", "TYPE", "Method", _of_types("parameters", "thrown", name=_decl), types=True),
+    Rule("field", "FIELD", "Field", _of_fragments(at_type=False), types=True, marks=_own_marks),
+    Rule("field", "TYPE", "Field", _of_fragments(at_type=True), types=True),
+    Rule("local", "VARIABLE_DECLARATION", "Variable", _of_fragments(at_type=False), types=True),
+    Rule("local", "TYPE", "Method", _locals_in_method, types=True),
+    Rule("new", "CONSTRUCTOR_CALL", "Class", _of_types("type", name=_type), types=True),
+    Rule("new", "TYPE", "Method", _of_types("type", name=_method, only=_in_method), types=True),
+    Rule("call", "METHOD_CALL", "Method", _calls),
+    Rule("annotation", "ANNOTATION", "Property", _used, types=True, marks=_sibling_marks),
+    Rule("instanceof", "TYPE", "Method", _of_types("type", name=_method, only=lambda n, s: _in_method(n, s) and not n.extra["pattern"]), types=True),
+    Rule("instanceof", "TYPE", "Class", _of_types("type", name=_type, only=lambda n, s: _outside(n, s) and not n.extra["pattern"]), types=True),
+]
+#: Kinds of nodes below which methods and types are named without a class.
+CLOSED = ("record", "anonymous", "annotation_type")
+
+
 class Walk:
+    """One pass over a unit: the rules' rows at each node, and the scope below it."""
+
     def __init__(self, source: str, unit: Node) -> None:
-        self.source = source
         self.starts = [0, *[m.end() for m in re.finditer(r"\r\n|\n|\r", source)]]
         self.rows: list[Row] = []
         self.package = next((k.text for k in unit.kids if k.kind == "package"), "")
-        self.imports: dict[str, str] = {}
-        self.stars: list[str] = []
-        for k in unit.kids:
-            if k.kind == "import":
-                if k.extra["star"]:
-                    self.stars.append(k.text)
-                else:
-                    self.imports[k.text.rpartition(".")[2]] = k.text
+        imports = [k for k in unit.kids if k.kind == "import"]
+        self.stars = [k.text for k in imports if k.extra["star"]]
+        self.imports = {k.text.rpartition(".")[2]: k.text for k in imports if not k.extra["star"]}
+        #: The types of the fields of the class, and of the variables of the method, that was entered last.
         self.fields: dict[str, list[str]] = {}
         self.locals: dict[str, list[str]] = {}
         for k in unit.kids:
@@ -911,18 +1033,13 @@ class Walk:
         line = bisect.bisect_right(self.starts, at) - 1
         return line, at - self.starts[line]
 
-    def emit(self, qualified: str, name: str, kind: str, location: str, node: Node | Token, annotations: list[dict[str, Any]] | None = None) -> None:
-        self.rows.append(Row(qualified, name, kind, location, self.package, *self.place(node.start), *self.place(node.end), annotations or []))
-
     def resolve(self, name: str) -> list[str]:
         base = name.partition("<")[0]
         if "." in base:
             return [base]
         if base in self.imports:
             return [self.imports[base]]
-        if self.stars:
-            return [f"{star}.{base}" for star in self.stars]
-        return [f"{self.package}.{base}" if self.package else base]
+        return [f"{star}.{base}" for star in self.stars] or [self.in_package(base)]
 
     def described(self, marks: list[Node]) -> list[dict[str, Any]]:
         return [{"qualified_name": self.resolve(m.extra["name"])[0], "elements": {k: element_text(v) for k, v in m.extra["elements"]}} for m in marks]
@@ -930,128 +1047,46 @@ class Walk:
     def in_package(self, name: str) -> str:
         return f"{self.package}.{name}" if self.package else name
 
+    def full_name(self, node: Node, scope: Scope) -> str:
+        """Classes right inside classes go by both names, enums and all others by the package."""
+        nested = node.kind == "class" and scope.outer and not node.extra.get("local")
+        return f"{scope.outer}.{node.text}" if nested else self.in_package(node.text)
+
     def visit(self, node: Node, scope: Scope, parent: Node | None) -> None:
-        handler = getattr(self, f"on_{node.kind}", None)
-        inner = handler(node, scope, parent) if handler else scope
+        self.enter(node)
+        for rule in _BY_NODE.get(node.kind, ()):
+            for fact in rule.facts(self, node, scope):
+                marks = self.described(rule.marks(node, parent)) if rule.marks else []
+                for name in self.resolve(fact.subject) if rule.types else [fact.subject]:
+                    self.rows.append(Row(name, fact.name, rule.kind, rule.location, self.package, *self.place(fact.place.start), *self.place(fact.place.end), marks))
+        inner = self.below(node, scope)
         for kid in node.kids:
             self.visit(kid, inner, node)
 
-    def on_package(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        self.emit(node.text, node.text, "Module", "PACKAGE", node)
-        return scope
-
-    def on_import(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        name = node.text + ".*" if node.extra["star"] else node.text
-        self.emit(name, name, "Module", "IMPORT", node)
-        return scope
-
-    def on_class(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        self.fields = {f.text: self.resolve(k.extra["type"].text) for k in node.kids if k.kind == "field" for f in k.extra["fragments"]}
-        nested = scope.outer and not node.extra.get("local")
-        full = f"{scope.outer}.{node.text}" if nested else self.in_package(node.text)
-        marks = self.described(node.extra["annotations"])
-        self.emit(full, node.text, "Class", "CLASS", node, marks)
-        self.emit(full, node.text, "Class", "TYPE", node, marks)
-        if node.extra["superclass"]:
-            for name in self.resolve(node.extra["superclass"].text):
-                self.emit(name, node.text, "Class", "INHERITANCE", node.extra["superclass"])
-        for kind in node.extra["interfaces"]:
-            for name in self.resolve(kind.text):
-                self.emit(name, node.text, "Class", "INHERITANCE" if node.extra["interface"] else "IMPLEMENTS_TYPE", kind)
-        return Scope(scope.method, full, full, full)
-
-    def on_enum(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        full = self.in_package(node.text)
-        self.emit(full, node.text, "Enum", "CLASS", node, self.described(node.extra["annotations"]))
-        for kind in node.extra["interfaces"]:
-            for name in self.resolve(kind.text):
-                self.emit(name, kind.text, "Class", "IMPLEMENTS_TYPE", kind)
-        return Scope(scope.method, full, full, "")
-
-    def on_record(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        return scope._replace(owner="", outer="")
-
-    def on_anonymous(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        return scope._replace(owner="", outer="")
-
-    def on_annotation_type(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        for kid in node.kids:
-            if kid.kind == "method":
-                kid.kind = "member"  # its elements are no methods
-        return scope._replace(owner="", outer="")
-
-    def on_method(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        x = node.extra
-        self.locals = {p.text: self.resolve(p.extra["type"].text) for p in x["parameters"]}
-        prefix = scope.owner + "." if scope.owner else ""
-        plain, marks = prefix + node.text, self.described(x["annotations"])
-        self.emit(plain, node.text, "Method", "METHOD", node, marks)
-        if x["parameters"] or x["type_parameters"]:
-            generics = f"<{','.join(x['type_parameters'])}>" if x["type_parameters"] else ""
-            self.emit(f"{prefix}{generics}{node.text}({','.join(p.extra['type'].text for p in x['parameters'])})", node.text, "Method", "METHOD", node, marks)
-        if x["returns"]:
-            for name in self.resolve(x["returns"].text):
-                self.emit(name, node.text, "Method", "RETURN_TYPE", x["returns"])
-        for kind in [*[p.extra["type"] for p in x["parameters"]], *x["thrown"]]:
-            for name in self.resolve(kind.text):
-                self.emit(name, node.text, "Method", "TYPE", kind)
-        return scope._replace(method=node.text, outer="")
-
-    def on_field(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        kind, marks = node.extra["type"], self.described(node.extra["annotations"])
-        for fragment in node.extra["fragments"]:
-            for name in self.resolve(kind.text):
-                self.emit(name, fragment.text, "Field", "FIELD", fragment, marks)
-                self.emit(name, fragment.text, "Field", "TYPE", kind)
-        return scope
-
-    def on_local(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        kind = node.extra["type"]
-        found = self.resolve(kind.text)
-        for fragment in node.extra["fragments"]:
-            self.locals[fragment.text] = found
-        for name in found:
-            for fragment in node.extra["fragments"]:
-                self.emit(name, fragment.text, "Variable", "VARIABLE_DECLARATION", fragment)
-                if scope.method:
-                    self.emit(name, scope.method, "Method", "TYPE", kind)
-        return scope
-
-    def on_new(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        kind = node.extra["type"]
-        for name in self.resolve(kind.text):
-            self.emit(name, kind.text, "Class", "CONSTRUCTOR_CALL", kind)
-            if scope.method:
-                self.emit(name, scope.method, "Method", "TYPE", kind)
-        return scope
-
-    def on_call(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        called, receiver = node.extra["name"], node.extra["receiver"]
-        if receiver is None:
-            owners = [scope.enclosing] if scope.enclosing else [""]
-        elif receiver.kind == "super":
-            return scope  # another kind of node: not counted as a call
-        elif receiver.kind == "name":
-            owners = self.locals.get(receiver.text) or self.fields.get(receiver.text) or self.resolve(receiver.text)
-        else:
-            owners = self.resolve(receiver.text)
-        for owner in owners:
-            self.emit(f"{owner}.{called.text}" if owner else called.text, scope.method, "Method", "METHOD_CALL", called)
-        return scope
-
-    def on_annotation(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        siblings = parent.extra.get("annotations") if parent else None
-        marks = self.described(siblings if siblings and node in siblings else [node])
-        for name in self.resolve(node.extra["name"]):
-            self.emit(name, node.extra["name"], "Property", "ANNOTATION", node, marks)
-        return scope
-
-    def on_instanceof(self, node: Node, scope: Scope, parent: Node | None) -> Scope:
-        if not node.extra["pattern"]:
-            kind = node.extra["type"]
-            for name in self.resolve(kind.text):
-                self.emit(name, scope.method or kind.text, "Method" if scope.method else "Class", "TYPE", kind)
-        return scope
+    def enter(self, node: Node) -> None:
+        """Note the types of variables that a node declares."""
+        if node.kind == "class":
+            self.fields = {f.text: self.resolve(k.extra["type"].text) for k in node.kids if k.kind == "field" for f in k.extra["fragments"]}
+        elif node.kind == "method":
+            self.locals = {p.text: self.resolve(p.extra["type"].text) for p in node.extra["parameters"]}
+        elif node.kind == "local":
+            self.locals |= dict.fromkeys([f.text for f in node.extra["fragments"]], self.resolve(node.extra["type"].text))
+        elif node.kind == "annotation_type":
+            for kid in node.kids:
+                kid.kind = "member" if kid.kind == "method" else kid.kind  # its elements are no methods
+
+    def below(self, node: Node, scope: Scope) -> Scope:
+        if node.kind in ("class", "enum"):
+            full = self.full_name(node, scope)
+            return Scope(scope.method, full, full, full if node.kind == "class" else "")
+        if node.kind == "method":
+            return scope._replace(method=node.text, outer="")
+        return scope._replace(owner="", outer="") if node.kind in CLOSED else scope
+
+
+_BY_NODE: dict[str, list[Rule]] = {}
+for _rule in RULES:
+    _BY_NODE.setdefault(_rule.node, []).append(_rule)
 
 
 def element_text(value: Node) -> str:
