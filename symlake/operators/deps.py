@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from symlake.functions.patterns import full_match
 from symlake.functions.versions import within
 from symlake.operators.snippets import lines_of
+from symlake.tables import materialize
 
 #: Lines that a groupId and its artifactId may lie apart.
 NEAR = 3
@@ -84,32 +85,50 @@ def incidents(deps: DataFrame, build_file: str, sources: DataFrame) -> DataFrame
     return joined.select("file_uri", line.alias("line_number"), dependency_name().alias("name"), F.coalesce("version", F.lit("")).alias("version"), "group_id", "artifact_id")
 
 
-FLATTEN = """
-WITH RECURSIVE walk(node_id, root_id, depth, path) MAX RECURSION LEVEL 1000 AS (
-  SELECT node_id, node_id, 0, lpad(CAST(ordinal AS STRING), 10, '0') FROM {edges} WHERE parent_id IS NULL
-  UNION ALL
-  SELECT e.node_id, w.root_id, w.depth + 1, concat(w.path, '/', lpad(CAST(e.ordinal AS STRING), 10, '0'))
-  FROM walk w JOIN {edges} e ON e.parent_id = w.node_id)
-SELECT * FROM walk
-"""
-
-
 def flatten(edges: DataFrame) -> DataFrame:
     """(node_id, root_id, depth, path) of a forest (node_id, parent_id, ordinal): ordering by path is depth-first
-    pre-order. A node below several parents comes once for each."""
-    edges = edges.select("node_id", "parent_id", "ordinal")
-    return edges.sparkSession.sql(FLATTEN, edges=edges)
+    pre-order. A node below several parents comes once for each.
+
+    One level is a join of the last level's table with the edges, however many rows there are. A cycle below a root is an
+    error.
+    """
+    place = F.lpad(F.col("ordinal").cast("string"), 10, "0")
+    level = edges.where("parent_id IS NULL").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), place.alias("path"), F.array("node_id").alias("above"))
+    below = edges.where("parent_id IS NOT NULL").select(F.col("node_id").alias("child"), "parent_id", "ordinal")
+    levels = [materialize(level, "level")]
+    while len(levels) == 1 or not levels[-1].isEmpty():
+        step = levels[-1].join(below, F.col("node_id") == F.col("parent_id"))
+        if not step.where(F.array_contains("above", F.col("child"))).isEmpty():
+            raise ValueError("the graph has a cycle below a root")
+        row = [F.col("child").alias("node_id"), "root_id", F.col("depth") + 1, F.concat("path", F.lit("/"), place).alias("path"), F.concat("above", F.array("child")).alias("above")]
+        levels.append(materialize(step.select(row[0], row[1], row[2].alias("depth"), *row[3:]), "level"))
+    out = levels[0]
+    for one in levels[1:-1]:
+        out = out.unionByName(one)
+    return out.drop("above")
 
 
 def resolved(edges: DataFrame) -> DataFrame:
-    """The dependency relation of a forest of ``model.EDGES``: all but roots are indirect and have their root as base."""
+    """The dependency relation of a forest of ``model.EDGES``: all but roots are indirect and have their root as base.
+
+    Of a node's edges, which may tell it differently, the one with the smallest parent and place describes it.
+    """
     walk = flatten(edges)
-    info = edges.drop("parent_id", "ordinal").dropDuplicates(["node_id"])
+    facts = ["group_id", "artifact_id", "version", "classifier", "scope", "pom_path"]
+    info = edges.groupBy("node_id").agg(F.min_by(F.struct(*facts), F.struct("parent_id", "ordinal", *facts)).alias("f")).select("node_id", "f.*")
     root = info.select(F.col("node_id").alias("root_id"), F.struct("group_id", "artifact_id", "version", "pom_path").alias("base"))
     joined = walk.join(info, "node_id").join(root, "root_id")
     return joined.select("group_id", "artifact_id", "version", "classifier", F.coalesce("scope", F.lit("compile")).alias("scope"), F.lit(None).cast("string").alias("jar_path"), F.lit(False).alias("has_source_jar"), (F.col("depth") > 0).alias("indirect"), "pom_path", F.when(F.col("depth") > 0, F.col("base")).alias("base_dep"), F.col("path"))
 
 
+def unresolved(rows: DataFrame) -> DataFrame:
+    """The same relation of dependencies known without a graph: (group_id, artifact_id, version, classifier, pom_path,
+    ordinal), all direct; scope and jar_path are taken where there are such columns."""
+    has = lambda c, other: F.col(c) if c in rows.columns else other
+    base = F.lit(None).cast("struct<group_id:string,artifact_id:string,version:string,pom_path:string>")
+    return rows.select("group_id", "artifact_id", "version", "classifier", F.coalesce(has("scope", F.lit(None)), F.lit("compile")).alias("scope"), has("jar_path", F.lit(None)).cast("string").alias("jar_path"), F.lit(False).alias("has_source_jar"), F.lit(False).alias("indirect"), "pom_path", base.alias("base_dep"), F.lpad(F.col("ordinal").cast("string"), 10, "0").alias("path"))
+
+
 def nested(edges: DataFrame) -> list[dict[str, Any]]:
     """The forest of one project as nested dicts, for an API response."""
     rows = edges.orderBy("ordinal").collect()
@@ -146,14 +165,14 @@ def by_file(declared: DataFrame) -> DataFrame:
     return declared.groupBy("file_uri").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("dependencies"))
 
 
-def identify(archives: DataFrame, index: DataFrame) -> DataFrame:
+def identify(archives: DataFrame, index: DataFrame, unknown_group: str = UNKNOWN_GROUP) -> DataFrame:
     """Coordinates of archives (path, sha1, properties struct or null): by index (sha1, ...), own properties, or name.
 
-    The index may hold millions of rows; both sides are joined by hash on sha1.
+    Archives that nothing identifies are put into unknown_group. The index may hold millions of rows; both sides are joined by hash on sha1.
     """
     known = index.select("sha1", F.struct("group_id", "artifact_id", "version").alias("by_sha")).groupBy("sha1").agg(F.min("by_sha").alias("by_sha"))
     file = F.element_at(F.split("path", "/"), -1)
-    made = F.struct(F.lit(UNKNOWN_GROUP).alias("group_id"), F.regexp_replace(file, r"\.[^.]*$", "").alias("artifact_id"), F.lit(UNKNOWN_VERSION).alias("version"))
+    made = F.struct(F.lit(unknown_group).alias("group_id"), F.regexp_replace(file, r"\.[^.]*$", "").alias("artifact_id"), F.lit(UNKNOWN_VERSION).alias("version"))
     joined = archives.join(known, "sha1", "left")
     return joined.withColumn("c", F.coalesce("by_sha", "properties", made)).select("path", "sha1", "c.*", F.when(F.col("by_sha").isNotNull(), "sha1").when(F.col("properties").isNotNull(), "properties").otherwise("name").alias("identified_by"))
 
