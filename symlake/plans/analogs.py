@@ -51,10 +51,11 @@ SYM_PAGES = """sym_pages AS (
 
 
 def sym_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user is a class whose events are annotations with the property k as their element."""
+    """An event is a class of its user, with the event type and the property k as its annotation's name and element."""
     e = read(spark, sf_dir, "events")
-    mark = F.struct(F.col("event_type").alias("qualified_name"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("elements"))
-    return e.where("event_id % 16 = 0").groupBy("user_id").agg(F.collect_list(mark).alias("annotations"))
+    k = F.get_json_object("props", "$.k")
+    mark = F.struct(F.concat_ws(".", "event_type", k).alias("qualified_name"), F.create_map(F.lit("k"), k).alias("elements"))
+    return e.select("event_id", "user_id", F.array(mark).alias("annotations"))
 
 
 def dep_dag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,11 +39,13 @@ def loc_bucket(spark: SparkSession, d: str) -> DataFrame:
     return symbols.query(A.sym_parts(spark, d), "com.brand*", L.RETURN_TYPE).select(*SHOWN)
 
 
-@query(_parts("location = 'CLASS' AND string_split(qualified_name, '<')[1] IN (SELECT string_split(min(qualified_name), '<')[1] FROM sym_parts WHERE location = 'CLASS')"))
+#: A class that the tables have.
+EXACT = "com.brand7.small.hot_bolt"
+
+
+@query(_parts(f"location = 'CLASS' AND string_split(qualified_name, '<')[1] = '{EXACT}'"))
 def loc_exact(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.sym_parts(spark, d)
-    first = rows.where("location = 'CLASS'").agg(erased(F.min("qualified_name")).alias("q")).first()["q"]
-    return symbols.query(rows, first or "", L.CLASS).select(*SHOWN)
+    return symbols.query(A.sym_parts(spark, d), EXACT, L.CLASS).select(*SHOWN)
 
 
 @query(_parts("location = 'IMPORT' AND qualified_name LIKE 'com.brand1%'"))
@@ -104,14 +106,14 @@ def method_return_type(spark: SparkSession, d: str) -> DataFrame:
     return symbols.returning(A.sym_parts(spark, d), "*g* com.brand1*").select(*SHOWN)
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_id % 16 = 0 AND event_type IN ('click', 'clock')")
+@query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('click', 'clock') AND props->>'$.k' = '7'")
 def annotated_any(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.annotated(A.sym_annotated(spark, d), "cl?ck").select("user_id")
+    return symbols.annotated(A.sym_annotated(spark, d), "cl?ck.7").select("user_id").distinct()
 
 
-@query("SELECT user_id FROM events WHERE event_id % 16 = 0 AND event_type LIKE '%r%' AND (props->>'$.k')::INTEGER BETWEEN 40 AND 59 GROUP BY user_id")
+@query("SELECT event_id, user_id FROM events WHERE event_type LIKE '%r%' AND (props->>'$.k')::INTEGER BETWEEN 40 AND 59")
 def annotated_elements(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.annotated(A.sym_annotated(spark, d), "*r*", {"k": "[45][0-9]"}).select("user_id")
+    return symbols.annotated(A.sym_annotated(spark, d), "*r*", {"k": "[45][0-9]"}).select("event_id", "user_id")
 
 
 @query(f"WITH {A.SYM_PAGES} SELECT page_id, qualified_name FROM sym_pages WHERE file_uri IN (SELECT url FROM pages WHERE url LIKE '%.html')")
@@ -208,18 +210,23 @@ def dep_version_order(spark: SparkSession, d: str) -> DataFrame:
     return keys.join(after, "dep_id").select("dep_id", F.when(F.col("key") < F.col("next"), -1).when(F.col("key") > F.col("next"), 1).otherwise(0).alias("order_to_next"))
 
 
+#: What every third key of a table that is looked up ends in, so that it is missed.
+_OTHER = F.when(F.col("dep_id") % 3 == 0, "-other").otherwise("")
+_OTHER_SQL = "CASE WHEN dep_id % 3 = 0 THEN '-other' ELSE '' END"
+
+
 def _poms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A pom for each brand with its parts as dependencies, and the dependencies to look for."""
     v = A.dep_versions(spark, d)
     one = F.concat(F.lit("<dependency>\n<groupId>"), "group_id", F.lit("</groupId>\n<artifactId>"), "artifact_id", F.lit("</artifactId>\n</dependency>"))
-    parts = v.where("dep_id % 3 <> 0").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", one.alias("x")))).alias("xs"))
+    parts = v.withColumn("artifact_id", F.concat("artifact_id", _OTHER)).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", one.alias("x")))).alias("xs"))
     uri = F.concat(F.lit("file:///"), F.col("group_id"), F.lit("/pom.xml"))
     sources = parts.select(uri.alias("file_uri"), F.concat(F.lit("<project>\n<dependencies>\n"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("\n</dependencies>\n</project>")).alias("text"))
     return sources, v.select("dep_id", uri.alias("file_uri"), "group_id", "artifact_id")
 
 
 _POM_SQL = f"""WITH {A.DEP_VERSIONS},
-placed AS (SELECT group_id, artifact_id, row_number() OVER (PARTITION BY group_id ORDER BY dep_id) AS k FROM dep_versions WHERE dep_id % 3 <> 0),
+placed AS (SELECT group_id, artifact_id || {_OTHER_SQL} AS artifact_id, row_number() OVER (PARTITION BY group_id ORDER BY dep_id) AS k FROM dep_versions),
 found AS (SELECT group_id, artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
 SELECT dep_id, coalesce(line, 0)::INTEGER AS line FROM dep_versions LEFT JOIN found USING (group_id, artifact_id)"""
 
@@ -232,7 +239,7 @@ def dep_line_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {A.DEP_VERSIONS},
-placed AS (SELECT artifact_id, row_number() OVER (ORDER BY dep_id) AS k FROM dep_versions WHERE group_id = 'org.brand11' AND dep_id % 3 <> 0),
+placed AS (SELECT artifact_id || {_OTHER_SQL} AS artifact_id, row_number() OVER (ORDER BY dep_id) AS k FROM dep_versions WHERE group_id = 'org.brand11'),
 found AS (SELECT artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
 SELECT a.artifact_id, a.version, coalesce(f.line, b.line, 0)::BIGINT AS line_number FROM dep_versions a
 LEFT JOIN found f ON a.group_id = 'org.brand11' AND f.artifact_id = a.artifact_id LEFT JOIN found b ON b.artifact_id = a.artifact_id"""
@@ -285,12 +292,14 @@ def dep_labels(spark: SparkSession, d: str) -> DataFrame:
     return deps.labels(rows, ["[a-z]+:src1.*"], ["e"]).select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
-_INDEX = "i AS (SELECT sha1(text) AS sha1, min(lang || ':' || source) AS c FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)"
+# Two in three texts are indexed under another digest, so that they are missed.
+_INDEX = "i AS (SELECT sha1(text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '#other' END) AS sha1, min(lang || ':' || source) AS c FROM documents GROUP BY 1)"
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.read(spark, d, "documents").where("doc_id % 3 = 0")
-    return docs.select(F.sha1(F.col("text").cast("binary")).alias("sha1"), F.col("lang").alias("group_id"), F.col("source").alias("artifact_id"), F.lit("1").alias("version"))
+    docs = A.read(spark, d, "documents")
+    body = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "").otherwise("#other"))
+    return docs.select(F.sha1(body.cast("binary")).alias("sha1"), F.col("lang").alias("group_id"), F.col("source").alias("artifact_id"), F.lit("1").alias("version"))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, split_part(c, ':', 1) AS group_id, split_part(c, ':', 2) AS artifact_id FROM documents JOIN i ON sha1(text) = i.sha1")
@@ -307,10 +316,10 @@ def identify_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return deps.identify(docs, _index(spark, d)).select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "group_id", "identified_by")
 
 
-@query(f"WITH {A.DEP_VERSIONS}, m AS (SELECT group_id, artifact_id, arg_min(version, dep_id) AS version FROM dep_versions WHERE dep_id % 5 <> 0 GROUP BY ALL) SELECT d.dep_id, m.version FROM dep_versions d LEFT JOIN m USING (group_id, artifact_id)")
+@query(f"WITH {A.DEP_VERSIONS}, m AS (SELECT group_id, artifact_id || {_OTHER_SQL} AS artifact_id, arg_min(version, dep_id) AS version FROM dep_versions GROUP BY ALL) SELECT d.dep_id, m.version FROM dep_versions d LEFT JOIN m USING (group_id, artifact_id)")
 def managed_version(spark: SparkSession, d: str) -> DataFrame:
     v = A.dep_versions(spark, d)
-    return deps.managed_versions(v.select("dep_id", "group_id", "artifact_id"), v.where("dep_id % 5 <> 0").withColumnRenamed("dep_id", "ordinal")).select("dep_id", "version")
+    return deps.managed_versions(v.select("dep_id", "group_id", "artifact_id"), v.withColumn("artifact_id", F.concat("artifact_id", _OTHER)).withColumnRenamed("dep_id", "ordinal")).select("dep_id", "version")
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([A-Za-z]+)\"', 1)) AS link FROM pages")
