@@ -9,6 +9,7 @@ from typing import Any
 import yaml
 
 from symlake.model import Location
+from symlake.operators.deps import UNKNOWN_GROUP
 
 
 class ConditionError(ValueError):
@@ -80,10 +81,15 @@ class Config:
     encoding: str = "UTF-8"
     context_lines: int = 10
     label_domain: str = "dependency"
+    #: Printed dependency trees of Gradle (files or a directory), which stand for running the tool.
+    gradle_trees: str | None = None
+    #: The local Maven repository, where artifacts are looked up.
+    maven_repository: str | None = None
+    unknown_group: str = UNKNOWN_GROUP
 
     @classmethod
     def parse(cls, location: str, options: Mapping[str, Any]) -> Config:
         """From provider options; values of a wrong type count as absent."""
         text = lambda k: options[k] if isinstance(options.get(k), str) and options[k] else None
         many = lambda k: tuple(str(v) for v in options[k]) if isinstance(options.get(k), list) else ()
-        return cls(location, many("includedPaths"), many("dependencyRoots"), text("depOpenSourceLabelsFile"), many("excludePackages"), text("mavenIndexPath"), text("encoding") or "UTF-8", options["contextLines"] if isinstance(options.get("contextLines"), int) else 10, text("labelDomain") or "dependency")
+        return cls(location, many("includedPaths"), many("dependencyRoots"), text("depOpenSourceLabelsFile"), many("excludePackages"), text("mavenIndexPath"), text("encoding") or "UTF-8", options["contextLines"] if isinstance(options.get("contextLines"), int) else 10, text("labelDomain") or "dependency", text("gradleTrees"), text("mavenCacheDir"), text("unknownGroup") or UNKNOWN_GROUP)

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import itertools
-import shutil
-import tempfile
-from pathlib import Path
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symlake.model import SYMBOLS
 from symlake.operators import deps as D
 from symlake.operators import snippets, symbols
 from symlake.plans.conditions import Config, parse_dependency, parse_referenced
 from symlake.sources import archives, builds, scan
+from symlake.tables import delete, exists, names_in, new_path, qualified
 
 
 class Workspace:
@@ -26,17 +26,63 @@ class Workspace:
     def __init__(self, spark: SparkSession, config: Config, edges: DataFrame | None = None, work_dir: str | None = None, cache: bool = False) -> None:
         self.spark, self.config = spark, config
         self._own_dir = work_dir is None
-        self.work_dir = work_dir or tempfile.mkdtemp(prefix="workspace-")
+        self.work_dir = work_dir or new_path(spark, "workspace")
+        if config.location.startswith("mvn://"):
+            config = self.config = replace(config, location=self._in_repository(config.location))
         self.is_archive = config.location.lower().endswith((".jar", ".war", ".ear"))
-        self.edges = edges
+        self.edges = edges if edges is not None else self._printed()
         self.files, rows = self._read()
         self.symbol_path = f"{self.work_dir}/symbols-{self._content_hash()}" if cache else f"{self.work_dir}/symbols"
-        if not (cache and Path(self.symbol_path, "_SUCCESS").exists()):
+        if not (cache and exists(spark, f"{self.symbol_path}/_SUCCESS")):
             scan.write_symbols(rows, self.symbol_path)
-        self.symbols = spark.read.parquet(self.symbol_path)
-        self.resolved = D.resolved(edges) if edges is not None else None
+        self.symbols = spark.read.schema(SYMBOLS).parquet(self.symbol_path)
+        self.resolved = D.resolved(self.edges) if self.edges is not None else self._unresolved()
         self.closed = False
 
+    def _in_repository(self, uri: str) -> str:
+        """Where the local repository keeps what a mvn:// location names; nothing is downloaded."""
+        c = builds.parse_maven_uri(uri)
+        place = c.directory or self.config.maven_repository
+        if not place:
+            raise LookupError(f"{uri} needs a local repository")
+        found = [p for p in (builds.jar_path(place, c.group_id, c.artifact_id, c.version, c.classifier), f"{place}/{c.artifact_id}-{c.version}.jar") if exists(self.spark, p)]
+        if not found:
+            raise LookupError(f"{uri} is not in {place}")
+        return found[0]
+
+    def _printed(self) -> DataFrame | None:
+        """The graph of Gradle's printed trees, if any are given."""
+        if not self.config.gradle_trees:
+            return None
+        trees = scan.read_files(self.spark, self.config.gradle_trees, "*", self.config.encoding)
+        return builds.gradle_edges(trees.select(F.lit(self.build_file).alias("file_uri"), "text"))
+
+    def _unresolved(self) -> DataFrame:
+        """Dependencies without a graph: identified archives, a Maven project's direct ones, or those a script declares."""
+        none = F.lit(None).cast("string")
+        if self.is_archive:
+            return D.unresolved(self.archive_dependencies().select("*", none.alias("classifier"), F.lit(self.config.location).alias("pom_path"), F.col("path").alias("jar_path"), F.lit(0).alias("ordinal")))
+        place = scan.relative(F.regexp_replace("file_uri", "/?[^/]*$", "/"), self.config.location)
+        if self.build_tool == "gradle":
+            return D.unresolved(builds.declared(self.build_files()).where("file_uri LIKE '%build.gradle'").withColumn("pom_path", F.col("file_uri")))
+        # The poms of one project: the root's and those right below, which the root may name as modules.
+        poms = self.build_files().where("file_uri LIKE '%/pom.xml'").select(F.rtrim(place, F.lit("/")).alias("place"), "text")
+        entry = F.struct("place", "text")
+        project = poms.agg(F.map_from_entries(F.collect_list(entry)).alias("poms")).select(F.lit("").alias("project"), "poms")
+        found = builds.direct(project).select("group_id", "artifact_id", "version", "classifier", "pom_path", "ordinal")
+        return D.unresolved(found)
+
+    def archive_dependencies(self) -> DataFrame:
+        """The archives inside this one (path, sha1, coordinates, how they were identified); with an index, by digest first."""
+        facts = archives.nested_facts(self.spark, self.config.location)
+        index = builds.artifact_index(self.spark, self.config.index_path) if self.config.index_path else self.spark.createDataFrame([], "sha1 string, group_id string, artifact_id string, version string")
+        return D.identify(facts, index, self.config.unknown_group)
+
+    def synthetic_pom(self) -> str:
+        """A pom that declares what an archive holds, as an exploded project would have it."""
+        rows = self.archive_dependencies().select("group_id", "artifact_id", "version").distinct().orderBy("group_id", "artifact_id", "version")
+        return builds.synthetic_pom([tuple(r) for r in rows.collect()])  # one archive's
+
     def _content_hash(self) -> str:
         """A fingerprint of all sources: a table cached in work_dir is used again as long as none changes."""
         mixed = self.files.select(F.xxhash64("file_uri", "text").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
@@ -59,14 +105,15 @@ class Workspace:
 
     @property
     def build_tool(self) -> str:
-        place = Path(self.config.location.removeprefix("file://"))
-        names = {p.name for p in place.iterdir()} if place.is_dir() else set()
-        return builds.detect_build_tool(names, self.config.location)
+        return builds.detect_build_tool(names_in(self.spark, self.config.location), self.config.location)
 
     @property
     def build_file(self) -> str:
+        """The root's build file; of an archive, the archive itself."""
+        if self.is_archive:
+            return qualified(self.spark, self.config.location)
         name = "build.gradle" if self.build_tool == "gradle" else "pom.xml"
-        return Path(self.config.location.removeprefix("file://")).resolve().joinpath(name).as_uri()
+        return f"{qualified(self.spark, self.config.location)}/{name}"
 
     def build_files(self) -> DataFrame:
         poms = scan.read_files(self.spark, self.config.location, "pom.xml", self.config.encoding)
@@ -77,20 +124,22 @@ class Workspace:
         self._check()
         if capability == "referenced" and (c := parse_referenced(condition)):
             return symbols.referenced(self.symbols, c.pattern, c.location, c.annotation, c.elements, c.files)
-        if capability == "dependency" and self.resolved is not None and (d := parse_dependency(condition)):
+        if capability == "dependency" and (d := parse_dependency(condition)):
             found = D.select(self.resolved, d.name, d.name_regex, d.lower, d.upper)
-            return D.incidents(found, self.build_file, self.build_files())
+            sources = self.spark.createDataFrame([], "file_uri string, text string") if self.is_archive else self.build_files()
+            return D.incidents(found, self.build_file, sources)
         return self.spark.createDataFrame([], "file_uri string, line_number long")
 
     def matched(self, capability: str, condition: str) -> bool:
         return not self.evaluate(capability, condition).isEmpty()
 
     def dependencies(self) -> DataFrame:
-        """Resolved dependencies with labels, or the declared ones without."""
+        """Dependencies with labels; declared ones without if there are none with a version."""
         self._check()
-        if self.resolved is None or self.resolved.isEmpty():
+        if self.resolved.isEmpty() and not self.is_archive:
             return builds.declared(self.build_files())
-        patterns = builds.label_patterns(Path(self.config.label_file).read_text()) if self.config.label_file else []
+        lines = self.spark.read.text(self.config.label_file).collect() if self.config.label_file else []  # a short list of patterns
+        patterns = builds.label_patterns("\n".join(r[0] for r in lines))
         return D.labels(self.resolved, patterns, self.config.exclude_packages, self.config.label_domain)
 
     def dependency_dag(self) -> list[dict[str, Any]]:
@@ -115,7 +164,7 @@ class Workspace:
     def close(self) -> None:
         self.closed = True
         if self._own_dir:
-            shutil.rmtree(self.work_dir, ignore_errors=True)
+            delete(self.spark, self.work_dir)
 
     def _check(self) -> None:
         if self.closed:

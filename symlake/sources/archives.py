@@ -82,29 +82,45 @@ def read_entries(spark: SparkSession, root: str) -> DataFrame:
     return files.select(file_uri(F.col("path")).alias("path"), "content").mapInArrow(run, ENTRIES)
 
 
+PROPERTIES = pa.struct([("group_id", pa.string()), ("artifact_id", pa.string()), ("version", pa.string())])
+
+
+def own_properties(data: bytes) -> dict[str, str] | None:
+    """The coordinates that an archive's first pom.properties tells."""
+    for _, name, _, content in entries(data, depth=NESTING):
+        if name.startswith("META-INF/maven/") and name.endswith("/pom.properties"):
+            p = read_properties(content.decode("latin-1"))
+            if "groupId" in p and "artifactId" in p:
+                return {"group_id": p["groupId"], "artifact_id": p["artifactId"], "version": p.get("version", "0.0.0")}
+    return None
+
+
 def archive_facts(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha1, properties struct or null) of the archives below a root, for ``deps.identify``."""
     fields = "path string, sha1 string, properties struct<group_id:string,artifact_id:string,version:string>"
-    kind = pa.struct([("group_id", pa.string()), ("artifact_id", pa.string()), ("version", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for content in batch.column(2):
-                props = None
-                for _, name, depth, data in entries(content.as_buffer().to_pybytes(), depth=NESTING):
-                    if name.startswith("META-INF/maven/") and name.endswith("/pom.properties"):
-                        p = read_properties(data.decode("latin-1"))
-                        if "groupId" in p and "artifactId" in p:
-                            props = {"group_id": p["groupId"], "artifact_id": p["artifactId"], "version": p.get("version", "0.0.0")}
-                            break
-                found.append(props)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["path", "sha1", "properties"])
+            found = [own_properties(content.as_buffer().to_pybytes()) for content in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, PROPERTIES)], ["path", "sha1", "properties"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(is_archive(F.col("path")))
     return files.select(file_uri(F.col("path")).alias("path"), F.sha1("content").alias("sha1"), "content").mapInArrow(run, fields)
 
 
+def nested_facts(spark: SparkSession, root: str) -> DataFrame:
+    """(path, sha1, properties) as ``archive_facts`` has them, of the archives inside those below a root."""
+    inner = read_entries(spark, root).where(is_archive(F.col("entry")))
+    fields = "path string, sha1 string, properties struct<group_id:string,artifact_id:string,version:string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [own_properties(content.as_buffer().to_pybytes()) for content in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, PROPERTIES)], ["path", "sha1", "properties"])
+
+    return inner.select(F.concat_ws("!/", "archive", "entry").alias("path"), F.sha1("content").alias("sha1"), "content").mapInArrow(run, fields)
+
+
 _WIDTH = {3: 4, 4: 4, 5: 8, 6: 8, 7: 2, 8: 2, 9: 4, 10: 4, 11: 4, 12: 4, 15: 3, 16: 2, 17: 4, 18: 4, 19: 2, 20: 2}
 
 

@@ -13,12 +13,14 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from symlake.model import DECLARED
+from symlake.model import DECLARED, EDGES
 
 #: Gradle configurations whose dependencies are read (fixed values).
 CONFIGURATIONS = ["implementation", "api", "compile", "runtime", "testImplementation", "testCompile", "testRuntime", "classpath", "compileOnly", "runtimeOnly"]
-_DECLARATION = re.compile(rf"(?:{'|'.join(CONFIGURATIONS)})\s+['\"]([^'\":]+):([^'\":]+):([^'\"]+)['\"]")
+#: A script's tokens as far as they matter: comments, strings, words, braces and parentheses, line ends.
+_GRADLE = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\'\'\'.*?\'\'\'|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")|(?P<word>[A-Za-z_$][\w$.-]*)|(?P<mark>[{}()]|\n)""", re.S)
 ROUNDS = 5
 
 
@@ -200,21 +202,51 @@ def read_pom(text: str) -> list[tuple]:
     return out
 
 
+class GradleToken(NamedTuple):
+    kind: str
+    text: str
+    line: int
+
+
+def gradle_tokens(text: str) -> Iterator[GradleToken]:
+    """Strings without their quotes, words and marks of a Gradle script, with 0-based lines; comments are left out."""
+    line, at = 0, 0
+    for m in _GRADLE.finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        if m.lastgroup == "string":
+            quotes = 3 if m[0][:3] in ("\'\'\'", '"""') and len(m[0]) >= 6 else 1
+            yield GradleToken("string", m[0][quotes:-quotes], line)
+        elif m.lastgroup != "comment":
+            yield GradleToken(m.lastgroup, m[0], line)
+
+
 def read_gradle(text: str) -> list[tuple]:
-    """Rows like read_pom's: the first declaration of each line inside a dependencies block."""
-    inside, depth, out = False, 0, []
-    for i, raw in enumerate(text.splitlines()):
-        line = raw.strip()
-        if line.startswith("dependencies"):
-            inside, depth = True, 0
-        if not inside:
-            continue
-        depth += line.count("{") - line.count("}")
-        m = _DECLARATION.search(line)
-        if m:
-            out.append((m[1], m[2], m[3], None, None, i))
-        inside = not (depth <= 0 and "}" in line)
-    return out
+    """Rows like read_pom's: the first declaration of each line inside a dependencies block, at any depth.
+
+    A block is named by the last word before its brace. A declaration is a configuration's word, maybe a parenthesis, and a
+    string group:artifact:version.
+    """
+    blocks: list[str] = []
+    name, wanted = "", False  # the last word, and whether a string would be a declaration now
+    found: dict[int, tuple] = {}
+    for kind, token, line in gradle_tokens(text):
+        if kind == "word":
+            name, wanted = token, token in CONFIGURATIONS and "dependencies" in blocks
+        elif kind == "string":
+            parts = token.split(":", 2)
+            if wanted and len(parts) == 3 and all(parts):
+                found.setdefault(line, (*parts, None, None, line))
+            wanted = False
+        elif token == "{":
+            blocks.append(name)
+            name, wanted = "", False
+        elif token == "}":
+            if blocks:
+                blocks.pop()
+            name, wanted = "", False
+        elif token != "(":
+            wanted = False
+    return list(found.values())
 
 
 def declared(files: DataFrame) -> DataFrame:
@@ -262,6 +294,44 @@ def read_gradle_tree(lines: list[str], build_file: str = "") -> list[dict]:
     return out
 
 
+def gradle_edges(trees: DataFrame) -> DataFrame:
+    """``model.EDGES`` of printed dependency trees (file_uri, text), with the file in front of each node's id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(EDGES)
+        for batch in batches:
+            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = read_gradle_tree((text or "").splitlines(), uri)
+                ids = lambda node, uri=uri: node and f"{uri}#{node}"
+                if rows:
+                    yield pa.RecordBatch.from_pylist([{**r, "node_id": ids(r["node_id"]), "parent_id": ids(r["parent_id"])} for r in rows], schema=schema)
+
+    return trees.select("file_uri", "text").mapInArrow(run, EDGES)
+
+
+def direct(projects: DataFrame) -> DataFrame:
+    """Direct dependencies of Maven projects (project, poms map<directory, text>): project, pom_path, ordinal and coordinates.
+
+    What a resolver would answer without a network. Unreadable projects give none.
+    """
+    names = ["project", "pom_path", "ordinal", "group_id", "artifact_id", "version", "packaging", "classifier"]
+    types = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for project, poms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(maps_as_pydicts="lossy"), strict=True):
+                try:
+                    found = project_dependencies(poms or {})
+                except (ET.ParseError, ValueError, KeyError):
+                    continue
+                rows += [(project, "pom.xml", k, *c) for k, c in enumerate(found)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return projects.select("project", "poms").mapInArrow(run, "project string, pom_path string, ordinal long, group_id string, artifact_id string, version string, packaging string, classifier string")
+
+
 def gradle_subprojects(lines: list[str]) -> list[str]:
     """Project paths of a printed project list."""
     return [m[1] for line in lines if (m := re.search(r"[+\\]--- Project '(:[^']+)'", line))]

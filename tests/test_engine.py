@@ -1,3 +1,4 @@
+import hashlib
 import io
 import re
 import zipfile
@@ -144,6 +145,9 @@ def test_cached_symbols(spark, tmp_path):
 def test_gradle():
     text = "plugins { }\ndependencies {\n  implementation 'a:b:1'\n  testImplementation \"c:d:2\"\n  if (x) { api 'e:f:3' }\n}\nimplementation 'no:no:0'\n"
     assert [(r[0], r[1], r[2], r[5]) for r in builds.read_gradle(text)] == [("a", "b", "1", 2), ("c", "d", "2", 3), ("e", "f", "3", 4)]
+    other = "dependencies { api 'a:b:1' }\nbuildscript {\n  dependencies {\n    classpath('c:d:2') // api 'no:no:1'\n    /* api 'no:no:2'\n */ constraints { runtimeOnly(\"e:f:3\") }\n    api project(':x')\n    myapi 'no:no:3'\n    compileOnly 'g:h'\n  }\n}\napi 'no:no:4'\n// dependencies {\napi 'no:no:5'\nimplementation \"it's: { not: closed\"\n"
+    assert [(r[0], r[1], r[2], r[5]) for r in builds.read_gradle(other)] == [("a", "b", "1", 0), ("c", "d", "2", 3), ("e", "f", "3", 5)]
+    assert builds.read_gradle("dependencies {\n  api 'a:b:1'; api 'c:d:2'\n") == [("a", "b", "1", None, None, 1)]
     tree = ["compileClasspath", "+--- a:b:1", "|    +--- c:d:2", "|    |    \\--- e:f:3 -> 4", "|    \\--- g:h:5", "\\--- i:j:6", "     \\--- k:l:7"]
     edges = builds.read_gradle_tree(tree)
     by = {e["node_id"]: e for e in edges}
@@ -178,6 +182,67 @@ def test_flatten_and_bases(spark):
     assert deps.flatten(edges(spark).limit(0)).count() == 0
 
 
+def test_wide_and_cyclic_graphs(spark):
+    rows = spark.range(1_200_000).selectExpr("CAST(id AS STRING) AS node_id", "CASE WHEN id > 0 THEN '0' END AS parent_id", "CAST(id AS INT) AS ordinal")
+    out = deps.flatten(rows)
+    assert out.count() == 1_200_000 and out.where("depth = 1 AND root_id = '0'").count() == 1_199_999
+    cycle = spark.createDataFrame([("a", None, 0), ("b", "a", 0), ("c", "b", 0), ("b", "c", 0)], "node_id string, parent_id string, ordinal int")
+    with pytest.raises(ValueError, match="cycle"):
+        deps.flatten(cycle)
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None, 0) for i in range(12)], "node_id string, parent_id string, ordinal int")
+    assert deps.flatten(deep).agg({"depth": "max"}).first()[0] == 11
+
+
+MANAGED = """<project><groupId>own</groupId><artifactId>top</artifactId><version>1</version><modules><module>web</module></modules>
+<properties><v>5.3.20</v></properties>
+<dependencyManagement><dependencies><dependency><groupId>org.managed</groupId><artifactId>lib</artifactId><version>2.5</version></dependency></dependencies></dependencyManagement>
+<dependencies>
+<dependency>
+<groupId>org.springframework</groupId>
+<artifactId>spring-core</artifactId>
+<version>${v}</version>
+</dependency>
+<dependency>
+<groupId>org.managed</groupId>
+<artifactId>lib</artifactId>
+</dependency>
+<dependency><groupId>no</groupId><artifactId>version</artifactId></dependency>
+</dependencies></project>"""
+
+
+def names(found):
+    return {(r["name"], r["version"], r["line_number"]) for r in found.collect()}
+
+
+def test_maven_project_without_a_graph(spark, tmp_path):
+    (tmp_path / "web").mkdir()
+    (tmp_path / "pom.xml").write_text(MANAGED)
+    (tmp_path / "web/pom.xml").write_text("<project><parent><groupId>own</groupId><artifactId>top</artifactId><version>1</version></parent><artifactId>web</artifactId><dependencies><dependency><groupId>javax.servlet</groupId><artifactId>api</artifactId><version>${v}</version></dependency></dependencies></project>")
+    engine = Engine(spark)
+    ident = engine.init(Config(str(tmp_path)))
+    ask = lambda text: engine.evaluate(ident, "dependency", f"dependency: {text}")
+    assert names(ask("{name_regex: '.*'}")) == {("org.springframework.spring-core", "5.3.20", 6), ("org.managed.lib", "2.5", 11), ("javax.servlet.api", "5.3.20", 0)}
+    assert names(ask("{name: org.springframework.spring-core, lowerbound: 5.0.0}")) == {("org.springframework.spring-core", "5.3.20", 6)}
+    assert ask("{name: org.springframework.spring-core, lowerbound: 6.0}").count() == 0
+    assert engine.workspace(ident).matched("dependency", "dependency: {name: org.managed.lib}") and not engine.workspace(ident).matched("dependency", "dependency: {name: x}")
+    wanted = spark.createDataFrame([(engine.workspace(ident).build_file, "org.managed", "lib"), ("file:///none", "a", "b")], "file_uri string, group_id string, artifact_id string")
+    assert sorted(r["line"] for r in engine.workspace(ident).dependency_locations(wanted).collect()) == [0, 11]
+    engine.stop(ident)
+
+
+def test_gradle_project_with_and_without_trees(spark, tmp_path):
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app/build.gradle").write_text("plugins { }\ndependencies {\n  implementation 'a:b:1.5'\n}\n")
+    engine = Engine(spark)
+    plain = engine.init(Config(str(tmp_path / "app")))
+    assert names(engine.evaluate(plain, "dependency", "dependency: {name: a.b, lowerbound: 1.0}")) == {("a.b", "1.5", 3)}
+    (tmp_path / "trees").mkdir()
+    (tmp_path / "trees/app.txt").write_text("compileClasspath\n+--- a:b:1.5\n|    \\--- c:d:2.0\n\\--- e:f:3.0\n")
+    full = engine.init(Config(str(tmp_path / "app"), gradle_trees=str(tmp_path / "trees")))
+    assert names(engine.evaluate(full, "dependency", "dependency: {name_regex: '.*'}")) == {("a.b", "1.5", 3), ("c.d", "2.0", 3), ("e.f", "3.0", 0)}
+    assert engine.workspace(full).dependency_dag()[0]["children"][0]["artifact_id"] == "d"
+
+
 @pytest.fixture(scope="module")
 def workspace(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("app")
@@ -253,6 +318,18 @@ def test_archives(spark, tmp_path):
     found = deps.identify(archives.archive_facts(spark, str(tmp_path)), builds.artifact_index(spark, str(tmp_path / "index.txt"))).collect()
     assert {r["path"].rpartition("/")[2]: (r["artifact_id"], r["version"], r["identified_by"]) for r in found} == {"app.war": ("app", "0.0.0-SNAPSHOT", "name"), "named-1.0.jar": ("named-1.0", "0.0.0-SNAPSHOT", "name"), "known.jar": ("known", "7", "sha1")}
     engine = Engine(spark)
+    (tmp_path / "sha.txt").write_text(f"{hashlib.sha1(jar).hexdigest()} org.indexed:lib:jar:9\n")
+    by_index = engine.init(Config(str(tmp_path / "app.war"), index_path=str(tmp_path / "sha.txt")))
+    assert names(engine.evaluate(by_index, "dependency", "dependency: {name_regex: '.*'}")) == {("org.indexed.lib", "9", 0)}
+    assert "<artifactId>lib</artifactId>" in engine.workspace(by_index).synthetic_pom()
+    own = engine.init(Config(str(tmp_path / "app.war")))
+    assert names(engine.evaluate(own, "dependency", "dependency: {name: g.a, upperbound: 2}")) == {("g.a", "2", 0)}
+    (tmp_path / "repo/x/y/z/1").mkdir(parents=True)
+    (tmp_path / "repo/x/y/z/1/z-1.jar").write_bytes(jar)
+    remote = engine.init(Config("mvn://x.y:z:1", maven_repository=str(tmp_path / "repo")))
+    assert engine.workspace(remote).symbols.where("location = 'INHERITANCE'").count() == 1
+    with pytest.raises(LookupError):
+        engine.init(Config("mvn://x.y:none:1", maven_repository=str(tmp_path / "repo")))
     ident = engine.init(Config(str(tmp_path / "app.war")))
     assert engine.evaluate(ident, "referenced", "referenced: {pattern: javax.ejb.Singleton, location: IMPORT}").count() == 1
     assert engine.workspace(ident).symbols.where("is_dependency AND location = 'INHERITANCE'").count() == 1
@@ -287,5 +364,18 @@ def test_changes(spark, tmp_path):
     q = changes.follow(spark.readStream.schema(schema).json(str(feed)), table, str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    names = {r["name"] for r in spark.read.parquet(table).where("location = 'CLASS'").collect()}
+    names = {r["name"] for r in changes.read(spark, table).where("location = 'CLASS'").collect()}
     assert names == {"A2", "C"}
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) <= 3
+    assert changes.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_batch_that_fails_leaves_the_state(spark, tmp_path, monkeypatch):
+    from symlake.streaming import changes
+
+    table, schema = str(tmp_path / "t"), "file_uri string, text string, saved int"
+    changes.apply(spark.createDataFrame([("a", "class A { }", 1), ("b", "class B { }", 1)], schema), table)
+    monkeypatch.setattr(changes, "_commit", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        changes.apply(spark.createDataFrame([("a", None, 2), ("b", "class C { }", 2)], schema), table)
+    assert {r["name"] for r in changes.read(spark, table).where("location = 'CLASS'").collect()} == {"A", "B"}
