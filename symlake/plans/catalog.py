@@ -211,22 +211,21 @@ def dep_version_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: What every third key of a table that is looked up ends in, so that it is missed.
-_OTHER = F.when(F.col("dep_id") % 3 == 0, "-other").otherwise("")
-_OTHER_SQL = "CASE WHEN dep_id % 3 = 0 THEN '-other' ELSE '' END"
+_OTHER = "CASE WHEN dep_id % 3 = 0 THEN '-other' ELSE '' END"
 
 
 def _poms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A pom for each brand with its parts as dependencies, and the dependencies to look for."""
     v = A.dep_versions(spark, d)
     one = F.concat(F.lit("<dependency>\n<groupId>"), "group_id", F.lit("</groupId>\n<artifactId>"), "artifact_id", F.lit("</artifactId>\n</dependency>"))
-    parts = v.withColumn("artifact_id", F.concat("artifact_id", _OTHER)).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", one.alias("x")))).alias("xs"))
+    parts = v.withColumn("artifact_id", F.concat("artifact_id", F.expr(_OTHER))).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", one.alias("x")))).alias("xs"))
     uri = F.concat(F.lit("file:///"), F.col("group_id"), F.lit("/pom.xml"))
     sources = parts.select(uri.alias("file_uri"), F.concat(F.lit("<project>\n<dependencies>\n"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("\n</dependencies>\n</project>")).alias("text"))
     return sources, v.select("dep_id", uri.alias("file_uri"), "group_id", "artifact_id")
 
 
 _POM_SQL = f"""WITH {A.DEP_VERSIONS},
-placed AS (SELECT group_id, artifact_id || {_OTHER_SQL} AS artifact_id, row_number() OVER (PARTITION BY group_id ORDER BY dep_id) AS k FROM dep_versions),
+placed AS (SELECT group_id, artifact_id || {_OTHER} AS artifact_id, row_number() OVER (PARTITION BY group_id ORDER BY dep_id) AS k FROM dep_versions),
 found AS (SELECT group_id, artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
 SELECT dep_id, coalesce(line, 0)::INTEGER AS line FROM dep_versions LEFT JOIN found USING (group_id, artifact_id)"""
 
@@ -239,7 +238,7 @@ def dep_line_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {A.DEP_VERSIONS},
-placed AS (SELECT artifact_id || {_OTHER_SQL} AS artifact_id, row_number() OVER (ORDER BY dep_id) AS k FROM dep_versions WHERE group_id = 'org.brand11'),
+placed AS (SELECT artifact_id || {_OTHER} AS artifact_id, row_number() OVER (ORDER BY dep_id) AS k FROM dep_versions WHERE group_id = 'org.brand11'),
 found AS (SELECT artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
 SELECT a.artifact_id, a.version, coalesce(f.line, b.line, 0)::BIGINT AS line_number FROM dep_versions a
 LEFT JOIN found f ON a.group_id = 'org.brand11' AND f.artifact_id = a.artifact_id LEFT JOIN found b ON b.artifact_id = a.artifact_id"""
@@ -316,10 +315,10 @@ def identify_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return deps.identify(docs, _index(spark, d)).select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "group_id", "identified_by")
 
 
-@query(f"WITH {A.DEP_VERSIONS}, m AS (SELECT group_id, artifact_id || {_OTHER_SQL} AS artifact_id, arg_min(version, dep_id) AS version FROM dep_versions GROUP BY ALL) SELECT d.dep_id, m.version FROM dep_versions d LEFT JOIN m USING (group_id, artifact_id)")
+@query(f"WITH {A.DEP_VERSIONS}, m AS (SELECT group_id, artifact_id || {_OTHER} AS artifact_id, arg_min(version, dep_id) AS version FROM dep_versions GROUP BY ALL) SELECT d.dep_id, m.version FROM dep_versions d LEFT JOIN m USING (group_id, artifact_id)")
 def managed_version(spark: SparkSession, d: str) -> DataFrame:
     v = A.dep_versions(spark, d)
-    return deps.managed_versions(v.select("dep_id", "group_id", "artifact_id"), v.withColumn("artifact_id", F.concat("artifact_id", _OTHER)).withColumnRenamed("dep_id", "ordinal")).select("dep_id", "version")
+    return deps.managed_versions(v.select("dep_id", "group_id", "artifact_id"), v.withColumn("artifact_id", F.concat("artifact_id", F.expr(_OTHER))).withColumnRenamed("dep_id", "ordinal")).select("dep_id", "version")
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([A-Za-z]+)\"', 1)) AS link FROM pages")
