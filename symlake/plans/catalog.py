@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.functions.patterns import erased
@@ -364,6 +364,119 @@ def declared_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return builds.declared(poms).where("group_id = 'org.x'").select("file_uri", "artifact_id", "version")
 
 
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as lines of small files: fifty keys a file, in the order of the keys."""
+    p = A.read(spark, d, "part")
+    name = F.regexp_replace("p_name", " ", "-")
+    return p.select((F.col("p_partkey") / 50).cast("long").alias("file"), F.col("p_partkey").alias("k"), F.lower(F.regexp_replace("p_brand", "#", "")).alias("g"), name.alias("a"), F.col("p_size").cast("string").alias("v"))
+
+
+_LISTED = "listed AS (SELECT p_partkey // 50 AS file, p_partkey AS k, lower(replace(p_brand, '#', '')) AS g, replace(p_name, ' ', '-') AS a, p_size::VARCHAR AS v, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS line FROM part)"
+
+
+def _files(rows: DataFrame, line: Column, name: str, before: str = "", after: str = "") -> DataFrame:
+    """(file_uri, text): each file's lines between two others."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("x")))), lambda x: x["x"]), "\n")
+    return rows.groupBy("file").agg(F.concat(F.lit(before), lines, F.lit(after)).alias("text")).select(F.concat(F.lit("file:///"), F.col("file").cast("string"), F.lit("/" + name)).alias("file_uri"), "text")
+
+
+@query(f"WITH {_LISTED} SELECT 'file:///' || file || '/build.gradle' AS file_uri, g AS group_id, a AS artifact_id, v AS version, line::INTEGER AS line FROM listed WHERE k % 5 <> 0")
+def gradle_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations with and without parentheses; every fifth part is in a comment."""
+    text = F.concat_ws(":", "g", "a", "v")
+    line = F.when(F.col("k") % 5 == 0, F.concat(F.lit("  // api '"), text, F.lit("'"))).when(F.col("k") % 2 == 0, F.concat(F.lit("  testImplementation(\""), text, F.lit("\")"))).otherwise(F.concat(F.lit("  implementation '"), text, F.lit("' // {")))
+    files = _files(_listed(spark, d), line, "build.gradle", "dependencies {\n", "\n}\napi 'no:no:0'\n")
+    return builds.declared(files).select("file_uri", "group_id", "artifact_id", "version", "line")
+
+
+@query(
+    f"""WITH {_LISTED}, r AS (SELECT *, k % 3 = 0 OR k % 50 < 2 AS root FROM listed), t AS (SELECT *, sum(root::INTEGER) OVER (PARTITION BY file ORDER BY k) AS tree FROM r)
+SELECT 'file:///' || file || '/tree.txt' AS pom_path, g AS group_id, a AS artifact_id, v AS version, NOT root AS below,
+  (CASE WHEN root THEN tree ELSE row_number() OVER (PARTITION BY file, tree ORDER BY k) - 1 END - 1)::INTEGER AS ordinal FROM t"""
+)
+def gradle_tree(spark: SparkSession, d: str) -> DataFrame:
+    root = (F.col("k") % 3 == 0) | (F.col("k") % 50 < 2)
+    line = F.concat(F.when(root, "+--- ").otherwise("|    +--- "), F.concat_ws(":", "g", "a", "v"))
+    edges = builds.gradle_edges(_files(_listed(spark, d), line, "tree.txt", "compileClasspath - compile\n"))
+    return edges.select("pom_path", "group_id", "artifact_id", "version", F.col("parent_id").isNotNull().alias("below"), "ordinal")
+
+
+@query(
+    f"""WITH {_LISTED} SELECT 'file:///' || file || '/pom.xml' AS project, g AS group_id, a AS artifact_id,
+  CASE WHEN k % 4 = 0 THEN '7.1' WHEN k % 2 = 0 THEN v ELSE first(v) OVER (PARTITION BY file, g, a, k % 3 = 0, k % 2 ORDER BY k) END AS version FROM listed
+  WHERE k % 2 = 0 OR k % 3 = 0"""
+)
+def maven_direct(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of properties, own ones, and managed ones; dependencies without any are left out."""
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    own = F.when(F.col("k") % 4 == 0, "<version>${v}</version>").when(F.col("k") % 2 == 0, tag("version", F.col("v"))).otherwise("")
+    both = F.concat(tag("groupId", F.col("g")), tag("artifactId", F.col("a")))
+    line = F.concat(F.lit("<dependency>"), both, own, F.lit("</dependency>"))
+    rows = _listed(spark, d).withColumn("a", F.when(F.col("k") % 2 == 0, F.col("a")).otherwise(F.concat("a", F.lit("-"), (F.col("k") % 3 == 0).cast("string"))))
+    managed = F.when((F.col("k") % 2 == 1) & (F.col("k") % 3 == 0), F.concat(F.lit("<dependency>"), both, tag("version", F.col("v")), F.lit("</dependency>"))).otherwise("")
+    direct = _files(rows, line, "pom.xml", "<dependencies>", "</dependencies></project>")
+    known = _files(rows, managed, "pom.xml", "<project><properties><v>7.1</v></properties><dependencyManagement><dependencies>", "</dependencies></dependencyManagement>").withColumnRenamed("text", "known")
+    poms = direct.join(known, "file_uri").select(F.col("file_uri").alias("project"), F.create_map(F.lit(""), F.concat("known", "text")).alias("poms"))
+    return builds.direct(poms).select("project", "group_id", F.regexp_replace("artifact_id", "-(true|false)$", "").alias("artifact_id"), "version")
+
+
+@query(
+    f"""WITH {_LISTED}, hit AS (SELECT a.file, a.g, a.a, min(b.line) + 1 AS line FROM listed a JOIN listed b ON a.file = b.file AND contains(b.g || ':' || b.a || ':' || b.v, a.g || ':' || a.a) GROUP BY ALL),
+first AS (SELECT file, g, a, min(line) AS line FROM listed GROUP BY ALL)
+SELECT k, CASE k % 3 WHEN 0 THEN 4 * f.line WHEN 1 THEN h.line ELSE 0 END::INTEGER AS line FROM listed LEFT JOIN hit h USING (file, g, a) LEFT JOIN first f USING (file, g, a)"""
+)
+def dependency_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Places in poms and Gradle scripts; other files have none."""
+    rows = _listed(spark, d)
+    tags = F.concat(F.lit("<dependency>\n<groupId>"), "g", F.lit("</groupId>\n<artifactId>"), "a", F.lit("</artifactId>\n</dependency>"))
+    poms = _files(rows, tags, "pom.xml", "<project>\n<dependencies>\n", "\n</dependencies>\n</project>")
+    scripts = _files(rows, F.concat(F.lit("implementation '"), F.concat_ws(":", "g", "a", "v"), F.lit("'")), "build.gradle", "dependencies {\n", "\n}")
+    name = F.element_at(F.array(F.lit("pom.xml"), F.lit("build.gradle"), F.lit("notes.txt")), (F.col("k") % 3 + 1).cast("int"))
+    wanted = rows.select("k", F.concat(F.lit("file:///"), F.col("file").cast("string"), F.lit("/"), name).alias("file_uri"), F.col("g").alias("group_id"), F.col("a").alias("artifact_id"))
+    return deps.locate(wanted, poms.unionByName(scripts)).select("k", F.col("line").cast("int").alias("line"))
+
+
+#: Braces of the text itself are doubled.
+_JAVA_MORE = """package com.{b};
+import org.kind.Base;
+enum E{k} implements Runnable, java.io.Closeable {{ A, B }}
+interface I{k} extends Shape {{ }}
+@Named(value = "n{v}", tags = {{"a", "b"}}) class P{k} implements Comparable<P{k}>, I{k} {{
+  void run(Object o) {{
+    Item item = new Item(1);
+    if (o instanceof Base) {{ item.go(); }}
+  }}
+}}
+"""
+_MORE_ROWS = [
+    ("PACKAGE", "Module", "pkg", "pkg", 0), ("IMPORT", "Module", "'org.kind.Base'", "'org.kind.Base'", 1),
+    ("CLASS", "Enum", "pkg || '.E' || k", "'E' || k", 2), ("IMPLEMENTS_TYPE", "Class", "pkg || '.Runnable'", "'Runnable'", 2), ("IMPLEMENTS_TYPE", "Class", "'java.io.Closeable'", "'java.io.Closeable'", 2),
+    ("CLASS", "Class", "pkg || '.I' || k", "'I' || k", 3), ("TYPE", "Class", "pkg || '.I' || k", "'I' || k", 3), ("INHERITANCE", "Class", "pkg || '.Shape'", "'I' || k", 3),
+    ("ANNOTATION", "Property", "pkg || '.Named'", "'Named'", 4), ("CLASS", "Class", "pkg || '.P' || k", "'P' || k", 4), ("TYPE", "Class", "pkg || '.P' || k", "'P' || k", 4),
+    ("IMPLEMENTS_TYPE", "Class", "pkg || '.Comparable'", "'P' || k", 4), ("IMPLEMENTS_TYPE", "Class", "pkg || '.I' || k", "'P' || k", 4),
+    ("METHOD", "Method", "pkg || '.P' || k || '.run'", "'run'", 5), ("METHOD", "Method", "pkg || '.P' || k || '.run(Object)'", "'run'", 5), ("RETURN_TYPE", "Method", "pkg || '.void'", "'run'", 5), ("TYPE", "Method", "pkg || '.Object'", "'run'", 5),
+    ("VARIABLE_DECLARATION", "Variable", "pkg || '.Item'", "'item'", 6), ("TYPE", "Method", "pkg || '.Item'", "'run'", 6), ("CONSTRUCTOR_CALL", "Class", "pkg || '.Item'", "'Item'", 6), ("TYPE", "Method", "pkg || '.Item'", "'run'", 6),
+    ("TYPE", "Method", "'org.kind.Base'", "'run'", 7), ("METHOD_CALL", "Method", "pkg || '.Item.go'", "'run'", 7),
+]
+_MARKED, _MARK = ("ANNOTATION", "CLASS", "TYPE"), "pkg || '.Named tags=a value=n' || v"
+
+
+@query(
+    f"WITH {_LISTED}, s AS (SELECT *, 'com.' || g AS pkg, 'file:///' || file || '/P' || k || '.java' AS uri FROM listed)"
+    + " UNION ALL ".join(f" SELECT uri AS file_uri, '{loc}' AS location, '{kind}' AS kind, {q} AS qualified_name, {n} AS name, {line} AS line, {_MARK if line == 4 and loc in _MARKED else 'NULL'} AS marks FROM s" for loc, kind, q, n, line in _MORE_ROWS)
+)
+def java_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Enums, interfaces, annotations with elements, local variables, constructor calls and instanceof."""
+    text = F.lit(_JAVA_MORE.replace("{{", "{").replace("}}", "}"))
+    for key, value in (("{b}", F.col("g")), ("{k}", F.col("k").cast("string")), ("{v}", F.col("v"))):
+        text = F.replace(text, F.lit(key), value)
+    files = _listed(spark, d).select(F.concat(F.lit("file:///"), F.col("file").cast("string"), F.lit("/P"), F.col("k").cast("string"), F.lit(".java")).alias("file_uri"), text.alias("text"))
+    mark = F.try_element_at("annotations", F.lit(1))
+    pairs = F.array_sort(F.transform(F.map_entries(mark["elements"]), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    marks = F.when(mark.isNotNull(), F.concat_ws(" ", mark["qualified_name"], pairs))
+    return scan.symbols(files).select("file_uri", "location", "kind", "qualified_name", "name", "line", marks.alias("marks"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return incidents(spark, d)
 
