@@ -422,11 +422,12 @@ def maven_direct(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_LISTED}, hit AS (SELECT a.file, a.g, a.a, min(b.line) + 1 AS line FROM listed a JOIN listed b ON a.file = b.file AND contains(b.g || ':' || b.a || ':' || b.v, a.g || ':' || a.a) GROUP BY ALL),
-first AS (SELECT file, g, a, min(line) AS line FROM listed GROUP BY ALL)
-SELECT k, CASE k % 3 WHEN 0 THEN 4 * f.line WHEN 1 THEN h.line ELSE 0 END::INTEGER AS line FROM listed LEFT JOIN hit h USING (file, g, a) LEFT JOIN first f USING (file, g, a)"""
+cand AS (SELECT file, g, a, 4 * line - 1 AS i, 1 AS own, 4 * line AS place FROM listed UNION ALL SELECT file, g, lag(a) OVER (PARTITION BY file ORDER BY k), 4 * line - 1, 0, 4 * line - 3 FROM listed),
+first AS (SELECT file, g, a, arg_min(place, 2 * i + own) AS place FROM cand GROUP BY ALL)
+SELECT k, CASE k % 3 WHEN 0 THEN f.place WHEN 1 THEN h.line ELSE 0 END::INTEGER AS line FROM listed LEFT JOIN hit h USING (file, g, a) LEFT JOIN first f USING (file, g, a)"""
 )
 def dependency_locations(spark: SparkSession, d: str) -> DataFrame:
-    """Places in poms and Gradle scripts; other files have none."""
+    """Places in poms (where an artifactId up to three lines above a groupId counts too) and Gradle scripts; other files have none."""
     rows = _listed(spark, d)
     tags = F.concat(F.lit("<dependency>\n<groupId>"), "g", F.lit("</groupId>\n<artifactId>"), "a", F.lit("</artifactId>\n</dependency>"))
     poms = _files(rows, tags, "pom.xml", "<project>\n<dependencies>\n", "\n</dependencies>\n</project>")
