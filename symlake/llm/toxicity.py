@@ -9,11 +9,12 @@ Features are hashed words and their prefixes of 4 to 8 bytes (so that inflected
 present, at least twice, at least four times. Up to 1,024 that positives have far oftener than unlabelled text take
 part. Levels instead of frequencies make scores of long and short texts comparable.
 
-Fitting uses bounded samples (``POSITIVES``, ``UNLABELLED``: the rows with the least hashes of their ids) of
-rows that are not held out, collected as feature numbers. Scoring reads whole texts, in chunks of bytes.
+Fitting uses bounded samples (``POSITIVES``, ``UNLABELLED``: the ids with the least hashes, a text for each) of
+rows that are not held out, collected as feature numbers, at most ``FEATURES`` a text (those with the least hashes). Scoring
+reads whole texts, in chunks of bytes.
 
 Edge cases: null and empty texts get the score of a text without features; labels for absent or null ids are ignored, of
-repeated labels the larger counts; without positives or text to learn from every score is 0; repeated rows get equal
+repeated labels the larger counts; of rows that share an id the least text may be a sample; without positives or text to learn from every score is 0; repeated rows get equal
 scores; an empty table gives no rows.
 """
 
@@ -33,6 +34,8 @@ from symlake.llm.rolling import U64, Prints, mix
 
 #: Documents that the classifier is fitted on, at most.
 POSITIVES, UNLABELLED = 3000, 5000
+#: Features that fitting takes of a sampled text, at most: what is collected has a bound whatever the texts' lengths.
+FEATURES = 16_384
 CHOSEN = 1024
 #: What a feature needs to be chosen: a share of positives among the texts that have it, and a gain in log likelihood
 #: beyond the one that chance gives the best of all candidates.
@@ -146,6 +149,22 @@ def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == values, at, len(sorted_))
 
 
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the direction to step against: its gradient (the bias last), or that of minus the part
+    on negatives where this part is below zero."""
+    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -50, 50)))
+    gp, gu = xp @ w + b, xu @ w + b
+    positive = prior * np.mean(np.logaddexp(0, -gp))
+    negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
+    at_u, at_p = sigmoid(gu) / len(gu), -prior * sigmoid(gp) / len(gp)  # of the part on negatives
+    if negative >= 0:
+        at_p = at_p - prior * (1 - sigmoid(gp)) / len(gp)
+    else:
+        at_u, at_p = -at_u, -at_p
+    step = np.append(xu.T @ at_u.astype(xu.dtype) + xp.T @ at_p.astype(xp.dtype), at_u.sum() + at_p.sum())
+    return positive + max(0.0, negative), step
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Train on lists of distinct feature numbers, by full-batch Adam on the non-negative risk with logistic loss."""
     nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0, prior)
@@ -165,16 +184,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     xp, xu = dense(positive), dense(unlabelled)
     w, b = np.zeros(len(chosen), np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -50, 50)))
     for t in range(1, steps + 1):
-        gp, gu = xp @ w + b, xu @ w + b
-        negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-        at_u, at_p = sigmoid(gu) / len(gu), -prior * sigmoid(gp) / len(gp)  # of the risk on negatives
-        if negative >= 0:
-            at_p = at_p - prior * (1 - sigmoid(gp)) / len(gp)
-        else:
-            at_u, at_p = -at_u, -at_p
-        grad = np.append(xu.T @ at_u.astype(np.float32) + xp.T @ at_p.astype(np.float32), at_u.sum() + at_p.sum())
+        grad = risk(xp, xu, w, b, prior)[1]
         grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -192,7 +203,10 @@ def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for text in batch.column(1).to_pylist():
             own = [features(s)[1] for s in _segments([text])]
             found = np.concatenate(own) if own else np.zeros(0, np.int64)
-            lists.append(levels(np.zeros(len(found), np.int64), found)[1].astype(np.uint32).view(np.int32))
+            own_levels = levels(np.zeros(len(found), np.int64), found)[1]
+            if len(own_levels) > FEATURES:
+                own_levels = np.partition(own_levels, FEATURES)[:FEATURES]
+            lists.append(own_levels.astype(np.uint32).view(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["part", "features"])
 
 
@@ -205,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     by_hash = lambda df, n: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
     some = by_hash(marks.where("toxic = 1"), positives).select("id", F.lit(1).alias("part")).unionByName(by_hash(texts, unlabelled).select("id", F.lit(0).alias("part")))
     # At most positives + unlabelled ids: small enough to broadcast whatever the input.
-    sample = texts.join(F.broadcast(some), "id").select("part", "text").mapInArrow(_distinct_features, "part int, features array<int>").toArrow()
+    chosen = texts.join(F.broadcast(some), "id").groupBy("part", "id").agg(F.min("text").alias("text"))
+    sample = chosen.select("part", "text").mapInArrow(_distinct_features, "part int, features array<int>").toArrow()
     part = sample.column("part").to_numpy()
     lists = [np.asarray(x.values).view(np.uint32).astype(np.int64) for x in sample.column("features")]
     pick = lambda k: [f for f, p in zip(lists, part, strict=True) if p == k]

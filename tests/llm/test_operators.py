@@ -75,6 +75,51 @@ def test_toxicity_edges(spark):
     assert max(no_labels.scores([t for _, t in EDGES], len(EDGES))) < 0.5
 
 
+def test_toxicity_risk_against_loops():
+    rnd = np.random.default_rng(4)
+    loss = lambda margin: float(np.log1p(np.exp(-margin)))
+    for prior, shift in ((0.2, 0.0), (0.6, -3.0)):  # the second has a part on negatives below zero
+        xp, xu = rnd.integers(0, 2, (7, 4)).astype(float), rnd.integers(0, 2, (9, 4)).astype(float)
+        w, b = rnd.normal(size=4), shift
+        if shift:
+            xp, xu, w = np.ones((7, 4)), np.zeros((9, 4)), np.full(4, 2.0)
+
+        def parts(w, b):
+            score = lambda x: sum(a * c for a, c in zip(x, w, strict=True)) + b
+            on_p = sum(loss(score(x)) for x in xp) / len(xp)
+            as_negative = sum(loss(-score(x)) for x in xp) / len(xp)
+            return prior * on_p, sum(loss(-score(x)) for x in xu) / len(xu) - prior * as_negative
+
+        positive, negative = parts(w, b)
+        total, step = toxicity.risk(xp, xu, w, b, prior)
+        assert (negative < 0) == bool(shift) and np.isclose(total, positive + max(0, negative))
+        f = (lambda w, b: sum(parts(w, b))) if negative >= 0 else (lambda w, b: -parts(w, b)[1])
+        e = 1e-6
+        near = [(f(w + e * np.eye(4)[k], b) - f(w - e * np.eye(4)[k], b)) / (2 * e) for k in range(4)]
+        assert np.allclose(step, [*near, (f(w, b + e) - f(w, b - e)) / (2 * e)], atol=1e-5)
+
+
+def test_toxicity_scores_of_a_tiny_model():
+    texts = ["aa bb", "aa aa", "", None, "bb"]
+    own = lambda t: set(toxicity.levels(*(lambda o, f: (o * 0, f))(*toxicity.features([(0, t.encode())])))[1].tolist())
+    a, b = own("aa"), own("bb")
+    twice = own("aa aa") - a
+    weights = dict.fromkeys(a, 1.5) | dict.fromkeys(b, -2.0) | dict.fromkeys(twice, 0.25)
+    chosen = np.array(sorted(weights))
+    model = toxicity.Model(chosen, np.array([weights[c] for c in chosen]), -0.5, 0.1)
+    want = [1 / (1 + np.exp(-x)) for x in (-0.5 + 1.5 - 2.0, -0.5 + 1.75, -0.5, -0.5, -2.5)]
+    assert np.allclose(model.scores(texts, len(texts)), want)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    rows, labels = toxic_corpus(200)
+    df = spark.createDataFrame([*rows, *[(3, "one id many rows")] * 500], DOCS)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, marks, "doc_id", "text", "toxic")
+    out = df.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).where("doc_id = 3").collect()
+    assert len(out) == 501 and len({r["s"] for r in out}) <= 2
+
+
 def test_toxicity_long_texts_are_cut_between_words(monkeypatch):
     text = "one two three four " * 40
     whole = toxicity.features(next(toxicity._segments([text])))[1]
