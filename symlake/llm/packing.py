@@ -17,6 +17,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -38,17 +39,20 @@ LIMIT = 2048
 #: Pieces that one task packs together.
 GROUP = 16384
 #: Distinct strings whose ids a worker remembers.
-CACHE = 800_000
+CACHE = 1_600_000
 #: Bytes that end words and are never part of one with the letters before them (fixed values).
 PUNCTUATION = b".,;:!?*$%&#@-_()[]{}+=/|~"
 END = b"\0\0\0\0"
+_STEM = re.compile(rb"(?m)^(.*?)([" + re.escape(PUNCTUATION) + rb"]*)$")
+#: The characters by which a vocabulary on bytes names those that don't print: the next ones from 256 on.
+_BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)) if b != 0x20}
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit words.
 
     The tokenizer lower-cases, so ASCII letters are lowered first and share entries; a word with punctuation behind it
-    is looked up as two. New words of letters alone are encoded many at a time and parted at the tokens that
+    is looked up as two. New words of Latin letters alone are encoded many at a time and parted at the tokens that
     end a word. Texts that may hold special tokens are encoded by the library directly.
     """
 
@@ -61,70 +65,81 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.marks = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
-        # The same model without normal forms, which lower-case ASCII letters don't need.
+        # The same model without normal forms, which lower-case Latin letters don't need.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache, self.known = cache, {b"": b""}
+        #: Half of the cache is what was learnt last; of the other half, words that come again move over.
+        self.cache, self.known, self.old = cache, {b"": b""}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
-        cut = []
+        cut, missed = [], set()
+        look_up = self.known.get
         for text in texts:
             body = text.encode()
             if any(m in body for m in self.marks):
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 out.append(None)
-                cut.append(body.lower().replace(b"\n", b" ").split(b" "))
-        self._learn(set().union(*cut))
-        look_up = self.known.__getitem__
-        rest = (b"".join(map(look_up, words)) for words in cut)
+                words = body.lower().replace(b"\n", b" ").split(b" ")
+                found = list(map(look_up, words))
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                new = [words[i] for i in gaps]
+                missed.update(new)
+                cut.append((found, gaps, new))
+        self._learn(missed)
+        known = self.known
+        for found, gaps, new in cut:
+            for i, word in zip(gaps, new, strict=True):
+                found[i] = known[word]
+        rest = (b"".join(found) for found, _, _ in cut)
         return [next(rest) if ids is None else ids for ids in out]
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.cache:
-            self.known = {b"": b""}
-            new = words - self.known.keys()
+    def _learn(self, new: set[bytes]) -> None:
+        """Put words that aren't known into known."""
+        if 2 * (len(self.known) + len(new)) > self.cache:
+            self.known, self.old = {b"": b""}, self.known
+            new.discard(b"")
+        again = new - new.difference(self.old)  # not an operator: it would walk all of old
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        new = new - again
         letters = set(filter(bytes.isalpha, new))
-        others, parts = set(), []
-        for word in new - letters:
-            stem = word.rstrip(PUNCTUATION)
-            if stem != word:
-                tail = word[len(stem) :]
-                parts.append((word, stem, tail))
-                if tail not in self.known:
-                    others.add(tail)
-                if stem in self.known:
-                    continue
-            if stem in letters or stem.isalpha() or stem.decode().lower().isalpha():
-                letters.add(stem)
-            elif stem:
-                if stem != word:
-                    parts.pop()
-                others.add(word)
-        plain = set(filter(bytes.isascii, letters))
-        self._letters(list(plain), self.plain)
-        self._letters(list(letters - plain), self.tokenizer)
-        self._each(list(others))
-        for word, stem, tail in parts:
-            self.known[word] = self.known[stem] + self.known[tail]
+        # The others with the punctuation behind them cut off; line ends are in no word.
+        others = list(new - letters)
+        stems, tails = zip(*_STEM.findall(b"\n".join(others)), strict=True) if others else ((), ())
+        fresh = set(stems).difference(self.known, letters)
+        plain = {w for w in fresh if w.isalpha() or self._is_latin(w.decode())}
+        foreign = {w for w in fresh - plain if w.decode().lower().isalpha()}
+        self._letters(sorted(letters | plain, key=bytes.isascii))  # most calls are of ASCII alone
+        self._each([w for w in {*foreign, *set(tails).difference(self.known)} if w])
+        parted = [stem in self.known for stem in stems]
+        self._each([w for w, known in zip(others, parted, strict=True) if not known])
+        known = self.known
+        for word, stem, tail, ok in zip(others, stems, tails, parted, strict=True):
+            if ok:
+                known[word] = known[stem] + known[tail]
+
+    @staticmethod
+    def _is_latin(word: str) -> bool:
+        """Whether a word is of letters that the tokenizer's normal form only lower-cases, one by one."""
+        return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
 
     def _each(self, words: list[bytes]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.known[word] = array("I", e.ids).tobytes()
 
-    def _letters(self, words: list[bytes], tokenizer: Tokenizer) -> None:
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of Latin letters alone: many at a time, parted at the tokens that end a word."""
         for at in range(0, len(words), 2000):
             own = words[at : at + 2000]
-            ids = np.array(tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, np.uint32)
+            body = b" ".join(own)
+            text = body.decode() if body.isascii() else body.decode().lower().encode().decode("latin-1").translate(_BYTE_NAMES)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(own):  # letters that the tokenizer's normal form takes apart
-                self._each(own)
-                continue
+            assert len(stops) == len(own)
             data, start = ids.tobytes(), 0
             for word, stop in zip(own, (4 * stops).tolist(), strict=True):
                 self.known[word] = data[start:stop]
