@@ -1,7 +1,7 @@
 """JAR, WAR and EAR files as rows of entries.
 
-Class files are read as far as their constant pool and tables go (names, supertypes, interfaces, members and the
-classes and methods that they refer to); bodies are not turned back into source.
+Class files are read as far as their constant pool and tables go (names, supertypes, interfaces, members, annotations with
+their elements, and the classes and methods that they refer to); bodies are not turned back into source.
 """
 
 from __future__ import annotations
@@ -144,6 +144,56 @@ def _descriptor(text: str) -> list[str]:
     return out
 
 
+_NUMBERS = {3: ">i", 4: ">f", 5: ">q", 6: ">d"}
+#: Attributes that hold annotations (fixed values).
+_ANNOTATED = ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations")
+
+
+class _Marks:
+    """Reads the annotations of an attribute: (qualified name, elements as text, of arrays the first)."""
+
+    def __init__(self, data: bytes, at: int, pool: dict[int, tuple]) -> None:
+        self.data, self.at, self.pool = data, at, pool
+
+    def number(self) -> int:
+        self.at += 2
+        return struct.unpack_from(">H", self.data, self.at - 2)[0]
+
+    def all(self) -> list[dict]:
+        return [self.one() for _ in range(self.number())]
+
+    def one(self) -> dict:
+        name = _descriptor(self.pool[self.number()][1])[0]
+        return {"qualified_name": name, "elements": {self.pool[self.number()][1]: self.value() for _ in range(self.number())}}
+
+    def value(self) -> str:
+        tag = chr(self.data[self.at])
+        self.at += 1
+        if tag == "[":
+            found = [self.value() for _ in range(self.number())]
+            return found[0] if found else ""
+        if tag == "@":
+            return "@" + self.one()["qualified_name"].rpartition(".")[2]
+        if tag == "e":
+            kind = _descriptor(self.pool[self.number()][1])[0]
+            return f"{kind.rpartition('.')[2]}.{self.pool[self.number()][1]}"
+        constant = self.pool[self.number()][1]
+        if tag == "c":
+            return _descriptor(constant)[0].rpartition(".")[2] + ".class"
+        return {"Z": lambda: str(bool(constant)).lower(), "C": lambda: chr(constant)}.get(tag, lambda: str(constant))()
+
+
+def _attributes(data: bytes, at: int, pool: dict[int, tuple]) -> tuple[int, list[dict]]:
+    """The end of a table of attributes, and the annotations in it."""
+    n, at, marks = struct.unpack_from(">H", data, at)[0], at + 2, []
+    for _ in range(n):
+        name, size = struct.unpack_from(">HI", data, at)
+        if pool[name][1] in _ANNOTATED:
+            marks += _Marks(data, at + 6, pool).all()
+        at += 6 + size
+    return at, marks
+
+
 def read_class(data: bytes) -> list[dict]:
     """Symbol rows of a class file: the type, its supertypes, fields, methods, and the methods and classes it uses."""
     if data[:4] != b"\xca\xfe\xba\xbe":
@@ -159,7 +209,8 @@ def read_class(data: bytes) -> list[dict]:
             at += 3 + size
         else:
             width = _WIDTH[tag]
-            pool[k] = (tag, *(struct.unpack_from(">HH", data, at + 1) if width == 4 and tag >= 9 else struct.unpack_from(">H", data, at + 1) if width == 2 else ()))
+            form = _NUMBERS.get(tag) or {4: ">HH", 2: ">H"}.get(width)
+            pool[k] = (tag, *(struct.unpack_from(form, data, at + 1) if form else ()))
             at += 1 + width
             k += tag in (5, 6)
         k += 1
@@ -170,39 +221,50 @@ def read_class(data: bytes) -> list[dict]:
     own = name_of(this)
     simple, package = own.rpartition(".")[2], pool[pool[this][1]][1].rpartition("/")[0].replace("/", ".")
     rows: list[dict] = []
-    add = lambda q, name, kind, location: rows.append({"qualified_name": q, "name": name, "kind": kind, "location": location, "package_name": package, "line": 0, "start_char": 0, "end_line": 0, "end_char": 0, "annotations": []})
+
+
+    def add(q: str, name: str, kind: str, location: str, marks: list[dict] | None = None) -> None:
+        found = [{**m, "elements": list(m["elements"].items())} for m in marks or []]
+        rows.append({"qualified_name": q, "name": name, "kind": kind, "location": location, "package_name": package, "line": 0, "start_char": 0, "end_line": 0, "end_char": 0, "annotations": found})
+
+    def used(marks: list[dict]) -> None:
+        for m in marks:
+            add(m["qualified_name"], m["qualified_name"].rpartition(".")[2], "Property", "ANNOTATION", marks)
+
     if package:
         add(package, package, "Module", "PACKAGE")
+    members = []
+    for table in ("field", "method"):
+        n, at = struct.unpack_from(">H", data, at)[0], at + 2
+        for _ in range(n):
+            flags, name, descriptor = struct.unpack_from(">HHH", data, at)
+            at, marks = _attributes(data, at + 6, pool)
+            if not flags & 0x1000:
+                members.append((table, pool[name][1], _descriptor(pool[descriptor][1]), marks))
+    marks = _attributes(data, at, pool)[1]
     kind = "Enum" if access & 0x4000 else "Class"
-    add(own, simple, kind, "CLASS")
+    add(own, simple, kind, "CLASS", marks)
     if kind == "Class":
-        add(own, simple, kind, "TYPE")
+        add(own, simple, kind, "TYPE", marks)
+    used(marks)
     if parent and name_of(parent) not in ("java.lang.Object", "java.lang.Enum"):
         add(name_of(parent), simple, "Class", "INHERITANCE")
     for i in interfaces:
         add(name_of(i), simple, "Class", "INHERITANCE" if access & 0x0200 else "IMPLEMENTS_TYPE")
-    for table in ("field", "method"):
-        n, at = struct.unpack_from(">H", data, at)[0], at + 2
-        for _ in range(n):
-            flags, name, descriptor, attributes = struct.unpack_from(">HHHH", data, at)
-            at += 8
-            for _ in range(attributes):
-                at += 6 + struct.unpack_from(">I", data, at + 2)[0]
-            if flags & 0x1000:
-                continue
-            label, types = pool[name][1], _descriptor(pool[descriptor][1])
-            if table == "field":
-                add(types[0], label, "Field", "FIELD")
-                add(types[0], label, "Field", "TYPE")
-            elif label != "<clinit>":
-                shown = simple if label == "<init>" else label
-                add(f"{own}.{shown}", shown, "Method", "METHOD")
-                if types[:-1]:
-                    add(f"{own}.{shown}({','.join(t.rpartition('.')[2] for t in types[:-1])})", shown, "Method", "METHOD")
-                if label != "<init>":
-                    add(types[-1], shown, "Method", "RETURN_TYPE")
-                for t in types[:-1]:
-                    add(t, shown, "Method", "TYPE")
+    for table, label, types, marks in members:
+        if table == "field":
+            add(types[0], label, "Field", "FIELD", marks)
+            add(types[0], label, "Field", "TYPE")
+        elif label != "<clinit>":
+            shown = simple if label == "<init>" else label
+            add(f"{own}.{shown}", shown, "Method", "METHOD", marks)
+            if types[:-1]:
+                add(f"{own}.{shown}({','.join(t.rpartition('.')[2] for t in types[:-1])})", shown, "Method", "METHOD", marks)
+            if label != "<init>":
+                add(types[-1], shown, "Method", "RETURN_TYPE")
+            for t in types[:-1]:
+                add(t, shown, "Method", "TYPE")
+        used(marks)
     for entry in [e for e in pool.values() if e[0] in (10, 11)]:
         owner, called = name_of(entry[1]), pool[pool[entry[2]][1]][1]
         if called == "<init>":

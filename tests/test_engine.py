@@ -337,6 +337,31 @@ def test_archives(spark, tmp_path):
     assert archives.route("WEB-INF/lib/a.jar") == "dependency" and archives.route("WEB-INF/web.xml") == "src/main/webapp/WEB-INF/web.xml" and archives.route("conf.txt") == "src/main/resources/conf.txt"
 
 
+def test_class_files(spark, tmp_path):
+    import pathlib
+
+    import pyspark
+
+    jar = next(pathlib.Path(pyspark.__file__).parent.glob("jars/jackson-annotations-*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        rows = archives.read_class(z.read("com/fasterxml/jackson/annotation/JsonProperty.class"))
+    found = {(r["location"], r["qualified_name"]) for r in rows}
+    own = "com.fasterxml.jackson.annotation.JsonProperty"
+    assert {("PACKAGE", own.rpartition(".")[0]), ("CLASS", own), ("TYPE", own), ("INHERITANCE", "java.lang.annotation.Annotation"), ("METHOD", f"{own}.value"), ("RETURN_TYPE", "java.lang.String"), ("ANNOTATION", "java.lang.annotation.Retention"), ("ANNOTATION", "java.lang.annotation.Target")} <= found
+    marks = {a["qualified_name"]: dict(a["elements"]) for r in rows if r["location"] == "CLASS" for a in r["annotations"]}
+    assert marks["java.lang.annotation.Retention"] == {"value": "RetentionPolicy.RUNTIME"} and marks["java.lang.annotation.Target"]["value"].startswith("ElementType.")
+    with pytest.raises(ValueError):
+        archives.read_class(b"no class")
+    (tmp_path / "lib.jar").write_bytes(jar.read_bytes())
+    engine = Engine(spark)
+    ident = engine.init(Config(str(tmp_path / "lib.jar")))
+    ask = lambda text: engine.evaluate(ident, "referenced", f"referenced: {text}")
+    assert ask("{pattern: java.lang.annotation.Retention, location: ANNOTATION}").count() > 30
+    both = ask("{pattern: com.fasterxml.jackson.annotation.JsonProperty, location: CLASS, annotated: {pattern: 'java.lang.annotation.Ret*', elements: [{name: value, value: '.*RUNTIME'}]}}")
+    assert both.count() == 1
+    engine.stop(ident)
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([("com.acme", "x"), ("org.apache", "y")], "group_id string, artifact_id string")
     got = {r["group_id"]: r["labels"] for r in deps.labels(rows, ["org[.]apache:.*"], ["com."]).collect()}
