@@ -5,8 +5,12 @@ Every (key, shard) pair gets a hash u in (0, 1); a record goes to the shard with
 weight_j / sum(weights), and a further shard takes only the records whose race it wins, so no record
 moves between old shards. Equal values go to the smaller shard number.
 
+Rows that repeat each other are counted before the shuffle, take a range of slots and become rows again in chunks, so
+that no task meets all rows of a hot key.
+
 Edge cases: a null key hashes as the empty string; a null text counts as no bytes; rows that repeat a
-key land in one shard and get slots of their own; empty input gives no rows.
+key land in one shard and get slots of their own; very long texts count by their bytes and are read once; empty input
+gives no rows.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symlake.llm.common import project, table
+from symlake.llm.common import materialize, project, table
 
 SHARDS = 24
-#: Sub-ranges of a shard that are numbered independently: the rows that one task sorts to give out slots.
-BUCKETS = 64
+#: Sub-ranges of a shard that are numbered independently, at least, and the rows that one should have: a task sorts
+#: them to give out slots.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
+#: Copies of a repeated row that one task makes.
+COPIES = 100_000
 ROW_OVERHEAD = 8
 
 
@@ -43,27 +50,31 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(times)["shard"]
 
 
-def assign(df: DataFrame, key: str, text: str, weights: Sequence[float], grown_by: float = 1.0, buckets: int = BUCKETS) -> DataFrame:
+def assign(df: DataFrame, key: str, text: str, weights: Sequence[float], grown_by: float = 1.0, buckets: int | None = None) -> DataFrame:
     """(key, size, text_crc32, shard, slot, grown_shard) for every row.
 
     grown_shard is the shard after one more shard of weight grown_by joins. Slots are gapless: rows are
-    numbered within (shard, bucket of the key's hash), then shifted by the sizes of the earlier buckets.
-    Those sizes are at most len(weights) * buckets rows, whatever the input, and are broadcast.
+    numbered within (shard, bucket of the key's hash), then shifted by the sizes of the earlier buckets. Buckets
+    follow from the number of rows; their sizes, a row for each million rows or at most BUCKETS a shard, are broadcast.
     """
+    buckets = buckets or max(BUCKETS, df.count() // (len(weights) * BUCKET_ROWS))
     rows = project(df, key=key, text=text)
     name = F.coalesce(F.col("key").cast("string"), F.lit(""))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     times = F.array(*[F.struct(race(name, j, w).alias("t"), F.lit(j).alias("shard")) for j, w in enumerate(weights)])
     last = race(name, len(weights), grown_by)
-    keyed = rows.select("key", (F.octet_length(body) + F.lit(ROW_OVERHEAD)).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"), F.array_min(times).alias("best"), last.alias("last"), F.pmod(_hex_number(F.md5(name.cast("binary")), 1, 4), F.lit(buckets)).alias("bucket"))
+    place = ["key", "size", "text_crc32", "shard", "grown_shard", "bucket"]
+    keyed = rows.select("key", (F.octet_length(body) + F.lit(ROW_OVERHEAD)).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"), F.array_min(times).alias("best"), last.alias("last"), F.pmod(_hex_number(F.md5(name.cast("binary")), 1, 8), F.lit(buckets)).alias("bucket"))
     keyed = keyed.select("key", "size", "text_crc32", F.col("best.shard").alias("shard"), F.when(F.col("last") < F.col("best.t"), F.lit(len(weights))).otherwise(F.col("best.shard")).alias("grown_shard"), "bucket")
-    sizes = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counted = materialize(keyed.groupBy(*place).agg(F.count("*").alias("n")), "counted")
+    sizes = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32")
-    numbered = keyed.withColumn("nth", F.row_number().over(own) - 1)
-    out = numbered.join(F.broadcast(shifts), ["shard", "bucket"])
-    return out.select("key", "size", "text_crc32", "shard", (F.col("nth") + F.col("shift")).cast("bigint").alias("slot"), "grown_shard")
+    own = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("nth", F.coalesce(F.sum("n").over(own), F.lit(0))).join(F.broadcast(shifts), ["shard", "bucket"])
+    chunks = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("chunk")).repartition("key", "chunk")
+    copies = chunks.select("*", F.explode(F.sequence("chunk", F.least(F.col("chunk") + COPIES, F.col("n")) - 1)).alias("copy"))
+    return copies.select("key", "size", "text_crc32", "shard", (F.col("nth") + F.col("shift") + F.col("copy")).cast("bigint").alias("slot"), "grown_shard")
 
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +106,6 @@ won AS (
   SELECT doc_id, arg_min(shard, (t, shard)) FILTER (shard < {SHARDS}) AS shard, arg_min(shard, (t, shard)) AS grown_shard FROM races GROUP BY doc_id),
 docs AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents)
 SELECT doc_id, octet_length(body)::BIGINT + {ROW_OVERHEAD} AS size, {crc_sql('body')} AS text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT % {BUCKETS}, doc_id) - 1 AS slot, grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {BUCKETS}, doc_id) - 1 AS slot, grown_shard
 FROM docs JOIN won USING (doc_id), crc_table
 """

@@ -216,6 +216,17 @@ def test_shards_edges(spark):
     assert sharding.assign(empty(spark), "doc_id", "text", [1.0]).count() == 0
 
 
+def test_shards_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "t").alias("text"))
+    out = sharding.assign(df, "doc_id", "text", [1.0] * 4, buckets=3).collect()
+    hot = [r for r in out if r["key"] == 7]
+    assert len(out) == 3000 and len(hot) == 1000 and len({r["shard"] for r in hot}) == 1 and sum(r["size"] == 9 for r in hot) == 500
+    for j in range(4):
+        own = sorted(r["slot"] for r in out if r["shard"] == j)
+        assert own == list(range(len(own)))
+
+
 # BPE --------------------------------------------------------------------------------------------------------
 
 
@@ -353,6 +364,38 @@ def test_warc_empty(spark, tmp_path):
     assert warc.assemble(warc.read(spark, str(tmp_path / "w"))).count() == 0
 
 
+# Very long texts -------------------------------------------------------------------------------------------
+
+
+def test_texts_beyond_a_megabyte(spark):
+    from tokenizers import Tokenizer
+
+    body = "".join(random.Random(9).choice("abcdefghij  .") for _ in range(1_300_000))
+    rows = [(1, body), (2, body + " x"), (3, "  " + body)]
+    df = spark.createDataFrame(rows, DOCS)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    stored = {r["id"]: (r["n_bytes"], r["payload_sha256"], r["media_type"], r["declared"], r["n_carved"]) for r in media.store_and_read(df, "doc_id", "text").collect()}
+    assert stored == {i: (len(t), sha(t.encode() + bytes(-len(t) % 64)), "audio/wav", "application/octet-stream", 0) for i, t in rows}
+    kept = {r["id"]: r["keep_id"] for r in patricia.dedup(df, "doc_id", "text", 1 << 20).collect()}
+    assert kept == {1: 1, 2: 2, 3: 3}
+    for name, of in (("byte_bpe_50k.json", "bpe"), ("word_bpe_49k.json", "packing")):
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+        if of == "bpe":
+            got = {r["id"]: r["n_tokens"] for r in bpe.round_trip(df, "doc_id", "text", path).collect()}
+        else:
+            pieces = packing.pack(df, "doc_id", "text", path).groupBy("id").agg(F.sum("length").alias("n")).collect()
+            got = {r["id"]: r["n"] - 1 for r in pieces}
+        assert got == want
+    url = "http://a.org/" + "x/" * 300_000
+    captures = spark.createDataFrame([(1, url, "2024-05-01 00:00:00")], "k long, u string, t string").selectExpr("k", "u", "CAST(t AS TIMESTAMP) AS at")
+    entries = spark.createDataFrame([("a.org/x", "2024-01-01 00:00:00", "add", "c")], "pattern string, t string, action string, category string").selectExpr("pattern", "CAST(t AS TIMESTAMP) AS effective", "action", "category")
+    assert urlfilter.judge(captures, entries, "k", "u", "at").first()["blocked"]
+
+
 # Packing ----------------------------------------------------------------------------------------------------
 
 
@@ -365,6 +408,35 @@ def test_bins_hold_each_piece_once(lengths):
     assert len(bins) <= max(1, 2 * -(-sum(lengths) // 64)) if lengths else not bins
 
 
+def best_first_bin(lengths, limit):
+    """What the rules say of the first bin, by trying all: fill greedily, then two for the smallest."""
+    left, own, gap = sorted(lengths, reverse=True), [], limit
+    for n in list(left):
+        if n <= gap:
+            own.append(n)
+            left.remove(n)
+            gap -= n
+    if gap and len(own) > 1:
+        small = min(own)
+        pairs = [(a + b, max(a, b)) for i, a in enumerate(left) for b in left[:i] if small < a + b <= gap + small]
+        if pairs:
+            total, large = max(pairs)
+            own.remove(small)
+            own += [large, total - large]
+    return sorted(own)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=12), st.integers(30, 60))
+def test_bins_follow_the_rules(lengths, limit):
+    left = list(lengths)
+    for own in packing.pack_group(lengths, limit):
+        assert sorted(lengths[i] for i in own) == best_first_bin(left, limit)
+        for i in own:
+            left.remove(lengths[i])
+    assert not left
+
+
 def test_two_replace_the_smallest():
     # Greedy takes 60 + 30; the gap of 10 takes nothing. Without the 30 the room of 40 takes 21 + 19.
     assert [sorted(x) for x in packing.pack_group([60, 30, 29, 25, 21, 19], 100)][0] in ([0, 1], [0, 3, 4], [0, 4, 5], [0, 5, 4])
