@@ -5,14 +5,19 @@ one text in a task:
 
 * Positions are first thinned out to anchors. The anchor of a window start is the position with the least
   hash in the ``WINDOW`` bytes that follow (leftmost at ties); starts that share an anchor form an interval. Equal
-  windows have equal anchors at equal distances, so that comparing anchors loses nothing.
-* Round 1 ranks anchors by the bytes that all windows of an interval share, rounds 2 and 3 rank blocks of ``STEPS``
-  starts by the longer strings that these share (273, 393 and 400 bytes for a threshold of 400). Ranks are 64-bit
-  names (fingerprints) instead of ordinals, kept in pairs: Spark groups the (rank of the anchor, rank at
-  this length) pairs, partially before the shuffle.
-* After each round a block whose name is unique is out. A block whose whole surroundings, from its first
-  start to its last window's end, occur more than once is settled: all its starts repeat. Only the others (mostly
-  edges of edits) go on to the next, longer round, one of each kind of equal surroundings.
+  windows have equal anchors at equal distances, so that ranking anchors loses nothing.
+* Round 1 ranks anchors by their first 73 bytes, and those with a rank of their own are out. Round 2 ranks pairs (rank
+  at the anchor, name of the string 72 bytes further on), which tells the first 145 bytes: all that the windows
+  of an interval share. Again only shared ranks stay.
+* Rounds 3 and 4 take blocks of ``STEPS`` starts. They rank pairs (rank of the anchor so far, name of what all windows of the block
+  share), which tells 385 and 400 bytes. Lengths are for a threshold of 400.
+* From round 2 on, a block whose whole surroundings, from its first start to its last window's end, occur more than once
+  is settled: all its starts repeat. Only the others (mostly edges of edits) go on to the next, longer round, one
+  of each kind of equal surroundings.
+
+A rank is a 64-bit hash of the pair that it stands for rather than an ordinal, so that a round needs no global order: Spark
+groups the pairs, partially before the shuffle, and joins the shared ones back. Ranking every position instead of
+anchors would shuffle a pair for each byte and round, some hundred times the input.
 
 The same is done on words instead of bytes (``WORDS``) where a passage is long by its number of words: positions
 are then those of words, and a word counts by its hash.
@@ -22,7 +27,7 @@ Python is done on chunks of ``CHUNK`` bytes whatever the length of a text.
 
 Edge cases: null and empty texts have no bytes; texts below the threshold lose nothing; rows that repeat, ids
 included, are documents of their own and so copies of each other; an empty table gives no rows. Rows are told
-apart by a 64-bit hash of id and text.
+apart by a 64-bit hash of id and text. A very long text is taken in chunks; its spans are one array in one task.
 """
 
 from __future__ import annotations
@@ -42,9 +47,11 @@ from symlake.llm.rolling import U64, Prints, mix
 
 THRESHOLD = 400
 #: Bytes within which every window has an anchor (a power of two), and the grams whose hashes choose it.
-WINDOW, GRAM = 128, 16
+WINDOW, GRAM = 256, 16
 #: Starts in a block, round by round.
-STEPS = (WINDOW, 8, 1)
+STEPS = (WINDOW, 16, 1)
+#: Words from which a repeated passage counts, however few bytes it has.
+PASSAGE = 51
 CHUNK = (1 << 20) - 8
 
 
@@ -58,9 +65,12 @@ class Unit(NamedTuple):
 
 
 BYTES = Unit(lambda buf: np.frombuffer(buf, np.uint8), WINDOW, GRAM, STEPS)
-WORDS = Unit(lambda buf: words(buf.to_pybytes())[2], 16, 2, (16, 4, 1))
+WORDS = Unit(lambda buf: words(buf.to_pybytes())[2], 32, 2, (32, 4, 1))
 
-ROWS = pa.schema([("key", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("root", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
+_PLACE = [("key", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]
+FIRST = pa.schema([*_PLACE, ("head", pa.int64()), ("tail", pa.int64()), ("whole", pa.int64())])
+FIRST_DDL = "key long, p int, a int, b int, head long, tail long, whole long"
+ROWS = pa.schema([*_PLACE, ("root", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
 ROWS_DDL = "key long, p int, a int, b int, root long, core long, whole long"
 
 
@@ -82,23 +92,26 @@ def anchors(prints: Prints, valid: np.ndarray, window: int = WINDOW, gram: int =
     return p[a], a, b
 
 
+def surroundings(prints: Prints, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: int, window: int) -> np.ndarray:
+    """Names of all that windows from lo to hi cover, and of where the anchor is in it."""
+    return mix(prints.of(lo, hi + threshold) + ((p - lo) * 2 * window + (p - hi)).astype(U64) * U64(0xA0761D6478BD642F))
+
+
 def blocks(prints: Prints, p: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, threshold: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Cut intervals into blocks of step starts, counted back from the anchor: (item, a, b, root, core, whole)."""
+    """Cut intervals into blocks of step starts, counted back from the anchor: (item, a, b, core, whole)."""
     first, last = (p - b) // step, (p - a) // step
     n = last - first + 1
     item = np.repeat(np.arange(len(p)), n)
     j = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + first[item]
     ip = p[item]
     lo, hi = np.maximum(a[item], ip - step * (j + 1) + 1), np.minimum(b[item], ip - step * j)
-    root = mix(prints.of(ip, ip + threshold - window + 1))
     core = mix(prints.of(ip - step * j, ip - step * (j + 1) + 1 + threshold) + j.astype(U64) * U64(0xD6E8FEB86659FD93))
-    whole = mix(prints.of(lo, hi + threshold) + ((ip - lo) * 2 * window + (ip - hi)).astype(U64) * U64(0xA0761D6478BD642F))
-    return item, lo, hi, root, core, whole
+    return item, lo, hi, core, surroundings(prints, ip, lo, hi, threshold, window)
 
 
-def _batch(key: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, *names: np.ndarray) -> pa.RecordBatch:
+def _batch(schema: pa.Schema, key: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, *names: np.ndarray) -> pa.RecordBatch:
     cols = [pa.array(key, pa.int64()), *[pa.array(x.astype(np.int32)) for x in (p, lo, hi)], *[pa.array(x.view(np.int64)) for x in names]]
-    return pa.RecordBatch.from_arrays(cols, schema=ROWS)
+    return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -132,62 +145,69 @@ def _round_one(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit = B
         for e in ends:
             valid[e - threshold + 1 : e] = False
         p, a, b = anchors(prints, valid, unit.window, unit.gram)
-        item, lo, hi, root, core, whole = blocks(prints, p, a, b, unit.steps[0], threshold, unit.window)
-        tile = np.searchsorted(ends, lo, side="right")
+        shared = threshold - unit.window + 1  # what all windows of an interval have, from the anchor on
+        half = (shared + 1) // 2
+        head, tail = mix(prints.of(p, p + half)), mix(prints.of(p + shared - half, p + shared))
+        tile = np.searchsorted(ends, a, side="right")
         shift = np.array([t[1] for t in tiles])[tile] - (ends - sizes)[tile]
-        yield _batch(np.array([t[0] for t in tiles], np.int64)[tile], p[item] + shift, lo + shift, hi + shift, root, core, whole)
+        yield _batch(FIRST, np.array([t[0] for t in tiles], np.int64)[tile], p + shift, a + shift, b + shift, head, tail, surroundings(prints, p, a, b, threshold, unit.window))
 
 
 def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int, unit: Unit) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        asked = batch.column(2)
+        ends = np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))
+        flat = asked.flatten()
+        every = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+        for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             own = unit.symbols(text.as_buffer())
-            asked.sort(key=lambda r: r["a"])
+            rows = [x[ends[k - 1] if k else 0 : ends[k]] for x in every]
+            order = np.argsort(rows[1], kind="stable")
+            ps, starts, stops, ranks = (x[order] for x in rows)
             at = 0
-            while at < len(asked):
-                start = asked[at]["a"]
-                end = at
-                while end < len(asked) and asked[end]["a"] + threshold + 2 * unit.window - start <= CHUNK:
-                    end += 1
-                p, a, b = (np.array([r[k] for r in asked[at:end]], np.int64) - start for k in "pab")
+            while at < len(starts):
+                start = int(starts[at])
+                end = max(at + 1, int(np.searchsorted(starts, start + CHUNK - threshold - 2 * unit.window, side="right")))
+                p, a, b = (x[at:end] - start for x in (ps, starts, stops))
                 part = own[start : start + int(b.max()) + threshold + unit.window]
-                item, lo, hi, *names = blocks(Prints(part), p, a, b, step, threshold, unit.window)
-                yield _batch(np.full(len(lo), key, np.int64), p[item] + start, lo + start, hi + start, *names)
+                item, lo, hi, core, whole = blocks(Prints(part), p, a, b, step, threshold, unit.window)
+                yield _batch(ROWS, np.full(len(lo), key, np.int64), p[item] + start, lo + start, hi + start, ranks[at:end][item], core, whole)
                 at = end
 
 
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose (root, core) occurs more than once."""
-    pair = ["root", "core"] if name != "round1" else ["core"]
+def _shared(rows: DataFrame, rank: list[str], spent: list[DataFrame]) -> DataFrame:
+    """The rows of a table whose rank, a column or a pair, isn't their own; the table that they need joins spent."""
     # A table of its own: Spark can split a hot name's rows over tasks only where both sides of a join come from shuffles.
-    often = materialize(rows.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
-    out = materialize(rows.join(often, pair).select(*ROWS.names), name)
-    discard(often)
-    return out
+    often = materialize(rows.groupBy(*rank).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
+    spent.append(often)
+    return rows.join(often, rank).select(*rows.columns)
 
 
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: Unit = BYTES) -> DataFrame:
-    """(key, spans): the spans [a, e) of repeated strings of each document (key, body) that has any; unordered, may overlap.
+    """(key, spans): the spans of repeated strings of each document (key, body) that has any; unordered, may overlap.
 
-    Threshold and spans count the unit's symbols.
+    A span [a, e) is the number a * 2^32 + e. Threshold and spans count the unit's symbols; the threshold is larger than the unit's window and gram together.
     """
+    assert threshold > unit.window + unit.gram
     spark = docs.sparkSession
-    span = lambda df: df.select("key", "a", (F.col("b") + threshold).alias("e"))
-    rows = docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold, unit), ROWS_DDL)
-    found, slim = [], None
-    spent: list[DataFrame] = []
+    span = lambda df: df.select("key", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("b") + threshold).alias("span"))
+    first = materialize(docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold, unit), FIRST_DDL), "anchors")
+    spent: list[DataFrame] = [first]
+    shared = materialize(_shared(first, ["head"], spent), "round1")
+    discard(*spent)
+    rows = shared.select("key", "p", "a", "b", F.col("head").alias("root"), F.col("tail").alias("core"), "whole")
+    found, slim, spent = [], None, [shared]
     for k, step in enumerate(unit.steps, 1):
-        asked_rows, rows = rows, _repeated(rows, f"round{k}")
-        discard(asked_rows)
-        spent.append(rows)
         if step == 1:
-            found.append(span(rows))
+            found.append(span(_shared(rows, ["root", "core"], spent)))
             break
+        # A rank of its own is one kind that occurs once, and goes no further.
         kinds = materialize(rows.groupBy("root", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "p", "a", "b")).alias("one")), "kinds")
         found.append(span(rows.join(kinds.where("n > 1").select("root", "core", "whole"), ["root", "core", "whole"])))
         open_ = kinds.groupBy("root", "core").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("kinds > 1 AND single > 0")
         open_ = materialize(open_.select("root", "core"), "open_names")
-        asked = kinds.join(open_, ["root", "core"]).groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("one.p", "one.a", "one.b")).alias("asked"))
+        rank = F.xxhash64("root", "core").alias("rank")
+        asked = kinds.join(open_, ["root", "core"]).groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("one.p", "one.a", "one.b", rank)).alias("asked"))
         if slim is None:  # the texts that go on, once each
             texts = slim = materialize(docs.select("key", "body").join(asked, "key").dropDuplicates(["key"]), "open")
         else:
@@ -195,29 +215,35 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: Unit = BYTES) ->
         spent += [kinds, open_, slim]
         release(spark)
         rows = materialize(texts.select("key", "body", "asked").mapInArrow(lambda b, s=unit.steps[k]: _next_round(b, s, threshold, unit), ROWS_DDL), f"blocks{k + 1}")
+        spent.append(rows)
     all_ = found[0]
     for more in found[1:]:
         all_ = all_.unionByName(more)
-    out = materialize(all_.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
+    # Rows that repeat each other share their spans, which are kept once.
+    out = materialize(all_.groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
     discard(*spent)
     release(spark)
     return out
 
 
-def runs(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
-    """Maximal runs of a union of spans."""
-    merged: list[tuple[int, int]] = []
-    for a, e in sorted((s["a"], s["e"]) for s in spans or []):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((a, e))
-    return merged
+def merged(spans: pa.ListArray) -> list[np.ndarray]:
+    """The maximal runs of each list of spans, as arrays with rows (a, e)."""
+    sizes = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    packed = spans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((packed, owner))
+    packed, base = packed[order], owner[order] << 32
+    a, top = base + (packed >> 32), np.maximum.accumulate(base + (packed & 0xFFFFFFFF))
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = a[1:] > top[:-1]  # other lists begin beyond all before them
+    at = np.flatnonzero(fresh)
+    runs = np.stack([a[at] - base[at], top[np.append(at[1:], len(a)) - 1] - base[at]], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+    return np.split(runs, np.searchsorted(base[at] >> 32, np.arange(1, len(sizes)))) if len(sizes) else []
 
 
 def cut(body: bytes, removed: list[tuple[int, int]]) -> bytes:
-    """What is left of a body."""
-    if not removed:
+    """What is left of a body without sorted runs."""
+    if not len(removed):
         return body
     edges = [0, *[x for r in removed for x in r], len(body)]
     return b"".join(body[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
@@ -237,14 +263,15 @@ def whole_characters(body: bytes, removed: list[tuple[int, int]]) -> list[tuple[
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in REPORT.split(", ")]
+    types = [pa.string() if x.endswith("string") else pa.int64() for x in REPORT.split(", ")]
     for batch in batches:
         rows = []
-        for ident, body, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            removed = runs(spans)
-            rows.append((ident, len(body), sum(e - a for a, e in removed), len(removed), hashlib.sha256(cut(body, removed)).hexdigest()))
+        for ident, body, removed, passages in zip(*(batch.column(k).to_pylist() for k in range(2)), merged(batch.column(2)), merged(batch.column(3)), strict=True):
+            n_removed, n_words = (int((r[:, 1] - r[:, 0]).sum()) if len(r) else 0 for r in (removed, passages))
+            rows.append((ident, len(body), n_removed, len(removed), hashlib.sha256(cut(body, removed.tolist())).hexdigest(), n_words, len(passages)))
         if rows:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -254,19 +281,39 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("id", body).alias("key"), "id", body.alias("body"))
 
 
-def report(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+REPORT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long"
+
+
+def _both(docs: DataFrame, threshold: int, n_words: int | None) -> DataFrame:
+    """(key, spans, passages): repeated strings in bytes and, if asked for, repeated passages in words."""
+    found = repeats(docs, threshold)
+    if not n_words:
+        return found.withColumn("passages", F.lit(None).cast(found.schema["spans"].dataType))
+    return found.join(repeats(docs, n_words, WORDS).withColumnRenamed("spans", "passages"), "key", "full")
+
+
+def report(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, n_words: int | None = None) -> DataFrame:
+    """``REPORT`` of every row: what goes by the threshold in bytes, and what passages of so many words would take besides."""
     docs = keyed(df, id_col, text_col)
-    joined = docs.join(repeats(docs, threshold), "key", "left").select(F.col("id").cast("long"), "body", "spans")
-    return joined.mapInArrow(_report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = docs.join(_both(docs, threshold, n_words), "key", "left").select(F.col("id").cast("long"), "body", "spans", "passages")
+    return joined.mapInArrow(_report, REPORT)
 
 
-def in_bytes(body: bytes, spans: list[dict[str, int]] | None) -> list[dict[str, int]]:
-    """Spans of words as spans of bytes, from the first word's start to the last word's end."""
-    if not spans:
-        return []
+def in_bytes(body: bytes, passages: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of words as runs of bytes, from the first word's start to the last word's end."""
     start, stop, _ = words(body)
-    return [{"a": int(start[s["a"]]), "e": int(stop[s["e"] - 1])} for s in spans]
+    return [(int(start[a]), int(stop[e - 1])) for a, e in passages]
+
+
+def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of a union."""
+    out: list[tuple[int, int]] = []
+    for a, e in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
 
 
 def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, n_words: int | None = None) -> DataFrame:
@@ -278,20 +325,16 @@ def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD
     names = df.columns
     at = names.index(text_col)
     packed = df.select(F.xxhash64(df[id_col], F.coalesce(df[text_col], F.lit("")).cast("binary")).alias("key"), F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
-    found = repeats(docs, threshold)
-    if n_words:
-        found = found.join(repeats(docs, n_words, WORDS).withColumnRenamed("spans", "passages"), "key", "full")
-    else:
-        found = found.withColumn("passages", F.lit(None).cast(found.schema["spans"].dataType))
-    joined = packed.join(found, "key", "left")
+    joined = packed.join(_both(docs, threshold, n_words), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans, passages in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if spans or passages:
+            for text, spans, passages in zip(batch.column(1).to_pylist(), merged(batch.column(2)), merged(batch.column(3)), strict=True):
+                if len(spans) or len(passages):
                     body = text.encode()
-                    text = cut(body, whole_characters(body, runs([*(spans or []), *in_bytes(body, passages)]))).decode()
+                    gone = union([*spans.tolist(), *(in_bytes(body, passages) if len(passages) else [])])
+                    text = cut(body, whole_characters(body, gone)).decode()
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
@@ -301,10 +344,10 @@ def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return report(table(spark, sf_dir, "documents"), "doc_id", "text", n_words=PASSAGE).withColumnRenamed("id", "doc_id")
 
 
-SQL = f"""
+SQL = rf"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, s, md5(substr(h, (2 * s + 1)::BIGINT, {2 * THRESHOLD})) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {THRESHOLD - 1})) AS s FROM d)),
 r AS (SELECT doc_id, s FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
@@ -313,7 +356,15 @@ g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run
 runs AS (SELECT doc_id, run, min(s) AS a, max(s) + {THRESHOLD} AS e FROM g GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a FROM runs UNION ALL SELECT doc_id, max(e), NULL FROM runs GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(substr(h, (2 * f + 1)::BIGINT, (CASE WHEN a IS NULL THEN len(h) ELSE 2 * (a - f) END)::BIGINT), '' ORDER BY f) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
-counts AS (SELECT doc_id, sum(e - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
-SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+counts AS (SELECT doc_id, sum(e - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id),
+ws AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+pw AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1:s + {PASSAGE}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {PASSAGE - 1})) AS s FROM ws)),
+pr AS (SELECT doc_id, s FROM pw QUALIFY count(*) OVER (PARTITION BY k) > 1),
+pi AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {PASSAGE} THEN 0 ELSE 1 END AS fresh FROM pr),
+pg AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM pi),
+pruns AS (SELECT doc_id, run, max(s) + {PASSAGE} - min(s) AS n FROM pg GROUP BY doc_id, run),
+passages AS (SELECT doc_id, sum(n) AS n_words, count(*) AS n_passages FROM pruns GROUP BY doc_id)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256,
+  coalesce(n_words, 0)::BIGINT AS n_passage_words, coalesce(n_passages, 0)::BIGINT AS n_passages
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN passages USING (doc_id)
 """

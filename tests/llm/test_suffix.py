@@ -29,7 +29,7 @@ def brute(rows, threshold):
 
 def check(spark, rows, threshold=400):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).repartition(3)
-    got = [tuple(r) for r in suffix.report(df, "doc_id", "text", threshold).collect()]
+    got = [tuple(r)[:5] for r in suffix.report(df, "doc_id", "text", threshold).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows, threshold)))
     return got
 
