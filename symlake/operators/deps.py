@@ -52,9 +52,9 @@ def locate_in_pom(wanted: DataFrame, sources: DataFrame) -> DataFrame:
     """wanted (file_uri, group_id, artifact_id, ...) with a 1-based line, 0 if none: the first groupId line's nearest hit."""
     keys = ["file_uri", "group_id", "artifact_id"]
     asked = wanted.select(*keys).distinct()
-    lines = pom_lines(sources).withColumnRenamed("group_text", "group_id").select("file_uri", "group_id", "i", F.explode("near").alias("n"))
-    hits = asked.join(lines, ["file_uri", "group_id"]).where((F.col("n.artifact_text") == F.col("artifact_id")) & (F.col("n.j") != F.col("i")))
-    found = hits.groupBy(*keys).agg(F.min(F.struct("i", "n.j")).alias("m")).select(*keys, (F.least("m.i", "m.j") + 1).alias("found"))
+    lines = pom_lines(sources).select("file_uri", F.col("group_text").alias("group_id"), "i", F.explode("near").alias("n"))
+    places = lines.where("n.j <> i").groupBy("file_uri", "group_id", F.col("n.artifact_text").alias("artifact_id")).agg(F.min(F.struct("i", "n.j")).alias("m"))
+    found = asked.join(places, keys).select(*keys, (F.least("m.i", "m.j") + 1).alias("found"))
     return wanted.join(found, keys, "left").withColumn("line", F.coalesce("found", F.lit(0))).drop("found")
 
 
