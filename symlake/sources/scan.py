@@ -51,16 +51,13 @@ def dependency_files(spark: SparkSession, root: str) -> DataFrame:
 def _extracted(batches: Iterator[pa.RecordBatch], is_dependency: bool, errors: bool) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(PARSE_ERRORS if errors else SYMBOLS)
     for batch in batches:
-        out: list[dict] = []
+        out: list[tuple] = []
         for uri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
                 rows, trouble = extract(text or "")
             except Exception as e:  # a file never stops a scan; it is listed
                 rows, trouble = [], [f"{type(e).__name__}: {e}"]
-            if errors:
-                out += [{"file_uri": uri, "error": t} for t in trouble]
-            else:
-                out += [{**r._asdict(), "file_uri": uri, "is_dependency": is_dependency, "seq": k} for k, r in enumerate(rows)]
+            out += [(uri, t) for t in trouble] if errors else [(*r[:4], uri, *r[4:9], _maps(r.annotations), is_dependency, k) for k, r in enumerate(rows)]
             if len(out) >= ROWS:
                 yield _batch(out, schema)
                 out = []
@@ -68,13 +65,24 @@ def _extracted(batches: Iterator[pa.RecordBatch], is_dependency: bool, errors: b
             yield _batch(out, schema)
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{**r, "annotations": [{**a, "elements": list(a["elements"].items())} for a in r["annotations"]]} if "annotations" in r else r for r in rows], schema=schema)
+def _maps(annotations: list[dict]) -> list[dict]:
+    """Annotations whose elements are lists of pairs, which Arrow takes for maps."""
+    return [{**a, "elements": list(a["elements"].items())} for a in annotations] if annotations else []
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt over all cores where they come in fewer parts: parsing takes far longer than moving them."""
+    n = files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= n else files.repartition(n, "file_uri")
 
 
 def symbols(files: DataFrame, is_dependency: bool = False) -> DataFrame:
     """``model.SYMBOLS`` rows of files (file_uri, text)."""
-    return files.select("file_uri", "text").mapInArrow(lambda b: _extracted(b, is_dependency, False), SYMBOLS)
+    return spread(files.select("file_uri", "text")).mapInArrow(lambda b: _extracted(b, is_dependency, False), SYMBOLS)
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
