@@ -129,6 +129,18 @@ def unresolved(rows: DataFrame) -> DataFrame:
     return rows.select("group_id", "artifact_id", "version", "classifier", F.coalesce(has("scope", F.lit(None)), F.lit("compile")).alias("scope"), has("jar_path", F.lit(None)).cast("string").alias("jar_path"), F.lit(False).alias("has_source_jar"), F.lit(False).alias("indirect"), "pom_path", base.alias("base_dep"), F.lpad(F.col("ordinal").cast("string"), 10, "0").alias("path"))
 
 
+def with_jars(deps: DataFrame, listing: DataFrame, repository: str) -> DataFrame:
+    """deps with the jars that a local repository really holds: jar_path (null if there is none) and has_source_jar.
+
+    listing (path) has the repository's files; repository is written as the paths begin.
+    """
+    place = F.concat_ws("/", F.lit(repository.rstrip("/")), F.replace("group_id", F.lit("."), F.lit("/")), "artifact_id", "version", F.concat_ws("-", "artifact_id", "version"))
+    known = listing.select("path").distinct()
+    asked = deps.drop("jar_path", "has_source_jar").withColumns({"own_jar": F.concat(place, F.coalesce(F.concat(F.lit("-"), "classifier"), F.lit("")), F.lit(".jar")), "own_sources": F.concat(place, F.lit("-sources.jar"))})
+    found = asked.join(known.toDF("jar_path"), F.col("own_jar") == F.col("jar_path"), "left").join(known.toDF("source_path"), F.col("own_sources") == F.col("source_path"), "left")
+    return found.withColumn("has_source_jar", F.col("source_path").isNotNull()).drop("own_jar", "own_sources", "source_path").select(*deps.columns)
+
+
 def nested(edges: DataFrame) -> list[dict[str, Any]]:
     """The forest of one project as nested dicts, for an API response."""
     rows = edges.orderBy("ordinal").collect()

@@ -14,7 +14,7 @@ from symlake.operators import deps as D
 from symlake.operators import snippets, symbols
 from symlake.plans.conditions import Config, parse_dependency, parse_referenced
 from symlake.sources import archives, builds, scan
-from symlake.tables import delete, exists, names_in, new_path, qualified
+from symlake.tables import delete, exists, materialize, names_in, new_path, qualified
 
 
 class Workspace:
@@ -31,12 +31,16 @@ class Workspace:
             config = self.config = replace(config, location=self._in_repository(config.location))
         self.is_archive = config.location.lower().endswith((".jar", ".war", ".ear"))
         self.edges = edges if edges is not None else self._printed()
+        self.resolved = D.resolved(self.edges) if self.edges is not None else self._unresolved()
+        if config.maven_repository:
+            self.resolved = materialize(D.with_jars(self.resolved, scan.listing(spark, config.maven_repository, "*.jar"), qualified(spark, config.maven_repository)), "resolved")
         self.files, rows = self._read()
+        if config.maven_repository:
+            rows = rows.unionByName(self._dependency_symbols())
         self.symbol_path = f"{self.work_dir}/symbols-{self._content_hash()}" if cache else f"{self.work_dir}/symbols"
         if not (cache and exists(spark, f"{self.symbol_path}/_SUCCESS")):
             scan.write_symbols(rows, self.symbol_path)
         self.symbols = spark.read.schema(SYMBOLS).parquet(self.symbol_path)
-        self.resolved = D.resolved(self.edges) if self.edges is not None else self._unresolved()
         self.closed = False
 
     def _in_repository(self, uri: str) -> str:
@@ -72,6 +76,23 @@ class Workspace:
         found = builds.direct(project).select("group_id", "artifact_id", "version", "classifier", "pom_path", "ordinal")
         return D.unresolved(found)
 
+    def _dependency_symbols(self) -> DataFrame:
+        """Symbols of the resolved dependencies that the repository holds: of their sources, else of their classes."""
+        held = self.resolved.where("jar_path IS NOT NULL OR has_source_jar").select("group_id", "artifact_id", "version", "jar_path", "has_source_jar").distinct().collect()  # one project's
+        base = qualified(self.spark, self.config.maven_repository)
+        sources = [builds.jar_path(base, r["group_id"], r["artifact_id"], r["version"], "sources") for r in held if r["has_source_jar"]]
+        binaries = [r["jar_path"] for r in held if not r["has_source_jar"]]
+        out = self.spark.createDataFrame([], SYMBOLS)
+        if sources:
+            out = out.unionByName(scan.symbols(archives.java_files(archives.read_entries(self.spark, sources)), is_dependency=True))
+        if binaries:
+            out = out.unionByName(archives.class_symbols(archives.read_entries(self.spark, binaries), is_dependency=True))
+        return out
+
+    def exploded(self) -> DataFrame:
+        """An archive's entries with their places in a Maven-style project."""
+        return archives.exploded(archives.read_entries(self.spark, self.config.location))
+
     def archive_dependencies(self) -> DataFrame:
         """The archives inside this one (path, sha1, coordinates, how they were identified); with an index, by digest first."""
         facts = archives.nested_facts(self.spark, self.config.location)

@@ -68,8 +68,20 @@ def route(entry: str) -> str:
     return "src/main/resources/" + name
 
 
-def read_entries(spark: SparkSession, root: str) -> DataFrame:
-    """All entries of all archives below a root, nested ones too; one task opens one archive at a time."""
+def exploded(archive_entries: DataFrame) -> DataFrame:
+    """Entries with the place that each has in a Maven-style project (place), null for archives, which are dependencies."""
+    names = [*[x.split()[0] for x in ENTRIES.split(", ")], "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [p if (p := route(e)) != "dependency" else None for e in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.string())], names)
+
+    return archive_entries.select(*names[:-1]).mapInArrow(run, ENTRIES + ", place string")
+
+
+def read_entries(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """All entries of all archives below a root or of listed ones, nested ones too; one task opens one archive at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.int32(), pa.binary()]

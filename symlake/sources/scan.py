@@ -30,6 +30,11 @@ def read_files(spark: SparkSession, root: str, glob: str, encoding: str = "UTF-8
     return raw.select(file_uri(F.col("path")).alias("file_uri"), F.decode("content", encoding).alias("text"))
 
 
+def listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path) of all files below a root that match a name pattern; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select(file_uri(F.col("path")).alias("path"))
+
+
 def relative(uri: Column, root: str) -> Column:
     base = root.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
     at = F.locate(base, uri)

@@ -230,6 +230,21 @@ def test_maven_project_without_a_graph(spark, tmp_path):
     engine.stop(ident)
 
 
+def test_jars_of_a_local_repository(spark, tmp_path):
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app/pom.xml").write_text("<project><dependencies>" + "".join(f"<dependency><groupId>g.h</groupId><artifactId>{a}</artifactId><version>1</version></dependency>" for a in "abc") + "</dependencies></project>")
+    for name, entries in {"a": {"a-1.jar": {"x.txt": "1"}, "a-1-sources.jar": {"g/A.java": "package g; class A extends Top { }"}}, "b": {"b-1.jar": {"no.class": "junk"}}}.items():
+        place = tmp_path / "repo/g/h" / name / "1"
+        place.mkdir(parents=True)
+        for jar, inner in entries.items():
+            (place / jar).write_bytes(zipped(inner))
+    engine = Engine(spark)
+    own = engine.workspace(engine.init(Config(str(tmp_path / "app"), maven_repository=str(tmp_path / "repo"))))
+    jars = {r["artifact_id"]: (r["jar_path"] and r["jar_path"].rpartition("/")[2], r["has_source_jar"]) for r in own.resolved.collect()}
+    assert jars == {"a": ("a-1.jar", True), "b": ("b-1.jar", False), "c": (None, False)}
+    assert own.symbols.where("is_dependency AND location = 'INHERITANCE'").count() == 1
+
+
 def test_gradle_project_with_and_without_trees(spark, tmp_path):
     (tmp_path / "app").mkdir()
     (tmp_path / "app/build.gradle").write_text("plugins { }\ndependencies {\n  implementation 'a:b:1.5'\n}\n")
@@ -322,6 +337,8 @@ def test_archives(spark, tmp_path):
     by_index = engine.init(Config(str(tmp_path / "app.war"), index_path=str(tmp_path / "sha.txt")))
     assert names(engine.evaluate(by_index, "dependency", "dependency: {name_regex: '.*'}")) == {("org.indexed.lib", "9", 0)}
     assert "<artifactId>lib</artifactId>" in engine.workspace(by_index).synthetic_pom()
+    places = {r["entry"]: r["place"] for r in engine.workspace(by_index).exploded().where("depth = 0").collect()}
+    assert places == {"WEB-INF/lib/a.jar": None, "WEB-INF/classes/app/App.java": "src/main/java/app/App.java", "index.html": "src/main/webapp/index.html"}
     own = engine.init(Config(str(tmp_path / "app.war")))
     assert names(engine.evaluate(own, "dependency", "dependency: {name: g.a, upperbound: 2}")) == {("g.a", "2", 0)}
     (tmp_path / "repo/x/y/z/1").mkdir(parents=True)
