@@ -178,6 +178,15 @@ def test_types_are_corrected(spark):
     assert not out[6]["corrected"] and out[7]["corrected"]
 
 
+def test_many_magics_cost_no_rescans():
+    began = time.perf_counter()
+    end = b"PK\5\6" + bytes(18)
+    for magic, tail in ((b"%PDF-1", b""), (b"PK\3\4..", b"%%EOF"), (b"PK\3\4" + end, b"")):
+        data = magic * 60_000 + tail
+        assert not media.sniffer().objects(data)
+    assert time.perf_counter() - began < 20
+
+
 def test_texts_as_media(spark):
     rows = [*EDGES, (8, "a" * 64), (9, "b" * 65)]
     out = media.store_and_read(docs(spark, rows), "doc_id", "text").collect()
