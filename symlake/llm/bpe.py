@@ -28,7 +28,7 @@ from symlake.llm.common import project, table
 #: How byte-level vocabularies cut a text into pretokens (fixed values).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pretokens whose ids a worker remembers, and token pairs whose test it remembers.
-CACHE, PAIRS = 500_000, 500_000
+CACHE, PAIRS = 1_000_000, 500_000
 
 
 def byte_names() -> dict[str, int]:
@@ -94,17 +94,21 @@ class SuffixAutomaton:
             p = link[p]
         return copy
 
-    def matches(self, text: bytes) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    def matches(self, text: bytes) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
         """For each position the longest match's length and (length, word) pairs; those not above it end there."""
         nxt, link, lens, ends = self.next, self.link, self.len, self.ends
         state = held = 0
+        out = []
         for c in text:
-            while state and c not in nxt[state]:
+            step = nxt[state].get(c)
+            while step is None and state:
                 state = link[state]
                 held = lens[state]
-            if c in nxt[state]:
-                state, held = nxt[state][c], held + 1
-            yield held, ends[state]
+                step = nxt[state].get(c)
+            if step is not None:
+                state, held = step, held + 1
+            out.append((held, ends[state]))
+        return out
 
 
 class Bpe:
@@ -130,11 +134,14 @@ class Bpe:
         self.automaton = SuffixAutomaton({self.bytes[i]: i for i in sorted(own)})
         self.pretokens = regex.compile(PRETOKENS)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # Pretokens that decode to another text than their own are odd.
+        # Pretokens that decode to another text than their own are odd. Half of the cache is what was learnt last; of the
+        # other half, pretokens that come again move over.
         self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         self.cache = cache
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: By the first token times 2^32 plus the second.
+        self.pairs: dict[int, bool] = {}
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """Whether a and b stay two tokens side by side as far as merges ranked below limit go.
@@ -155,9 +162,9 @@ class Bpe:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 32 | b)
         if found is None:
-            found = self.pairs[a, b] = self._apart(a, b, 1 << 60)
+            found = self.pairs[a << 32 | b] = self._apart(a, b, 1 << 60)
         return found
 
     def encode_pretoken(self, text: bytes) -> list[int]:
@@ -167,7 +174,7 @@ class Bpe:
                 if length > held:
                     continue
                 before = last[at - length]
-                if at == length or before >= 0 and (fits if (fits := pairs.get((before, ident))) is not None else self.compatible(before, ident)):
+                if at == length or before >= 0 and (fits if (fits := pairs.get(before << 32 | ident)) is not None else self.compatible(before, ident)):
                     last.append(ident)
                     break
             else:
@@ -180,18 +187,25 @@ class Bpe:
             at -= len(self.bytes[last[at]])
         return ids[::-1]
 
-    def _look_up(self, pretoken: str) -> str:
-        """The ids of a pretoken as text, with a comma behind each."""
-        found = self.known.get(pretoken)
+    def _learn(self, pretoken: str) -> str:
+        """The ids, as text with a comma behind each, of a pretoken that isn't known."""
+        found = self.known.get(pretoken) or self.old.get(pretoken)
         if found is None:
             ids = [self.special[pretoken]] if pretoken in self.special else self.encode_pretoken(pretoken.encode())
             found = "".join([f"{i}," for i in ids])
             if (back := self.decode(ids)) != pretoken:
                 self.odd[pretoken] = back
-            if len(self.known) >= self.cache:
-                self.known = {}
-            if len(pretoken) <= 256:
-                self.known[pretoken] = found
+        if 2 * len(self.known) >= self.cache:
+            self.known, self.old = {}, self.known
+        if len(pretoken) <= 256:
+            self.known[pretoken] = found
+        return found
+
+    def _look_up(self, pretokens: list[str]) -> list[str]:
+        """The ids of pretokens as texts, with a comma behind each."""
+        found = list(map(self.known.get, pretokens))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self._learn(pretokens[i])
         return found
 
     def cut(self, text: str) -> list[str]:
@@ -203,11 +217,11 @@ class Bpe:
     def digest(self, text: str) -> tuple[str, str]:
         """The ids as text, a comma behind each, and the text that they decode to."""
         cut = self.cut(text)
-        ids = "".join(map(self._look_up, cut))
+        ids = "".join(self._look_up(cut))
         return ids, "".join([self.odd.get(p, p) for p in cut] if self.odd else cut)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.cut(text) for i in self._look_up(p).split(",")[:-1]]
+        return [int(i) for i in "".join(self._look_up(self.cut(text))).split(",")[:-1]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
