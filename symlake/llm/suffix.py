@@ -333,7 +333,7 @@ def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD
             for text, spans, passages in zip(batch.column(1).to_pylist(), merged(batch.column(2)), merged(batch.column(3)), strict=True):
                 if len(spans) or len(passages):
                     body = text.encode()
-                    gone = union([*spans.tolist(), *(in_bytes(body, passages) if len(passages) else [])])
+                    gone = union([*map(tuple, spans.tolist()), *(in_bytes(body, passages) if len(passages) else [])])
                     text = cut(body, whole_characters(body, gone)).decode()
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
