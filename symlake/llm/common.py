@@ -2,57 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-#: Narrow rows that one task writes where a bound on their number is known.
-ROWS_PER_FILE = 100_000
+from symlake.tables import discard, materialize, new_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        os.makedirs(LOCAL_CHECKPOINTS, exist_ok=True)
-        base = f"file://{LOCAL_CHECKPOINTS}"
-    return f"{base.rstrip('/')}/symlake-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage in a place that outlives any executor, so a lost executor repeats single
-    tasks and never the whole history. With a bound on its rows, small tables go to few files.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._table_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing will read again; other DataFrames are passed over."""
-    for t in tables:
-        path = getattr(t, "_table_path", None)
-        if path:
-            spark = t.sparkSession
-            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+__all__ = ["components", "discard", "materialize", "new_path", "project", "release", "table"]
 
 
 def release(spark: SparkSession) -> None:
@@ -109,4 +66,5 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", on_round: C
 def _are_stars(e: DataFrame) -> bool:
     """Whether every u has one v and no v is a u: each edge then leads to its component's smallest node."""
     ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+    # Counted in one job: a look for a first row would take several where there is none.
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").count() == 0
