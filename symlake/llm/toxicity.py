@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -165,23 +166,40 @@ def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float)
     return positive + max(0.0, negative), step
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Train on lists of distinct feature numbers, by full-batch Adam on the non-negative risk with logistic loss."""
-    nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0, prior)
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return nothing
-    known = np.unique(np.concatenate(positive))  # what no positive has can't speak for one
-    p, u = (np.bincount(_places(known, np.concatenate(x)), minlength=len(known) + 1)[:-1] for x in (positive, unlabelled))
-    chosen = known[choose(p, u, len(positive), len(unlabelled), prior)]
-
-    def dense(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, r in enumerate(rows):
-            own = _places(chosen, r)
-            x[i, own[own < len(chosen)]] = 1
+class Sample(NamedTuple):
+    """Texts as one array of their distinct features, text after text, and the number of each."""
+
+    features: np.ndarray
+    sizes: np.ndarray
+
+    def parts(self, sorted_: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Offsets and places in a sorted array of some features after others, so that little memory is held at once."""
+        for at in range(0, len(self.features), CHUNK):
+            yield at, _places(sorted_, self.features[at : at + CHUNK])
+
+    def counts(self, known: np.ndarray) -> np.ndarray:
+        """The texts that have each known feature."""
+        return sum((np.bincount(place, minlength=len(known) + 1) for _, place in self.parts(known)), np.zeros(len(known) + 1, np.int64))[:-1]
+
+    def dense(self, chosen: np.ndarray) -> np.ndarray:
+        """A row for each text, with 1 for each chosen feature that it has."""
+        x = np.zeros((len(self.sizes), len(chosen)), np.float32)
+        ends = np.cumsum(self.sizes)
+        for at, place in self.parts(chosen):
+            has = np.flatnonzero(place < len(chosen))
+            x[np.searchsorted(ends, at + has, side="right"), place[has]] = 1
         return x
 
-    xp, xu = dense(positive), dense(unlabelled)
+
+def fit(positive: Sample, unlabelled: Sample, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """Train by full-batch Adam on the non-negative risk with logistic loss."""
+    nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0, prior)
+    if not len(positive.sizes) or not len(unlabelled.sizes) or not 0 < prior < 1:
+        return nothing
+    known = np.unique(positive.features)  # what no positive has can't speak for one
+    p, u = positive.counts(known), unlabelled.counts(known)
+    chosen = known[choose(p, u, len(positive.sizes), len(unlabelled.sizes), prior)]
+    xp, xu = positive.dense(chosen), unlabelled.dense(chosen)
     w, b = np.zeros(len(chosen), np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -190,7 +208,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1].astype(np.float32), b - move[-1]
-    return Model(chosen, w, float(b), prior)
+    return Model(chosen.astype(np.int64), w, float(b), prior)
 
 
 def held_out(ident: Column) -> Column:
@@ -222,8 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen = texts.join(F.broadcast(some), "id").groupBy("part", "id").agg(F.min("text").alias("text"))
     sample = chosen.select("part", "text").mapInArrow(_distinct_features, "part int, features array<int>").toArrow()
     part = sample.column("part").to_numpy()
-    lists = [np.asarray(x.values).view(np.uint32).astype(np.int64) for x in sample.column("features")]
-    pick = lambda k: [f for f, p in zip(lists, part, strict=True) if p == k]
+
+    def pick(which: int) -> Sample:
+        own = sample.column("features").combine_chunks().filter(pa.array(part == which))
+        return Sample(own.flatten().to_numpy(zero_copy_only=False).view(np.uint32), own.value_lengths().to_numpy(zero_copy_only=False))
+
     return fit(pick(1), pick(0), seen["k"] / seen["n"] if seen["n"] else 0.0)
 
 
