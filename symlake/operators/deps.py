@@ -93,19 +93,23 @@ def flatten(edges: DataFrame) -> DataFrame:
     error.
     """
     place = F.lpad(F.col("ordinal").cast("string"), 10, "0")
-    level = edges.where("parent_id IS NULL").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), place.alias("path"), F.array("node_id").alias("above"))
+    again = F.array_contains("above", F.col("child"))
+    level = edges.where("parent_id IS NULL").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), place.alias("path"), F.array("node_id").alias("above"), F.lit(False).alias("again"))
     below = edges.where("parent_id IS NOT NULL").select(F.col("node_id").alias("child"), "parent_id", "ordinal")
     levels = [materialize(level, "level")]
-    while len(levels) == 1 or not levels[-1].isEmpty():
-        step = levels[-1].join(below, F.col("node_id") == F.col("parent_id"))
-        if not step.where(F.array_contains("above", F.col("child"))).isEmpty():
+    while True:
+        n, cyclic = levels[-1].agg(F.count("*"), F.max("again")).first()
+        if cyclic:
             raise ValueError("the graph has a cycle below a root")
-        row = [F.col("child").alias("node_id"), "root_id", F.col("depth") + 1, F.concat("path", F.lit("/"), place).alias("path"), F.concat("above", F.array("child")).alias("above")]
-        levels.append(materialize(step.select(row[0], row[1], row[2].alias("depth"), *row[3:]), "level"))
+        if not n:
+            break
+        step = levels[-1].drop("again").join(below, F.col("node_id") == F.col("parent_id"))
+        row = [F.col("child").alias("node_id"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), place).alias("path"), F.concat("above", F.array("child")).alias("above"), again.alias("again")]
+        levels.append(materialize(step.select(*row), "level"))
     out = levels[0]
     for one in levels[1:-1]:
         out = out.unionByName(one)
-    return out.drop("above")
+    return out.drop("above", "again")
 
 
 def resolved(edges: DataFrame) -> DataFrame:
