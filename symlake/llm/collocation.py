@@ -39,7 +39,7 @@ from symlake.llm.rolling import U64, Prints, mix
 DEPTH, FLOOR, TOP, COVER = 3, 10, 2000, 50
 SCALE = 1_000_000
 #: Bytes of text in a shard's tries; parts that a trie is cut into; runs that a merge takes, about.
-SHARD, RANGES, FAN = 32 << 20, 128, 64
+SHARD, RANGES, FAN = 16 << 20, 128, 128
 #: Phrases are ranked in so many groups a language first, then in fewer.
 GROUPS = (1024, 32)
 #: 0 for a word's bytes, 1 between words, 2 between pieces.
@@ -97,7 +97,9 @@ def count(text: bytes) -> Trie:
     np.cumsum(stop - start, out=offsets[1:])
     every = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[kind == 0]))])
     words, ranks = ordered(every)
-    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
+    breaks = np.flatnonzero(kind == 2)
+    del data, kind, edge, stop, every
+    piece, ranks = np.searchsorted(breaks, start).astype(np.int32), ranks.astype(np.int32)
     found = []
     for depth in range(1, DEPTH + 1):
         m = max(0, len(ranks) - depth + 1)
@@ -114,13 +116,22 @@ def _planes(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
 
 
+def _letters(words: pa.BinaryArray) -> bytes:
+    """All words' bytes, one after the other."""
+    if not len(words):
+        return b""
+    _, offsets, data = words.buffers()
+    first, last = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)[[0, -1]].tolist()
+    return data.slice(first, last - first).to_pybytes() if data is not None else b""
+
+
 def dump(trie: Trie) -> bytes:
     """A trie with only the words that its paths have."""
     used, local = np.unique(trie.paths, return_inverse=True)
     local = local.reshape(trie.paths.shape) + (0 if len(used) and used[0] == 0 else 1)
     words = trie.words.take(pa.array(used[used > 0] - 1))
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint32)
-    letters = b"".join(words.to_pylist())
+    letters = _letters(words)
     head = np.array([len(words), len(trie.paths), len(letters)], np.int64).tobytes()
     body = b"".join([head, _planes(lengths), letters, *[_planes(np.ascontiguousarray(local[:, k]).astype(np.uint32)) for k in range(DEPTH)], _planes(trie.counts)])
     return zstandard.ZstdCompressor(level=1).compress(body)
@@ -161,7 +172,7 @@ def merge(blobs: list[bytes]) -> Trie:
 def ranges(trie: Trie, round_: int) -> np.ndarray:
     """The range of each node: by its first two words in even rounds, by its last word in odd ones, other bits each time."""
     lengths = pc.binary_length(trie.words).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(trie.words.to_pylist()), np.uint8)
+    data = np.frombuffer(_letters(trie.words), np.uint8)
     ends = np.cumsum(lengths)
     word = np.zeros(len(lengths) + 1, U64)
     if len(lengths):
