@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from symlake.functions.patterns import erased
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
-from symlake.operators import deps, rules, snippets, symbols
+from symlake.operators import deps, maven, rules, snippets, symbols
 from symlake.plans import analogs as A
-from symlake.sources import builds, scan
+from symlake.sources import builds, gradle, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,17 +397,16 @@ SELECT 'file:///' || file || '/tree.txt' AS pom_path, g AS group_id, a AS artifa
 def gradle_tree(spark: SparkSession, d: str) -> DataFrame:
     root = (F.col("k") % 3 == 0) | (F.col("k") % 50 < 2)
     line = F.concat(F.when(root, "+--- ").otherwise("|    +--- "), F.concat_ws(":", "g", "a", "v"))
-    edges = builds.gradle_edges(_files(_listed(spark, d), line, "tree.txt", "compileClasspath - compile\n"))
+    edges = gradle.edges(_files(_listed(spark, d), line, "tree.txt", "compileClasspath - compile\n"))
     return edges.select("pom_path", "group_id", "artifact_id", "version", F.col("parent_id").isNotNull().alias("below"), "ordinal")
 
 
 @query(
     f"""WITH {_LISTED} SELECT 'file:///' || file || '/pom.xml' AS project, g AS group_id, a AS artifact_id,
-  CASE WHEN k % 4 = 0 THEN '7.1' WHEN k % 2 = 0 THEN v ELSE first(v) OVER (PARTITION BY file, g, a, k % 3 = 0, k % 2 ORDER BY k) END AS version FROM listed
-  WHERE k % 2 = 0 OR k % 3 = 0"""
+  CASE WHEN k % 4 = 0 THEN '7.1' WHEN k % 2 = 0 THEN v WHEN k % 3 = 0 THEN first(v) OVER (PARTITION BY file, g, a, k % 3 = 0, k % 2 ORDER BY k) END AS version FROM listed"""
 )
 def maven_direct(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of properties, own ones, and managed ones; dependencies without any are left out."""
+    """Versions of properties, own ones, and managed ones; dependencies without any stay with null."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     own = F.when(F.col("k") % 4 == 0, "<version>${v}</version>").when(F.col("k") % 2 == 0, tag("version", F.col("v"))).otherwise("")
     both = F.concat(tag("groupId", F.col("g")), tag("artifactId", F.col("a")))
@@ -416,8 +415,8 @@ def maven_direct(spark: SparkSession, d: str) -> DataFrame:
     managed = F.when((F.col("k") % 2 == 1) & (F.col("k") % 3 == 0), F.concat(F.lit("<dependency>"), both, tag("version", F.col("v")), F.lit("</dependency>"))).otherwise("")
     direct = _files(rows, line, "pom.xml", "<dependencies>", "</dependencies></project>")
     known = _files(rows, managed, "pom.xml", "<project><properties><v>7.1</v></properties><dependencyManagement><dependencies>", "</dependencies></dependencyManagement>").withColumnRenamed("text", "known")
-    poms = direct.join(known, "file_uri").select(F.col("file_uri").alias("project"), F.create_map(F.lit(""), F.concat("known", "text")).alias("poms"))
-    return builds.direct(poms).select("project", "group_id", F.regexp_replace("artifact_id", "-(true|false)$", "").alias("artifact_id"), "version")
+    poms = direct.join(known, "file_uri").select(F.col("file_uri").alias("project"), "file_uri", F.concat("known", "text").alias("text"))
+    return maven.effective(poms, inherit=False).select("project", "group_id", F.regexp_replace("artifact_id", "-(true|false)$", "").alias("artifact_id"), "version")
 
 
 @query(

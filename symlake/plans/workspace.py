@@ -9,11 +9,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.model import SYMBOLS
+from symlake.model import EDGES, SYMBOLS
 from symlake.operators import deps as D
-from symlake.operators import snippets, symbols
+from symlake.operators import maven, snippets, symbols
 from symlake.plans.conditions import Config, parse_dependency, parse_referenced
-from symlake.sources import archives, builds, scan
+from symlake.sources import archives, builds, gradle, poms, scan
 from symlake.tables import delete, exists, materialize, names_in, new_path, qualified
 
 
@@ -30,7 +30,7 @@ class Workspace:
         if config.location.startswith("mvn://"):
             config = self.config = replace(config, location=self._in_repository(config.location))
         self.is_archive = config.location.lower().endswith((".jar", ".war", ".ear"))
-        self.edges = edges if edges is not None else self._printed()
+        self.edges = edges if edges is not None else self._graph()
         self.resolved = D.resolved(self.edges) if self.edges is not None else self._unresolved()
         if config.maven_repository:
             self.resolved = materialize(D.with_jars(self.resolved, scan.listing(spark, config.maven_repository, "*.jar"), qualified(spark, config.maven_repository)), "resolved")
@@ -54,27 +54,40 @@ class Workspace:
             raise LookupError(f"{uri} is not in {place}")
         return found[0]
 
-    def _printed(self) -> DataFrame | None:
-        """The graph of Gradle's printed trees, if any are given."""
-        if not self.config.gradle_trees:
+    def _graph(self) -> DataFrame | None:
+        """The graph of Gradle's printed trees, or of a Maven project resolved from a local repository; none without either."""
+        if self.config.gradle_trees:
+            trees = scan.read_files(self.spark, self.config.gradle_trees, "*", self.config.encoding)
+            # Nodes are told apart by the print they come from.
+            return gradle.edges(trees).withColumn("pom_path", F.lit(self.build_file))
+        if not self.config.maven_repository or self.is_archive or self.build_tool != "maven":
             return None
-        trees = scan.read_files(self.spark, self.config.gradle_trees, "*", self.config.encoding)
-        return builds.gradle_edges(trees.select(F.lit(self.build_file).alias("file_uri"), "text"))
+        files, roots = self._project_poms()
+        repository = scan.read_files(self.spark, self.config.maven_repository, "*.pom", self.config.encoding)
+        return maven.resolve(files, repository, roots).select(*[f.name for f in EDGES])
+
+    def _project_poms(self) -> tuple[DataFrame, DataFrame]:
+        """The poms of the root and the modules it names (project, file_uri, text, root_uri), and their order; modules without a pom are passed over."""
+        place = F.rtrim(scan.relative(F.regexp_replace("file_uri", "/?[^/]*$", "/"), self.config.location), F.lit("/"))
+        found = self.build_files().where("file_uri LIKE '%/pom.xml'").select("file_uri", "text", place.alias("place"))
+        root = found.where("place = ''")
+        listed = poms.read(root).select(F.posexplode("pom.modules.module").alias("at", "module"))
+        modules = listed.groupBy(F.trim("module", F.lit("/")).alias("place")).agg((F.min("at") + 1).alias("ordinal"))
+        placed = root.withColumn("ordinal", F.lit(0)).unionByName(found.join(modules.where("place <> ''"), "place"))
+        # The root stands for the parent of modules that name none.
+        files = materialize(placed.select(F.lit("").alias("project"), "file_uri", "text", "ordinal", F.lit(self.build_file).alias("root_uri"), F.lit("pom.xml").alias("pom_path")), "poms")
+        return files, files.select("project", "file_uri", "pom_path", "ordinal")
 
     def _unresolved(self) -> DataFrame:
         """Dependencies without a graph: identified archives, a Maven project's direct ones, or those a script declares."""
         none = F.lit(None).cast("string")
         if self.is_archive:
             return D.unresolved(self.archive_dependencies().select("*", none.alias("classifier"), F.lit(self.config.location).alias("pom_path"), F.col("path").alias("jar_path"), F.lit(0).alias("ordinal")))
-        place = scan.relative(F.regexp_replace("file_uri", "/?[^/]*$", "/"), self.config.location)
         if self.build_tool == "gradle":
             return D.unresolved(builds.declared(self.build_files()).where("file_uri LIKE '%build.gradle'").withColumn("pom_path", F.col("file_uri")))
-        # The poms of one project: the root's and those right below, which the root may name as modules.
-        poms = self.build_files().where("file_uri LIKE '%/pom.xml'").select(F.rtrim(place, F.lit("/")).alias("place"), "text")
-        entry = F.struct("place", "text")
-        project = poms.agg(F.map_from_entries(F.collect_list(entry)).alias("poms")).select(F.lit("").alias("project"), "poms")
-        found = builds.direct(project).select("group_id", "artifact_id", "version", "classifier", "pom_path", "ordinal")
-        return D.unresolved(found)
+        files, roots = self._project_poms()
+        rows = maven.effective(files, inherit=False).join(roots.select("file_uri", "pom_path", F.col("ordinal").alias("root")), "file_uri")
+        return D.unresolved(rows.withColumn("ordinal", F.col("root") * (1 << 20) + F.col("place")[1]))
 
     def _dependency_symbols(self) -> DataFrame:
         """Symbols of the resolved dependencies that the repository holds: of their sources, else of their classes."""

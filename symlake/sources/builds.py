@@ -1,28 +1,14 @@
-"""Build files and coordinates: static readers of poms, Gradle scripts and trees, indexes and labels.
-
-The readers are pure functions of texts; ``declared`` and ``gradle_edges`` run them on executors.
-"""
+"""Build files and coordinates: declared dependencies, coordinates, indexes and labels."""
 
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from symlake.model import DECLARED, EDGES
-
-#: Gradle configurations whose dependencies are read (fixed values).
-CONFIGURATIONS = ["implementation", "api", "compile", "runtime", "testImplementation", "testCompile", "testRuntime", "classpath", "compileOnly", "runtimeOnly"]
-#: A script's tokens as far as they matter: comments, strings, words, braces and parentheses, line ends.
-_GRADLE = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\'\'\'.*?\'\'\'|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")|(?P<word>[A-Za-z_$][\w$.-]*)|(?P<mark>[{}()]|\n)""", re.S)
-ROUNDS = 5
 
+from symlake.sources import gradle, poms
 
 class Coordinates(NamedTuple):
     group_id: str
@@ -67,274 +53,10 @@ def jar_path(repository: str, group: str, artifact: str, version: str, classifie
     return f"{repository.rstrip('/')}/{group.replace('.', '/')}/{artifact}/{version}/{artifact}-{version}{tail}.{extension}"
 
 
-def interpolate_all(value: str | None, properties: Mapping[str, str]) -> str | None:
-    """Every known ${key} is replaced, in rounds, as values may hold further keys."""
-    for _ in range(ROUNDS):
-        if not value or "${" not in value:
-            break
-        new = re.sub(r"\$\{([^}]*)\}", lambda m: properties.get(m[1], m[0]), value)
-        if new == value:
-            break
-        value = new
-    return value
-
-
-def interpolate_first(value: str | None, properties: Mapping[str, str]) -> str | None:
-    """The leftmost ${key} is replaced, up to five times, until one is unknown."""
-    for _ in range(ROUNDS):
-        m = re.search(r"\$\{([^}]*)\}", value or "")
-        if not m or m[1] not in properties:
-            break
-        value = value[: m.start()] + properties[m[1]] + value[m.end() :]
-    return value
-
-
-def _local(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-
-
-def _child(e: ET.Element | None, name: str) -> ET.Element | None:
-    return next((c for c in (e if e is not None else []) if _local(c) == name), None)
-
-
-def _text(e: ET.Element | None, name: str) -> str | None:
-    found = _child(e, name)
-    return "".join(found.itertext()).strip() if found is not None else None
-
-
-class Pom(NamedTuple):
-    group_id: str | None
-    artifact_id: str | None
-    version: str | None
-    parent: Mapping[str, str | None] | None
-    properties: dict[str, str]
-    dependencies: list[dict[str, str | None]]
-    managed: list[dict[str, str | None]]
-    modules: list[str]
-
-
-def parse_pom(text: str) -> Pom:
-    """The parts of a pom that matter here, raw. A document type is refused."""
-    if re.search(r"<!DOCTYPE", text, re.I):
-        raise ValueError("document types are not allowed")
-    root = ET.fromstring(text.encode())
-    fields = ("groupId", "artifactId", "version", "classifier", "scope", "type")
-    entries = lambda e: [{f: _text(d, f) for f in fields} for d in (e if e is not None else []) if _local(d) == "dependency"]
-    parent = _child(root, "parent")
-    properties = {_local(c): "".join(c.itertext()).strip() for c in (_child(root, "properties") if _child(root, "properties") is not None else [])}
-    modules = ["".join(m.itertext()).strip() for m in (_child(root, "modules") if _child(root, "modules") is not None else [])]
-    return Pom(_text(root, "groupId"), _text(root, "artifactId"), _text(root, "version"), {f: _text(parent, f) for f in fields[:3]} if parent is not None else None, properties, entries(_child(root, "dependencies")), entries(_child(_child(root, "dependencyManagement"), "dependencies")), modules)
-
-
-def scope_of(pom: Pom, parent: Pom | None = None) -> dict[str, str]:
-    """Properties of a pom: the parent's below its own, and the project's coordinates."""
-    out = dict(parent.properties) if parent else {}
-    if parent and parent.version:
-        out.setdefault("project.version", parent.version)
-        out.setdefault("project.parent.version", parent.version)
-    if parent and parent.group_id:
-        out.setdefault("project.parent.groupId", parent.group_id)
-    out |= pom.properties
-    for key, own, inherited in (("project.version", pom.version, parent.version if parent else None), ("project.groupId", pom.group_id, parent.group_id if parent else None)):
-        if own:
-            out[key] = own
-        elif inherited:
-            out.setdefault(key, inherited)
-    return out
-
-
-def managed_version(pom: Pom, group: str, artifact: str, boms: Mapping[tuple[str, str, str], Pom]) -> str | None:
-    """The first managed version in order: own entries compare raw, imported ones (one level) interpolated."""
-    own = scope_of(pom)
-    for m in pom.managed:
-        if (m["groupId"], m["artifactId"]) == (group, artifact):
-            return m["version"]
-        if m["type"] == "pom" and m["scope"] == "import":
-            bom = boms.get(tuple(interpolate_first(m[k], own) for k in ("groupId", "artifactId", "version")))
-            inner = scope_of(bom) if bom else {}
-            for b in bom.managed if bom else []:
-                if tuple(interpolate_first(b[k], inner) for k in ("groupId", "artifactId")) == (group, artifact):
-                    return interpolate_first(b["version"], inner)
-    return None
-
-
-def direct_dependencies(pom: Pom, parent: Pom | None = None, boms: Mapping[tuple[str, str, str], Pom] | None = None) -> list[Coordinates]:
-    """Direct dependencies with managed versions; those without any version are left out."""
-    props, out = scope_of(pom, parent), []
-    for d in pom.dependencies:
-        g, a = interpolate_first(d["groupId"], props), interpolate_first(d["artifactId"], props)
-        version = d["version"] or managed_version(pom, g or "", a or "", boms or {}) or (managed_version(parent, g or "", a or "", boms or {}) if parent else None)
-        version = interpolate_first(version, props)
-        if g and a and version:
-            out.append(Coordinates(g, a, version, d["type"] or "jar", d["classifier"]))
-    return out
-
-
-def project_dependencies(poms: Mapping[str, str], root: str = "", boms: Mapping[tuple[str, str, str], Pom] | None = None) -> list[Coordinates]:
-    """Direct dependencies of a project and its modules, one level deep; modules without a pom are passed over.
-
-    poms maps directories ('' is the root's) to texts. Modules inherit the root's properties and managed versions.
-    """
-    top = parse_pom(poms[root])
-    out = direct_dependencies(top, boms=boms)
-    for module in top.modules:
-        text = poms.get(f"{root}/{module}".strip("/"))
-        if text is not None:
-            out += direct_dependencies(parse_pom(text), top, boms)
-    return out
-
-
-def read_pom(text: str) -> list[tuple]:
-    """Rows of ``model.DECLARED`` without file and ordinal: /project/dependencies, interpolated."""
-    pom = parse_pom(text)
-    props = dict(pom.properties)
-    group = pom.group_id or (pom.parent or {}).get("groupId")
-    version = pom.version or (pom.parent or {}).get("version")
-    if group is not None:
-        props["project.groupId"] = group
-    if version is not None:
-        props["project.version"] = version
-    lines, out = text.split("\n"), []
-    for d in pom.dependencies:
-        g, a, v, c, s = (interpolate_all(d[k], props) for k in ("groupId", "artifactId", "version", "classifier", "scope"))
-        line = next((i for i, x in enumerate(lines) if g is not None and "<groupId>" in x and g in x), 0)
-        out.append((g or "", a or "", v or "", c, s, line))
-    return out
-
-
-class GradleToken(NamedTuple):
-    kind: str
-    text: str
-    line: int
-
-
-def gradle_tokens(text: str) -> Iterator[GradleToken]:
-    """Strings without their quotes, words and marks of a Gradle script, with 0-based lines; comments are left out."""
-    line, at = 0, 0
-    for m in _GRADLE.finditer(text):
-        line, at = line + text.count("\n", at, m.start()), m.start()
-        if m.lastgroup == "string":
-            quotes = 3 if m[0][:3] in ("\'\'\'", '"""') and len(m[0]) >= 6 else 1
-            yield GradleToken("string", m[0][quotes:-quotes], line)
-        elif m.lastgroup != "comment":
-            yield GradleToken(m.lastgroup, m[0], line)
-
-
-def read_gradle(text: str) -> list[tuple]:
-    """Rows like read_pom's: the first declaration of each line inside a dependencies block, at any depth.
-
-    A block is named by the last word before its brace. A declaration is a configuration's word, maybe a parenthesis, and a
-    string group:artifact:version.
-    """
-    blocks: list[str] = []
-    name, wanted = "", False  # the last word, and whether a string would be a declaration now
-    found: dict[int, tuple] = {}
-    for kind, token, line in gradle_tokens(text):
-        if kind == "word":
-            name, wanted = token, token in CONFIGURATIONS and "dependencies" in blocks
-        elif kind == "string":
-            parts = token.split(":", 2)
-            if wanted and len(parts) == 3 and all(parts):
-                found.setdefault(line, (*parts, None, None, line))
-            wanted = False
-        elif token == "{":
-            blocks.append(name)
-            name, wanted = "", False
-        elif token == "}":
-            if blocks:
-                blocks.pop()
-            name, wanted = "", False
-        elif token != "(":
-            wanted = False
-    return list(found.values())
-
-
 def declared(files: DataFrame) -> DataFrame:
     """``model.DECLARED`` rows of files (file_uri, text): poms and Gradle scripts at any depth; unreadable poms give none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = read_pom(text or "") if uri.endswith("pom.xml") else read_gradle(text or "")
-                except (ET.ParseError, ValueError):
-                    found = []
-                rows += [(*r, uri, k) for k, r in enumerate(found)]
-            if rows:
-                types = [pa.string()] * 5 + [pa.int32(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.name for f in DECLARED])
-
-    wanted = F.regexp_extract("file_uri", r"([^/]*)$", 1).isin("pom.xml", "build.gradle")
-    return files.select("file_uri", "text").where(wanted).mapInArrow(run, DECLARED)
-
-
-_TREE = re.compile(r"^((?:[|+\\ -])*?)(?:[+\\]--- )([^:\s]+):([^:\s]+):([^\s]+)")
-
-
-def read_gradle_tree(lines: list[str], build_file: str = "") -> list[dict]:
-    """Edges of a printed dependency tree. Depth follows from the indent (five characters a level)."""
-    out: list[dict] = []
-    stack: list[tuple[int, str]] = []
-    counts: dict[str | None, int] = {}
-    for k, line in enumerate(lines):
-        m = _TREE.match(line)
-        if not m:
-            if not line.strip():
-                stack = []
-            continue
-        depth = len(m[1]) // 5
-        while stack and stack[-1][0] >= depth:
-            stack.pop()
-        parent = stack[-1][1] if stack else None
-        node = str(k)
-        out.append({"node_id": node, "parent_id": parent, "ordinal": counts.get(parent, 0), "group_id": m[2], "artifact_id": m[3], "version": m[4], "classifier": None, "scope": "compile", "pom_path": build_file})
-        counts[parent] = counts.get(parent, 0) + 1
-        stack.append((depth, node))
-    return out
-
-
-def gradle_edges(trees: DataFrame) -> DataFrame:
-    """``model.EDGES`` of printed dependency trees (file_uri, text), with the file in front of each node's id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(EDGES)
-        for batch in batches:
-            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = read_gradle_tree((text or "").splitlines(), uri)
-                ids = lambda node, uri=uri: node and f"{uri}#{node}"
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{**r, "node_id": ids(r["node_id"]), "parent_id": ids(r["parent_id"])} for r in rows], schema=schema)
-
-    return trees.select("file_uri", "text").mapInArrow(run, EDGES)
-
-
-def direct(projects: DataFrame) -> DataFrame:
-    """Direct dependencies of Maven projects (project, poms map<directory, text>): project, pom_path, ordinal and coordinates.
-
-    What a resolver would answer without a network. Unreadable projects give none.
-    """
-    names = ["project", "pom_path", "ordinal", "group_id", "artifact_id", "version", "packaging", "classifier"]
-    types = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * 5]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for project, poms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(maps_as_pydicts="lossy"), strict=True):
-                try:
-                    found = project_dependencies(poms or {})
-                except (ET.ParseError, ValueError, KeyError):
-                    continue
-                rows += [(project, "pom.xml", k, *c) for k, c in enumerate(found)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return projects.select("project", "poms").mapInArrow(run, "project string, pom_path string, ordinal long, group_id string, artifact_id string, version string, packaging string, classifier string")
-
-
-def gradle_subprojects(lines: list[str]) -> list[str]:
-    """Project paths of a printed project list."""
-    return [m[1] for line in lines if (m := re.search(r"[+\\]--- Project '(:[^']+)'", line))]
+    name = F.regexp_extract("file_uri", r"([^/]*)$", 1)
+    return poms.declared(files.where(name == "pom.xml")).unionByName(gradle.declared(files.where(name == "build.gradle")))
 
 
 def gradle_version(wrapper_properties: str) -> str | None:

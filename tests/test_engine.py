@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from symlake.functions.patterns import glob_to_regex
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
-from symlake.operators import deps, rules, symbols
+from symlake.operators import deps, maven, rules, symbols
 from symlake.plans.conditions import Config, ConditionError, parse_dependency, parse_referenced
 from symlake.plans.workspace import Engine
-from symlake.sources import archives, builds, scan
+from symlake.sources import archives, builds, gradle, poms, scan
 from tests.test_java_extract import BEAN, SERVICE
 
 
@@ -112,24 +112,116 @@ POM = """<project xmlns="http://maven.apache.org/POM/4.0.0">
 """
 
 
-def test_poms():
-    found = builds.read_pom(POM)
+def files(spark, texts, **more):
+    rows = [(uri, text, *[v.get(uri) for v in more.values()]) for uri, text in texts.items()]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("file_uri", "text", *more)))
+
+
+def dependency(group, artifact, version=None, more=""):
+    return f"<dependency><groupId>{group}</groupId><artifactId>{artifact}</artifactId>{f'<version>{version}</version>' if version else ''}{more}</dependency>"
+
+
+def project(gav, dependencies="", managed="", properties="", parent=None, more=""):
+    tags = lambda x: "".join(f"<{n}>{v}</{n}>" for n, v in zip(("groupId", "artifactId", "version"), x.split(":"), strict=False) if v)
+    up = f"<parent>{tags(parent)}</parent>" if parent else ""
+    return f"<project>{up}{tags(gav)}<properties>{properties}</properties><dependencyManagement><dependencies>{managed}</dependencies></dependencyManagement><dependencies>{dependencies}</dependencies>{more}</project>"
+
+
+def test_poms(spark):
+    found = builds.declared(files(spark, {"/a/pom.xml": POM, "/b/pom.xml": "<!DOCTYPE x>" + POM, "/c/pom.xml": "<bad", "/d/pom.xml": "", "/e/other.xml": POM})).orderBy("ordinal").collect()
     assert [r[:3] for r in found] == [("org.springframework", "spring-core", "5.3.20"), ("javax.servlet", "javax.servlet-api", "4.0.1")]
-    with pytest.raises(ValueError):
-        builds.parse_pom("<!DOCTYPE x><project/>")
-    bom = builds.parse_pom("<project><properties><v>9</v></properties><dependencyManagement><dependencies><dependency><groupId>a</groupId><artifactId>b</artifactId><version>${v}</version></dependency></dependencies></dependencyManagement></project>")
-    pom = builds.parse_pom("<project><dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>bom</artifactId><version>1</version><type>pom</type><scope>import</scope></dependency></dependencies></dependencyManagement><dependencies><dependency><groupId>a</groupId><artifactId>b</artifactId></dependency><dependency><groupId>x</groupId><artifactId>y</artifactId></dependency></dependencies></project>")
-    assert [d[:3] for d in builds.direct_dependencies(pom, boms={("m", "bom", "1"): bom})] == [("a", "b", "9")]
-    assert builds.interpolate_first("${a}-${b}-${a}", {"a": "1"}) == "1-${b}-${a}" and builds.interpolate_all("${a}-${b}-${a}", {"a": "1"}) == "1-${b}-1"
+    lines = POM.split("\n")
+    assert [lines[r["line"]].strip() for r in found] == ["<groupId>org.springframework</groupId>", "<groupId>javax.servlet</groupId>"]
 
 
-def test_modules():
+@pytest.mark.parametrize(
+    ("text", "properties", "every", "leftmost"),
+    [
+        ("${a}-${b}-${a}", {"a": "1"}, "1-${b}-1", "1-${b}-${a}"),
+        ("${a}", {"a": "${b}${b}", "b": "${c}", "c": "x"}, "xx", "xx"),
+        ("${a}", {"a": "${a}z"}, "${a}zzzzz", "${a}zzzzz"),
+        ("no keys", {"a": "1"}, "no keys", "no keys"),
+        ("${a", {"a": "1"}, "${a", "${a"),
+        ("${}${a}", {"a": "$1\\"}, "${}$1\\", "${}${a}"),
+        (None, {"a": "1"}, None, None),
+        ("${a}${a}${a}${a}${a}${a}", {"a": "1"}, "111111", "11111${a}"),
+        ("é${a}é\n${a}", {"a": "日"}, "é日é\n日", "é日é\n日"),
+    ],
+)
+def test_interpolation(spark, text, properties, every, leftmost):
+    df = spark.createDataFrame([(text, properties)], "t string, p map<string,string>")
+    assert tuple(df.select(poms.interpolate_all(F.col("t"), F.col("p")), poms.interpolate_first(F.col("t"), F.col("p"))).first()) == (every, leftmost)
+
+
+def versions(rows):
+    return sorted(((r["artifact_id"], r["version"]) for r in rows.collect()), key=repr)
+
+
+def test_managed_versions(spark):
+    """Own entries first, then a BOM in its place, its parent's and imports' entries, then the parent's; cycles end."""
+    boot = "<type>pom</type><scope>import</scope>"
+    texts = {
+        "app": project("g:app:1", "".join(dependency("x", a) for a in "abcdefg") + dependency("x", "h", "${project.version}-${deep}"), dependency("x", "a", "own") + dependency("m", "bom", "${b}", boot) + dependency("x", "b", "late"), "<b>1</b>", "g:up:9"),
+        "up": project("g:up:9", dependency("x", "inherited", "0"), dependency("x", "c", "parent-${b}") + dependency("x", "a", "no"), "<deep>d</deep>", "g:top:9"),
+        "top": project("g:top:9", "", dependency("x", "d", "top"), "", "g:up:9"),
+        "bom": project("m:bom:1", "", dependency("x", "b", "${v}") + dependency("m", "bom2", "1", boot) + dependency("m", "bom", "1", boot), "<v>bom</v>", "m:bomtop:1"),
+        "bomtop": project("m:bomtop:1", "", dependency("x", "e", "bomtop-${v}")),
+        "bom2": project("m:bom2:1", "", dependency("x", "f", "bom2")),
+    }
+    rows = files(spark, texts, project={"app": "p"})
+    own = maven.effective(rows, inherit=False).where("file_uri = 'app'")
+    want = [("a", "own"), ("b", "bom"), ("c", "parent-1"), ("d", "top"), ("e", "bomtop-bom"), ("f", "bom2"), ("g", None), ("h", "1-d")]
+    assert versions(own) == sorted(want, key=repr)
+    assert versions(maven.effective(rows).where("file_uri = 'app'")) == sorted([*want, ("inherited", "0")], key=repr)
+
+
+def test_resolution(spark):
+    """Nearest wins before first declared; what lost is not followed; exclusions, scopes and missing poms."""
+    top = {"b/pom.xml": project("t:app:1", dependency("g", "a", "1") + dependency("g", "b", "1", "<scope>test</scope>") + dependency("g", "z"))}
+    repo = {
+        "a": project("g:a:1", dependency("g", "c", "2", "<exclusions><exclusion><groupId>g</groupId><artifactId>f</artifactId></exclusion></exclusions>") + dependency("g", "t", "1", "<scope>test</scope>") + dependency("g", "o", "1", "<optional>true</optional>") + dependency("g", "r", "1", "<scope>runtime</scope>")),
+        "b": project("g:b:1", dependency("g", "c", "1") + dependency("g", "d", "1")),
+        "c2": project("g:c:2", dependency("g", "d", "2") + dependency("g", "f", "1") + dependency("g", "a", "7")),
+        "c1": project("g:c:1", dependency("g", "lost", "1")),
+        "d": project("g:d:1", dependency("g", "f", "3")),
+        "r": project("g:r:1", dependency("g", "s", "1")),
+    }
+    roots = spark.createDataFrame([("p", "b/pom.xml", "pom.xml", 0)], "project string, file_uri string, pom_path string, ordinal int")
+    out = maven.resolve(files(spark, top, project={"b/pom.xml": "p"}), files(spark, repo), roots)
+    found = {(r["artifact_id"], r["version"], r["scope"], r["depth"]) for r in out.collect()}
+    assert found == {("a", "1", "compile", 0), ("b", "1", "test", 0), ("z", None, "compile", 0), ("c", "2", "compile", 1), ("r", "1", "runtime", 1), ("d", "1", "test", 1), ("f", "3", "test", 2), ("s", "1", "runtime", 2)}
+    tree = deps.resolved(out)
+    assert {(r["artifact_id"], r["base_dep"]["artifact_id"] if r["indirect"] else None) for r in tree.collect()} == {("a", None), ("b", None), ("z", None), ("c", "a"), ("r", "a"), ("d", "b"), ("f", "b"), ("s", "a")}
+    none = spark.createDataFrame([], "file_uri string, text string")
+    assert maven.resolve(none.select(F.lit("p").alias("project"), "*"), none, roots).count() == 0
+
+
+def test_modules(spark, tmp_path):
     root = "<project><groupId>g</groupId><version>7</version><modules><module>a</module><module>gone</module></modules><properties><v>2</v></properties><dependencies><dependency><groupId>x</groupId><artifactId>top</artifactId><version>1</version></dependency></dependencies></project>"
-    child = "<project><parent><groupId>g</groupId><artifactId>p</artifactId><version>7</version></parent><dependencies><dependency><groupId>g</groupId><artifactId>own</artifactId><version>${project.version}</version></dependency><dependency><groupId>y</groupId><artifactId>z</artifactId><version>${v}</version></dependency></dependencies></project>"
-    assert [(d.artifact_id, d.version) for d in builds.project_dependencies({"": root, "a": child})] == [("top", "1"), ("own", "7"), ("z", "2")]
+    child = "<project><artifactId>a</artifactId><dependencies><dependency><groupId>g</groupId><artifactId>own</artifactId><version>${project.version}</version></dependency><dependency><groupId>y</groupId><artifactId>z</artifactId><version>${v}</version></dependency></dependencies></project>"
+    for place, text in (("", root), ("a", child), ("a/deep", child), ("other", child)):
+        (tmp_path / place).mkdir(exist_ok=True)
+        (tmp_path / place / "pom.xml").write_text(text)
+    engine = Engine(spark)
+    own = engine.workspace(engine.init(Config(str(tmp_path))))
+    assert [(r["artifact_id"], r["version"]) for r in own.resolved.orderBy("path").collect()] == [("top", "1"), ("own", "7"), ("z", "2")]
     assert "<artifactId>a&amp;b</artifactId>" in builds.synthetic_pom([("g", "a&b", "1")])
 
 
+def test_transitive_dependencies_of_a_checkout(spark, tmp_path):
+    """With a local repository no graph is needed."""
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app/pom.xml").write_text(project("t:app:1", dependency("g", "a"), parent="g:up:1"))
+    for gav, text in {"g:up:1": project("g:up:1", managed=dependency("g", "a", "1")), "g:a:1": project("g:a:1", dependency("g", "b", "2")), "g:b:2": project("g:b:2")}.items():
+        g, a, v = gav.split(":")
+        (tmp_path / "repo" / g / a / v).mkdir(parents=True)
+        (tmp_path / "repo" / g / a / v / f"{a}-{v}.pom").write_text(text)
+    engine = Engine(spark)
+    ident = engine.init(Config(str(tmp_path / "app"), maven_repository=str(tmp_path / "repo")))
+    assert {(r["name"], r["version"]) for r in engine.evaluate(ident, "dependency", "dependency: {name_regex: 'g[.].*'}").collect()} == {("g.a", "1"), ("g.b", "2")}
+    assert engine.workspace(ident).dependency_dag()[0]["children"][0]["artifact_id"] == "b"
+
+
 def test_cached_symbols(spark, tmp_path):
     from symlake.plans.workspace import Workspace
 
@@ -142,19 +234,46 @@ def test_cached_symbols(spark, tmp_path):
     assert open_().symbol_path != first.symbol_path
 
 
-def test_gradle():
+def scripts(spark, *texts):
+    return spark.createDataFrame([(f"/{k}/build.gradle", t) for k, t in enumerate(texts)], "file_uri string, text string")
+
+
+def test_gradle(spark):
     text = "plugins { }\ndependencies {\n  implementation 'a:b:1'\n  testImplementation \"c:d:2\"\n  if (x) { api 'e:f:3' }\n}\nimplementation 'no:no:0'\n"
-    assert [(r[0], r[1], r[2], r[5]) for r in builds.read_gradle(text)] == [("a", "b", "1", 2), ("c", "d", "2", 3), ("e", "f", "3", 4)]
     other = "dependencies { api 'a:b:1' }\nbuildscript {\n  dependencies {\n    classpath('c:d:2') // api 'no:no:1'\n    /* api 'no:no:2'\n */ constraints { runtimeOnly(\"e:f:3\") }\n    api project(':x')\n    myapi 'no:no:3'\n    compileOnly 'g:h'\n  }\n}\napi 'no:no:4'\n// dependencies {\napi 'no:no:5'\nimplementation \"it's: { not: closed\"\n"
-    assert [(r[0], r[1], r[2], r[5]) for r in builds.read_gradle(other)] == [("a", "b", "1", 0), ("c", "d", "2", 3), ("e", "f", "3", 5)]
-    assert builds.read_gradle("dependencies {\n  api 'a:b:1'; api 'c:d:2'\n") == [("a", "b", "1", None, None, 1)]
-    tree = ["compileClasspath", "+--- a:b:1", "|    +--- c:d:2", "|    |    \\--- e:f:3 -> 4", "|    \\--- g:h:5", "\\--- i:j:6", "     \\--- k:l:7"]
-    edges = builds.read_gradle_tree(tree)
-    by = {e["node_id"]: e for e in edges}
-    assert [(e["artifact_id"], by[e["parent_id"]]["artifact_id"] if e["parent_id"] else None) for e in edges] == [("b", None), ("d", "b"), ("f", "d"), ("h", "b"), ("j", None), ("l", "j")]
+    odd = "} }\ndependencies {\n  api \'\'\'a:b:1\'\'\' }\n}\nx { dependencies(\"d\") {\n api ( ( 'q:r:1'\n } api 'no:no:1' }\ndependencies { def s = '" + "y" * 30_000 + "'\n api 'z:z:9' }"
+    found = gradle.declared(scripts(spark, text, other, "dependencies {\n  api 'a:b:1'; api 'c:d:2'\n", odd, "", None)).orderBy("file_uri", "ordinal").collect()
+    of = lambda k: [(r["group_id"], r["artifact_id"], r["version"], r["line"], r["ordinal"]) for r in found if r["file_uri"] == f"/{k}/build.gradle"]
+    assert of(0) == [("a", "b", "1", 2, 0), ("c", "d", "2", 3, 1), ("e", "f", "3", 4, 2)]
+    assert of(1) == [("a", "b", "1", 0, 0), ("c", "d", "2", 3, 1), ("e", "f", "3", 5, 2)]
+    assert of(2) == [("a", "b", "1", 1, 0)]
+    assert of(3) == [("a", "b", "1", 2, 0), ("q", "r", "1", 5, 1), ("z", "z", "9", 8, 2)]
+    assert len(found) == 10
     assert builds.gradle_version("distributionUrl=https\\://x/gradle-8.5-bin.zip") == "8.5"
 
 
+def test_gradle_trees(spark):
+    tree = ["compileClasspath", "+--- a:b:1", "|    +--- c:d:2", "|    |    \\--- e:f:3 -> 4", "|    \\--- g:h:5", "\\--- i:j:6", "     \\--- k:l:7", "", "+--- m:n:8"]
+    deep = ["|    " * k + "+--- g:n" + str(k) + ":1" for k in range(50)]
+    skips = ["+--- g:a:1", "|    |    +--- g:b:1", "|    |    +--- g:c:1", "|    +--- g:d:1"]
+    df = spark.createDataFrame([("t", "\n".join(tree)), ("deep", "\r\n".join(deep)), ("skips", "\n".join(skips)), ("none", None)], "file_uri string, text string")
+    rows = gradle.edges(df).collect()
+    by = {e["node_id"]: e for e in rows}
+    up = lambda f: {e["artifact_id"]: by[e["parent_id"]]["artifact_id"] if e["parent_id"] else None for e in rows if e["pom_path"] == f}
+    assert up("t") == {"b": None, "d": "b", "f": "d", "h": "b", "j": None, "l": "j", "n": None}
+    assert up("deep") == {f"n{k}": f"n{k - 1}" if k else None for k in range(50)}
+    assert up("skips") == {"a": None, "b": "a", "c": "a", "d": "a"}
+    assert {e["artifact_id"]: e["ordinal"] for e in rows if e["pom_path"] == "t"} == {"b": 0, "d": 0, "f": 0, "h": 1, "j": 1, "l": 0, "n": 2}
+    plan = gradle.edges(df)._jdf.queryExecution().toString() + gradle.declared(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_gradle_subprojects(spark):
+    text = "Root project 'x'\n+--- Project ':app'\n|    \\--- Project ':app:core'\n\\--- Project ':lib' - text\n"
+    found = gradle.subprojects(spark.createDataFrame([("p", text)], "file_uri string, text string")).orderBy("ordinal")
+    assert [r["path"] for r in found.collect()] == [":app", ":app:core", ":lib"]
+
+
 @pytest.mark.parametrize("text,want", [("g:a:jar:1", ("g", "a", "1", "jar", None)), ("g:a:jar:sources:1", ("g", "a", "1", "jar", "sources")), ("g:a", None), ("g:a:jar", ("g", "a", "", "jar", None))])
 def test_coordinates(text, want):
     assert builds.parse_coordinates(text) == want
@@ -221,7 +340,7 @@ def test_maven_project_without_a_graph(spark, tmp_path):
     engine = Engine(spark)
     ident = engine.init(Config(str(tmp_path)))
     ask = lambda text: engine.evaluate(ident, "dependency", f"dependency: {text}")
-    assert names(ask("{name_regex: '.*'}")) == {("org.springframework.spring-core", "5.3.20", 6), ("org.managed.lib", "2.5", 11), ("javax.servlet.api", "5.3.20", 0)}
+    assert names(ask("{name_regex: '.*'}")) == {("org.springframework.spring-core", "5.3.20", 6), ("org.managed.lib", "2.5", 11), ("javax.servlet.api", "5.3.20", 0), ("no.version", "", 0)}
     assert names(ask("{name: org.springframework.spring-core, lowerbound: 5.0.0}")) == {("org.springframework.spring-core", "5.3.20", 6)}
     assert ask("{name: org.springframework.spring-core, lowerbound: 6.0}").count() == 0
     assert engine.workspace(ident).matched("dependency", "dependency: {name: org.managed.lib}") and not engine.workspace(ident).matched("dependency", "dependency: {name: x}")
