@@ -344,7 +344,8 @@ def search(clusters: DataFrame, queries: DataFrame, id_col: str, text_col: str,
         bests = clusters.select("cluster", "terms", "top_tf", "low_n").mapInArrow(lambda b, q=own: _bounds(b, q, seeds), "q long, bound long, cluster string")
         order = Window.partitionBy("q").orderBy(F.desc("bound"), "cluster")
         chosen = bests.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= seeds).select("cluster").distinct()
-        first = _ranked(clusters.join(chosen, "cluster", "left_semi").mapInArrow(lambda b, q=own: _visits(b, q, {}, k), FOUND), k)
+        # At most SEEDS names a query, and queries are bounded by the slice.
+        first = _ranked(clusters.join(F.broadcast(chosen), "cluster", "left_semi").mapInArrow(lambda b, q=own: _visits(b, q, {}, k), FOUND), k)
         floors = {r["q"]: r["score"] for r in first.where(F.col("rank") == k).select("q", "score").collect()}  # one number a query
         found = clusters.mapInArrow(lambda b, q=own, f=floors: _visits(b, q, f, k), FOUND)
         out = found if out is None else out.unionByName(found)
