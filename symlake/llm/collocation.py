@@ -39,7 +39,7 @@ from symlake.llm.rolling import U64, Prints, mix
 DEPTH, FLOOR, TOP, COVER = 3, 10, 2000, 50
 SCALE = 1_000_000
 #: Bytes of text in a shard's tries; parts that a trie is cut into; runs that a merge takes, about.
-SHARD, RANGES, FAN = 16 << 20, 128, 128
+SHARD, RANGES, FAN = 8 << 20, 128, 128
 #: Phrases are ranked in so many groups a language first, then in fewer.
 GROUPS = (1024, 32)
 #: 0 for a word's bytes, 1 between words, 2 between pieces.
