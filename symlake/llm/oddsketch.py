@@ -1,6 +1,6 @@
 """Near-duplicates by MinHash bands, odd sketches and full comparison.
 
-1. One pass over the texts gives each document the hashes of its five-word shingles, a fingerprint and size of
+1. One pass over the texts gives each document the hashes of its five-word shingles, the SHA-256 (half of it) and size of
    that set, 160 MinHash samples in 40 bands of four, and an odd sketch: a 4,096-bit map in which each of up to 8,192
    further samples (the least hash of each of 8,192 ranges) flips a bit. Documents with equal sets are one node from
    here on, whatever their number.
@@ -22,11 +22,13 @@ the near pairs found, each in the first band that its nodes share.
 Words are runs of bytes other than 20 and 09-0D after lower-casing A-Z. A document with fewer words than five
 has one shingle, the whole sequence. Edge cases: null or empty texts and texts without words are linked with nothing; rows that
 repeat, ids included, are nodes of their own set; a null id counts as larger than any; an empty table gives no rows.
-Nodes are told apart by 64-bit hashes of id and text, shingles by 64-bit hashes.
+Nodes are told apart by 64-bit hashes of id and text, shingles by 64-bit hashes of prints modulo a prime at a base drawn for each run,
+and confirmed at a second one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from types import ModuleType
 from typing import TypeVar
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.llm.common import components, discard, materialize, project, release, table
-from symlake.llm.rolling import U64, Prints, mix
+from symlake.llm.rolling import BASE, U64, PrimePrints, drawn_base, mix
 
 WORDS, SIMILARITY = 5, 75
 BANDS, ROWS = 40, 4
@@ -65,8 +67,8 @@ def _combine(words: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, hash) of a text's words, a chunk at a time; a word longer than a chunk is hashed by its own."""
+def words(text: bytes, base: int = BASE >> 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash at a base) of a text's words, a chunk at a time; a word longer than a chunk is hashed by its own."""
     out, at, n = [], 0, len(text)
     while at < n:
         end = min(n, at + CHUNK)
@@ -80,7 +82,7 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(start):
-            out.append((start + at, stop + at, mix(Prints(data).of(start, stop) + (stop - start).astype(U64) * U64(0x9FB21C651E98DF25))))
+            out.append((start + at, stop + at, mix(PrimePrints(data, base).of(start, stop) + (stop - start).astype(U64) * U64(0x9FB21C651E98DF25))))
         at = end
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -88,23 +90,19 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, stops, hashes
 
 
-def _word_hashes(text: bytes) -> np.ndarray:
-    return words(text)[2]
-
-
 def _next_space(text: bytes, at: int) -> int:
     found = [p for c in b" \t\n\x0b\x0c\r" if (p := text.find(bytes([c]), at)) >= 0]
     return min(found, default=-1)
 
 
-def shingles(text: bytes) -> np.ndarray:
+def shingles(text: bytes, base: int = BASE >> 4) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = _word_hashes(text.lower())
-    if not len(words):
-        return words
-    if len(words) < WORDS:
-        return mix((words * _POW[: len(words)]).sum(keepdims=True) + U64(len(words)))
-    return np.unique(_combine(words))
+    own = words(text.lower(), base)[2]
+    if not len(own):
+        return own
+    if len(own) < WORDS:
+        return mix((own * _POW[: len(own)]).sum(keepdims=True) + U64(len(own)))
+    return np.unique(_combine(own))
 
 
 def samples(hashes: np.ndarray) -> np.ndarray:
@@ -152,16 +150,17 @@ SIGNATURE = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()
 SIGNATURE_DDL = "key long, id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             rows = []
             for key, ident, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                own = shingles(body.as_buffer().to_pybytes())
+                own = shingles(body.as_buffer().to_pybytes(), base)
                 if len(own):
                     low = samples(own)
-                    rows.append((key, ident, len(own), int(own.sum().view(np.int64)), int(mix(own * U64(3)).sum().view(np.int64)), bands(low), odd_sketch(own)))
+                    s1, s2 = np.frombuffer(hashlib.sha256(own.tobytes()).digest(), np.int64, 2).tolist()
+                    rows.append((key, ident, len(own), s1, s2, bands(low), odd_sketch(own)))
                 else:
                     rows.append((key, ident, 0, 0, 0, [], []))
             if rows:
@@ -173,7 +172,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int, base: int) -> Iterator[pa.RecordBatch]:
     known: dict[int, np.ndarray] = {}
     held = 0
     for batch in batches:
@@ -183,7 +182,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             for key, body in ((x, bx), (y, by)):
                 own = known.get(key)
                 if own is None:
-                    own = shingles(body.as_buffer().to_pybytes())
+                    own = shingles(body.as_buffer().to_pybytes(), base)
                     if held + len(own) > REMEMBERED:
                         known, held = {}, 0
                     known[key] = own
@@ -225,7 +224,9 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     rows = project(df, id=df[id_col].cast("long"), text=text_col)
     body = F.coalesce("text", F.lit("")).cast("binary")
     docs = rows.select(F.xxhash64("id", body).alias("key"), "id", body.alias("body"))
-    signed = materialize(docs.mapInArrow(_sign, SIGNATURE_DDL), "signatures")
+    # Sets are made at one base and compared at another, so that no pair of words passes for equal in both.
+    base, other = drawn_base(), drawn_base()
+    signed = materialize(docs.mapInArrow(lambda b: _sign(b, base), SIGNATURE_DDL), "signatures")
     whole = ["s1", "s2", "n"]
     nodes = signed.where("n > 0").groupBy(*whole).agg(F.min("key").alias("node"), F.min("id").alias("low_id"), F.min_by(F.struct("bands", "sketch"), "key").alias("sig"))
     nodes = materialize(nodes.select("node", "low_id", *whole, "sig.bands", "sig.sketch"), "nodes")
@@ -248,7 +249,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     def confirmed(p: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         with_y = p.select("x", "y").join(texts.select(F.col("key").alias("y"), F.col("body").alias("by")), "y")
         both = with_y.join(texts.select(F.col("key").alias("x"), F.col("body").alias("bx")), "x").select("x", "y", "bx", "by")
-        return materialize(both.mapInArrow(lambda b: _confirm(b, percent), "x long, y long"), name)
+        return materialize(both.mapInArrow(lambda b: _confirm(b, percent, other), "x long, y long"), name)
 
     def relabelled(label: DataFrame, more: DataFrame) -> DataFrame:
         """Components with more links: label's own are single nodes here."""

@@ -15,6 +15,9 @@ one text in a task:
   is settled: all its starts repeat. Only the others (mostly edges of edits) go on to the next, longer round, one
   of each kind of equal surroundings.
 
+Strings count as equal only if the salted SHA-256 of all their bytes (64 bits of it) agrees besides their ranks, and ranks come from prints
+modulo a prime at a base that is drawn for each run, so that no text can be made to collide.
+
 A rank is a 64-bit hash of the pair that it stands for rather than an ordinal, so that a round needs no global order: Spark
 groups the pairs, partially before the shuffle, and joins the shared ones back. Ranking every position instead of
 anchors would shuffle a pair for each byte and round, some hundred times the input.
@@ -33,6 +36,7 @@ apart by a 64-bit hash of id and text. A very long text is taken in chunks; its
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -43,7 +47,7 @@ from pyspark.sql import functions as F
 
 from symlake.llm.common import discard, materialize, project, release, table
 from symlake.llm.oddsketch import words
-from symlake.llm.rolling import U64, Prints, mix
+from symlake.llm.rolling import U64, PrimePrints, Prints, drawn_base, mix
 
 THRESHOLD = 400
 #: Bytes within which every window has an anchor (a power of two), and the grams whose hashes choose it.
@@ -58,14 +62,23 @@ CHUNK = (1 << 20) - 8
 class Unit(NamedTuple):
     """What a text is a sequence of, and how its windows are thinned out and cut into blocks."""
 
-    symbols: Callable[[pa.Buffer], np.ndarray]
+    symbols: Callable[[pa.Buffer, int], np.ndarray]
     window: int
     gram: int
     steps: tuple[int, ...]
 
 
-BYTES = Unit(lambda buf: np.frombuffer(buf, np.uint8), WINDOW, GRAM, STEPS)
-WORDS = Unit(lambda buf: words(buf.to_pybytes())[2], 32, 2, (32, 4, 1))
+BYTES = Unit(lambda buf, _: np.frombuffer(buf, np.uint8), WINDOW, GRAM, STEPS)
+WORDS = Unit(lambda buf, base: words(buf.to_pybytes(), base)[2], 32, 2, (32, 4, 1))
+
+
+
+class Run(NamedTuple):
+    """What is drawn for each run: the prints' base and the digests' salt."""
+
+    base: int
+    salt: bytes
+
 
 _PLACE = [("key", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]
 FIRST = pa.schema([*_PLACE, ("head", pa.int64()), ("tail", pa.int64()), ("whole", pa.int64())])
@@ -92,12 +105,20 @@ def anchors(prints: Prints, valid: np.ndarray, window: int = WINDOW, gram: int =
     return p[a], a, b
 
 
-def surroundings(prints: Prints, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: int, window: int) -> np.ndarray:
-    """Names of all that windows from lo to hi cover, and of where the anchor is in it."""
-    return mix(prints.of(lo, hi + threshold) + ((p - lo) * 2 * window + (p - hi)).astype(U64) * U64(0xA0761D6478BD642F))
+def surroundings(data: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: int, salt: bytes) -> np.ndarray:
+    """Names of all that windows from lo to hi cover, and of where the anchor is in it: 64 bits of a salted SHA-256 of these symbols."""
+    view, size = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    start = hashlib.sha256(salt)
+    out = bytearray()
+    for at, a, e in zip(p.tolist(), lo.tolist(), (hi + threshold).tolist(), strict=True):
+        own = start.copy()
+        own.update(b"%d %d " % (at - a, e - a))
+        own.update(view[a * size : e * size])
+        out += own.digest()[:8]
+    return np.frombuffer(bytes(out), U64, len(p)) if len(p) else np.zeros(0, U64)
 
 
-def blocks(prints: Prints, p: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, threshold: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+def blocks(data: np.ndarray, run: Run, p: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, threshold: int) -> tuple[np.ndarray, ...]:
     """Cut intervals into blocks of step starts, counted back from the anchor: (item, a, b, core, whole)."""
     first, last = (p - b) // step, (p - a) // step
     n = last - first + 1
@@ -105,8 +126,8 @@ def blocks(prints: Prints, p: np.ndarray, a: np.ndarray, b: np.ndarray, step: in
     j = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + first[item]
     ip = p[item]
     lo, hi = np.maximum(a[item], ip - step * (j + 1) + 1), np.minimum(b[item], ip - step * j)
-    core = mix(prints.of(ip - step * j, ip - step * (j + 1) + 1 + threshold) + j.astype(U64) * U64(0xD6E8FEB86659FD93))
-    return item, lo, hi, core, surroundings(prints, ip, lo, hi, threshold, window)
+    core = mix(PrimePrints(data, run.base).of(ip - step * j, ip - step * (j + 1) + 1 + threshold) + j.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return item, lo, hi, core, surroundings(data, ip, lo, hi, threshold, run.salt)
 
 
 def _batch(schema: pa.Schema, key: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, *names: np.ndarray) -> pa.RecordBatch:
@@ -114,7 +135,7 @@ def _batch(schema: pa.Schema, key: np.ndarray, p: np.ndarray, lo: np.ndarray, hi
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+def _tiles(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit, base: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
     """(key, offset, symbols) in lists of at most CHUNK symbols; tiles of a text overlap so that each start is in one."""
     held: list[tuple[int, int, np.ndarray]] = []
     size = 0
@@ -123,7 +144,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit) -> Ite
             buf = text.as_buffer() if text.is_valid else None
             if buf is None or buf.size < threshold:
                 continue
-            own = unit.symbols(buf)
+            own = unit.symbols(buf, base)
             room = CHUNK - threshold + 1
             for at in range(0, len(own) - threshold + 1, room):
                 part = own[at : at + CHUNK].copy()
@@ -136,31 +157,31 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit) -> Ite
         yield held
 
 
-def _round_one(batches: Iterator[pa.RecordBatch], threshold: int, unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
-    for tiles in _tiles(batches, threshold, unit):
+def _round_one(batches: Iterator[pa.RecordBatch], threshold: int, run: Run, unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
+    for tiles in _tiles(batches, threshold, unit, run.base):
         data = np.concatenate([t[2] for t in tiles])
         sizes = np.array([len(t[2]) for t in tiles])
         ends = np.cumsum(sizes)
-        prints, valid = Prints(data), np.ones(len(data), bool)
+        prints, valid = PrimePrints(data, run.base), np.ones(len(data), bool)
         for e in ends:
             valid[e - threshold + 1 : e] = False
-        p, a, b = anchors(prints, valid, unit.window, unit.gram)
+        p, a, b = anchors(Prints(data), valid, unit.window, unit.gram)
         shared = threshold - unit.window + 1  # what all windows of an interval have, from the anchor on
         half = (shared + 1) // 2
         head, tail = mix(prints.of(p, p + half)), mix(prints.of(p + shared - half, p + shared))
         tile = np.searchsorted(ends, a, side="right")
         shift = np.array([t[1] for t in tiles])[tile] - (ends - sizes)[tile]
-        yield _batch(FIRST, np.array([t[0] for t in tiles], np.int64)[tile], p + shift, a + shift, b + shift, head, tail, surroundings(prints, p, a, b, threshold, unit.window))
+        yield _batch(FIRST, np.array([t[0] for t in tiles], np.int64)[tile], p + shift, a + shift, b + shift, head, tail, surroundings(data, p, a, b, threshold, run.salt))
 
 
-def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int, unit: Unit) -> Iterator[pa.RecordBatch]:
+def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int, run: Run, unit: Unit) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         asked = batch.column(2)
         ends = np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))
         flat = asked.flatten()
         every = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
         for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-            own = unit.symbols(text.as_buffer())
+            own = unit.symbols(text.as_buffer(), run.base)
             rows = [x[ends[k - 1] if k else 0 : ends[k]] for x in every]
             order = np.argsort(rows[1], kind="stable")
             ps, starts, stops, ranks = (x[order] for x in rows)
@@ -170,7 +191,7 @@ def _next_round(batches: Iterator[pa.RecordBatch], step: int, threshold: int, un
                 end = max(at + 1, int(np.searchsorted(starts, start + CHUNK - threshold - 2 * unit.window, side="right")))
                 p, a, b = (x[at:end] - start for x in (ps, starts, stops))
                 part = own[start : start + int(b.max()) + threshold + unit.window]
-                item, lo, hi, core, whole = blocks(Prints(part), p, a, b, step, threshold, unit.window)
+                item, lo, hi, core, whole = blocks(part, run, p, a, b, step, threshold)
                 yield _batch(ROWS, np.full(len(lo), key, np.int64), p[item] + start, lo + start, hi + start, ranks[at:end][item], core, whole)
                 at = end
 
@@ -189,9 +210,10 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: Unit = BYTES) ->
     A span [a, e) is the number a * 2^32 + e. Threshold and spans count the unit's symbols; the threshold is larger than the unit's window and gram together.
     """
     assert threshold > unit.window + unit.gram
+    run = Run(drawn_base(), secrets.token_bytes(16))
     spark = docs.sparkSession
     span = lambda df: df.select("key", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("b") + threshold).alias("span"))
-    first = materialize(docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold, unit), FIRST_DDL), "anchors")
+    first = materialize(docs.select("key", "body").mapInArrow(lambda b: _round_one(b, threshold, run, unit), FIRST_DDL), "anchors")
     spent: list[DataFrame] = [first]
     shared = materialize(_shared(first, ["head"], spent), "round1")
     discard(*spent)
@@ -199,7 +221,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: Unit = BYTES) ->
     found, slim, spent = [], None, [shared]
     for k, step in enumerate(unit.steps, 1):
         if step == 1:
-            found.append(span(_shared(rows, ["root", "core"], spent)))
+            found.append(span(_shared(rows, ["root", "core", "whole"], spent)))
             break
         # A rank of its own is one kind that occurs once, and goes no further.
         kinds = materialize(rows.groupBy("root", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "p", "a", "b")).alias("one")), "kinds")
@@ -214,7 +236,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: Unit = BYTES) ->
             texts = slim.drop("asked").join(asked, "key")
         spent += [kinds, open_, slim]
         release(spark)
-        rows = materialize(texts.select("key", "body", "asked").mapInArrow(lambda b, s=unit.steps[k]: _next_round(b, s, threshold, unit), ROWS_DDL), f"blocks{k + 1}")
+        rows = materialize(texts.select("key", "body", "asked").mapInArrow(lambda b, s=unit.steps[k]: _next_round(b, s, threshold, run, unit), ROWS_DDL), f"blocks{k + 1}")
         spent.append(rows)
     all_ = found[0]
     for more in found[1:]:

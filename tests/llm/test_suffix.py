@@ -1,10 +1,14 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from symlake.llm import suffix
+from symlake.llm import oddsketch, rolling, suffix
+from symlake.llm.rolling import Prints
 
 
 def brute(rows, threshold):
@@ -53,6 +57,52 @@ def test_against_brute_force(spark):
     assert any(0 < r[2] < r[1] for r in got)
 
 
+def colliding():
+    """Two texts of 192 bytes that all prints modulo 2^64 at odd bases take to be equal."""
+    factors = [*range(7), *range(6), 0]
+    c = np.array([1], np.int64)
+    for k in factors:
+        x = np.zeros(len(c) + (1 << k), np.int64)
+        x[1 << k :] += c
+        x[: len(c)] -= c
+        c = x
+    assert len(c) == 192 and abs(c).max() < 87  # printable from 40 on
+    a = np.where(c > 0, c, 0) + 40
+    return a.astype(np.uint8).tobytes().decode(), (a - c).astype(np.uint8).tobytes().decode()
+
+
+def test_colliding_texts(spark):
+    rnd = random.Random(9)
+    one, other = colliding()
+    prints = [Prints(np.frombuffer(x.encode(), np.uint8)).of(np.array([0]), np.array([192]))[0] for x in (one, other)]
+    assert one != other and prints[0] == prints[1]
+    rows = []
+    for k in range(20):
+        before, after = prose(rnd, 350)[:300], prose(rnd, 300)[:250]
+        rows += [(2 * k, before + one + after), (2 * k + 1, before + other + after)]
+    assert all(r[2] == 0 for r in check(spark, rows))
+    pair = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert all(r["kept"] for r in oddsketch.groups(pair, "doc_id", "text").collect())
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**61 - 2), st.integers(0, 2**61 - 2)), min_size=1, max_size=20))
+def test_products_modulo_the_prime(pairs):
+    a, b = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+    assert rolling.product(a, b).tolist() == [x * y % rolling.PRIME for x, y in pairs]
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_prime_prints(monkeypatch, kind):
+    monkeypatch.setattr(rolling, "_BLOCK", 64)
+    rnd = np.random.default_rng(2)
+    buf = rnd.integers(0, np.iinfo(kind).max, 500, dtype=kind, endpoint=True)
+    base = rolling.drawn_base()
+    prints = rolling.PrimePrints(buf, base)
+    start, size = rnd.integers(0, 400, 50), rnd.integers(0, 100, 50)
+    want = [sum((int(c) + (kind is np.uint8)) * pow(base, j, rolling.PRIME) for j, c in enumerate(buf[s : s + n])) % rolling.PRIME for s, n in zip(start, size, strict=True)]
+    assert prints.of(start, start + size).tolist() == want
+
+
 def test_repetition_within_one_document(spark):
     rnd = random.Random(6)
     own = prose(rnd, 500)
@@ -75,7 +125,7 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in bodies], pa.int64()), pa.array([b for _, b in bodies], pa.binary())], ["key", "body"])
-    whole = {(r["key"], s) for b in suffix._round_one(iter([batch]), 400) for r in b.to_pylist() for s in range(r["a"], r["b"] + 1)}
+    whole = {(r["key"], s) for b in suffix._round_one(iter([batch]), 400, suffix.Run(rolling.drawn_base(), b"salt")) for r in b.to_pylist() for s in range(r["a"], r["b"] + 1)}
     assert whole == {(i, s) for i, b in bodies for s in range(len(b) - 399)}
 
 
