@@ -366,7 +366,8 @@ def remove(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"), "doc_id", "text", n_words=PASSAGE).withColumnRenamed("id", "doc_id")
+    out = report(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return out.drop("n_passage_words", "n_passages")
 
 
 SQL = rf"""
@@ -378,15 +379,7 @@ g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run
 runs AS (SELECT doc_id, run, min(s) AS a, max(s) + {THRESHOLD} AS e FROM g GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a FROM runs UNION ALL SELECT doc_id, max(e), NULL FROM runs GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(substr(h, (2 * f + 1)::BIGINT, (CASE WHEN a IS NULL THEN len(h) ELSE 2 * (a - f) END)::BIGINT), '' ORDER BY f) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
-counts AS (SELECT doc_id, sum(e - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id),
-ws AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-pw AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1:s + {PASSAGE}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {PASSAGE - 1})) AS s FROM ws)),
-pr AS (SELECT doc_id, s FROM pw QUALIFY count(*) OVER (PARTITION BY k) > 1),
-pi AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {PASSAGE} THEN 0 ELSE 1 END AS fresh FROM pr),
-pg AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM pi),
-pruns AS (SELECT doc_id, run, max(s) + {PASSAGE} - min(s) AS n FROM pg GROUP BY doc_id, run),
-passages AS (SELECT doc_id, sum(n) AS n_words, count(*) AS n_passages FROM pruns GROUP BY doc_id)
-SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256,
-  coalesce(n_words, 0)::BIGINT AS n_passage_words, coalesce(n_passages, 0)::BIGINT AS n_passages
-FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN passages USING (doc_id)
+counts AS (SELECT doc_id, sum(e - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
