@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +10,9 @@ from pyspark.sql.window import Window
 
 from symlake.functions.patterns import full_match
 from symlake.functions.versions import within
+from symlake.operators import forest
 from symlake.operators.snippets import lines_of
-from symlake.tables import materialize
+from symlake.tables import discard, materialize
 
 #: Lines that a groupId and its artifactId may lie apart.
 NEAR = 3
@@ -59,11 +59,23 @@ def locate_in_pom(wanted: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def locate_in_gradle(wanted: DataFrame, sources: DataFrame) -> DataFrame:
-    """The first line (1-based, 0 if none) of the file that contains group:artifact."""
+    """The first line (1-based, 0 if none) of the file that contains group:artifact.
+
+    Lines are cut at their colons into the pieces that could be a wanted group and artifact, by the lengths that the file's wanted
+    ones have, and these are joined by hash: no line meets a dependency that it doesn't hold.
+    """
     keys = ["file_uri", "group_id", "artifact_id"]
-    lines = sources.select("file_uri", F.posexplode(lines_of(F.col("text"))).alias("i", "text_line"))
-    hits = wanted.select(*keys).distinct().join(lines, "file_uri").where(F.col("text_line").contains(F.concat_ws(":", "group_id", "artifact_id")))
-    found = hits.groupBy(*keys).agg((F.min("i") + 1).alias("found"))
+    asked = wanted.select(*keys).distinct()
+    sizes = asked.where("group_id IS NOT NULL AND artifact_id IS NOT NULL").groupBy("file_uri").agg(F.collect_set(F.struct(F.char_length("group_id").alias("g"), F.char_length("artifact_id").alias("a"))).alias("sizes"))
+    lines = sources.join(sizes, "file_uri").select("file_uri", "sizes", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
+    colons = F.size(F.split("line", ":", -1)) - 1
+    cut = lines.where(F.contains("line", F.lit(":"))).select("file_uri", "sizes", "i", "line", F.explode(F.sequence(F.lit(1), colons)).alias("nth"))
+    left = F.array_join(F.slice(F.split("line", ":", -1), F.lit(1), F.col("nth")), ":")
+    sides = cut.select("file_uri", "i", left.alias("left"), F.substring("line", F.char_length(left) + 2, F.lit(1 << 30)).alias("right"), F.explode("sizes").alias("s"))
+    held = sides.where((F.char_length("left") >= F.col("s.g")) & (F.char_length("right") >= F.col("s.a")))
+    group = F.substring("left", F.char_length("left") - F.col("s.g") + 1, F.col("s.g"))
+    hits = held.select("file_uri", group.alias("group_id"), F.substring("right", F.lit(1), F.col("s.a")).alias("artifact_id"), "i")
+    found = asked.join(hits.groupBy(*keys).agg((F.min("i") + 1).alias("found")), keys)
     return wanted.join(found, keys, "left").withColumn("line", F.coalesce("found", F.lit(0))).drop("found")
 
 
@@ -109,19 +121,30 @@ def flatten(edges: DataFrame) -> DataFrame:
     out = levels[0]
     for one in levels[1:-1]:
         out = out.unionByName(one)
-    return out.drop("above", "again")
+    done = materialize(out.drop("above", "again"), "flat")
+    discard(*levels)
+    return done
+
+
+def walk(edges: DataFrame) -> DataFrame:
+    """(node_id, root_id, depth, path) in depth-first pre-order by path: of a forest by its tours, of other graphs unfolded level by level."""
+    if not forest.is_forest(edges):
+        return flatten(edges)
+    root = edges.where("parent_id IS NULL").select(F.col("node_id").alias("root_id"), F.lpad(F.col("ordinal").cast("string"), 10, "0").alias("place"))
+    path = F.concat_ws("/", "place", F.lpad(F.col("pre").cast("string"), 12, "0"))
+    return forest.preorder(edges).join(root, "root_id").select("node_id", "root_id", "depth", path.alias("path"))
 
 
 def resolved(edges: DataFrame) -> DataFrame:
-    """The dependency relation of a forest of ``model.EDGES``: all but roots are indirect and have their root as base.
+    """The dependency relation of a graph of ``model.EDGES``: all but roots are indirect and have their root as base.
 
     Of a node's edges, which may tell it differently, the one with the smallest parent and place describes it.
     """
-    walk = flatten(edges)
+    walked = walk(edges)
     facts = ["group_id", "artifact_id", "version", "classifier", "scope", "pom_path"]
     info = edges.groupBy("node_id").agg(F.min_by(F.struct(*facts), F.struct("parent_id", "ordinal", *facts)).alias("f")).select("node_id", "f.*")
     root = info.select(F.col("node_id").alias("root_id"), F.struct("group_id", "artifact_id", "version", "pom_path").alias("base"))
-    joined = walk.join(info, "node_id").join(root, "root_id")
+    joined = walked.join(info, "node_id").join(root, "root_id")
     return joined.select("group_id", "artifact_id", "version", "classifier", F.coalesce("scope", F.lit("compile")).alias("scope"), F.lit(None).cast("string").alias("jar_path"), F.lit(False).alias("has_source_jar"), (F.col("depth") > 0).alias("indirect"), "pom_path", F.when(F.col("depth") > 0, F.col("base")).alias("base_dep"), F.col("path"))
 
 
@@ -145,18 +168,20 @@ def with_jars(deps: DataFrame, listing: DataFrame, repository: str) -> DataFrame
     return found.withColumn("has_source_jar", F.col("source_path").isNotNull()).drop("own_jar", "own_sources", "source_path").select(*deps.columns)
 
 
-def nested(edges: DataFrame) -> list[dict[str, Any]]:
-    """The forest of one project as nested dicts, for an API response."""
-    rows = edges.orderBy("ordinal").collect()
-    below: dict[str | None, list] = {}
-    for r in rows:
-        below.setdefault(r["parent_id"], []).append(r)
+#: What the nested form tells of each dependency.
+TOLD = ["group_id", "artifact_id", "version"]
 
-    def build(r: Any, seen: frozenset[str]) -> dict[str, Any]:
-        inner = [] if r["node_id"] in seen else below.get(r["node_id"], [])
-        return {**{k: r[k] for k in ("group_id", "artifact_id", "version")}, "children": [build(c, seen | {r["node_id"]}) for c in inner]}
 
-    return [build(r, frozenset()) for r in below.get(None, [])]
+def nested(edges: DataFrame) -> DataFrame:
+    """(root_id, ordinal, json): each root's tree as nested JSON; a node below several parents comes once for each."""
+    if forest.is_forest(edges):
+        return forest.nested(edges, TOLD)
+    info = edges.groupBy("node_id").agg(F.min_by(F.struct(*TOLD), F.struct("parent_id", "ordinal", *TOLD)).alias("f")).select(F.col("node_id").alias("known"), "f.*")
+    rows = flatten(edges).join(info, F.col("node_id") == F.col("known"))
+    # Each occurrence is a node of its own: its root and the places on the way to it.
+    way = F.concat_ws("#", "root_id", "path")
+    parent = F.when(F.col("depth") > 0, F.regexp_replace(way, "/[^/]*$", ""))
+    return forest.nested(rows.select(way.alias("node_id"), parent.alias("parent_id"), F.element_at(F.split("path", "/"), -1).cast("long").alias("ordinal"), *TOLD), TOLD)
 
 
 def labels(deps: DataFrame, patterns: Sequence[str] = (), excluded: Iterable[str] = (), domain: str = "dependency") -> DataFrame:
@@ -175,10 +200,18 @@ def labels(deps: DataFrame, patterns: Sequence[str] = (), excluded: Iterable[str
     return deps.withColumn("labels", F.array_compact(found))
 
 
-def by_file(declared: DataFrame) -> DataFrame:
-    """(file_uri, n, dependencies): declared dependencies of each file in their order."""
+#: Dependencies in one row of by_file.
+CHUNK = 1000
+
+
+def by_file(declared: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(file_uri, chunk, n, dependencies): declared dependencies of each file in their order, those of a range of ordinals in a row.
+
+    A row is of bounded size whatever its file holds; rows of one file in the order of chunk are its list.
+    """
     one = F.struct("ordinal", "group_id", "artifact_id", "version", "classifier", "scope")
-    return declared.groupBy("file_uri").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("dependencies"))
+    part = F.floor(F.col("ordinal") / chunk).cast("long").alias("chunk")
+    return declared.groupBy("file_uri", part).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("dependencies"))
 
 
 def identify(archives: DataFrame, index: DataFrame, unknown_group: str = UNKNOWN_GROUP) -> DataFrame:

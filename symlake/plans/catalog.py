@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symlake.functions.patterns import erased
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
-from symlake.operators import deps, maven, rules, snippets, symbols
+from symlake.operators import deps, forest, maven, rules, snippets, symbols
 from symlake.plans import analogs as A
 from symlake.sources import builds, gradle, scan
 
@@ -214,20 +214,24 @@ def dep_version_order(spark: SparkSession, d: str) -> DataFrame:
 _OTHER = "CASE WHEN dep_id % 3 = 0 THEN '-other' ELSE '' END"
 
 
+#: Parts whose keys lie in such a range share a file.
+_PER_FILE = 50
+
+
 def _poms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A pom for each brand with its parts as dependencies, and the dependencies to look for."""
-    v = A.dep_versions(spark, d)
+    """A pom for each brand and range of keys with its parts as dependencies, and the dependencies to look for."""
+    v = A.dep_versions(spark, d).withColumn("block", F.floor(F.col("dep_id") / (10 * _PER_FILE)))
     one = F.concat(F.lit("<dependency>\n<groupId>"), "group_id", F.lit("</groupId>\n<artifactId>"), "artifact_id", F.lit("</artifactId>\n</dependency>"))
-    parts = v.withColumn("artifact_id", F.concat("artifact_id", F.expr(_OTHER))).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", one.alias("x")))).alias("xs"))
-    uri = F.concat(F.lit("file:///"), F.col("group_id"), F.lit("/pom.xml"))
+    parts = v.withColumn("artifact_id", F.concat("artifact_id", F.expr(_OTHER))).groupBy("group_id", "block").agg(F.array_sort(F.collect_list(F.struct("dep_id", one.alias("x")))).alias("xs"))
+    uri = F.concat(F.lit("file:///"), F.col("group_id"), F.lit("/"), F.col("block").cast("string"), F.lit("/pom.xml"))
     sources = parts.select(uri.alias("file_uri"), F.concat(F.lit("<project>\n<dependencies>\n"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("\n</dependencies>\n</project>")).alias("text"))
     return sources, v.select("dep_id", uri.alias("file_uri"), "group_id", "artifact_id")
 
 
 _POM_SQL = f"""WITH {A.DEP_VERSIONS},
-placed AS (SELECT group_id, artifact_id || {_OTHER} AS artifact_id, row_number() OVER (PARTITION BY group_id ORDER BY dep_id) AS k FROM dep_versions),
-found AS (SELECT group_id, artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
-SELECT dep_id, coalesce(line, 0)::INTEGER AS line FROM dep_versions LEFT JOIN found USING (group_id, artifact_id)"""
+placed AS (SELECT group_id, dep_id // {10 * _PER_FILE} AS block, artifact_id || {_OTHER} AS artifact_id, row_number() OVER (PARTITION BY group_id, dep_id // {10 * _PER_FILE} ORDER BY dep_id) AS k FROM dep_versions),
+found AS (SELECT group_id, block, artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
+SELECT dep_id, coalesce(line, 0)::INTEGER AS line FROM dep_versions d LEFT JOIN found f ON f.group_id = d.group_id AND f.artifact_id = d.artifact_id AND f.block = dep_id // {10 * _PER_FILE}"""
 
 
 @query(_POM_SQL)
@@ -238,7 +242,7 @@ def dep_line_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {A.DEP_VERSIONS},
-placed AS (SELECT artifact_id || {_OTHER} AS artifact_id, row_number() OVER (ORDER BY dep_id) AS k FROM dep_versions WHERE group_id = 'org.brand11'),
+placed AS (SELECT artifact_id || {_OTHER} AS artifact_id, row_number() OVER (ORDER BY dep_id) AS k FROM dep_versions WHERE group_id = 'org.brand11' AND dep_id < {10 * _PER_FILE}),
 found AS (SELECT artifact_id, min(4 * k) AS line FROM placed GROUP BY ALL)
 SELECT a.artifact_id, a.version, coalesce(f.line, b.line, 0)::BIGINT AS line_number FROM dep_versions a
 LEFT JOIN found f ON a.group_id = 'org.brand11' AND f.artifact_id = a.artifact_id LEFT JOIN found b ON b.artifact_id = a.artifact_id"""
@@ -248,7 +252,7 @@ def dep_line_fallback(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     base = F.struct(F.lit("org.brand11").alias("group_id"), F.col("artifact_id"), none.alias("version"), none.alias("pom_path"))
     rows = A.dep_versions(spark, d).withColumn("base_dep", base)
-    return deps.incidents(rows, "file:///org.brand11/pom.xml", sources.where("file_uri = 'file:///org.brand11/pom.xml'")).select("artifact_id", "version", "line_number")
+    return deps.incidents(rows, "file:///org.brand11/0/pom.xml", sources.where("file_uri = 'file:///org.brand11/0/pom.xml'")).select("artifact_id", "version", "line_number")
 
 
 @query("SELECT doc_id, coalesce(list_min(list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'the:'))), 0)::INTEGER AS line FROM (SELECT doc_id, string_split(replace(text, ' the ', ' the:x '), chr(10)) AS ls FROM documents)")
@@ -269,6 +273,32 @@ def dag_flatten(spark: SparkSession, d: str) -> DataFrame:
     return deps.flatten(A.dep_dag(spark, d)).select("node_id", "depth", "root_id")
 
 
+_TREE = """WITH d AS (
+  SELECT 'r' || r_regionkey AS node_id, 'r' || r_regionkey AS root_id, 0 AS depth, -1 AS n, -1 AS s FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, n_nationkey, -1 FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+p AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY n, s) - 1 AS pre FROM d)"""
+
+
+@query(_TREE + " SELECT node_id, root_id, pre, CASE depth WHEN 0 THEN count(*) OVER (PARTITION BY root_id) WHEN 1 THEN count(*) OVER (PARTITION BY n, depth = 0) ELSE 1 END AS size, depth::INTEGER AS depth FROM p")
+def dag_preorder(spark: SparkSession, d: str) -> DataFrame:
+    return forest.preorder(A.dep_dag(spark, d)).select("node_id", "root_id", "pre", "size", "depth")
+
+
+def _node_sql(kind: str, name: str, version: int, inner: str) -> str:
+    return f"""'{{"group_id":"{kind}","artifact_id":"' || {name} || '","version":"{version}","children":[' || {inner} || ']}}'"""
+
+
+@query(
+    f"""WITH s AS (SELECT s_nationkey AS n, string_agg({_node_sql('supplier', 's_name', 3, "''")}, ',' ORDER BY s_suppkey) AS x FROM supplier GROUP BY 1),
+n AS (SELECT n_regionkey AS r, string_agg({_node_sql('nation', 'n_name', 2, "coalesce(x, '')")}, ',' ORDER BY n_nationkey) AS x FROM nation LEFT JOIN s ON n = n_nationkey GROUP BY 1)
+SELECT 'r' || r_regionkey AS root_id, md5({_node_sql('region', 'r_name', 1, "coalesce(x, '')")}) AS tree_md5 FROM region LEFT JOIN n ON r = r_regionkey"""
+)
+def dag_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The nested response, written along the tour."""
+    return deps.nested(A.dep_dag(spark, d)).select("root_id", F.md5("json").alias("tree_md5"))
+
+
 @query(
     "SELECT 'region' AS group_id, r_name AS artifact_id, false AS indirect, NULL AS base_artifact FROM region UNION ALL SELECT 'nation', n_name, true, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
     " UNION ALL SELECT 'supplier', s_name, true, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -277,12 +307,12 @@ def dag_base_dep(spark: SparkSession, d: str) -> DataFrame:
     return deps.resolved(A.dep_dag(spark, d)).select("group_id", "artifact_id", "indirect", F.col("base_dep.artifact_id").alias("base_artifact"))
 
 
-@query("SELECT source AS file_uri, count(*) AS n, md5(string_agg(doc_id || lang, ',' ORDER BY doc_id)) AS listed FROM documents GROUP BY source")
+@query(f"SELECT source AS file_uri, doc_id // {deps.CHUNK} AS chunk, count(*) AS n, md5(string_agg(doc_id || lang, ',' ORDER BY doc_id)) AS listed FROM documents GROUP BY ALL")
 def deps_grouped_by_file(spark: SparkSession, d: str) -> DataFrame:
     docs = A.read(spark, d, "documents")
     none = F.lit(None).cast("string")
     rows = docs.select(F.col("source").alias("file_uri"), F.col("doc_id").alias("ordinal"), F.col("lang").alias("group_id"), F.col("lang").alias("artifact_id"), none.alias("version"), none.alias("classifier"), none.alias("scope"))
-    return deps.by_file(rows).select("file_uri", "n", F.md5(F.array_join(F.transform("dependencies", lambda x: F.concat(x["ordinal"].cast("string"), x["group_id"])), ",")).alias("listed"))
+    return deps.by_file(rows).select("file_uri", "chunk", "n", F.md5(F.array_join(F.transform("dependencies", lambda x: F.concat(x["ordinal"].cast("string"), x["group_id"])), ",")).alias("listed"))
 
 
 @query("SELECT doc_id, 'dependency/language=java' || CASE WHEN lang LIKE 'e%' THEN ' dependency/exclude=true' ELSE '' END || ' dependency/dep-source=' || CASE WHEN source LIKE 'src1%' THEN 'open-source' ELSE 'internal' END AS labels FROM documents")
@@ -355,12 +385,12 @@ def java_symbols(spark: SparkSession, d: str) -> DataFrame:
     return scan.symbols(_java(spark, d)).select("file_uri", "location", "qualified_name", "name", "line")
 
 
-@query("SELECT 'file:///' || lower(replace(p_brand, '#', '')) || '/pom.xml' AS file_uri, p_name AS artifact_id, p_size::VARCHAR AS version FROM part")
+@query(f"SELECT 'file:///' || lower(replace(p_brand, '#', '')) || '/' || (p_partkey // {10 * _PER_FILE}) || '/pom.xml' AS file_uri, p_name AS artifact_id, p_size::VARCHAR AS version FROM part")
 def declared_dependencies(spark: SparkSession, d: str) -> DataFrame:
     p = A.read(spark, d, "part")
     one = F.concat(F.lit("<dependency><groupId>${g}</groupId><artifactId>"), F.col("p_name"), F.lit("</artifactId><version>"), F.col("p_size").cast("string"), F.lit("</version></dependency>"))
-    brand = F.lower(F.regexp_replace("p_brand", "#", ""))
-    poms = p.groupBy(F.concat(F.lit("file:///"), brand, F.lit("/pom.xml")).alias("file_uri")).agg(F.concat(F.lit("<project><properties><g>org.x</g></properties><dependencies>"), F.array_join(F.collect_list(one), ""), F.lit("</dependencies></project>")).alias("text"))
+    uri = F.concat(F.lit("file:///"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("/"), F.floor(F.col("p_partkey") / (10 * _PER_FILE)).cast("string"), F.lit("/pom.xml"))
+    poms = p.groupBy(uri.alias("file_uri")).agg(F.concat(F.lit("<project><properties><g>org.x</g></properties><dependencies>"), F.array_join(F.collect_list(one), ""), F.lit("</dependencies></project>")).alias("text"))
     return builds.declared(poms).where("group_id = 'org.x'").select("file_uri", "artifact_id", "version")
 
 

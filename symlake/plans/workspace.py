@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from dataclasses import replace
 from typing import Any
 
@@ -178,7 +179,8 @@ class Workspace:
 
     def dependency_dag(self) -> list[dict[str, Any]]:
         self._check()
-        return D.nested(self.edges) if self.edges is not None else []
+        rows = D.nested(self.edges).orderBy("ordinal", "root_id").select("json").collect() if self.edges is not None else []  # one project's response
+        return [json.loads(r["json"]) for r in rows]
 
     def snippets(self, incidents: DataFrame, context: int | None = None) -> DataFrame:
         self._check()

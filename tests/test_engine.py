@@ -1,5 +1,8 @@
 import hashlib
 import io
+import itertools
+import json
+import random
 import re
 import zipfile
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from symlake.functions.patterns import glob_to_regex
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
-from symlake.operators import deps, maven, rules, symbols
+from symlake.operators import deps, forest, maven, rules, symbols
 from symlake.plans.conditions import Config, ConditionError, parse_dependency, parse_referenced
 from symlake.plans.workspace import Engine
 from symlake.sources import archives, builds, gradle, poms, scan
@@ -297,10 +300,61 @@ def test_flatten_and_bases(spark):
     out = deps.resolved(edges(spark)).orderBy("path").collect()
     assert [r["artifact_id"] for r in out] == ["spring-core", "spring-jcl", "leaf", "javax.servlet-api"]
     assert [r["base_dep"] and r["base_dep"]["artifact_id"] for r in out] == [None, "spring-core", "spring-core", None]
-    assert deps.nested(edges(spark))[0]["children"][0]["children"][0]["artifact_id"] == "leaf"
+    trees = [json.loads(r["json"]) for r in deps.nested(edges(spark)).orderBy("ordinal").collect()]
+    assert trees[0]["children"][0]["children"][0]["artifact_id"] == "leaf" and len(trees) == 2
     assert deps.flatten(edges(spark).limit(0)).count() == 0
 
 
+def test_tours(spark):
+    """Pre-order, sizes and depths of random forests; deep chains take few rounds; rootless cycles are left out."""
+    rnd = random.Random(4)
+    rows = [(f"n{i}", f"n{rnd.randrange(i)}" if i > 3 and rnd.random() < 0.9 else None, rnd.randrange(5)) for i in range(300)]
+    below = {}
+    for n, p, o in rows:
+        below.setdefault(p, []).append((o, n))
+    want = []
+
+    def go(node, root, depth, number):
+        at, size = next(number), 1
+        for _, c in sorted(below.get(node, [])):
+            size += go(c, root, depth + 1, number)
+        want.append((node, root, at, size, depth))
+        return size
+
+    for _, r in below[None]:
+        go(r, r, 0, itertools.count())
+    ddl = "node_id string, parent_id string, ordinal int"
+    cycle = [("x", "y", 0), ("y", "x", 0), ("z", "y", 1)]
+    got = forest.preorder(spark.createDataFrame(rows + cycle, ddl)).select("node_id", "root_id", "pre", "size", "depth")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    chain = spark.range(10_000).selectExpr("'c' || id AS node_id", "CASE WHEN id > 0 THEN 'c' || (id - 1) END AS parent_id", "0 AS ordinal")
+    ranked, rounds = forest.ranked(forest._steps(chain))
+    assert rounds < 20 and ranked.where("next IS NULL AND last = '>c0'").count() == 20_000
+    assert forest.preorder(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_shared_nodes_are_nested_once_for_each_parent(spark):
+    rows = [("a", None, 0), ("b", None, 1), ("s", "a", 1), ("t", "a", 0), ("s", "b", 0), ("u", "s", 0)]
+    df = spark.createDataFrame([(n, p, o, "g", n, None) for n, p, o in rows], "node_id string, parent_id string, ordinal int, group_id string, artifact_id string, version string")
+    names_of = lambda t: (t["artifact_id"], [names_of(c) for c in t["children"]])
+    assert [names_of(json.loads(r["json"])) for r in deps.nested(df).orderBy("ordinal").collect()] == [("a", [("t", []), ("s", [("u", [])])]), ("b", [("s", [("u", [])])])]
+
+
+def test_gradle_lines(spark):
+    text = "x\napi 'my-org.x:lib:1'\napi 'org.x:library'\na:b:c d:e\n:\n"
+    wanted = [("org.x", "lib"), ("org.x", "library"), ("b", "c d"), ("a:b", "c"), ("", ""), ("e", "x"), ("d", "e"), ("x", "lib")]
+    df = spark.createDataFrame([("f", g, a) for g, a in wanted] + [("none", "a", "b")], "file_uri string, group_id string, artifact_id string")
+    out = deps.locate_in_gradle(df, spark.createDataFrame([("f", text)], "file_uri string, text string")).collect()
+    lines = text.split("\n")
+    assert {(r["file_uri"], r["group_id"], r["artifact_id"], r["line"]) for r in out} == {("f", g, a, next((i + 1 for i, x in enumerate(lines) if f"{g}:{a}" in x), 0)) for g, a in wanted} | {("none", "a", "b", 0)}
+
+
+def test_files_are_listed_in_chunks(spark):
+    rows = spark.range(25).selectExpr("'f' AS file_uri", "CAST(id AS INT) AS ordinal", "'g' AS group_id", "'a' || id AS artifact_id", "'1' AS version", "'' AS classifier", "'' AS scope")
+    out = deps.by_file(rows, 10).orderBy("chunk").collect()
+    assert [r["n"] for r in out] == [10, 10, 5] and [d["artifact_id"] for r in out for d in r["dependencies"]] == [f"a{i}" for i in range(25)]
+
+
 def test_wide_and_cyclic_graphs(spark):
     rows = spark.range(1_200_000).selectExpr("CAST(id AS STRING) AS node_id", "CASE WHEN id > 0 THEN '0' END AS parent_id", "CAST(id AS INT) AS ordinal")
     out = deps.flatten(rows)
