@@ -10,8 +10,8 @@ present, at least twice, at least four times. Up to 1,024 that positives have fa
 part. Levels instead of frequencies make scores of long and short texts comparable.
 
 Fitting uses bounded samples (``POSITIVES``, ``UNLABELLED``: the ids with the least hashes, a text for each) of
-rows that are not held out, collected as feature numbers, at most ``FEATURES`` a text (those with the least hashes). Scoring
-reads whole texts, in chunks of bytes.
+rows that are not held out, but all features of their texts, however long: these are counted on executors, and the driver gets the
+chosen ones and which of them each text has. Scoring reads whole texts, in chunks of bytes.
 
 Edge cases: null and empty texts get the score of a text without features; labels for absent or null ids are ignored, of
 repeated labels the larger counts; of rows that share an id the least text may be a sample; without positives or text to learn from every score is 0; repeated rows get equal
@@ -20,9 +20,9 @@ scores; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import project, table
+from symlake.llm.common import discard, materialize, project, table
 from symlake.llm.rolling import U64, Prints, mix
 
 #: Documents that the classifier is fitted on, at most.
 POSITIVES, UNLABELLED = 3000, 5000
-#: Features that fitting takes of a sampled text, at most: what is collected has a bound whatever the texts' lengths.
-FEATURES = 16_384
+#: Features that the classifier has, at most.
 CHOSEN = 1024
 #: What a feature needs to be chosen: a share of positives among the texts that have it, and a gain in log likelihood
 #: beyond the one that chance gives the best of all candidates.
@@ -128,26 +127,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
-    """The features that positives have far oftener than unlabelled text, by the gain in likelihood.
+def choose(counts: DataFrame, n_p: int, n_u: int, prior: float) -> DataFrame:
+    """(feature): those that positives have far oftener than unlabelled text, by the gain in likelihood; ``CHOSEN`` at most.
 
-    p and u count the positives and the unlabelled texts with each feature. A feature counts if most unlabelled
+    counts (feature, p, u) has the positives and the unlabelled texts with each feature. A feature counts if most unlabelled
     texts that have it would have to be positive to explain its share among the positives.
     """
-    share_p, share_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
-    gain = 2 * (p * np.log(share_p / share_u) - n_p * (share_p - share_u))
-    chance = 2 * np.log(max(1, np.count_nonzero(p >= 3)))
-    gain[(prior * share_p < PURITY * share_u) | (p < 3)] = 0
-    best = np.argsort(-gain, kind="stable")[:CHOSEN]
-    return np.sort(best[gain[best] > chance + SPARE_GAIN])  # places in p and u
-
-
-def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Where values are in a sorted array; its length for those that aren't."""
-    if not len(sorted_):
-        return np.zeros(len(values), np.int64)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[at] == values, at, len(sorted_))
+    often = counts.where("p >= 3")
+    chance = 2 * math.log(max(1, often.count()))
+    share_p, share_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
+    gain = 2 * (F.col("p") * F.log(share_p / share_u) - n_p * (share_p - share_u))
+    likely = often.where(prior * share_p >= PURITY * share_u).withColumn("gain", gain)
+    return likely.where(F.col("gain") > chance + SPARE_GAIN).orderBy(F.desc("gain"), "feature").limit(CHOSEN).select("feature")
 
 
 def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray]:
@@ -166,40 +157,8 @@ def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float)
     return positive + max(0.0, negative), step
 
 
-class Sample(NamedTuple):
-    """Texts as one array of their distinct features, text after text, and the number of each."""
-
-    features: np.ndarray
-    sizes: np.ndarray
-
-    def parts(self, sorted_: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Offsets and places in a sorted array of some features after others, so that little memory is held at once."""
-        for at in range(0, len(self.features), CHUNK):
-            yield at, _places(sorted_, self.features[at : at + CHUNK])
-
-    def counts(self, known: np.ndarray) -> np.ndarray:
-        """The texts that have each known feature."""
-        return sum((np.bincount(place, minlength=len(known) + 1) for _, place in self.parts(known)), np.zeros(len(known) + 1, np.int64))[:-1]
-
-    def dense(self, chosen: np.ndarray) -> np.ndarray:
-        """A row for each text, with 1 for each chosen feature that it has."""
-        x = np.zeros((len(self.sizes), len(chosen)), np.float32)
-        ends = np.cumsum(self.sizes)
-        for at, place in self.parts(chosen):
-            has = np.flatnonzero(place < len(chosen))
-            x[np.searchsorted(ends, at + has, side="right"), place[has]] = 1
-        return x
-
-
-def fit(positive: Sample, unlabelled: Sample, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Train by full-batch Adam on the non-negative risk with logistic loss."""
-    nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0, prior)
-    if not len(positive.sizes) or not len(unlabelled.sizes) or not 0 < prior < 1:
-        return nothing
-    known = np.unique(positive.features)  # what no positive has can't speak for one
-    p, u = positive.counts(known), unlabelled.counts(known)
-    chosen = known[choose(p, u, len(positive.sizes), len(unlabelled.sizes), prior)]
-    xp, xu = positive.dense(chosen), unlabelled.dense(chosen)
+def fit(xp: np.ndarray, xu: np.ndarray, chosen: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """Train by full-batch Adam on the non-negative risk with logistic loss; a row of xp and xu for each text, a column for each chosen feature."""
     w, b = np.zeros(len(chosen), np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -217,15 +176,18 @@ def held_out(ident: Column) -> Column:
 
 def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = []
-        for text in batch.column(1).to_pylist():
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = [features(s)[1] for s in _segments([text])]
             found = np.concatenate(own) if own else np.zeros(0, np.int64)
-            own_levels = levels(np.zeros(len(found), np.int64), found)[1]
-            if len(own_levels) > FEATURES:
-                own_levels = np.partition(own_levels, FEATURES)[:FEATURES]
-            lists.append(own_levels.astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["part", "features"])
+            list_ = pa.array([levels(np.zeros(len(found), np.int64), found)[1]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), list_], ["part", "features"])
+
+
+def _places(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each sampled text, the places of its chosen features."""
+    for batch in batches:
+        own = [np.flatnonzero(np.isin(chosen, x.values.to_numpy())) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["part", "places"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -236,16 +198,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     seen = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     by_hash = lambda df, n: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
     some = by_hash(marks.where("toxic = 1"), positives).select("id", F.lit(1).alias("part")).unionByName(by_hash(texts, unlabelled).select("id", F.lit(0).alias("part")))
+    prior = seen["k"] / seen["n"] if seen["n"] else 0.0
     # At most positives + unlabelled ids: small enough to broadcast whatever the input.
     chosen = texts.join(F.broadcast(some), "id").groupBy("part", "id").agg(F.min("text").alias("text"))
-    sample = chosen.select("part", "text").mapInArrow(_distinct_features, "part int, features array<int>").toArrow()
-    part = sample.column("part").to_numpy()
-
-    def pick(which: int) -> Sample:
-        own = sample.column("features").combine_chunks().filter(pa.array(part == which))
-        return Sample(own.flatten().to_numpy(zero_copy_only=False).view(np.uint32), own.value_lengths().to_numpy(zero_copy_only=False))
-
-    return fit(pick(1), pick(0), seen["k"] / seen["n"] if seen["n"] else 0.0)
+    nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0, prior)
+    sample = materialize(chosen.select("part", "text").mapInArrow(_distinct_features, "part int, features array<long>"), "sample")
+    sizes = {r["part"]: r["count"] for r in sample.groupBy("part").count().collect()}
+    if not sizes.get(1) or not sizes.get(0) or not 0 < prior < 1:
+        discard(sample)
+        return nothing
+    each = sample.select("part", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.sum("part").alias("p"), F.sum(1 - F.col("part")).alias("u"))
+    picked = np.sort(np.array([r["feature"] for r in choose(counts, sizes[1], sizes[0], prior).collect()], np.int64))  # CHOSEN at most
+    # A list of at most CHOSEN places for each of at most positives + unlabelled texts, whatever their lengths.
+    held = sample.mapInArrow(lambda b: _places(b, picked), "part int, places array<long>").toArrow()
+    discard(sample)
+    x = np.zeros((held.num_rows, len(picked)), np.float32)
+    lists = held.column("places").combine_chunks()
+    x[np.repeat(np.arange(held.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)] = 1
+    part = held.column("part").to_numpy()
+    return fit(x[part == 1], x[part == 0], picked, prior)
 
 
 def score(model: Model, text: Column) -> Column:

@@ -13,7 +13,8 @@ one row at most for each capture and pattern, also for a hot host, whose capture
 tasks. No cross join, no Python.
 
 Edge cases: a null or host-less url matches nothing and is allowed; a null fetch time matches nothing;
-entries with a null pattern or date are ignored; of several actions of one pattern at one instant, 'remove'
+patterns are normalised like urls (case, scheme, port, trailing dots and slashes, empty segments), and those
+without a host or date are ignored; of several actions of one pattern at one instant, 'remove'
 is applied last; repeated entries don't change a result; repeated captures are judged one by one. An action
 without a next one holds for ever (valid_to is null). Hosts and paths may be as deep and urls as long as they like. An
 empty list allows all; an empty table of captures gives no rows.
@@ -27,6 +28,7 @@ from pyspark.sql.window import Window
 
 from symlake.llm.common import materialize, project, table
 
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or trailing dot; the empty string if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1)), F.lit(""))
@@ -36,9 +38,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
+def normalised(pattern: Column) -> Column:
+    """A list's pattern as urls are: in lower case, without scheme, user, port, query, trailing dots of the host and empty segments; null without a host."""
+    bare = F.regexp_replace(F.lower(F.trim(pattern)), r"^[a-z][a-z0-9+.\-]*://", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)[?#].*$", ""), r"^[^/@]*@", "")
+    host = F.regexp_replace(F.regexp_extract(bare, r"^([^/:]*)", 1), r"\.+$", "")
+    path = F.filter(F.split(F.regexp_replace(bare, r"^[^/]*", ""), "/"), lambda s: s != "")
+    return F.when(host != "", F.array_join(F.concat(F.array(host), path), "/"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) of a log (pattern, effective, action, category); a null valid_to is open."""
-    log = project(entries, pattern=F.lower(entries["pattern"]), effective="effective", action="action", category="category").where("pattern IS NOT NULL AND effective IS NOT NULL")
+    log = project(entries, pattern=normalised(entries["pattern"]), effective="effective", action="action", category="category").where("pattern IS NOT NULL AND effective IS NOT NULL")
     # One state for each pattern and instant: a removal wins, else the smallest category.
     log = log.groupBy("pattern", "effective").agg(F.max(F.col("action") == "remove").alias("removed"), F.min("category").alias("category"))
     order = Window.partitionBy("pattern").orderBy("effective")

@@ -120,6 +120,17 @@ def test_toxicity_of_repeated_ids(spark):
     assert len(out) == 501 and len({r["s"] for r in out}) <= 2
 
 
+def test_toxicity_takes_all_features_of_a_long_sampled_text(spark):
+    """A positive of 5 MB counts with its last words too."""
+    rows = [(i, " ".join(f"plain{(i * 7 + k) % 50}" for k in range(30)) + (" zorbling end" if i % 4 == 0 else "")) for i in range(240)]
+    long = " ".join(f"w{k}" for k in range(700_000)) + " zorbling"
+    rows[4] = (4, long)
+    labels = [(i, int(i % 4 == 0)) for i in range(240)]
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    word = toxicity.features([(0, b"zorbling")])[1][0]
+    assert word in model.chosen and model.scores([long, "plain1 plain2"], 2)[0] > 0.5 > model.scores(["plain1 plain2"], 1)[0]
+
+
 def test_toxicity_long_texts_are_cut_between_words(monkeypatch):
     text = "one two three four " * 40
     whole = toxicity.features(next(toxicity._segments([text])))[1]
@@ -514,6 +525,20 @@ def test_url_decisions_at_any_depth(spark):
     assert sorted((r["key"], r["category"]) for r in out) == [(k, w) for k, _, w in asked]
 
 
+@pytest.mark.parametrize(("pattern", "want"), [("b.org/", "b.org"), ("a.org/x/", "a.org/x"), ("c.org.", "c.org"), ("c.org:8080", "c.org"), ("HTTP://u@D.org:80//x//Y/?q#f", "d.org/x/y"), ("", None), ("/x", None), (None, None), (" e.org ", "e.org"), ("f.org./p", "f.org/p")])
+def test_list_patterns_are_normalised(spark, pattern, want):
+    assert spark.createDataFrame([(pattern,)], "p string").select(urlfilter.normalised(F.col("p"))).first()[0] == want
+
+
+def test_odd_entries_match(spark):
+    log = [("b.org/", "slash"), ("a.org/x/", "path"), ("c.org.", "dot"), ("d.org:8080", "port")]
+    entries = spark.createDataFrame(log, "pattern string, category string").select("pattern", F.to_timestamp(F.lit("2024-01-01")).alias("effective"), F.lit("add").alias("action"), "category")
+    asked = [(1, "http://b.org/q", "slash"), (2, "http://a.org/x", "path"), (3, "http://www.c.org/", "dot"), (4, "http://d.org:9/", "port"), (5, "http://a.org/xy", None)]
+    captures = spark.createDataFrame(asked, "k long, u string, want string").withColumn("at", F.to_timestamp(F.lit("2024-05-01")))
+    out = urlfilter.judge(captures, entries, "k", "u", "at").collect()
+    assert sorted((r["key"], r["category"]) for r in out) == [(k, w) for k, _, w in asked]
+
+
 # Components -------------------------------------------------------------------------------------------------
 
 
