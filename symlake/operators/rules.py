@@ -16,9 +16,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlake.functions.patterns import erase, erased
+from symlake.functions.patterns import erase, erased, glob_match
 from symlake.model import DEFAULT_LOCATIONS, ERASED, Location
-from symlake.operators.symbols import bucket_predicate, without_dependencies
+from symlake.operators.symbols import bucket_predicate, package_rows, without_dependencies
 
 CHUNK = 128
 #: Keys that are broadcast, at most; a longer list is joined by hash.
@@ -73,15 +73,14 @@ def _keys(lengths: Sequence[int]) -> Column:
 
 
 def match_rules(symbols: DataFrame, rules: Sequence[Rule], chunk: int = CHUNK) -> DataFrame:
-    """(rule_id, all symbol columns) for each rule and symbol that match; PACKAGE rules are not taken."""
-    if any(r.location == Location.PACKAGE for r in rules):
-        raise ValueError("package rules rewrite rows; query them with packages()")
+    """(rule_id, all symbol columns) for each rule and symbol that match; names are rewritten for PACKAGE rules as in packages()."""
     rows = without_dependencies(symbols)
     names = rows.columns
     keyed: list[tuple[str, str, str]] = []
     other: dict[Location, list[tuple[str, str]]] = defaultdict(list)
+    of_packages = [r for r in rules if r.location == Location.PACKAGE]
     for rule in rules:
-        for bucket in buckets(rule.location):
+        for bucket in buckets(rule.location) if rule.location != Location.PACKAGE else ():
             pattern = _pattern(rule, bucket)
             key = _key(pattern)
             if key is None:
@@ -99,6 +98,10 @@ def match_rules(symbols: DataFrame, rules: Sequence[Rule], chunk: int = CHUNK) -
         for some in _chunks(own, chunk):
             hits = F.array_compact(F.array(*[F.when(bucket_predicate(p, bucket), F.lit(i)) for i, p in some]))
             parts.append(rows.where(F.col("location") == bucket.value).select(F.explode(hits).alias("rule_id"), *names))
+    for some in _chunks([(r.rule_id, r.pattern) for r in of_packages], chunk):
+        named, package = package_rows(rows)
+        hits = F.array_compact(F.array(*[F.when(glob_match(package, p), F.lit(i)) for i, p in some]))
+        parts.append(named.select(F.explode(hits).alias("rule_id"), *names))
     if not parts:
         return rows.limit(0).select(F.lit("").alias("rule_id"), *names)
     return reduce(DataFrame.unionByName, parts)

@@ -42,12 +42,18 @@ def predicate(pattern: str, location: Location) -> Column:
     return found | (_at(Location.IMPORT) & bucket_predicate(own, Location.IMPORT)) if bucket == Location.TYPE else found
 
 
-def packages(symbols: DataFrame, pattern: str) -> DataFrame:
-    """Package declarations, and imports as uses of the package that they name."""
+def package_rows(symbols: DataFrame) -> tuple[DataFrame, Column]:
+    """Package declarations, and imports as uses of the package that they name (in name); and the package's column."""
     imported = F.regexp_replace("qualified_name", r"(\.\*|\.[^.]*)\z", "")
-    rows = symbols.where(F.col("location").isin(Location.PACKAGE.value, Location.IMPORT.value))
     package = F.when(_at(Location.IMPORT), imported).otherwise(F.col("qualified_name"))
-    return rows.withColumn("name", F.when(_at(Location.IMPORT), imported).otherwise(F.col("name"))).where(glob_match(package, pattern))
+    rows = symbols.where(F.col("location").isin(Location.PACKAGE.value, Location.IMPORT.value))
+    return rows.withColumn("name", F.when(_at(Location.IMPORT), imported).otherwise(F.col("name"))), package
+
+
+def packages(symbols: DataFrame, pattern: str) -> DataFrame:
+    """The package rows whose package matches a glob."""
+    rows, package = package_rows(symbols)
+    return rows.where(glob_match(package, pattern))
 
 
 def query(symbols: DataFrame, pattern: str, location: Location = Location.DEFAULT) -> DataFrame:

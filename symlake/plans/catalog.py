@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from symlake.functions.patterns import erased
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
-from symlake.operators import deps, forest, maven, rules, snippets, symbols
+from symlake.operators import conditions, deps, forest, maven, postings, rules, snippets, symbols
 from symlake.plans import analogs as A
 from symlake.sources import builds, gradle, scan
+from symlake.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +97,21 @@ def method_suffix(spark: SparkSession, d: str) -> DataFrame:
     return symbols.query(A.sym_parts(spark, d), "(standard|promo).*", L.METHOD_CALL).select(*SHOWN)
 
 
+def _posted(spark: SparkSession, d: str) -> postings.Index:
+    return postings.build(A.sym_parts(spark, d), new_path(spark, "postings"))
+
+
+@query(ORACLES["glob_infix"])
+def glob_infix_postings(spark: SparkSession, d: str) -> DataFrame:
+    """By the pieces of names instead of the bucket."""
+    return postings.search(_posted(spark, d), "com.brand??.*e*", L.CLASS).select(*SHOWN)
+
+
+@query(ORACLES["method_suffix"])
+def method_suffix_postings(spark: SparkSession, d: str) -> DataFrame:
+    return postings.search(_posted(spark, d), "(standard|promo).*", L.METHOD_CALL).select(*SHOWN)
+
+
 @query(_parts("location = 'FIELD' AND name LIKE '%e%' AND split_part(qualified_name, '<', 1) LIKE 'com.brand%.economy.%'"))
 def field_name_and_type(spark: SparkSession, d: str) -> DataFrame:
     return symbols.query(A.sym_parts(spark, d), "*e* com.brand*.economy.*", L.FIELD).select(*SHOWN)
@@ -200,6 +216,37 @@ def dep_version_bounds(spark: SparkSession, d: str) -> DataFrame:
     return deps.select(A.dep_versions(spark, d), lower="9.10", upper="30.2.5").select("dep_id", "version")
 
 
+def _conditions(n: int) -> list[conditions.Condition]:
+    """As many conditions: names in full, by regular expression and without, with both bounds, one or none."""
+    out = []
+    for i in range(n):
+        name = f"org.brand{i % 5 + 1}{i // 5 % 5 + 1}.{_WORDS[i % len(_WORDS)]}-{_WORDS[i // 3 % len(_WORDS)]}" if i % 3 == 0 else None
+        regex = f"org[.]brand{i % 5 + 1}.*-{_WORDS[i % len(_WORDS)]}" if i % 3 == 1 else None
+        lower, upper = f"{i % 40}.{i % 7}", f"{i % 40 + i % 11}.{i % 19}.{i % 3}"
+        out.append(conditions.Condition(f"c{i}", name, regex, lower if i % 4 != 1 else None, upper if i % 5 != 2 else None))
+    return out
+
+
+#: Words that part names are made of.
+_WORDS = ["widget", "gear", "bolt", "red", "small", "hot"]
+MANY_CONDITIONS = _conditions(1000)
+
+
+def _conditions_sql(some: list[conditions.Condition]) -> str:
+    number = lambda v: "NULL" if v is None else str(sum(int(x) * m for x, m in zip(v.split("."), (1_000_000, 1000, 1), strict=False)))
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    values = ", ".join(f"('{c.cond_id}', {text(c.name)}, {text(c.name_regex)}, {number(c.lower)}, {number(c.upper)})" for c in some)
+    return (
+        f"WITH {A.DEP_VERSIONS}, v AS (SELECT group_id || '.' || artifact_id AS full_name, split_part(version, '.', 1)::INTEGER * 1000000 + split_part(version, '.', 2)::INTEGER * 1000 + split_part(version, '.', 3)::INTEGER AS k FROM dep_versions),"
+        f" c(cond_id, name, re, lo, hi) AS (VALUES {values}) SELECT cond_id, count(*) AS n FROM v JOIN c ON (lo IS NULL OR k >= lo) AND (hi IS NULL OR k <= hi) AND CASE WHEN name IS NOT NULL THEN full_name = name WHEN re IS NOT NULL THEN regexp_full_match(full_name, re) ELSE true END GROUP BY cond_id"
+    )
+
+
+@query(_conditions_sql(MANY_CONDITIONS))
+def dep_conditions_many(spark: SparkSession, d: str) -> DataFrame:
+    return conditions.match(A.dep_versions(spark, d), MANY_CONDITIONS).groupBy("cond_id").agg(F.count("*").alias("n"))
+
+
 @query(
     f"WITH {A.DEP_VERSIONS}, v AS (SELECT dep_id, version, list_transform(string_split(version, '.'), lambda x: x::INTEGER) AS k FROM dep_versions)"
     " SELECT a.dep_id, CASE WHEN a.k < b.k THEN -1 WHEN a.k > b.k THEN 1 ELSE 0 END AS order_to_next FROM v a JOIN v b ON b.dep_id = a.dep_id + 1"
@@ -345,6 +392,20 @@ def identify_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return deps.identify(docs, _index(spark, d)).select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "group_id", "identified_by")
 
 
+_PACKAGE_RULES = [rules.Rule("p1", "*.org", L.PACKAGE), rules.Rule("p2", "*.example.*", L.PACKAGE), rules.Rule("p3", "none", L.PACKAGE), rules.Rule("t1", "*.page", L.TYPE)]
+_PACKAGE = "array_to_string(list_slice(string_split(qualified_name, '.'), 1, -2), '.')"
+
+
+@query(
+    f"WITH {A.SYM_PAGES} SELECT 'p1' AS rule_id, page_id, {_PACKAGE} AS name FROM sym_pages WHERE location = 'IMPORT' AND ends_with({_PACKAGE}, '.org')"
+    f" UNION ALL SELECT 'p2', page_id, {_PACKAGE} FROM sym_pages WHERE location = 'IMPORT' AND {_PACKAGE} LIKE '%.example.%' UNION ALL SELECT 't1', page_id, name FROM sym_pages WHERE location IN ('TYPE', 'IMPORT') AND ends_with(qualified_name, '.page')"
+)
+def rule_batch_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Package rules among others in one batch."""
+    rows = A.sym_pages(spark, d).withColumn("is_dependency", F.lit(False))
+    return rules.match_rules(rows, _PACKAGE_RULES).select("rule_id", "page_id", "name")
+
+
 @query(f"WITH {A.DEP_VERSIONS}, m AS (SELECT group_id, artifact_id || {_OTHER} AS artifact_id, arg_min(version, dep_id) AS version FROM dep_versions GROUP BY ALL) SELECT d.dep_id, m.version FROM dep_versions d LEFT JOIN m USING (group_id, artifact_id)")
 def managed_version(spark: SparkSession, d: str) -> DataFrame:
     v = A.dep_versions(spark, d)

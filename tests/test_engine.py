@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from symlake.functions.patterns import glob_to_regex
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
-from symlake.operators import deps, forest, maven, rules, symbols
+from symlake.operators import conditions, deps, forest, maven, postings, rules, symbols
 from symlake.plans.conditions import Config, ConditionError, parse_dependency, parse_referenced
 from symlake.plans.workspace import Engine
 from symlake.sources import archives, builds, gradle, poms, scan
@@ -340,6 +340,57 @@ def test_shared_nodes_are_nested_once_for_each_parent(spark):
     assert [names_of(json.loads(r["json"])) for r in deps.nested(df).orderBy("ordinal").collect()] == [("a", [("t", []), ("s", [("u", [])])]), ("b", [("s", [("u", [])])])]
 
 
+def symbol_rows(spark, rows):
+    return spark.createDataFrame([(q, n, loc, k) for k, (q, n, loc) in enumerate(rows)], "qualified_name string, name string, location string, k int")
+
+
+@pytest.mark.parametrize(
+    ("glob", "location", "by_postings"),
+    [("*Serv?ce*", "CLASS", True), ("a.*Bean", "CLASS", True), ("*(Red|Blue)Item*", "CLASS", True), ("*x*", "CLASS", False), ("(get|set)Name", "METHOD_CALL", True), ("*.List<T>", "CLASS", True), ("*(One|(Two|Three))*", "CLASS", False), ("*e(x)e*", "CLASS", True), ("*Name*", "TYPE", False)],
+)
+def test_postings_find_what_the_bucket_has(spark, tmp_path, glob, location, by_postings):
+    names_ = ["a.b.MyServiceBean", "a.ServXceBean", "a.Bean", "b.RedItem", "b.BlueItems", "b.GreenItem", "a.List<T>", "a.List", "q.e(x)e", "z.One", "z.Two", "xx", "", "ünï.Service日本"]
+    rows = [(q, q.rpartition(".")[2], loc) for q in names_ for loc in ("CLASS", "TYPE", "IMPORT")] + [("a.B.getName", "getName", "METHOD_CALL"), ("a.B.setNames", "setNames", "METHOD_CALL"), ("a.other", "setName", "METHOD_CALL"), ("a.B.getName", None, "METHOD_CALL"), (None, "getName", "METHOD_CALL"), ("a.B.getName", "getName", "METHOD_CALL")]
+    df = symbol_rows(spark, rows)
+    index = postings.build(df, str(tmp_path / "index"))
+    assert (postings.candidates(index.postings, glob, L[location]) is not None) == by_postings
+    plain, found = symbols.query(df, glob, L[location]), postings.search(index, glob, L[location])
+    known = lambda x: sorted(map(repr, (tuple(r) for r in x.select("qualified_name", "name", "location", "k").where("qualified_name IS NOT NULL").collect())))
+    assert known(found) == known(plain)
+
+
+def test_postings_are_read_by_piece_and_shard(spark, tmp_path):
+    df = symbol_rows(spark, [(f"com.p{k}.Name{k}", f"Name{k}", "CLASS") for k in range(500)])
+    found = postings.search(postings.build(df, str(tmp_path / "index")), "*Name123*", L.CLASS)
+    assert [r["k"] for r in found.collect()] == [123]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan and "dynamicpruning" in plan.lower()
+
+
+def test_many_conditions_at_once(spark):
+    """Like one condition at a time."""
+    rnd = random.Random(2)
+    names_ = ["a.x", "a.y", "b.z"]
+    versions_ = ["1", "1.0", "1.0.1", "2-alpha", "2-rc1", "2", "2.1", "10", "", None]
+    rows = spark.createDataFrame([(k, *rnd.choice(names_).split("."), rnd.choice(versions_)) for k in range(200)], "k int, group_id string, artifact_id string, version string").persist()
+    asked = []
+    for k in range(60):
+        name, regex = rnd.choice([("a.x", None), (None, "a[.].*"), (None, None), ("none", "a.*")])
+        asked.append(conditions.Condition(f"c{k}", name, regex, rnd.choice([None, *versions_[:8]]), rnd.choice([None, *versions_[:8]])))
+    got = {(r["cond_id"], r["k"]) for r in conditions.match(rows, asked, chunk=2).collect()}
+    want = {(c.cond_id, r["k"]) for c in asked for r in deps.select(rows, c.name, c.name_regex, c.lower, c.upper).collect()}
+    assert got == want and conditions.match(rows, asked).count() == len(want)
+    assert conditions.match(rows, []).count() == 0
+    assert conditions.match(rows, [conditions.Condition("all")]).count() == 200
+
+
+@given(st.integers(0, 40), st.integers(0, 40), st.integers(0, 6))
+def test_nodes_cover_a_run_of_leaves(a, b, level):
+    size = 1 << level
+    covered = [leaf for leaf in range(size) if sum((leaf + size) >> k in conditions.nodes(a % size, b % size, size) for k in range(level + 1))]
+    assert covered == list(range(a % size, b % size + 1))
+
+
 def test_gradle_lines(spark):
     text = "x\napi 'my-org.x:lib:1'\napi 'org.x:library'\na:b:c d:e\n:\n"
     wanted = [("org.x", "lib"), ("org.x", "library"), ("b", "c d"), ("a:b", "c"), ("", ""), ("e", "x"), ("d", "e"), ("x", "lib")]
