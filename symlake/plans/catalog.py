@@ -12,7 +12,7 @@ from symlake.functions.versions import version_key
 from symlake.model import Location as L
 from symlake.operators import conditions, deps, forest, maven, postings, rules, snippets, symbols
 from symlake.plans import analogs as A
-from symlake.sources import builds, gradle, scan
+from symlake.sources import builds, gradle, scan, sha_index
 from symlake.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +385,16 @@ def sha_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "group_id", "artifact_id")
 
 
+@query(ORACLES["sha_lookup"])
+def sha_index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """By the sorted index."""
+    docs = A.read(spark, d, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    path = new_path(spark, "sha-index")
+    least = _index(spark, d).groupBy("sha1").agg(F.min(F.struct("group_id", "artifact_id")).alias("c"))
+    sha_index.write(least.select("sha1", "c.*", F.lit("1").alias("version")), path)
+    return docs.join(sha_index.lookup(spark, path, docs), "sha1").select("doc_id", "group_id", "artifact_id")
+
+
 @query(f"WITH {_INDEX} SELECT doc_id, CASE WHEN c IS NOT NULL THEN split_part(c, ':', 1) WHEN doc_id % 2 = 0 THEN 'own' ELSE '{deps.UNKNOWN_GROUP}' END AS group_id, CASE WHEN c IS NOT NULL THEN 'sha1' WHEN doc_id % 2 = 0 THEN 'properties' ELSE 'name' END AS identified_by FROM documents LEFT JOIN i ON sha1(text) = i.sha1")
 def identify_coalesce(spark: SparkSession, d: str) -> DataFrame:
     own = F.struct(F.lit("own").alias("group_id"), F.lit("a").alias("artifact_id"), F.lit("0").alias("version"))

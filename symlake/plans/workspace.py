@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Mapping
 from dataclasses import replace
 from typing import Any
 
@@ -11,17 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake.model import EDGES, SYMBOLS
+from symlake.operators import conditions as C
 from symlake.operators import deps as D
 from symlake.operators import maven, snippets, symbols
 from symlake.plans.conditions import Config, parse_dependency, parse_referenced
-from symlake.sources import archives, builds, gradle, poms, scan
+from symlake.sources import archives, builds, gradle, poms, scan, sha_index
+from symlake.sources.store import SymbolStore
 from symlake.tables import delete, exists, materialize, names_in, new_path, qualified
 
 
 class Workspace:
     """One project. Relations are lazy; the symbol table is written once, partitioned by location, and read from then on.
 
-    With cache (and a work_dir that stays) a table is kept for each state of the sources and found again.
+    With cache (and a work_dir that stays) a table is kept for each state of the sources and found again, and of a new
+    state only the files whose contents are new are parsed.
     """
 
     def __init__(self, spark: SparkSession, config: Config, edges: DataFrame | None = None, work_dir: str | None = None, cache: bool = False) -> None:
@@ -35,6 +39,7 @@ class Workspace:
         self.resolved = D.resolved(self.edges) if self.edges is not None else self._unresolved()
         if config.maven_repository:
             self.resolved = materialize(D.with_jars(self.resolved, scan.listing(spark, config.maven_repository, "*.jar"), qualified(spark, config.maven_repository)), "resolved")
+        self._store = SymbolStore(spark, f"{self.work_dir}/store") if cache else None
         self.files, rows = self._read()
         if config.maven_repository:
             rows = rows.unionByName(self._dependency_symbols())
@@ -110,7 +115,11 @@ class Workspace:
     def archive_dependencies(self) -> DataFrame:
         """The archives inside this one (path, sha1, coordinates, how they were identified); with an index, by digest first."""
         facts = archives.nested_facts(self.spark, self.config.location)
-        index = builds.artifact_index(self.spark, self.config.index_path) if self.config.index_path else self.spark.createDataFrame([], "sha1 string, group_id string, artifact_id string, version string")
+        path = self.config.index_path
+        if path and sha_index.is_written(self.spark, path):
+            index = sha_index.lookup(self.spark, path, facts)
+        else:
+            index = builds.artifact_index(self.spark, path) if path else self.spark.createDataFrame([], "sha1 string, group_id string, artifact_id string, version string")
         return D.identify(facts, index, self.config.unknown_group)
 
     def synthetic_pom(self) -> str:
@@ -133,9 +142,10 @@ class Workspace:
             rows = scan.symbols(files).unionByName(archives.class_symbols(app)).unionByName(archives.class_symbols(other, is_dependency=True)).unionByName(scan.symbols(archives.java_files(other), is_dependency=True))
             return files, rows
         files = scan.app_files(spark, config.location, config.included_paths, config.encoding)
-        rows = scan.symbols(files)
+        parse = self._store.symbols if self._store else scan.symbols
+        rows = parse(files)
         for root in config.dependency_roots:
-            rows = rows.unionByName(scan.symbols(scan.dependency_files(spark, root), is_dependency=True))
+            rows = rows.unionByName(parse(scan.dependency_files(spark, root), is_dependency=True))
         return files, rows
 
     @property
@@ -165,6 +175,12 @@ class Workspace:
             return D.incidents(found, self.build_file, sources)
         return self.spark.createDataFrame([], "file_uri string, line_number long")
 
+    def evaluate_dependencies(self, conditions: Mapping[str, str]) -> DataFrame:
+        """(cond_id, dependency columns) of many YAML dependency conditions in one pass; those of another kind match nothing."""
+        self._check()
+        parsed = {ident: parse_dependency(text) for ident, text in conditions.items()}
+        return C.match(self.resolved, [C.Condition(ident, d.name, d.name_regex, d.lower, d.upper) for ident, d in parsed.items() if d])
+
     def matched(self, capability: str, condition: str) -> bool:
         return not self.evaluate(capability, condition).isEmpty()
 

@@ -17,7 +17,7 @@ from symlake.model import Location as L
 from symlake.operators import conditions, deps, forest, maven, postings, rules, symbols
 from symlake.plans.conditions import Config, ConditionError, parse_dependency, parse_referenced
 from symlake.plans.workspace import Engine
-from symlake.sources import archives, builds, gradle, poms, scan
+from symlake.sources import archives, builds, gradle, poms, scan, sha_index, store
 from tests.test_java_extract import BEAN, SERVICE
 
 
@@ -237,6 +237,42 @@ def test_cached_symbols(spark, tmp_path):
     assert open_().symbol_path != first.symbol_path
 
 
+def test_only_new_contents_are_parsed(spark, tmp_path):
+    sources = {f"file:///p/B{k}.java": BEAN.replace("class Bean", f"class Bean{k}") for k in range(40)} | {"file:///q/Copy.java": BEAN.replace("class Bean", "class Bean7"), "file:///q/Empty.java": "", "file:///q/None.java": None}
+    own = store.SymbolStore(spark, str(tmp_path))
+    assert own.update(files(spark, sources)) == 41 and own.update(files(spark, sources)) == 0
+    changed = sources | {"file:///p/B3.java": SERVICE}
+    assert own.update(files(spark, changed)) == 1
+    known = lambda df: sorted(map(repr, df.collect()))
+    for state in (changed, sources):
+        assert known(own.symbols(files(spark, state))) == known(scan.symbols(files(spark, state)))
+
+
+def files_read(df):
+    """How many files the scan of a plan without joins reads."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numFiles").value()
+
+
+def test_sorted_index(spark, tmp_path, monkeypatch):
+    digest = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(digest(k), f"g{k}", "a", "1") for k in range(3000)] + [(None, "no", "no", "0")]
+    sha_index.write(spark.createDataFrame(rows, "sha1 string, group_id string, artifact_id string, version string"), str(tmp_path / "i"))
+    asked = lambda *ks: spark.createDataFrame([(digest(k).upper(),) for k in ks] + [(None,)], "sha1 string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        few = sha_index.lookup(spark, str(tmp_path / "i"), asked(5, 9000))
+        assert [r["group_id"] for r in few.collect()] == ["g5"] and files_read(few) <= 2 < 200
+        assert "In(sha1" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    monkeypatch.setattr(sha_index, "LITERALS", 3)
+    many = sha_index.lookup(spark, str(tmp_path / "i"), asked(*range(10), 9000))
+    assert sorted(r["group_id"] for r in many.collect()) == sorted(f"g{k}" for k in range(10))
+    assert sha_index.is_written(spark, str(tmp_path / "i")) and not sha_index.is_written(spark, str(tmp_path))
+
+
 def scripts(spark, *texts):
     return spark.createDataFrame([(f"/{k}/build.gradle", t) for k, t in enumerate(texts)], "file_uri string, text string")
 
@@ -448,6 +484,8 @@ def test_maven_project_without_a_graph(spark, tmp_path):
     assert names(ask("{name_regex: '.*'}")) == {("org.springframework.spring-core", "5.3.20", 6), ("org.managed.lib", "2.5", 11), ("javax.servlet.api", "5.3.20", 0), ("no.version", "", 0)}
     assert names(ask("{name: org.springframework.spring-core, lowerbound: 5.0.0}")) == {("org.springframework.spring-core", "5.3.20", 6)}
     assert ask("{name: org.springframework.spring-core, lowerbound: 6.0}").count() == 0
+    many = engine.workspace(ident).evaluate_dependencies({"a": "dependency: {name: org.managed.lib, upperbound: 3}", "b": "dependency: {name_regex: 'org[.].*', lowerbound: 5}", "c": "referenced: {pattern: x}"})
+    assert sorted((r["cond_id"], r["artifact_id"]) for r in many.collect()) == [("a", "lib"), ("b", "spring-core")]
     assert engine.workspace(ident).matched("dependency", "dependency: {name: org.managed.lib}") and not engine.workspace(ident).matched("dependency", "dependency: {name: x}")
     wanted = spark.createDataFrame([(engine.workspace(ident).build_file, "org.managed", "lib"), ("file:///none", "a", "b")], "file_uri string, group_id string, artifact_id string")
     assert sorted(r["line"] for r in engine.workspace(ident).dependency_locations(wanted).collect()) == [0, 11]
