@@ -7,7 +7,6 @@ their elements, and the classes and methods that they refer to); bodies are not
 from __future__ import annotations
 
 import io
-import posixpath
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -18,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from symlake.model import SYMBOLS
+from symlake.sources import zip_source
 from symlake.sources.builds import read_properties
 from symlake.sources.scan import file_uri
+from symlake.sources.zip_source import safe_entry
 
 ENTRIES = "archive string, entry string, depth int, content binary"
 NESTING = 3
@@ -30,12 +31,6 @@ def is_archive(path: Column) -> Column:
     return F.lower(path).rlike("[.](jar|war|ear)$")
 
 
-def safe_entry(name: str) -> bool:
-    """Whether an entry stays below the directory that it is unpacked to."""
-    clean = posixpath.normpath(name.replace("\\", "/"))
-    return not (clean.startswith(("/", "../")) or clean == ".." or ":" in clean.split("/")[0])
-
-
 def entries(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, str, int, bytes]]:
     """(archive, entry, depth, bytes) of all safe file entries; nested archives come as entries and then opened."""
     try:
@@ -81,17 +76,30 @@ def exploded(archive_entries: DataFrame) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """All entries of all archives below a root or of listed ones, nested ones too; one task opens one archive at a time."""
+    """All entries of all archives below a root or of listed ones, nested ones too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.int32(), pa.binary()]
+    Large archives are read by several tasks (``zip_source``), those in a store that only Spark reads by one each.
+    """
+    names, types = ["archive", "entry", "depth", "content"], [pa.string(), pa.string(), pa.int32(), pa.binary()]
+    one = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            for path, entry, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if entry.lower().endswith((".jar", ".war", ".ear")):
+                    yield from map(one, entries(content.as_buffer().to_pybytes(), f"{path}!/{entry}", 1))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in entries(content.as_buffer().to_pybytes(), path):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["archive", "entry", "depth", "content"])
+                yield from map(one, entries(content.as_buffer().to_pybytes(), path))
 
+    paths = [root] if isinstance(root, str) else root
+    if all(map(zip_source.readable, paths)):
+        return zip_source.scan(spark, paths).mapInArrow(inner, ENTRIES)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(is_archive(F.col("path")))
-    return files.select(file_uri(F.col("path")).alias("path"), "content").mapInArrow(run, ENTRIES)
+    return files.select(file_uri(F.col("path")).alias("path"), "content").mapInArrow(whole, ENTRIES)
 
 
 PROPERTIES = pa.struct([("group_id", pa.string()), ("artifact_id", pa.string()), ("version", pa.string())])

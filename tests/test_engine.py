@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, StringEndsWith, StringStartsWith
 
 from symlake.functions.patterns import glob_to_regex
 from symlake.functions.versions import version_key
@@ -17,7 +18,7 @@ from symlake.model import Location as L
 from symlake.operators import conditions, deps, forest, maven, postings, rules, symbols
 from symlake.plans.conditions import Config, ConditionError, parse_dependency, parse_referenced
 from symlake.plans.workspace import Engine
-from symlake.sources import archives, builds, gradle, poms, scan, sha_index, store
+from symlake.sources import archives, builds, gradle, poms, scan, sha_index, store, zip_source
 from tests.test_java_extract import BEAN, SERVICE
 
 
@@ -248,6 +249,34 @@ def test_only_new_contents_are_parsed(spark, tmp_path):
         assert known(own.symbols(files(spark, state))) == known(scan.symbols(files(spark, state)))
 
 
+def test_archives_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    """A large archive by several tasks; names pushed down to the source; broken archives and entries passed over."""
+    rnd = random.Random(1)
+    many = {f"p{k % 7}/E{k}.{'class' if k % 3 else 'txt'}": rnd.randbytes(3000) for k in range(400)} | {"../evil": b"no"}
+    (tmp_path / "deep").mkdir()
+    with zipfile.ZipFile(tmp_path / "deep/large.jar", "w") as z:
+        for name, content in many.items():
+            z.writestr(name, content)
+    (tmp_path / "small.WAR").write_bytes(zipped({"a.txt": "1"}))
+    (tmp_path / "broken.jar").write_bytes(b"no archive")
+    (tmp_path / "other.zip").write_bytes(zipped({"b.txt": "1"}))
+    monkeypatch.setattr(zip_source, "PART", 100_000)
+    reader = zip_source.EntryReader([str(tmp_path)])
+    parts = reader.partitions()
+    assert len([p for p in parts if p.archives[0][0].endswith("large.jar")]) >= 10
+    got = {(path.rpartition("/")[2], e): c for p in parts for b in reader.read(p) for path, e, c in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True)}
+    assert got == {("large.jar", n): c for n, c in many.items() if n != "../evil"} | {("small.WAR", "a.txt"): b"1"}
+    kept = EqualTo(("archive",), "x")
+    assert list(reader.pushFilters([kept, StringEndsWith(("entry",), ".class"), StringStartsWith(("entry",), "p3/")])) == [kept]
+    wanted = {n for n in many if n.startswith("p3/") and n.endswith(".class")}
+    assert {e for p in reader.partitions() for b in reader.read(p) for e in b.column(1).to_pylist()} == wanted
+    monkeypatch.undo()
+    df = zip_source.scan(spark, str(tmp_path)).where("entry LIKE 'p3/%' AND endswith(entry, '.class')").select("archive", "entry")
+    assert {r["entry"] for r in df.collect()} == wanted and all(r["archive"].startswith("file:///") for r in df.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "Filter" not in plan.replace("RuntimeFilters", "")  # the source has taken them all
+
+
 def files_read(df):
     """How many files the scan of a plan without joins reads."""
     df.collect()
