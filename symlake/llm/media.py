@@ -9,7 +9,9 @@ carved out, the outermost first.
 Edge cases: null or empty blobs have no type; an object that its blob cuts short is invalid; a null
 declared type counts as wrong when a type is found; rows are independent of each other, so repeated rows give
 equal results; an empty table gives no rows. A very long text is one blob of its length, and the bytes of a batch of blobs are
-bounded. End markers are found in the same pass as magics, so that many magics without an end cost no rescans.
+bounded. End markers are found in the same pass as magics, and chains are walked once however many magics lead into them, so the
+work grows with the blob whatever it holds. Packed streams (gzip) and checksummed chunks (PNG) can't be shared that way: all of a blob's
+may cost ``BUDGET`` times its size, and objects that come after that is spent are not recognised (32 streams inside each other still are).
 """
 
 from __future__ import annotations
@@ -31,84 +33,187 @@ from symlake.llm.common import materialize, project, table
 
 BLOCK = 64
 RATE = 8000
-
-
-def _riff(form: bytes) -> Callable[[bytes, int], int | None]:
-    def check(data: bytes, at: int) -> int | None:
+#: Times its size that a blob's packed streams and checksummed chunks may cost, all together.
+BUDGET = 32
+
+
+class Blob:
+    """A blob with the places of all magics and end markers, and what validators have found out about positions so far.
+
+    Where a format is a chain (a position tells the next), what follows from a position doesn't depend on where a walk began, so it
+    is kept: a walk that joins a known one ends there, and all walks together visit a position once.
+    """
+
+    def __init__(self, data: bytes, places: dict[bytes, list[int]]) -> None:
+        self.data, self.places = data, places
+        self.known: dict[str, dict] = {}
+        #: Bytes that may still be unpacked or summed, for all objects of the blob together.
+        self.budget = BUDGET * len(data) + (1 << 20)
+
+    def facts(self, of: str) -> dict:
+        return self.known.setdefault(of, {})
+
+    def spend(self, n: int) -> bool:
+        self.budget -= n
+        return self.budget >= 0
+
+
+def _followed(start: int, known: dict[int, tuple | None], step: Callable[[int], tuple[int | None, tuple | None]], join: Callable[[int, tuple], tuple] = lambda _, x: x) -> tuple | None:
+    """What a chain leads to from a position. step gives the next position, or None and the result; join adds what a position itself tells."""
+    way, p = [], start
+    while p not in known:
+        then, result = step(p)
+        if then is None:
+            known[p] = result
+            break
+        way.append(p)
+        p = then
+    result = known[p]
+    for q in reversed(way):
+        result = known[q] = None if result is None else join(q, result)
+    return result
+
+
+class Chunks:
+    """All chunk chains of a blob's RIFF forms as one forest, in which a chunk's parent is the next one.
+
+    A form is valid if its end is an ancestor of its first chunk; which kinds of chunks lie between is a difference of counts
+    along the way up.
+    """
+
+    KINDS = (b"fmt ", b"data", b"LIST")
+
+    def __init__(self, data: bytes, starts: list[int]) -> None:
+        after: dict[int, int] = {}
+        for at in starts:
+            p = at + 12
+            while p + 8 <= len(data) and p not in after:
+                size = int.from_bytes(data[p + 4 : p + 8], "little")
+                after[p] = p + 8 + size + (size & 1)
+                p = after[p]
+        below: dict[int, list[int]] = {}
+        for p, q in after.items():
+            below.setdefault(q, []).append(p)
+        #: Of each position its number in pre-order, the last number below it, and the kinds from it upwards.
+        self.first: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+        self.counts: dict[int, tuple[int, ...]] = {}
+        for root in [q for q in below if q not in after]:
+            todo = [(root, False)]
+            while todo:
+                p, left = todo.pop()
+                if left:
+                    self.last[p] = len(self.first)
+                    continue
+                self.first[p] = len(self.first)
+                up = self.counts[after[p]] if p in after else (0,) * (len(self.KINDS) + 1)
+                own = (*[int(data[p : p + 4] == k) for k in self.KINDS], 1) if p in after else (0,) * len(up)
+                self.counts[p] = tuple(x + y for x, y in zip(up, own, strict=True))
+                todo.append((p, True))
+                todo += [(c, False) for c in below.get(p, ())]
+
+    def leads(self, p: int, end: int) -> bool:
+        return p in self.first and end in self.first and self.first[end] <= self.first[p] < self.last[end]
+
+    def between(self, p: int, end: int) -> tuple[int, ...]:
+        return tuple(x - y for x, y in zip(self.counts[p], self.counts[end], strict=True))
+
+
+def _riff(form: bytes, *needed: bytes) -> Callable[[Blob, int], int | None]:
+    def check(blob: Blob, at: int) -> int | None:
+        data = blob.data
         if data[at + 8 : at + 12] != form:
             return None
-        end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        end, p = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"), at + 12
         if end > len(data):
             return None
-        p, kinds = at + 12, set()
-        while p + 8 <= end:
-            kinds.add(data[p : p + 4])
-            size = int.from_bytes(data[p + 4 : p + 8], "little")
-            p += 8 + size + (size & 1)
-        needed = {b"WAVE": {b"fmt ", b"data"}, b"AVI ": {b"LIST"}, b"WEBP": set()}[form]
-        return end - at if p in (end, end + 1) and kinds and needed <= kinds else None
+        facts = blob.facts("riff")
+        if not facts:
+            facts["chunks"] = Chunks(data, blob.places.get(b"RIFF", [at]))
+        chunks: Chunks = facts["chunks"]
+        # The last chunk may be padded beyond the end, but has its header before it.
+        stop = end if chunks.leads(p, end) else end + 1 if chunks.leads(p, end + 1) and not chunks.leads(p, end - 7) else None
+        if stop is None:
+            return None
+        *kinds, n = chunks.between(p, stop)
+        return end - at if n and all(kinds[Chunks.KINDS.index(k)] for k in needed) else None
 
     return check
 
 
-def _png(data: bytes, at: int) -> int | None:
-    p = at + 8
-    while p + 12 <= len(data):
+def _png(blob: Blob, at: int) -> int | None:
+    data = blob.data
+
+    def step(p: int) -> tuple[int | None, tuple | None]:
+        if p + 12 > len(data):
+            return None, None
         size = int.from_bytes(data[p : p + 4], "big")
         kind, end = data[p + 4 : p + 8], p + 12 + size
-        if end > len(data) or zlib.crc32(data[p + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big") or (p == at + 8) != (kind == b"IHDR"):
-            return None
-        if kind == b"IEND":
-            return end - at
-        p = end
-    return None
+        if end > len(data) or kind == b"IHDR" or not blob.spend(size) or zlib.crc32(data[p + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
+            return None, None
+        return (None, (end,)) if kind == b"IEND" else (end, None)
+
+    # The header comes first and is of a fixed size.
+    if data[at + 8 : at + 16] != b"\0\0\0\x0dIHDR" or at + 33 > len(data) or zlib.crc32(data[at + 12 : at + 29]) != int.from_bytes(data[at + 29 : at + 33], "big"):
+        return None
+    found = _followed(at + 33, blob.facts("png"), step)
+    return found[0] - at if found else None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(blob: Blob, at: int) -> int | None:
+    data = blob.data
     if at + 13 > len(data):
         return None
-    flags, p, images = data[at + 10], at + 13, 0
-    p += 3 << ((flags & 7) + 1) if flags & 128 else 0
-    while p < len(data):
+
+    def skip(p: int) -> tuple[int | None, tuple | None]:
+        """Over a run of sub-blocks."""
+        return (p + 1 + data[p], None) if p < len(data) and data[p] else (None, (p + 1,))
+
+    def block(p: int) -> tuple[int | None, tuple | None]:
+        if p >= len(data):
+            return None, None
         kind = data[p]
         if kind == 0x3B:
-            return p + 1 - at if images else None
+            return None, (p + 1, False)
         if kind == 0x21:
-            p += 2
+            q = p + 2
         elif kind == 0x2C and p + 10 < len(data):
-            flags = data[p + 9]
-            p += 11 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
-            images += 1
+            q = p + 11 + (3 << ((data[p + 9] & 7) + 1) if data[p + 9] & 128 else 0)
         else:
-            return None
-        while p < len(data) and data[p]:
-            p += 1 + data[p]
-        p += 1
-    return None
-
-
-def _jpeg(data: bytes, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(data):
-        if data[p] != 0xFF:
-            return None
-        kind = data[p + 1]
-        if kind == 0xD9:
-            return None
-        p += 2 + int.from_bytes(data[p + 2 : p + 4], "big")
-        if kind == 0xDA:  # entropy-coded data ends at a marker other than stuffing and restarts
-            while (p := data.find(b"\xff", p)) >= 0 and p + 1 < len(data):
-                if data[p + 1] == 0xD9:
-                    return p + 2 - at
-                if data[p + 1] and not 0xD0 <= data[p + 1] <= 0xD7:
-                    break
-                p += 2
-            if p < 0:
-                return None
-    return None
-
-
-def _bmp(data: bytes, at: int) -> int | None:
+            return None, None
+        return _followed(q, blob.facts("gif sub-blocks"), skip)[0], None
+
+    p = at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 128 else 0)
+    found = _followed(p, blob.facts("gif"), block, lambda q, x: (x[0], x[1] or data[q] == 0x2C))
+    return found[0] - at if found and found[1] else None
+
+
+def _jpeg(blob: Blob, at: int) -> int | None:
+    data, facts = blob.data, blob.facts("jpeg")
+    if "marks" not in facts:
+        # Markers that end entropy-coded data: neither stuffing nor restarts.
+        raw = np.frombuffer(data, np.uint8)
+        then = raw[1:]
+        facts["marks"] = (np.flatnonzero((raw[:-1] == 0xFF) & (then != 0) & ~((then >= 0xD0) & (then <= 0xD7)))).tolist()
+    marks = facts["marks"]
+
+    def step(p: int) -> tuple[int | None, tuple | None]:
+        if p + 4 > len(data) or data[p] != 0xFF or data[p + 1] == 0xD9:
+            return None, None
+        q = p + 2 + int.from_bytes(data[p + 2 : p + 4], "big")
+        if data[p + 1] != 0xDA:
+            return q, None
+        k = bisect_left(marks, q)
+        if k == len(marks):
+            return None, None
+        return (None, (marks[k] + 2,)) if data[marks[k] + 1] == 0xD9 else (marks[k], None)
+
+    found = _followed(at + 2, blob.facts("jpeg segments"), step)
+    return found[0] - at if found else None
+
+
+def _bmp(blob: Blob, at: int) -> int | None:
+    data = blob.data
     if at + 30 > len(data):
         return None
     size, _, pixels, header = struct.unpack_from("<IIII", data, at + 2)
@@ -116,8 +221,11 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if ok else None
 
 
-def _zip(data: bytes, at: int, ends: dict[int, int]) -> int | None:
-    end = ends.get(at)
+def _zip(blob: Blob, at: int) -> int | None:
+    facts = blob.facts("zip")
+    if not facts:
+        facts["ends"] = _zip_ends(blob.data, blob.places.get(b"PK\5\6", []))
+    end = facts["ends"].get(at)
     return end - at if end is not None else None
 
 
@@ -133,45 +241,69 @@ def _zip_ends(data: bytes, marks: list[int]) -> dict[int, int]:
     return out
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(blob: Blob, at: int) -> int | None:
+    """Unpacked to its end. All members of a blob share a budget, as one packed stream can pretend to begin at each of its bytes."""
     d = zlib.decompressobj(31)
-    view = memoryview(data)
+    view, n = memoryview(blob.data), len(blob.data)
+    p, step = at, 1 << 10
     try:
-        for p in range(at, len(data), 1 << 16):
-            tail = view[p : p + (1 << 16)]
+        while p < n:
+            tail = view[p : p + step]
             while tail and not d.eof:  # a bounded output each time: a small blob can't fill the memory
-                d.decompress(tail, 1 << 20)
+                # Each byte read and each sixteen unpacked cost one.
+                got = len(d.decompress(tail, 1 << 20))
+                if not blob.spend(len(tail) - len(d.unconsumed_tail) - len(d.unused_data) + got // 16):
+                    return None
                 tail = d.unconsumed_tail
+            p = min(p + step, n)
             if d.eof:
-                return min(p + (1 << 16), len(data)) - len(d.unused_data) - at
+                return p - len(d.unused_data) - at
+            step = min(2 * step, 1 << 16)
     except zlib.error:
         pass
     return None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
-    p, pages, last = at, 0, 0
-    while data[p : p + 4] == b"OggS" and p + 27 <= len(data) and data[p + 4] == 0:
+def _ogg(blob: Blob, at: int) -> int | None:
+    data = blob.data
+
+    def step(p: int) -> tuple[int | None, tuple | None]:
+        if data[p : p + 4] != b"OggS" or p + 27 > len(data) or data[p + 4]:
+            return None, (p, None)  # no page: what came before ends here
         n = data[p + 26]
         end = p + 27 + n + sum(data[p + 27 : p + 27 + n])
-        if end > len(data) or p + 27 + n > len(data) or (not pages and not data[p + 5] & 2):
-            return None
-        p, pages, last = end, pages + 1, data[p + 5] & 4
-    return p - at if pages and last else None
+        return (None, None) if p + 27 + n > len(data) or end > len(data) else (end, None)
 
+    found = _followed(at, blob.facts("ogg"), step, lambda p, x: (x[0], data[p + 5] & 4 if x[1] is None else x[1]))
+    # The first page begins a stream, the last one ends it.
+    return found[0] - at if found and found[0] > at and found[1] and data[at + 5] & 2 else None
 
-def _midi(data: bytes, at: int) -> int | None:
-    if data[at + 4 : at + 8] != b"\0\0\0\6":
+
+def _midi(blob: Blob, at: int) -> int | None:
+    data, n = blob.data, int.from_bytes(blob.data[at + 10 : at + 12], "big")
+    if data[at + 4 : at + 8] != b"\0\0\0\6" or not n:
         return None
-    p = at + 14
-    for _ in range(int.from_bytes(data[at + 10 : at + 12], "big")):
-        if data[p : p + 4] != b"MTrk":
-            return None
-        p += 8 + int.from_bytes(data[p + 4 : p + 8], "big")
-    return p - at if at + 14 < p <= len(data) else None
 
+    def after(p: int, k: int) -> int | None:
+        """The place 2^k tracks on; each is looked up once."""
+        known = blob.facts(f"midi {k}")
+        if p not in known:
+            if not k:
+                known[p] = p + 8 + int.from_bytes(data[p + 4 : p + 8], "big") if data[p : p + 4] == b"MTrk" else None
+            else:
+                half = after(p, k - 1)
+                known[p] = after(half, k - 1) if half is not None else None
+        return known[p]
+
+    p: int | None = at + 14
+    for k in range(n.bit_length()):
+        if n >> k & 1 and p is not None:
+            p = after(p, k)
+    return p - at if p is not None and p <= len(data) else None
 
-def _au(data: bytes, at: int) -> int | None:
+
+def _au(blob: Blob, at: int) -> int | None:
+    data = blob.data
     if at + 24 > len(data):
         return None
     offset, size, encoding, rate, channels = struct.unpack_from(">IIIII", data, at + 4)
@@ -179,7 +311,8 @@ def _au(data: bytes, at: int) -> int | None:
     return offset + size if ok and at + offset + size <= len(data) else None
 
 
-def _pdf(data: bytes, at: int, ends: list[int]) -> int | None:
+def _pdf(blob: Blob, at: int) -> int | None:
+    data, ends = blob.data, blob.places.get(b"%%EOF", [])
     k = bisect_left(ends, at)
     if k == len(ends):
         return None
@@ -188,43 +321,39 @@ def _pdf(data: bytes, at: int, ends: list[int]) -> int | None:
 
 
 class Format(NamedTuple):
-    """A validator may ask for the places of an end marker, made ready once for each blob."""
-
     kind: str
     magic: bytes
-    check: Callable[..., int | None]
-    marker: bytes | None = None
-    ready: Callable[[bytes, list[int]], object] = lambda _, marks: marks
+    check: Callable[[Blob, int], int | None]
 
 
 #: Magic bytes (fixed values) and validators.
 FORMATS = [
-    Format("audio/wav", b"RIFF", _riff(b"WAVE")),
-    Format("video/avi", b"RIFF", _riff(b"AVI ")),
+    Format("audio/wav", b"RIFF", _riff(b"WAVE", b"fmt ", b"data")),
+    Format("video/avi", b"RIFF", _riff(b"AVI ", b"LIST")),
     Format("image/webp", b"RIFF", _riff(b"WEBP")),
     Format("image/png", b"\x89PNG\r\n\x1a\n", _png),
     Format("image/gif", b"GIF87a", _gif),
     Format("image/gif", b"GIF89a", _gif),
     Format("image/jpeg", b"\xff\xd8\xff", _jpeg),
     Format("image/bmp", b"BM", _bmp),
-    Format("application/zip", b"PK\3\4", _zip, b"PK\5\6", _zip_ends),
+    Format("application/zip", b"PK\3\4", _zip),
     Format("application/gzip", b"\x1f\x8b\x08", _gzip),
     Format("audio/ogg", b"OggS", _ogg),
     Format("audio/midi", b"MThd", _midi),
     Format("audio/basic", b".snd", _au),
-    Format("application/pdf", b"%PDF-", _pdf, b"%%EOF"),
+    Format("application/pdf", b"%PDF-", _pdf),
 ]
+#: End markers that validators ask for (fixed values).
+MARKERS = [b"PK\5\6", b"%%EOF"]
 
 
 class Sniffer:
     """The automaton over all magics and end markers."""
 
     def __init__(self, formats: list[Format] = FORMATS) -> None:
-        words: dict[bytes, list[Format]] = {}
+        words: dict[bytes, list[Format]] = {w: [] for w in MARKERS}
         for f in formats:
             words.setdefault(f.magic, []).append(f)
-            if f.marker:
-                words.setdefault(f.marker, [])
         self.automaton = ahocorasick.Automaton()
         for word, own in words.items():
             self.automaton.add_word(word.decode("latin-1"), (word, own))
@@ -236,16 +365,13 @@ class Sniffer:
         starts = []
         for end, (word, formats) in self.automaton.iter(data.decode("latin-1")):
             at = end + 1 - len(word)
+            places.setdefault(word, []).append(at)
             if formats:
                 starts.append((at, formats))
-            else:
-                places.setdefault(word, []).append(at)
-        found, ready = [], {}
+        blob, found = Blob(data, places), []
         for at, formats in starts:
             for f in formats:
-                if f.marker and f.kind not in ready:
-                    ready[f.kind] = f.ready(data, places.get(f.marker, []))
-                if (length := f.check(data, at, *([ready[f.kind]] if f.marker else []))) is not None:
+                if (length := f.check(blob, at)) is not None:
                     found.append((f.kind, at, length))
                     break
         return found

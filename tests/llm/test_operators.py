@@ -198,6 +198,78 @@ def test_many_magics_cost_no_rescans():
     assert time.perf_counter() - began < 20
 
 
+def chains(n):
+    """Blobs of about n bytes whose every magic leads into one long chain."""
+    riff = b"".join(b"aaaa" + struct.pack("<I", 12) + b"RIFF" + struct.pack("<I", n // 2) + b"WAVE" for _ in range(n // 20))
+    stored = b"\x1f\x8b\x08\0" + bytes(6)
+    gz = b"".join(stored + b"\0" + struct.pack("<HH", 10, 0xFFFF - 10) for _ in range(n // 15))
+    jpeg = b"\xff\xd8\xff\xe0\0\2\xff\xda\0\2" * (n // 10)
+    midi = b"".join(b"MThd\0\0\0\6\0\0\x7f\xff\0\0" + b"MTrk\0\0\0\x0e" for _ in range(n // 22))
+    ogg = (b"OggS\0\2" + bytes(20) + b"\1\0") * (n // 28)
+    gif = (b"GIF89a\1\0\1\0\0\0\0" + b"\x21\xfe\x0d") * (n // 16)
+    head = b"IHDR" + struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)
+    png = (b"\x89PNG\r\n\x1a\n\0\0\0\x0d" + head + struct.pack(">I", zlib.crc32(head)) + struct.pack(">I", n // 2) + b"IDAT") * (n // 41)
+    return {"riff": riff, "gzip": gz, "jpeg": jpeg, "midi": midi, "ogg": ogg, "gif": gif, "png": png}
+
+
+@pytest.mark.parametrize("kind", chains(1000))
+def test_chains_are_walked_once(kind):
+    """4 MB in seconds, whatever the chains."""
+    data = chains(4 << 20)[kind]
+    began = time.perf_counter()
+    media.sniffer().objects(data)
+    assert time.perf_counter() - began < 40
+
+
+def test_shared_walks_find_what_single_ones_find():
+    """Each object by itself, with nothing known before, is found like all together."""
+    rnd = random.Random(7)
+    pieces = [*OBJECTS.values(), *[v for v in chains(200).values()], b"RIFF", b"MTrk\0\0\0\2ab", b"\xff\xda\0\2", b"\xff\xd9", b"OggS", b"\0", b";", bytes(8)]
+    sniffer = media.sniffer()
+    for _ in range(400):
+        data = bytearray(b"".join(rnd.choices(pieces, k=rnd.randint(1, 8))))
+        for _ in range(rnd.randint(0, 3)):
+            data[rnd.randrange(len(data))] = rnd.choice([0, 1, 2, 4, 8, 255, rnd.randrange(256)])
+        data = bytes(data)
+        single = []
+        for at in range(len(data)):
+            for f in media.FORMATS:
+                if data.startswith(f.magic, at):
+                    places = {m: [k for k in range(len(data)) if data.startswith(m, k)] for m in media.MARKERS}
+                    if (n := f.check(media.Blob(data, places), at)) is not None:
+                        single.append((f.kind, at, n))
+                        break
+        assert sorted(sniffer.objects(data)) == sorted(single)
+
+
+def riff_walk(data, at, form, needed):
+    end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+    if data[at + 8 : at + 12] != form or end > len(data):
+        return None
+    p, kinds = at + 12, set()
+    while p + 8 <= end:
+        kinds.add(data[p : p + 4])
+        size = int.from_bytes(data[p + 4 : p + 8], "little")
+        p += 8 + size + (size & 1)
+    return end - at if p in (end, end + 1) and kinds and needed <= kinds else None
+
+
+def test_riff_forms_are_like_a_plain_walk():
+    rnd = random.Random(8)
+    found = 0
+    for _ in range(3000):
+        body = b"".join(rnd.choice([b"fmt ", b"data", b"LIST", b"RIFF"]) + struct.pack("<I", s := rnd.choice([0, 1, 2, 4, 12])) + rnd.choice([bytes(s), (b"WAVE" + bytes(s))[:s]]) + bytes(rnd.choice([0, s & 1])) for _ in range(rnd.randint(0, 5)))
+        data = b"x" * rnd.randint(0, 2) + b"RIFF" + struct.pack("<I", len(body) + 4 + rnd.choice([0, 0, 0, -1, 1, 8, -8]) & 0xFFFF) + rnd.choice([b"WAVE", b"AVI ", b"WEBP"]) + body
+        starts = [k for k in range(len(data)) if data.startswith(b"RIFF", k)]
+        blob = media.Blob(data, {b"RIFF": starts})
+        for at in starts:
+            for form, needed in ((b"WAVE", {b"fmt ", b"data"}), (b"AVI ", {b"LIST"}), (b"WEBP", set())):
+                want = riff_walk(data, at, form, needed)
+                found += want is not None
+                assert media._riff(form, *needed)(blob, at) == want
+    assert found > 100
+
+
 def test_texts_as_media(spark):
     rows = [*EDGES, (8, "a" * 64), (9, "b" * 65)]
     out = media.store_and_read(docs(spark, rows), "doc_id", "text").collect()
