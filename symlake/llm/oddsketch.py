@@ -10,14 +10,15 @@
    standard deviations more than sets of similarity 0.75 and these sizes would are left out, the others ranked.
 4. Each node's best pair is compared on the full shingle sets; links make components. All other near pairs between
    components are compared next.
-5. So that no hub's choice decides, all pairs of nodes that share a bucket but no component are tested then: in
-   each bucket the nodes outside its largest component meet all others by blocks of up to 256 sketches, block
-   against block in numpy; pairs that are near are compared in full.
+5. So that no hub's choice decides, the nodes of buckets that still hold several components meet by prefixes: their shingles
+   are ordered by how many of these nodes have them, rarest first, and two sets of similarity 0.75 or more must share one of
+   the first n - ceil(0.75 n) + 1 of each. So pages that share a template and differ in the rest never meet. Those that share a
+   prefix shingle but no component are compared by blocks of up to 256 sketches, block against block in numpy; pairs that
+   are near are compared in full.
 
 Two documents of similarity 0.75 share no band with probability 3e-7, and are left out by their sketches with
 probability 6e-7 (five standard deviations); more similar ones with far less. These are the only approximations. The work of
-step 5 grows with the product of a bucket's unlinked nodes and its nodes, a few nanoseconds a product; its rows are blocks and
-the near pairs found, each in the first band that its nodes share.
+step 5 grows with the product of a prefix shingle's unlinked nodes and its nodes; its rows are blocks and the near pairs found.
 
 Words are runs of bytes other than 20 and 09-0D after lower-casing A-Z. A document with fewer words than five
 has one shingle, the whole sequence. Edge cases: null or empty texts and texts without words are linked with nothing; rows that
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symlake.llm.common import components, discard, materialize, project, release, table
 from symlake.llm.rolling import BASE, U64, PrimePrints, drawn_base, mix
@@ -284,10 +286,12 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
         discard(old, found)
     discard(texts, links)
     release(spark)
-    mixed = _mixed(shared, label, nodes.select("node", "sketch", "n", "bands"))
+    members = _unsettled(shared, label)
+    prefix = _prefixes(members, docs, percent, base)
+    mixed = _mixed(prefix, members, nodes.select("node", "sketch", "n"))
     last = _crossing(mixed, percent).join(best.unionByName(left), ["x", "y"], "left_anti")
     last = materialize(last, "crossing")
-    discard(mixed, shared, near, best, left)
+    discard(members, prefix, mixed, shared, near, best, left)
     if not last.isEmpty():
         more = materialize(texts_of(last), "texts")
         found, old = confirmed(last, more, "links"), label
@@ -307,9 +311,41 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     return linked.unionByName(alone)
 
 
-def _mixed(shared: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their bucket's largest component as main and its blocks' number."""
-    member = shared.where("size > 2").select("h", "band", "node").join(label, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("c"))
+def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, c) of the nodes in buckets that hold several components."""
+    member = shared.where("size > 2").select("h", "node").join(label, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
+    several = materialize(member.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h"), "several")
+    out = materialize(member.join(several, "h").select("node", "c").distinct(), "members")
+    discard(several)
+    return out
+
+
+def _shingle_lists(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = shingles(body.as_buffer().to_pybytes(), base)
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["node", "own"])
+
+
+def _prefixes(members: DataFrame, docs: DataFrame, percent: int, base: int) -> DataFrame:
+    """(h, node): the shingles h that a node's partners among the members must share one of, where several nodes have it."""
+    texts = docs.select("key", "body").join(members.select(F.col("node").alias("key")).hint("merge"), "key").dropDuplicates(["key"])
+    lists = texts.mapInArrow(lambda b: _shingle_lists(b, base), "node long, own array<long>")
+    held = materialize(lists.select("node", F.size("own").alias("n"), F.explode("own").alias("h")), "shingles")
+    often = materialize(held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    both = held.join(often, "h")
+    # What one node alone has comes first in its order and takes up places of its prefix.
+    own = Window.partitionBy("node")
+    placed = both.withColumns({"place": F.row_number().over(own.orderBy("f", "h")), "several": F.count("*").over(own)})
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    out = materialize(placed.where(F.col("place") <= length - (F.col("n") - F.col("several"))).select("h", "node"), "prefixes")
+    discard(held, often)
+    return out
+
+
+def _mixed(prefix: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Nodes by prefix shingle where several components have it, with the largest of these as main and the number of blocks."""
+    member = prefix.join(members, "node")
     sizes = member.groupBy("h", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all")).where("parts > 1")
     main = materialize(main.select("h", F.col("m.c").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks")), "main")
@@ -319,34 +355,32 @@ def _mixed(shared: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFram
 
 
 def _crossing(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of nodes that share a bucket but no component, and whose sketches are near; each once.
+    """Pairs (x, y) of nodes that share a prefix shingle but no component, and whose sketches are near.
 
-    In each bucket only the nodes outside its largest component meet all others, a block of them against a block.
-    Two nodes are paired in the first band that they share.
+    For each shingle only the nodes outside its largest component meet all others, a block of them against a block.
     """
-    one = F.struct("node", "c", "n", "sketch", "bands")
+    one = F.struct("node", "c", "n", "sketch")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    whole = mixed.groupBy("h", block).agg(F.first("band").alias("band"), F.first("main").alias("main"), F.collect_list(one).alias("v"))
+    whole = mixed.groupBy("h", block).agg(F.first("main").alias("main"), F.collect_list(one).alias("v"))
     few = mixed.where("c <> main").groupBy("h", block, "blocks").agg(F.collect_list(one).alias("u"))
     few = few.select("h", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    met = few.join(whole, ["h", "block"]).select("band", "main", "u", "v")
-    return met.mapInArrow(lambda b: _meet(b, percent), "x long, y long")
+    met = few.join(whole, ["h", "block"]).select("main", "u", "v")
+    return met.mapInArrow(lambda b: _meet(b, percent), "x long, y long").distinct()
 
 
 def _members(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
-    """(node, component, size, sketch, bands) of a block."""
+    """(node, component, size, sketch) of a block."""
     flat = rows.values
     node, c, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    sketch, band = (flat.field(k).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) for k in (3, 4))
-    return node, c, n, sketch.view(np.uint64), band
+    return node, c, n, flat.field(3).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).view(np.uint64)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[np.ndarray] = []
-        for band, main, few, whole in zip(*(batch.column(k) for k in range(4)), strict=True):
-            u, uc, un, us, ub = _members(few)
-            v, vc, vn, vs, vb = _members(whole)
+        for main, few, whole in zip(*(batch.column(k) for k in range(3)), strict=True):
+            u, uc, un, us = _members(few)
+            v, vc, vn, vs = _members(whole)
             flipped = np.zeros((len(u), len(v)), np.int32)
             for k in range(us.shape[1]):
                 flipped += np.bitwise_count(us[:, k, None] ^ vs[None, :, k])
@@ -355,8 +389,6 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             ok &= (uc[:, None] != vc[None, :]) & ((vc[None, :] == main.as_py()) | (u[:, None] > v[None, :]))
             i, j = np.nonzero(ok)
             if len(i):
-                first = (ub[i] == vb[j]).argmax(axis=1) == band.as_py()
-                i, j = i[first], j[first]
                 found.append(np.stack([np.maximum(u[i], v[j]), np.minimum(u[i], v[j])]))
         if found:
             both = np.concatenate(found, axis=1)
