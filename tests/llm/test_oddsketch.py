@@ -67,45 +67,6 @@ def test_chains_and_large_groups(spark):
     check(spark, chain + [(i, edited(rnd, base, 2)) for i in range(120)])
 
 
-def template_pages(rnd, n, own=95):
-    shared = [f"t{i}" for i in range(300)]
-    return [(k, " ".join(shared[:150] + [f"o{k}x{i}" for i in range(own)] + shared[150:])) for k in range(n)]
-
-
-def test_template_pages_and_near_pairs_among_them(spark):
-    rnd = random.Random(12)
-    rows = template_pages(rnd, 120)
-    for k in range(0, 120, 6):  # a partner for each sixth page
-        rows.append((1000 + k, edited(rnd, rows[k][1].split(" "), rnd.randint(1, 9))))
-    out = check(spark, rows)
-    assert sum(not r["kept"] for r in out) >= 15
-
-
-def test_template_pages_never_meet(spark, monkeypatch):
-    """What they share is no part of their prefixes, so the work grows with their number."""
-    seen = []
-    plain = oddsketch._mixed
-    monkeypatch.setattr(oddsketch, "_mixed", lambda *a: (m := plain(*a), seen.append(m.count()))[0])
-    df = spark.createDataFrame(template_pages(random.Random(13), 1500), "doc_id long, text string")
-    assert oddsketch.groups(df, "doc_id", "text").where("kept").count() == 1500 and seen == [0]
-
-
-def test_prefixes_hold_a_partner(spark):
-    """Sets of similarity 0.75 or more share a prefix shingle."""
-    rnd = random.Random(14)
-    words = [f"v{i}" for i in range(60)]
-    texts = [" ".join(rnd.choices(words, k=rnd.randint(8, 40))) for _ in range(40)]
-    texts += [edited(rnd, t.split(" "), 1) for t in texts]
-    docs = spark.createDataFrame([(k, k, t.encode()) for k, t in enumerate(texts)], "key long, id long, body binary")
-    found = oddsketch._prefixes(docs.selectExpr("key AS node", "key AS c"), docs, 75, 12345)
-    by = {}
-    for r in found.collect():
-        by.setdefault(r["node"], set()).add(r["h"])
-    sets = [oddsketch.shingles(t.encode(), 12345) for t in texts]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if oddsketch.similar(sets[i], sets[j])]
-    assert len(near) > 5 and all(by[i] & by[j] for i, j in near)
-
-
 def test_edges(spark):
     long = " ".join(f"l{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO\n"), (6, "one two three"), (7, "É a b c d"), (8, "é a b c d"), (9, long), (10, long + " tail"), (None, "n1 n2 n3 n4 n5 n6"), (11, "n1 n2 n3 n4 n5 n6"), (None, "alone in the world at last"), (12, "rep rep rep rep rep rep rep"), (12, "rep rep rep rep rep rep rep")]
