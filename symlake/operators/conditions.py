@@ -62,16 +62,22 @@ def _below(keys: Column, key: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n).bit_length())), start, halve, lambda s: s["lo"])
 
 
-def _offered(version: Column, bounds: list[str], size: int) -> Column:
-    """The nodes above a version's piece: piece 2i lies before bound i, piece 2i + 1 is bound i."""
+def _kept(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once, however often later expressions use it."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def _offered(versions: DataFrame, bounds: list[str], size: int) -> DataFrame:
+    """(version, nodes) of distinct versions: the nodes above each one's piece; piece 2i lies before bound i, piece 2i + 1 is bound i."""
+    unknown = F.col("version").isNull() | (F.col("version") == "")
     if not bounds:
-        return F.array(F.lit(1))
+        return versions.select("version", F.when(unknown, F.array(F.lit(ANYWHERE))).otherwise(F.array(F.lit(1))).alias("nodes"))
     keys, n = F.array(*[F.lit(b) for b in bounds]), len(bounds)
-    key = version_key(version)
-    at = _below(keys, key, n)
-    leaf = size + 2 * at + F.when((at < n) & (F.element_at(keys, F.least(at + 1, F.lit(n))) == key), 1).otherwise(0)
-    levels = F.sequence(F.lit(0), F.lit(size.bit_length() - 1))
-    return F.transform(levels, lambda k: F.floor(leaf / F.pow(F.lit(2.0), k)).cast("int"))
+    rows = _kept(versions, "key", F.coalesce(version_key(F.col("version")), F.lit("")))
+    rows = _kept(rows, "at", _below(keys, F.col("key"), n))
+    rows = _kept(rows, "leaf", size + 2 * F.col("at") + F.when((F.col("at") < n) & (F.element_at(keys, F.least(F.col("at") + 1, F.lit(n))) == F.col("key")), 1).otherwise(0))
+    above = F.transform(F.sequence(F.lit(0), F.lit(size.bit_length() - 1)), lambda k: F.floor(F.col("leaf") / F.pow(F.lit(2.0), k)).cast("int"))
+    return rows.select("version", F.when(unknown, F.array(F.lit(ANYWHERE))).otherwise(above).alias("nodes"))
 
 
 def match(deps: DataFrame, conditions: Sequence[Condition], chunk: int = 128) -> DataFrame:
@@ -102,8 +108,10 @@ def match(deps: DataFrame, conditions: Sequence[Condition], chunk: int = 128) ->
         own.append(F.array(F.lit("*")))
     for at in range(0, len(regexes), chunk):
         own.append(F.array_compact(F.array(*[F.when(full_match(dependency_name(), r), F.lit(number[r])) for r in regexes[at : at + chunk]])))
-    unknown = F.col("version").isNull() | (F.col("version") == "")
-    offered = F.when(unknown, F.array(F.lit(ANYWHERE))).otherwise(_offered(F.col("version"), bounds, size))
-    asked = deps.withColumns({"name_key": F.explode(F.flatten(F.array(*own)))})
-    asked = asked.where(F.col("name_key").isNotNull()).withColumn("node", F.explode(offered))
+    known = _offered(deps.select("version").distinct(), bounds, size).withColumnRenamed("version", "its_version")
+    asked = deps.withColumn("name_key", F.explode(F.flatten(F.array(*own)))).where("name_key IS NOT NULL")
+    # Only names that some condition has go on to versions.
+    wanted = table.select("name_key").distinct()
+    asked = asked.join(F.broadcast(wanted) if len(rows) <= BROADCAST else wanted, "name_key", "left_semi")
+    asked = asked.join(known, F.col("version").eqNullSafe(F.col("its_version"))).withColumn("node", F.explode("nodes"))
     return asked.join(table, ["name_key", "node"]).select("cond_id", *names)

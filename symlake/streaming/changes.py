@@ -77,6 +77,7 @@ def apply(batch: DataFrame, table: str, buckets: int = BUCKETS) -> None:
     last = materialize(batch.groupBy("file_uri").agg(F.max_by("text", "saved").alias("text")), "changes")
     touched = [r[0] for r in bucketed(last, buckets).select("bucket").distinct().collect()]  # at most BUCKETS numbers
     if not touched:
+        discard(last)
         return
     known = _manifests(spark, table)
     state = _state(spark, table, known[-1]) if known else {}
