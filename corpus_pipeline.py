@@ -3,6 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs, which has the columns of ``documents`` and maybe
 more, whatever their names; all stages but the last keep those columns. Rows with null ids or texts go through like
 others, very long texts are read whole, and an empty table gives no rows in every stage.
+
+This module needs the subpackage ``symlake.llm`` and belongs to it: without it, importing this raises ModuleNotFoundError.
 """
 
 from __future__ import annotations
