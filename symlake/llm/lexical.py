@@ -39,8 +39,8 @@ from symlake.llm.decontam import _WORD
 
 K = 10
 SHARD_DOCS, SHARD_BYTES, CLUSTER, ROUNDS = 2048, 16 << 20, 64, 8
-#: Clusters scored for the floor, clusters that a task holds at a time, (query, term) pairs in a broadcast.
-SEEDS, HELD, SLICE = 4, 64, 1 << 18
+#: Clusters scored for the floor, clusters that a task holds at a time, those of a row group, (query, term) pairs in a broadcast.
+SEEDS, HELD, ROW_GROUP, SLICE = 4, 64, 16, 1 << 18
 
 CLUSTERS = "cluster string, ids array<long>, lengths array<int>, terms array<binary>, top_tf array<int>, low_n array<int>, edges array<int>, docs array<smallint>, tfs array<int>"
 _TYPES = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int16()), pa.list_(pa.int32())]
@@ -146,9 +146,9 @@ def _index(batches: Iterator[pa.RecordBatch], cluster: int) -> Iterator[pa.Recor
 
 
 def build(df: DataFrame, id_col: str, text_col: str, cluster: int = CLUSTER) -> DataFrame:
-    """``CLUSTERS``, the index of all rows, as a written table."""
+    """``CLUSTERS``, the index of all rows, as a written table; its row groups are small, so that a task's memory doesn't grow with its part of the table."""
     rows = project(df, id=df[id_col].cast("long"), body=F.coalesce(df[text_col], F.lit("")).cast("binary"))
-    return materialize(rows.mapInArrow(lambda b: _index(b, cluster), CLUSTERS), "clusters")
+    return materialize(rows.mapInArrow(lambda b: _index(b, cluster), CLUSTERS), "clusters", group=ROW_GROUP)
 
 
 class Queries:
@@ -256,13 +256,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch], terms: Broadcast) -> Iterato
     known = {t: k for k, t in enumerate(terms.value)}
     counts = np.zeros(len(known), np.int64)
     for batch in batches:
-        flat = batch.column("terms").flatten()
-        sizes = [np.diff(e.values.to_numpy()) for e in batch.column("edges")]
-        df = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        hits = [(k, known[t]) for k, t in enumerate(flat.to_pylist()) if t in known]
-        if hits:
-            at, number = np.array(hits, np.int64).T
-            np.add.at(counts, number, df[at])
+        for words, edges in zip(batch.column("terms"), batch.column("edges"), strict=True):  # one cluster's terms at a time
+            df = np.diff(edges.values.to_numpy())
+            hits = [(k, known[t]) for k, t in enumerate(words.values.to_pylist()) if t in known]
+            if hits:
+                at, number = np.array(hits, np.int64).T
+                counts[number] += df[at]
     found = np.flatnonzero(counts)
     if len(found):
         yield pa.RecordBatch.from_arrays([pa.array([terms.value[k] for k in found], pa.binary()), pa.array(counts[found])], ["term", "df"])

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,11 @@ def test_empty(spark):
     d, b = frames(spark, *sample(20))
     assert lexical.search(lexical.build(d.where("false"), "doc_id", "text"), b, "item_id", "text").count() == 0
     assert lexical.search(lexical.build(d, "doc_id", "text"), b.where("false"), "item_id", "text").count() == 0
+
+
+def test_row_groups_of_the_index_are_small(spark):
+    docs, _ = sample(200)
+    clusters = lexical.build(spark.createDataFrame(docs, "d long, t string").coalesce(1), "d", "t", cluster=4)
+    paths = [p.removeprefix("file://") for p in clusters.inputFiles()]
+    groups = [f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, paths) for k in range(f.num_row_groups)]
+    assert sum(groups) == 52 and max(groups) <= lexical.ROW_GROUP
