@@ -16,9 +16,11 @@ from symlake.functions.patterns import glob_to_regex
 from symlake.functions.versions import version_key
 from symlake.model import Location as L
 from symlake.operators import conditions, deps, forest, maven, postings, rules, symbols
+from symlake.plans import catalog
 from symlake.plans.conditions import Config, ConditionError, parse_dependency, parse_referenced
 from symlake.plans.workspace import Engine
 from symlake.sources import archives, builds, gradle, poms, scan, sha_index, store, zip_source
+from tests.oracle import DATA
 from tests.test_java_extract import BEAN, SERVICE
 
 
@@ -712,3 +714,24 @@ def test_a_batch_that_fails_leaves_the_state(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         changes.apply(spark.createDataFrame([("a", None, 2), ("b", "class C { }", 2)], schema), table)
     assert {r["name"] for r in changes.read(spark, table).where("location = 'CLASS'").collect()} == {"A", "B"}
+
+
+def joins_of(plan):
+    return set(re.findall(r"\w*(?:Join|BroadcastExchange|Window)\b", plan))
+
+
+def test_locations_are_dealt_by_key(spark):
+    files = spark.createDataFrame([("a/pom.xml", "<dependencies>\n<artifactId>a</artifactId>\n<groupId>g</groupId>\n<artifactId>b</artifactId>"), ("build.gradle", "x 'g:a:1'\ny 'gg:ab:1'")], "file_uri string, text string")
+    wanted = spark.createDataFrame([("a/pom.xml", "g", "a"), ("a/pom.xml", "g", "b"), ("a/pom.xml", "g", "c"), ("build.gradle", "g", "ab"), ("build.gradle", "gg", "a"), ("build.gradle", "g", "b"), ("c", "g", "a"), ("build.gradle", None, "a")], "file_uri string, group_id string, artifact_id string")
+    out = deps.locate(wanted, files)
+    assert [r["line"] for r in out.orderBy(F.desc("file_uri"), "group_id", "artifact_id").collect()] == [0, 0, 2, 0, 2, 2, 3, 0]
+    assert joins_of(out._jdf.queryExecution().executedPlan().toString()) == {"SortMergeJoin"}
+
+
+def test_gradle_lines_with_few_and_many_wanted(spark, monkeypatch):
+    names = [f"a{k:03d}" for k in range(100)]
+    files = spark.createDataFrame([("build.gradle", "\n".join(f"  api 'g:{a}:1'" for a in names))], "file_uri string, text string")
+    wanted = spark.createDataFrame([("build.gradle", "g", a) for a in [*names, "b000"]], "file_uri string, group_id string, artifact_id string")
+    for few in (64, 200):
+        monkeypatch.setattr(deps, "FEW", few)
+        assert {r["artifact_id"]: r["line"] for r in deps.locate(wanted, files).collect()} == {a: k for k, a in enumerate(names, 1)} | {"b000": 0}
