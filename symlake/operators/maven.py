@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symlake.sources.poms import entries, interpolate_first, read
-from symlake.tables import discard, materialize
+from symlake.tables import discard, large, materialize
 
 _INHERITED = 1 << 20
 GAV = ["group_id", "artifact_id", "version"]
@@ -51,8 +51,8 @@ def _find(asked: DataFrame, held: DataFrame, prefix: str = "") -> DataFrame:
     same = lambda: [F.col(f"{prefix}{c}") == F.col(f"h_{c}") for c in GAV]
     on = lambda *more: [*same(), *more]
     extra = ["hp", *[f"h_{c}" for c in GAV]]
-    near = asked.join(at(held.where("project IS NOT NULL"), "near"), on(F.col("project") == F.col("hp")), "left").drop(*extra)
-    far = near.join(at(held.where("project IS NULL"), "far"), on(), "left").drop(*extra)
+    near = asked.join(large(at(held.where("project IS NOT NULL"), "near")), on(F.col("project") == F.col("hp")), "left").drop(*extra)
+    far = near.join(large(at(held.where("project IS NULL"), "far")), on(), "left").drop(*extra)
     return far.withColumn("target", F.coalesce("near", "far")).drop("near", "far")
 
 
@@ -64,7 +64,7 @@ def chains(models: DataFrame) -> DataFrame:
     links = materialize(found.where("parent IS NOT NULL"), "links")
     levels = [materialize(models.select("pom_id", F.col("pom_id").alias("ancestor"), F.lit(0).alias("distance"), F.array("pom_id").alias("above")), "chain")]
     while not levels[-1].isEmpty():
-        step = levels[-1].join(links, F.col("ancestor") == F.col("child")).where(~F.array_contains("above", F.col("parent")))
+        step = levels[-1].join(large(links), F.col("ancestor") == F.col("child")).where(~F.array_contains("above", F.col("parent")))
         levels.append(materialize(step.select("pom_id", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance"), F.concat("above", F.array("parent")).alias("above")), "chain"))
     out = levels[0]
     for one in levels[1:-1]:
@@ -77,7 +77,7 @@ def chains(models: DataFrame) -> DataFrame:
 def scopes(models: DataFrame, chain: DataFrame) -> DataFrame:
     """(pom_id, properties): the merged property scope of every pom, nearest values first."""
     facts = models.select(F.col("pom_id").alias("ancestor"), "pom", "group_id", "artifact_id", "version")
-    rows = chain.join(facts, "ancestor")
+    rows = chain.join(large(facts), "ancestor")
     d = F.col("distance")
     listed = rows.where("pom.properties IS NOT NULL").select("pom_id", d.alias("rank"), F.explode("pom.properties").alias("key", "value"))
     one = lambda key, value, rank: F.struct(F.lit(key).alias("key"), value.alias("value"), rank.alias("rank"))
@@ -95,7 +95,7 @@ def scopes(models: DataFrame, chain: DataFrame) -> DataFrame:
     given = rows.select("pom_id", F.explode(named).alias("x")).select("pom_id", "x.rank", "x.key", "x.value")
     nearest = listed.unionByName(given).where("value IS NOT NULL").groupBy("pom_id", "key").agg(F.min_by("value", "rank").alias("value"))
     found = nearest.groupBy("pom_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("properties"))
-    every = models.select("pom_id").join(found, "pom_id", "left")
+    every = models.select("pom_id").join(large(found), "pom_id", "left")
     return materialize(every.select("pom_id", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties")), "scopes")
 
 
@@ -114,7 +114,7 @@ def managed(models: DataFrame, chain: DataFrame, scope: DataFrame) -> DataFrame:
     """
     held = materialize(_held(models), "held")
     listed = models.select(F.col("pom_id").alias("ancestor"), F.posexplode(entries("pom.dependencyManagement.dependencies")).alias("at", "entry"))
-    rows = chain.join(listed, "ancestor").join(scope, "pom_id").join(models.select("pom_id", "project"), "pom_id")
+    rows = chain.join(large(listed), "ancestor").join(large(scope), "pom_id").join(large(models.select("pom_id", "project")), "pom_id")
     every = _in_scope(rows.withColumn("place", F.array("distance", "at")), "entry", "pom_id", "project", "place")
     is_bom = F.col("type").eqNullSafe("pom") & F.col("scope").eqNullSafe("import")
     every = materialize(every.withColumn("is_bom", is_bom), "entries")
@@ -124,8 +124,8 @@ def managed(models: DataFrame, chain: DataFrame, scope: DataFrame) -> DataFrame:
     entry = found[0].select(F.col("pom_id").alias("bom"), F.col("place").alias("inner"), *GAV)
     open_ = [materialize(imports.select(F.col("importer").alias("pom_id"), "place", "bom", F.array("importer", "bom").alias("above")), "open")]
     while not open_[-1].isEmpty():
-        found.append(open_[-1].join(entry, "bom").select("pom_id", F.concat("place", "inner").alias("place"), *GAV))
-        deeper = open_[-1].join(imports.select(F.col("importer").alias("bom"), F.col("place").alias("inner"), F.col("bom").alias("next")), "bom").where(~F.array_contains("above", F.col("next")))
+        found.append(open_[-1].join(large(entry), "bom").select("pom_id", F.concat("place", "inner").alias("place"), *GAV))
+        deeper = open_[-1].join(large(imports.select(F.col("importer").alias("bom"), F.col("place").alias("inner"), F.col("bom").alias("next"))), "bom").where(~F.array_contains("above", F.col("next")))
         open_.append(materialize(deeper.select("pom_id", F.concat("place", "inner").alias("place"), F.col("next").alias("bom"), F.concat("above", F.array("next")).alias("above")), "open"))
     out = found[0]
     for one in found[1:]:
@@ -149,16 +149,16 @@ def effective(files: DataFrame, inherit: bool = True) -> DataFrame:
     scope = scopes(models, chain)
     versions = managed(models, chain, scope)
     listed = models.select(F.col("pom_id").alias("ancestor"), F.posexplode(entries("pom.dependencies")).alias("at", "entry"))
-    rows = chain.where("true" if inherit else "distance = 0").join(listed, "ancestor").join(scope, "pom_id")
+    rows = chain.where("true" if inherit else "distance = 0").join(large(listed), "ancestor").join(large(scope), "pom_id")
     each = _in_scope(rows.withColumn("place", F.array("distance", "at")), "entry", "pom_id", "properties", "place")
     if inherit:
         key = ["pom_id", "group_id", "artifact_id", "type", F.coalesce("classifier", F.lit("")).alias("c")]
         nearest = each.groupBy(*key).agg(F.min(F.col("place")[0]).alias("nearest"))
-        each = each.withColumn("c", F.coalesce("classifier", F.lit(""))).join(nearest, ["pom_id", "group_id", "artifact_id", "type", "c"]).where("place[0] = nearest")
+        each = each.withColumn("c", F.coalesce("classifier", F.lit(""))).join(large(nearest), ["pom_id", "group_id", "artifact_id", "type", "c"]).where("place[0] = nearest")
     known = versions.select("pom_id", "group_id", "artifact_id", F.col("version").alias("managed"))
-    joined = each.join(known, ["pom_id", "group_id", "artifact_id"], "left").withColumn("version", interpolate_first(F.coalesce("version", "managed"), F.col("properties")))
+    joined = each.join(large(known), ["pom_id", "group_id", "artifact_id"], "left").withColumn("version", interpolate_first(F.coalesce("version", "managed"), F.col("properties")))
     own = models.select("pom_id", "project", "file_uri", *[F.col(c).alias(f"own_{c}") for c in GAV])
-    out = materialize(joined.select(*DIRECT).join(own, "pom_id"), "effective")
+    out = materialize(joined.select(*DIRECT).join(large(own), "pom_id"), "effective")
     discard(models, chain, scope, versions)
     return out
 
@@ -179,7 +179,7 @@ def resolve(projects: DataFrame, repository: DataFrame, roots: DataFrame) -> Dat
     ga = [F.col("group_id"), F.col("artifact_id"), F.col("type"), F.coalesce("classifier", F.lit(""))]
     root = roots.select("project", "file_uri", "pom_path", F.col("ordinal").alias("root"))
     # Direct ones are the pom's own; those of a repository's poms are joined by coordinates.
-    direct = rows.where("project IS NOT NULL AND place[0] = 0").drop("pom_id").join(root, ["project", "file_uri"])
+    direct = rows.where("project IS NOT NULL AND place[0] = 0").drop("pom_id").join(large(root), ["project", "file_uri"])
     tree = F.concat_ws("#", "project", "file_uri")
     node = F.concat_ws("#", "tree", F.concat_ws(":", *ga))
     fields = ["tree", "project", "node_id", "parent_id", "place", *GAV, "classifier", "type", "scope", "pom_path", "exclusions", "depth"]
@@ -187,16 +187,16 @@ def resolve(projects: DataFrame, repository: DataFrame, roots: DataFrame) -> Dat
     repo = rows.where("project IS NULL AND NOT optional AND version IS NOT NULL AND coalesce(scope, 'compile') NOT IN ('test', 'provided', 'system')")
     # A pom's dependencies count once for its coordinates, whatever files hold them.
     first = repo.groupBy(*[f"own_{c}" for c in GAV]).agg(F.min("pom_id").alias("pom_id"))
-    child = materialize(repo.join(first.select("pom_id"), "pom_id", "left_semi").select(*[F.col(f"own_{c}").alias(f"up_{c}") for c in GAV], F.col("place").alias("at"), *[F.col(c).alias(f"c_{c}") for c in (*GAV, "classifier", "scope", "type", "exclusions")]), "children")
+    child = materialize(repo.join(large(first.select("pom_id")), "pom_id", "left_semi").select(*[F.col(f"own_{c}").alias(f"up_{c}") for c in GAV], F.col("place").alias("at"), *[F.col(c).alias(f"c_{c}") for c in (*GAV, "classifier", "scope", "type", "exclusions")]), "children")
     best = lambda df: materialize(df.groupBy("tree", "node_id").agg(F.min_by(F.struct(*fields), "place").alias("x")).select("x.*"), "level")
     levels = [best(start)]
     chosen = levels[0].select("tree", "node_id")
     while not levels[-1].isEmpty():
         up = levels[-1]
-        step = up.join(child, [up[c] == F.col(f"up_{c}") for c in GAV])
+        step = up.join(large(child), [up[c] == F.col(f"up_{c}") for c in GAV])
         out = F.exists("exclusions", lambda x: x.isin("*:*", "*") | (x == F.concat_ws(":", "c_group_id", "c_artifact_id")) | (x == F.concat_ws(":", F.lit("*"), "c_artifact_id")) | (x == F.concat_ws(":", "c_group_id", F.lit("*"))))
         step = step.where(~out).select("tree", "project", F.col("node_id").alias("parent_id"), F.concat("place", "at").alias("place"), *[F.col(f"c_{c}").alias(c) for c in GAV], F.col("c_classifier").alias("classifier"), F.col("c_type").alias("type"), _scope_below(F.col("scope"), F.coalesce("c_scope", F.lit("compile"))).alias("scope"), "pom_path", F.array_union("exclusions", "c_exclusions").alias("exclusions"), (F.col("depth") + 1).alias("depth"))
-        fresh = step.withColumn("node_id", node).join(chosen, ["tree", "node_id"], "left_anti")
+        fresh = step.withColumn("node_id", node).join(large(chosen), ["tree", "node_id"], "left_anti")
         levels.append(best(fresh))
         chosen = chosen.unionByName(levels[-1].select("tree", "node_id"))
     every = levels[0]

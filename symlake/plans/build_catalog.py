@@ -9,6 +9,7 @@ from symlake.operators import maven
 from symlake.plans import analogs as A
 from symlake.plans.catalog import query
 from symlake.sources import poms
+from symlake.tables import large
 
 #: Keys of a block, artifacts of a block, and how far a part's two dependencies lie behind it.
 BLOCK, ARTIFACTS, STEPS = 50, 20, (7, 11)
@@ -41,7 +42,7 @@ def maven_interpolated(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("k") % 4 == 0, _text("v", F.col("v"))).when(F.col("k") % 4 == 1, _text(key(F.col("k") - 1), ".1")).when(F.col("k") % 4 == 2, _text(key(F.col("k") - 1), "-${none}")).otherwise(_text(key(F.col("k")), "z"))
     scope = p.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(_text("p", F.col("k")), value))).alias("properties"))
     text = _text("a", key(F.col("k")), "b", key(F.col("k")))
-    rows = p.join(scope, "block").select("k", text.alias("text"), "properties")
+    rows = p.join(large(scope), "block").select("k", text.alias("text"), "properties")
     return rows.select("k", poms.interpolate_all(F.col("text"), F.col("properties")).alias("every"), poms.interpolate_first(F.col("text"), F.col("properties")).alias("leftmost"))
 
 

@@ -735,3 +735,15 @@ def test_gradle_lines_with_few_and_many_wanted(spark, monkeypatch):
     for few in (64, 200):
         monkeypatch.setattr(deps, "FEW", few)
         assert {r["artifact_id"]: r["line"] for r in deps.locate(wanted, files).collect()} == {a: k for k, a in enumerate(names, 1)} | {"b000": 0}
+
+
+def test_maven_joins_are_dealt_by_key(spark, monkeypatch):
+    """Tables of poms are a small part of their rows' memory, so sizes of files must not decide what is broadcast."""
+    from symlake.plans import build_catalog
+
+    plans, write = [], maven.materialize
+    monkeypatch.setattr(maven, "materialize", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a))[1])
+    build_catalog.maven_managed(spark, DATA)
+    build_catalog.maven_resolved(spark, DATA)
+    found = set().union(*map(joins_of, plans))
+    assert len(plans) > 20 and "SortMergeJoin" in found and not any("Broadcast" in x for x in found)
