@@ -747,3 +747,17 @@ def test_maven_joins_are_dealt_by_key(spark, monkeypatch):
     build_catalog.maven_resolved(spark, DATA)
     found = set().union(*map(joins_of, plans))
     assert len(plans) > 20 and "SortMergeJoin" in found and not any("Broadcast" in x for x in found)
+
+
+@pytest.fixture(scope="module")
+def one_brand(spark, tmp_path_factory):
+    """1,200 parts of one brand and 2,500 documents of one source."""
+    d = str(tmp_path_factory.mktemp("one"))
+    spark.range(1200).select(F.col("id").alias("p_partkey"), F.concat(F.lit("part "), F.col("id").cast("string")).alias("p_name"), F.lit("Brand#11").alias("p_brand"), F.lit("T").alias("p_type"), F.lit(3).alias("p_size")).write.parquet(f"{d}/part.parquet")
+    spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 700 != 0, "en").alias("lang")).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_lines_of_a_whole_brand_in_one_pom(spark, one_brand):
+    lines = {r["dep_id"]: r["line"] for r in catalog.dep_line_lookup(spark, one_brand).collect()}
+    assert lines == {k: 0 if k % 3 == 0 else 4 * (k + 1) for k in range(1200)}
