@@ -761,3 +761,8 @@ def one_brand(spark, tmp_path_factory):
 def test_lines_of_a_whole_brand_in_one_pom(spark, one_brand):
     lines = {r["dep_id"]: r["line"] for r in catalog.dep_line_lookup(spark, one_brand).collect()}
     assert lines == {k: 0 if k % 3 == 0 else 4 * (k + 1) for k in range(1200)}
+
+
+def test_fallback_reads_a_whole_brands_pom(spark, one_brand):
+    lines = {r["artifact_id"]: r["line_number"] for r in catalog.dep_line_fallback(spark, one_brand).collect()}
+    assert lines == {f"part-{k}": 0 if k % 3 == 0 else 4 * (k + 1) for k in range(1200)}
