@@ -766,3 +766,9 @@ def test_lines_of_a_whole_brand_in_one_pom(spark, one_brand):
 def test_fallback_reads_a_whole_brands_pom(spark, one_brand):
     lines = {r["artifact_id"]: r["line_number"] for r in catalog.dep_line_fallback(spark, one_brand).collect()}
     assert lines == {f"part-{k}": 0 if k % 3 == 0 else 4 * (k + 1) for k in range(1200)}
+
+
+def test_a_files_dependencies_are_one_row(spark, one_brand):
+    rows = catalog.deps_grouped_by_file(spark, one_brand).collect()
+    listed = hashlib.md5(",".join(f"{k}en" for k in range(2500) if k % 700).encode()).hexdigest()
+    assert [tuple(r) for r in rows] == [("s", 2500, listed)]
