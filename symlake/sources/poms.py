@@ -72,10 +72,14 @@ def declared(files: DataFrame) -> DataFrame:
     """
     rows = read(files.select("file_uri", "text")).withColumn("properties", own_properties())
     tagged = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.contains(s["x"], F.lit("<groupId>")))
-    each = rows.select("file_uri", "properties", tagged.alias("tagged"), F.posexplode(entries("pom.dependencies")).alias("ordinal", "d"))
+    groups = F.array_distinct(F.filter(F.transform(entries("pom.dependencies"), lambda d: interpolate_all(d["groupId"], F.col("properties"))), lambda g: g.isNotNull()))
+    rows = rows.select("properties", "file_uri", tagged.alias("tagged"), groups.alias("groups"), entries("pom.dependencies").alias("entries"))
+    first = F.transform("groups", lambda g: F.coalesce(F.try_element_at(F.filter("tagged", lambda s: F.contains(s["x"], g)), F.lit(1))["i"], F.lit(0)))
+    # Each dependency carries its group's line and not the file's lines.
+    each = rows.select("file_uri", "properties", F.map_from_arrays("groups", first).alias("first"), F.posexplode("entries").alias("ordinal", "d"))
     value = lambda name: interpolate_all(F.col(f"d.{name}"), F.col("properties"))
-    found = each.select(*[value(c).alias(a) for c, a in (("groupId", "g"), ("artifactId", "a"), ("version", "v"), ("classifier", "classifier"), ("scope", "scope"))], "tagged", "file_uri", "ordinal")
-    line = F.coalesce(F.try_element_at(F.filter("tagged", lambda s: F.contains(s["x"], F.col("g"))), F.lit(1))["i"], F.lit(0))
+    found = each.select(*[value(c).alias(a) for c, a in (("groupId", "g"), ("artifactId", "a"), ("version", "v"), ("classifier", "classifier"), ("scope", "scope"))], "first", "file_uri", "ordinal")
+    line = F.coalesce(F.try_element_at("first", F.col("g")), F.lit(0))
     blank = lambda c: F.coalesce(c, F.lit(""))
     out = found.select(blank("g").alias("group_id"), blank("a").alias("artifact_id"), blank("v").alias("version"), "classifier", "scope", line.alias("line"), "file_uri", "ordinal")
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECLARED])

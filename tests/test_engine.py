@@ -772,3 +772,8 @@ def test_a_files_dependencies_are_one_row(spark, one_brand):
     rows = catalog.deps_grouped_by_file(spark, one_brand).collect()
     listed = hashlib.md5(",".join(f"{k}en" for k in range(2500) if k % 700).encode()).hexdigest()
     assert [tuple(r) for r in rows] == [("s", 2500, listed)]
+
+
+def test_a_whole_brand_is_declared_in_one_pom(spark, one_brand):
+    rows = catalog.declared_dependencies(spark, one_brand).collect()
+    assert {r["file_uri"] for r in rows} == {"file:///brand11/pom.xml"} and sorted(r["artifact_id"] for r in rows) == sorted(f"part {k}" for k in range(1200))
